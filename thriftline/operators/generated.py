@@ -8,6 +8,7 @@ import warnings
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from thriftline import fixed_values as fixed
 from thriftline.functions import text as tx
@@ -26,7 +27,7 @@ def _syntax_error(code: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def syntax_error(code: pd.Series) -> pd.Series:
     """NULL for code that parses, else the reason."""
     return code.map(_syntax_error, na_action=None).astype(object)
