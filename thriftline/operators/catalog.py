@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from thriftline import schemas
 from thriftline.functions import paths
+from thriftline.session import spread
 
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 _PARSE_ERRORS = (SyntaxError, ValueError, RecursionError, MemoryError)
@@ -51,10 +52,9 @@ def _definitions(module: ast.Module) -> Iterator[tuple[str, ast.AST]]:
             pending.extend((f"{name}.", child) for child in below)
 
 
-def _spread(files: DataFrame) -> DataFrame:
-    """Deal files out by path hash before the Python step, whatever project they are in."""
-    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return files.select("project", "file", "text").repartition(tasks, "project", "file")
+def _texts(files: DataFrame) -> DataFrame:
+    """The columns the parser needs, over enough tasks."""
+    return spread(files.select("project", "file", "text"), "project", "file")
 
 
 def extract_functions(files: DataFrame) -> DataFrame:
@@ -86,7 +86,7 @@ def extract_functions(files: DataFrame) -> DataFrame:
     schema = ", ".join(
         f"{f.name} {f.dataType.simpleString()}" for f in (schemas.FUNCTION[c] for c in columns)
     )
-    rows = _spread(files).mapInPandas(extract, schema=schema)
+    rows = _texts(files).mapInPandas(extract, schema=schema)
     named = F.when(
         F.col("qualified_name").isNotNull(),
         paths.function_id(paths.module_name(F.col("file")), F.col("qualified_name")),
@@ -148,7 +148,7 @@ def locator_index(files: DataFrame) -> DataFrame:
                 rows.extend((project, file, *row, None) for row in _lookup_rows(module))
             yield _typed(pd.DataFrame(rows, columns=columns), ["line", "end_line"])
 
-    return _spread(files).mapInPandas(index, schema=schemas.LOCATOR)
+    return _texts(files).mapInPandas(index, schema=schemas.LOCATOR)
 
 
 def locate(requests: DataFrame, files: DataFrame, how: str = "any") -> DataFrame:

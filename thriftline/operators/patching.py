@@ -69,7 +69,7 @@ def splice(text: Column, patches: Column) -> Column:
             done = F.coalesce(F.get(found, at - 1)["end_line"], F.lit(0))
             before = F.slice(lines, done + 1, F.greatest(patch["start_line"] - done - 1, F.lit(0)))
             indent = tx.leading_space(F.regexp_replace(F.get(lines, patch["start_line"] - 1), "\n", ""))
-            body = tx.split_lines(tx.reindent(patch["code"], F.coalesce(indent, F.lit(""))))
+            body = let(tx.reindent(patch["code"], F.coalesce(indent, F.lit(""))), tx.split_lines)
             return F.concat(before, F.transform(body, lambda line: F.concat(line, F.lit("\n"))))
 
         end = F.get(found, F.size(found) - 1)["end_line"]

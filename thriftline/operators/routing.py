@@ -74,22 +74,22 @@ def all_records(skipped: DataFrame, processed: DataFrame) -> DataFrame:
     return skipped.unionByName(processed)
 
 
+def is_success() -> Column:
+    return F.coalesce(F.col("success"), F.lit(False))
+
+
 def successes(results: DataFrame) -> DataFrame:
-    return results.filter(F.coalesce(F.col("success"), F.lit(False)))
+    return results.filter(is_success())
 
 
 def non_successes(results: DataFrame) -> DataFrame:
     """Exact complement of :func:`successes`; a missing flag counts here."""
-    return results.filter(~F.coalesce(F.col("success"), F.lit(False)))
+    return results.filter(~is_success())
 
 
 def is_measured() -> Column:
     """Accepted with both emissions known."""
-    return (
-        F.coalesce(F.col("success"), F.lit(False))
-        & F.col("baseline_emissions_kg").isNotNull()
-        & F.col("optimized_emissions_kg").isNotNull()
-    )
+    return is_success() & F.col("baseline_emissions_kg").isNotNull() & F.col("optimized_emissions_kg").isNotNull()
 
 
 def measured(results: DataFrame) -> DataFrame:

@@ -276,10 +276,8 @@ def p7_baseline_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     + "SELECT project, CASE WHEN success THEN 'success' ELSE 'other' END AS part, count(*) AS n FROM v_result GROUP BY ALL",
 )
 def p8_success_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results = views.results(spark, sf_dir)
-    good = routing.successes(results).select("project", F.lit("success").alias("part"))
-    other = routing.non_successes(results).select("project", F.lit("other").alias("part"))
-    return good.unionByName(other).groupBy("project", "part").agg(F.count(F.lit(1)).alias("n"))
+    part = F.when(routing.is_success(), "success").otherwise("other")
+    return views.results(spark, sf_dir).groupBy("project", part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from thriftline.session import configure
+
 Run = Callable[[SparkSession, str], DataFrame]
 
 RUNS: dict[str, Run] = {}
@@ -26,7 +29,15 @@ def query(name: str, sql: str | None = None) -> Callable[[Run], Run]:
     return register
 
 
+def _configured(run: Run) -> Run:
+    @functools.wraps(run)
+    def ready(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return run(configure(spark), sf_dir)
+
+    return ready
+
+
 def load() -> tuple[dict[str, Run], dict[str, str]]:
     from thriftline.plans import catalogue_queries, intake_queries, savings_queries  # noqa: F401
 
-    return dict(RUNS), dict(TWINS)
+    return {name: _configured(run) for name, run in RUNS.items()}, dict(TWINS)

@@ -703,8 +703,9 @@ def m6_equivalents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("r1_published_outcomes", views.RESULTS_SQL + f"SELECT {_OUTCOME_COLUMNS} FROM v_outcome")
 def r1_published_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attempts stream in from the given table; the end state equals the batch result."""
-    source = f"{sf_dir}/lineitem.parquet"
-    landed = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+    # The file stream source takes folders and globs; a table may be a single file.
+    schema = views.table(spark, sf_dir, "lineitem").schema
+    landed = spark.readStream.schema(schema).parquet(f"{sf_dir}/lineitem.parque[t]")
     out = scratch_path(spark, "outcomes")
     running = progress.publish_outcomes(
         views.attempt_rows(landed),

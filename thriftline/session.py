@@ -7,12 +7,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Python steps receive frames of bounded size, however long the texts are.
+FRAME_BYTES = 64 << 20
+
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(FRAME_BYTES),
 }
 
 
@@ -46,6 +50,20 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def slots(spark: SparkSession) -> int:
+    """Tasks to deal rows out to before a Python step."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal rows out by a hash of ``keys`` when the input is in too few pieces.
+
+    A table of many files is read by many tasks anyway and is not shuffled.
+    """
+    few = min(slots(df.sparkSession), 32)
+    return df.repartition(slots(df.sparkSession), *keys) if len(df.inputFiles()) < few else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of any executor."""
     shared_folder(df.sparkSession)

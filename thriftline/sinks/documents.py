@@ -17,6 +17,7 @@ from thriftline.functions.numbers import sanitize
 from thriftline.operators import impact, summary
 from thriftline.operators.numbering import numbered
 from thriftline.operators.routing import skipped_summary
+from thriftline.session import cut_lineage
 
 _JSON = {"ignoreNullFields": "false"}
 
@@ -37,11 +38,7 @@ def json_of(columns: list[str]) -> Column:
 
 def quoted(value: Column) -> Column:
     """JSON string of a text column, ``null`` for NULL."""
-    return F.coalesce(F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r'\A\{"v":(.*)\}\z', 1), F.lit("")).alias("q")
-
-
-def quoted_or_null(value: Column) -> Column:
-    return F.when(value.isNull(), F.lit("null")).otherwise(quoted(value))
+    return F.regexp_extract(F.to_json(F.struct(value.alias("v")), _JSON), r'\A\{"v":(.*)\}\z', 1)
 
 
 def _lines(section: Section, number: int) -> DataFrame:
@@ -72,17 +69,18 @@ def write_document(sections: list[Section], path: str) -> None:
 def _opening(generated_at: str) -> Column:
     return F.concat(
         F.lit('{"project_root":'),
-        quoted_or_null(F.col("project")),
+        quoted(F.col("project")),
         F.lit(f',"generated_at":"{generated_at}","functions":['),
     )
 
 
 def _function_document(records: DataFrame, columns: list[str], order: list[str], generated_at: str, path: str) -> None:
-    projects = records.select("project").distinct()
+    kept = cut_lineage(records.select("project", *dict.fromkeys([*columns, *order])))
+    projects = kept.select("project").distinct()
     write_document(
         [
             Section("open", projects, _opening(generated_at)),
-            Section("functions", records, json_of(columns), [F.col(c) for c in order]),
+            Section("functions", kept, json_of(columns), [F.col(c) for c in order]),
             Section("close", projects, F.lit("]}")),
         ],
         path,
@@ -103,14 +101,21 @@ def write_result_documents(results: DataFrame, path: str, generated_at: str, ord
 def write_savings_documents(results: DataFrame, path: str, generated_at: str, scale: int | None = None) -> None:
     """Savings summary as one document per project.
 
-    Scalars come from one aggregate; the three lists are written row by row.
+    Scalars come from one aggregate; the three lists are written row by row.  The
+    narrow records are written out once, since every section reads them.
     """
-    scalars = sanitize(summary.project_summary(results, ["project"], scale))
+    results = cut_lineage(
+        results.select(
+            "project", "id", "name", "file", "line", "baseline_emissions_kg", "optimized_emissions_kg",
+            "reduction_pct", "success", "optimization_attempts", "skip_reason",
+        )
+    )
+    scalars = cut_lineage(sanitize(summary.project_summary(results, ["project"], scale)))
     names = [c for c in scalars.columns if c != "project"]
     head, tail = names[:4], names[4:]
     opening = F.concat(
         F.lit(f'{{"generated_at":"{generated_at}","project_root":'),
-        quoted_or_null(F.col("project")),
+        quoted(F.col("project")),
         F.lit(',"summary":'),
         F.regexp_replace(json_of(head), r"\}\z", ""),
         F.lit(',"files_optimized":['),

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thriftline import schemas
+from thriftline.session import slots
 from thriftline.sources import files
 
 _BATCH_BYTES = 64 << 20
@@ -107,7 +108,7 @@ def read_archives(spark: SparkSession, path: str, tasks: int | None = None) -> D
     listed = list_members(found.load(path).select("path"))
     # Same member name twice: the last position is the one that stays on disk.
     wanted = listed.groupBy("archive", "file").agg(
-        F.max("position").alias("position"), F.first("error").alias("error")
+        F.max("position").alias("position"), F.max("error").alias("error")
     )
     columns = schemas.ARCHIVE_MEMBER.names
 
@@ -133,6 +134,5 @@ def read_archives(spark: SparkSession, path: str, tasks: int | None = None) -> D
 
         yield from _in_batches(rows(), columns, 3)
 
-    count = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = wanted.repartitionByRange(count, "archive", "position", "file")
-    return spread.mapInPandas(fetch, schema=schemas.ARCHIVE_MEMBER)
+    dealt = wanted.repartitionByRange(tasks or slots(spark), "archive", "position", "file")
+    return dealt.mapInPandas(fetch, schema=schemas.ARCHIVE_MEMBER)

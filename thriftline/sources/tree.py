@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from thriftline import schemas
 from thriftline.functions import paths
+from thriftline.session import slots
 from thriftline.sources import files
 
 _LEVEL = "project string, file string, n_bytes bigint, uri string, is_dir boolean"
@@ -59,7 +60,6 @@ def list_tree(spark: SparkSession, roots: DataFrame, spread_levels: int = 2) ->
     The first ``spread_levels`` levels are listed one at a time and re-spread, so
     a single large root is walked by many tasks.
     """
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     level = roots.select(
         "project",
         F.lit("").alias("file"),
@@ -68,7 +68,9 @@ def list_tree(spark: SparkSession, roots: DataFrame, spread_levels: int = 2) ->
         F.lit(True).alias("is_dir"),
     )
     for _ in range(spread_levels):
-        level = level.mapInPandas(_list_level, schema=_LEVEL).repartition(tasks, "project", "file")
+        level = level.mapInPandas(_list_level, schema=_LEVEL).repartition(
+            slots(spark), "project", "file"
+        )
     return level.mapInPandas(_walk, schema=schemas.TREE_FILE)
 
 
@@ -92,9 +94,9 @@ def read_files(listed: DataFrame, batch_bytes: int = 64 << 20) -> DataFrame:
                     rows, held = [], 0
             yield pd.DataFrame(rows, columns=columns)
 
-    tasks = int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = listed.select("project", "file", "n_bytes", "uri").repartition(tasks, "project", "file")
-    return spread.mapInPandas(fetch, schema=schemas.SOURCE_FILE)
+    narrow = listed.select("project", "file", "n_bytes", "uri")
+    dealt = narrow.repartition(slots(listed.sparkSession), "project", "file")
+    return dealt.mapInPandas(fetch, schema=schemas.SOURCE_FILE)
 
 
 def keep_source_files(files_: DataFrame) -> DataFrame:
