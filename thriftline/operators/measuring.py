@@ -10,9 +10,9 @@ from thriftline.functions import numbers as nm
 from thriftline.functions import text as tx
 
 
-def log_values(lines: DataFrame) -> DataFrame:
+def log_values(lines: DataFrame, text: str = "line") -> DataFrame:
     """Add what a log line says: ``emissions`` and ``exit_code``, NULL when it says nothing usable."""
-    line = F.col("line")
+    line = F.col(text)
     return lines.withColumns(
         {
             "emissions": nm.to_float(nm.after_prefix(line, fixed.EMISSIONS_PREFIX)),
@@ -21,13 +21,13 @@ def log_values(lines: DataFrame) -> DataFrame:
     )
 
 
-def parse_runs(lines: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
+def parse_runs(lines: DataFrame, keys: list[str], seq: str = "seq", text: str = "line") -> DataFrame:
     """One row per run: the last usable value of either kind wins.
 
     ``parsed`` is false when either is missing.  Values are narrowed to numbers
     before the shuffle; the text of the log stays behind.
     """
-    values = log_values(lines).select(*keys, seq, "emissions", "exit_code")
+    values = log_values(lines, text).select(*keys, seq, "emissions", "exit_code")
 
     def last(name: str):
         return F.max_by(F.col(name), F.when(F.col(name).isNotNull(), F.col(seq)))
@@ -36,12 +36,12 @@ def parse_runs(lines: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame
     return runs.withColumn("parsed", F.col("emissions_kg").isNotNull() & F.col("exit_code").isNotNull())
 
 
-def first_measurement(lines: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
+def first_measurement(lines: DataFrame, keys: list[str], seq: str = "seq", text: str = "line") -> DataFrame:
     """Stricter reading: the first emissions line decides.
 
     ``reason`` says why a log has no value; a bad value is not skipped.
     """
-    raw = nm.after_prefix(F.col("line"), fixed.EMISSIONS_PREFIX)
+    raw = nm.after_prefix(F.col(text), fixed.EMISSIONS_PREFIX)
     at = F.when(raw.isNotNull(), F.col(seq))
     narrow = lines.select(*keys, nm.to_float(raw).alias("_value"), at.alias("_at"))
     found = narrow.groupBy(*keys).agg(

@@ -1,4 +1,8 @@
-"""The three phases over any number of projects at once."""
+"""The three phases over any number of projects at once.
+
+The phases hand tables to each other.  Pass each through ``session.written`` (or
+save it where it belongs) when more than one later step reads it.
+"""
 
 from __future__ import annotations
 
@@ -52,13 +56,14 @@ def results_of(
 ) -> DataFrame:
     """Phases one and two: specs, routing, baselines, attempts, result records.
 
-    All inputs but ``files`` are keyed by ``project, id, line``.
+    All inputs but ``files`` are keyed by ``project, id, line``; ``baseline_log``
+    has ``run_id, seq, log_line`` besides.
     """
     specs = generated.check_generated(responses)
     routed = routing.route(generated.attach_specs(functions, specs, KEYS), files, ["project", "file"])
     skipped = routing.skipped_records(routed, ["project", "line"])
     work = routing.eligible(routed).drop("skip_reason")
-    runs = measuring.parse_runs(baseline_log, [*KEYS, "run_id"])
+    runs = measuring.parse_runs(baseline_log, [*KEYS, "run_id"], text="log_line")
     measured = measuring.baselines(work, runs, KEYS)
     decided = outcome.resolve(measured, attempts, KEYS, mode=mode)
     coded = outcome.with_winning_code(decided, codes, KEYS)

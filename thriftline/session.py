@@ -64,6 +64,16 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(slots(df.sparkSession), *keys) if len(df.inputFiles()) < few else df
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Hand a table from one stage to the next through the shared folder.
+
+    For tables that several later steps read: each reads its own columns only.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of any executor."""
     shared_folder(df.sparkSession)

@@ -17,7 +17,7 @@ from thriftline.functions.numbers import sanitize
 from thriftline.operators import impact, summary
 from thriftline.operators.numbering import numbered
 from thriftline.operators.routing import skipped_summary
-from thriftline.session import cut_lineage
+from thriftline.session import written
 
 _JSON = {"ignoreNullFields": "false"}
 
@@ -75,7 +75,7 @@ def _opening(generated_at: str) -> Column:
 
 
 def _function_document(records: DataFrame, columns: list[str], order: list[str], generated_at: str, path: str) -> None:
-    kept = cut_lineage(records.select("project", *dict.fromkeys([*columns, *order])))
+    kept = written(records.select("project", *dict.fromkeys([*columns, *order])), "records")
     projects = kept.select("project").distinct()
     write_document(
         [
@@ -104,13 +104,12 @@ def write_savings_documents(results: DataFrame, path: str, generated_at: str, sc
     Scalars come from one aggregate; the three lists are written row by row.  The
     narrow records are written out once, since every section reads them.
     """
-    results = cut_lineage(
-        results.select(
-            "project", "id", "name", "file", "line", "baseline_emissions_kg", "optimized_emissions_kg",
-            "reduction_pct", "success", "optimization_attempts", "skip_reason",
-        )
+    narrow = results.select(
+        "project", "id", "name", "file", "line", "baseline_emissions_kg", "optimized_emissions_kg",
+        "reduction_pct", "success", "optimization_attempts", "skip_reason",
     )
-    scalars = cut_lineage(sanitize(summary.project_summary(results, ["project"], scale)))
+    results = written(narrow, "records")
+    scalars = written(sanitize(summary.project_summary(results, ["project"], scale)), "scalars")
     names = [c for c in scalars.columns if c != "project"]
     head, tail = names[:4], names[4:]
     opening = F.concat(

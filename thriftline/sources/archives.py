@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,6 +22,10 @@ from thriftline.sources import files
 
 _BATCH_BYTES = 64 << 20
 
+# Faults of an archive itself.  Failures of the storage are not among them: those
+# fail the task, which is then run again.
+_BAD_ARCHIVE = (zipfile.BadZipFile, ValueError, RuntimeError, NotImplementedError, EOFError, zlib.error)
+
 
 def _safe_name(name: str) -> str:
     """Member name as a relative path that cannot leave the target folder."""
@@ -63,7 +68,7 @@ def expand_archives(archives: DataFrame, path: str = "path", content: str = "con
                             for member, info in last.items():
                                 data = archive.read(info)
                                 yield name, member, len(data), data, None
-                    except (zipfile.BadZipFile, RuntimeError, NotImplementedError, OSError) as error:
+                    except _BAD_ARCHIVE as error:
                         yield name, None, None, None, str(error)
 
         yield from _in_batches(rows(), columns, 3)
@@ -85,7 +90,7 @@ def list_members(archives: DataFrame) -> DataFrame:
                         with system.open_input_file(path) as stream, zipfile.ZipFile(stream) as archive:
                             for position, member, info in _members(archive):
                                 yield uri, position, member, info.file_size, None
-                    except (zipfile.BadZipFile, OSError) as error:
+                    except _BAD_ARCHIVE as error:
                         yield uri, None, None, None, str(error)
 
         held = []
@@ -129,7 +134,7 @@ def read_archives(spark: SparkSession, path: str, tasks: int | None = None) -> D
                             try:
                                 data = archive.read(infos[int(position)])
                                 yield uri, member, len(data), data, None
-                            except (zipfile.BadZipFile, RuntimeError, NotImplementedError) as error:
+                            except _BAD_ARCHIVE as error:
                                 yield uri, member, None, None, str(error)
 
         yield from _in_batches(rows(), columns, 3)
