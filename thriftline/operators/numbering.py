@@ -14,9 +14,17 @@ from thriftline.session import cut_lineage
 
 
 def numbered(
-    df: DataFrame, group: list[str], order: list[Column], position: str = "position", size: str | None = None
+    df: DataFrame,
+    group: list[str],
+    order: list[Column],
+    position: str = "position",
+    size: str | None = None,
+    span: str | None = None,
 ) -> DataFrame:
-    """Add the 1-based ``position`` of each row in its group, and the group's ``size``.
+    """Add the 1-based ``position`` of each row in its group, the group's ``size`` and the ``span``.
+
+    A span is the number of the range a row fell into; spans follow the order too
+    and are small enough for one task each.
 
     ``order`` has to tell all rows of a group apart.  The ranges are written out
     once: the two passes that follow see the same ranges even after a task is
@@ -25,20 +33,21 @@ def numbered(
     ranged = cut_lineage(
         df.repartitionByRange(*[F.col(g) for g in group], *order).withColumn("_range", F.spark_partition_id())
     )
-    sizes = ranged.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    by_group = Window.partitionBy(*group)
+    # As one key the group columns compare NULL as a value, in the window and in the join.
+    keyed = ranged.withColumn("_group", F.struct(*group) if group else F.lit(0))
+    sizes = keyed.groupBy("_group", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    by_group = Window.partitionBy("_group")
     before = by_group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        *group,
+        "_group",
         "_range",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
         F.sum("_n").over(by_group).alias("_size"),
     )
-    within = Window.partitionBy(*group, "_range").orderBy(*order)
-    local = ranged.withColumn("_local", F.row_number().over(within))
-    same = [local[c].eqNullSafe(offsets[c]) for c in group] + [local["_range"] == offsets["_range"]]
-    joined = local.join(offsets, same, "left")
+    within = Window.partitionBy("_group", "_range").orderBy(*order)
+    local = keyed.withColumn("_local", F.row_number().over(within))
     extra = [F.col("_size").alias(size)] if size else []
-    return joined.select(
-        *[local[c] for c in df.columns], (F.col("_local") + F.col("_before")).alias(position), *extra
+    extra += [F.col("_range").alias(span)] if span else []
+    return local.join(offsets, ["_group", "_range"]).select(
+        *df.columns, (F.col("_local") + F.col("_before")).alias(position), *extra
     )

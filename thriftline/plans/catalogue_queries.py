@@ -55,7 +55,7 @@ def c3_function_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def c4_line_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = 3 + F.col("doc_id") % 40
-    return views.table(spark, sf_dir, "documents").select(
+    return views.texts(spark, sf_dir).select(
         "doc_id", tx.slice_lines(F.col("text"), F.lit(2), last).alias("code")
     )
 
@@ -69,7 +69,7 @@ def c4_line_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def c5_line_indent(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = views.indented_text(F.col("text"))
-    return views.table(spark, sf_dir, "documents").select(
+    return views.texts(spark, sf_dir).select(
         "doc_id", tx.indent_of(text, F.col("doc_id") % 7 + 1).alias("indent")
     )
 
@@ -87,7 +87,7 @@ def c6_applied_indent(spark: SparkSession, sf_dir: str) -> DataFrame:
     shape = F.col("doc_id") % 3
     indent = F.when(shape == 0, F.lit("")).otherwise(F.lit("  "))
     code = F.when(shape == 1, F.concat(F.lit("  "), F.col("text"))).otherwise(F.col("text"))
-    return views.table(spark, sf_dir, "documents").select("doc_id", tx.apply_indent(code, indent).alias("code"))
+    return views.texts(spark, sf_dir).select("doc_id", tx.apply_indent(code, indent).alias("code"))
 
 
 @query(
@@ -106,7 +106,7 @@ def c7_reindented(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("\n    "), deep)).otherwise(
         F.concat(F.lit("\n    "), F.col("text"))
     )
-    return views.table(spark, sf_dir, "documents").select("doc_id", tx.reindent(code, F.lit("  ")).alias("code"))
+    return views.texts(spark, sf_dir).select("doc_id", tx.reindent(code, F.lit("  ")).alias("code"))
 
 
 @query(
@@ -127,7 +127,7 @@ def c8_dedented(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     shifted = tx.dedent_indent(code, F.lit(3))
     # The last line only pins the margin; it is taken off again.
-    return views.table(spark, sf_dir, "documents").select(
+    return views.texts(spark, sf_dir).select(
         "doc_id", F.regexp_replace(shifted, r"\n   -\z", "").alias("code")
     )
 
@@ -205,7 +205,7 @@ def c13_checked_code(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("doc_id") % 4 == 2, F.lit(" \n "))
         .otherwise(F.concat(F.lit("```\n"), body, F.lit("\n```")))
     )
-    checked = generated.check_generated(views.table(spark, sf_dir, "documents").select("doc_id", raw.alias("raw")))
+    checked = generated.check_generated(views.texts(spark, sf_dir).select("doc_id", raw.alias("raw")))
     return checked.select("doc_id", "status", F.md5("spec_code").alias("digest"), (F.col("error") != "").alias("has_error"))
 
 
@@ -236,7 +236,7 @@ def c14_benchmark_call(spark: SparkSession, sf_dir: str) -> DataFrame:
 def c15_request_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.concat(F.lit("def f(): return "), F.col("n_chars"))
     id_ = F.concat(F.lit("m"), F.col("doc_id"), F.lit(".f"))
-    return views.table(spark, sf_dir, "documents").select(
+    return views.texts(spark, sf_dir).select(
         "doc_id",
         tx.spec_request(id_, F.lit("src/m.py"), code).alias("spec_request"),
         tx.rewrite_request(
@@ -250,7 +250,7 @@ def c15_request_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT doc_id, substr(text, 1, 2000) AS test_output, substr(text, 1, 400) AS diagnostic FROM documents",
 )
 def c16_truncated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.table(spark, sf_dir, "documents").select(
+    return views.texts(spark, sf_dir).select(
         "doc_id",
         tx.truncate(F.col("text"), fixed.TEST_OUTPUT_CHARS).alias("test_output"),
         tx.truncate(F.col("text"), fixed.DIAGNOSTIC_CHARS).alias("diagnostic"),
@@ -265,7 +265,7 @@ def c16_truncated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def c17_line_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.table(spark, sf_dir, "documents").select("doc_id", tx.count_lines(F.col("text")).alias("n_lines"))
+    return views.texts(spark, sf_dir).select("doc_id", tx.count_lines(F.col("text")).alias("n_lines"))
 
 
 @query("c18_patched_files", views.PATCH_SQL + "SELECT project, file, text FROM v_patched WHERE patched")
@@ -338,7 +338,7 @@ _LINES_SQL = """
     """,
 )
 def j5_uncovered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = requirements.requirement_lines(views.table(spark, sf_dir, "documents"), ["doc_id"])
+    lines = requirements.requirement_lines(views.texts(spark, sf_dir), ["doc_id"])
     return patching.uncovered_lines(lines, views.patches(spark, sf_dir), ["doc_id"]).select("doc_id", "line_no", "line")
 
 
@@ -510,5 +510,5 @@ def x14_split_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     shape = F.col("doc_id") % 3
     end = F.when(shape == 0, F.lit("\n")).when(shape == 1, F.lit("\r\n")).otherwise(F.lit("\r"))
     text = F.concat(F.replace(F.col("text"), F.lit("\n"), end), end)
-    lines = views.table(spark, sf_dir, "documents").select("doc_id", tx.split_lines(text).alias("lines"))
+    lines = views.texts(spark, sf_dir).select("doc_id", tx.split_lines(text).alias("lines"))
     return lines.select("doc_id", F.size("lines").alias("n"), F.md5(F.array_join("lines", "|")).alias("digest"))

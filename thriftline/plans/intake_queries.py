@@ -86,7 +86,7 @@ def s4_decoded_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(shape == 4, F.encode(F.replace(F.col("text"), F.lit("\n"), F.lit("\r\n")), "UTF-8"))
         .otherwise(text)
     )
-    files = views.table(spark, sf_dir, "documents").select("doc_id", content.alias("content"))
+    files = views.texts(spark, sf_dir).select("doc_id", content.alias("content"))
     return decode.decode(files).select("doc_id", "reject_reason", F.md5("text").alias("digest"))
 
 
@@ -113,7 +113,7 @@ def s5_result_document(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     root = scratch_path(spark, "documents")
-    views.table(spark, sf_dir, "documents").select(
+    views.texts(spark, sf_dir).select(
         F.concat(F.lit("/in/"), F.col("source")).alias("project_root"),
         F.lit(_STAMP).alias("generated_at"),
         F.transform(F.split("text", "\n", -1), record).alias("functions"),

@@ -16,12 +16,18 @@ from pyspark.sql import functions as F
 
 from thriftline import fixed_values as fixed
 from thriftline.operators import outcome
+from thriftline.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents over enough tasks for work on their text."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 # --- baselines, attempts, results --------------------------------------------
 
 
@@ -294,7 +300,7 @@ def requirement_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     lines = F.transform(F.split("text", "\n", -1), shape)
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir).select(
         F.col("doc_id").alias("project"), F.lit("requirements.txt").alias("file"), F.array_join(lines, "\n").alias("text")
     )
 
@@ -332,7 +338,7 @@ def indented_text(text: Column) -> Column:
 
 
 def indented_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir).select(
         F.col("source").alias("project"),
         F.when(F.col("doc_id") % 10 == 9, F.concat(F.lit("lib/.git/m"), F.col("doc_id")))
         .otherwise(F.concat(F.lit("src/m"), F.col("doc_id"), F.lit(".py")))
@@ -417,7 +423,7 @@ def module_files(spark: SparkSession, sf_dir: str) -> DataFrame:
             .otherwise(F.concat(F.lit("def o"), n, F.lit("(x):  # "), line, F.lit("\n    def inner(y, z): return y\n    return inner\n")))
         )
 
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir).select(
         F.col("source").alias("project"),
         F.concat(F.lit("src/m-"), F.col("doc_id"), F.lit(".py")).alias("file"),
         "doc_id",
@@ -497,15 +503,17 @@ def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            rows = []
             for number, text, lang in frame.itertuples(index=False):
                 held = io.BytesIO()
                 with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as archive:
                     archive.writestr("src/", "")
                     archive.writestr(f"src/m{number}.py", text)
                     archive.writestr("../NOTE.md", lang)
-                yield pd.DataFrame({"path": [f"a{number}.zip"], "content": [held.getvalue()]})
+                rows.append((f"a{number}.zip", held.getvalue()))
+            yield pd.DataFrame(rows, columns=["path", "content"])
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = texts(spark, sf_dir).select("doc_id", "text", "lang")
     return docs.mapInPandas(pack, schema="path string, content binary")
 
 

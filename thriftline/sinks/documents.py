@@ -2,12 +2,14 @@
 
 A document of one project may be larger than a task can hold, so it is written as
 text files that give the document when joined in path order:
-``project=<p>/section=<n>-<name>/part-*.txt``.  Every record has a line of its own.
+``project=<p>/section=<n>-<name>/span=<m>/part-*.txt``.  Every record has a line of
+its own.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import functools
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,12 +26,26 @@ _JSON = {"ignoreNullFields": "false"}
 
 @dataclass(frozen=True)
 class Section:
-    """Lines of a document: one per project (``line``) or one per record (``order`` given)."""
+    """Lines of a document: one per project, or one per record where a sort key is given.
+
+    Records are sorted by ``number``, then ``text``, ``at`` and ``tie``; NULL numbers
+    come last.
+    """
 
     name: str
     rows: DataFrame
     line: Column
-    order: list[Column] = field(default_factory=list)
+    number: Column | None = None
+    text: Column | None = None
+    at: Column | None = None
+    tie: Column | None = None
+
+    @property
+    def is_list(self) -> bool:
+        return any(key is not None for key in (self.number, self.text, self.at, self.tie))
+
+
+_KEYS = {"number": "double", "text": "string", "at": "bigint", "tie": "string"}
 
 
 def json_of(columns: list[str]) -> Column:
@@ -42,28 +58,41 @@ def quoted(value: Column) -> Column:
 
 
 def _lines(section: Section, number: int) -> DataFrame:
-    """``project, section, position, value`` of one section."""
-    if not section.order:
-        plain = section.rows.select("project", F.lit(0).cast("long").alias("position"), section.line.alias("value"))
-        return plain.withColumn("section", F.lit(f"{number}-{section.name}"))
-    rows = section.rows.withColumn("_line", section.line)
-    placed = numbered(rows, ["project"], section.order)
-    comma = F.when(F.col("position") > 1, F.lit(",")).otherwise(F.lit(""))
-    value = F.concat(comma, F.col("_line"))
-    return placed.select(
-        "project", F.col("position").cast("long").alias("position"), value.alias("value")
-    ).withColumn("section", F.lit(f"{number}-{section.name}"))
+    """One section as ``project, section, is_list, line`` and its sort keys."""
+    keys = []
+    for name, kind in _KEYS.items():
+        key = getattr(section, name)
+        keys.append((F.lit(None) if key is None else key).cast(kind).alias(name))
+    return section.rows.select(
+        "project",
+        F.lit(f"{number}-{section.name}").alias("section"),
+        F.lit(section.is_list).alias("is_list"),
+        section.line.alias("line"),
+        *keys,
+    )
 
 
 def write_document(sections: list[Section], path: str) -> None:
-    """Write the sections in order; sorted ranges of lines go to separate tasks."""
-    lines = None
-    for number, section in enumerate(sections):
-        rows = _lines(section, number)
-        lines = rows if lines is None else lines.unionByName(rows)
-    keys = ["project", "section", "position"]
-    placed = lines.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    placed.select("project", "section", "value").write.mode("overwrite").partitionBy("project", "section").text(path)
+    """Write the sections in order.
+
+    All lines are numbered and sorted together, in ranges that go to separate
+    tasks; a list may be of any length.
+    """
+    lines = functools.reduce(DataFrame.unionByName, [_lines(s, n) for n, s in enumerate(sections)])
+    order = [F.col("number").asc_nulls_last(), F.col("text"), F.col("at"), F.col("tie")]
+    placed = numbered(lines, ["project", "section"], order, span="span")
+    comma = F.when(F.col("is_list") & (F.col("position") > 1), F.lit(",")).otherwise(F.lit(""))
+    folders = ["project", "section", "span"]
+    ready = placed.select(
+        "project",
+        "section",
+        F.lpad(F.col("span").cast("string"), 7, "0").alias("span"),
+        "position",
+        F.concat(comma, F.col("line")).alias("value"),
+    )
+    # A span sits in one task already, so sorting it is all that is left to do.
+    in_order = ready.sortWithinPartitions(*folders, "position").select(*folders, "value")
+    in_order.write.mode("overwrite").partitionBy(*folders).text(path)
 
 
 def _opening(generated_at: str) -> Column:
@@ -74,13 +103,16 @@ def _opening(generated_at: str) -> Column:
     )
 
 
-def _function_document(records: DataFrame, columns: list[str], order: list[str], generated_at: str, path: str) -> None:
-    kept = written(records.select("project", *dict.fromkeys([*columns, *order])), "records")
+def _function_document(records: DataFrame, columns: list[str], at: str | None, generated_at: str, path: str) -> None:
+    own = [*columns, at] if at and at not in columns else columns
+    kept = written(records.select("project", *own), "records")
     projects = kept.select("project").distinct()
     write_document(
         [
             Section("open", projects, _opening(generated_at)),
-            Section("functions", kept, json_of(columns), [F.col(c) for c in order]),
+            Section(
+                "functions", kept, json_of(columns), text=F.col("file"), at=F.col(at) if at else None, tie=F.col("id")
+            ),
             Section("close", projects, F.lit("]}")),
         ],
         path,
@@ -89,13 +121,13 @@ def _function_document(records: DataFrame, columns: list[str], order: list[str],
 
 def write_spec_documents(specs: DataFrame, path: str, generated_at: str) -> None:
     """Spec results as one document per project, functions in file and line order."""
-    _function_document(specs, schemas.SPEC_RESULT.names, ["file", "line", "id"], generated_at, path)
+    _function_document(specs, schemas.SPEC_RESULT.names, "line", generated_at, path)
 
 
-def write_result_documents(results: DataFrame, path: str, generated_at: str, order: list[str] | None = None) -> None:
+def write_result_documents(results: DataFrame, path: str, generated_at: str) -> None:
     """Result records as one document per project; NaN and infinities become null."""
     clean = sanitize(results)
-    _function_document(clean, schemas.RESULT.names, order or ["file", "id"], generated_at, path)
+    _function_document(clean, schemas.RESULT.names, "line" if "line" in clean.columns else None, generated_at, path)
 
 
 def write_savings_documents(results: DataFrame, path: str, generated_at: str, scale: int | None = None) -> None:
@@ -128,21 +160,29 @@ def write_savings_documents(results: DataFrame, path: str, generated_at: str, sc
     )
     saved = sanitize(summary.function_savings(results, ["project"]))
     saved_names = [c for c in saved.columns if c not in ("project", "line")]
-    skipped = skipped_summary(results, ["project"])
+    skipped = skipped_summary(results, ["project", "line"])
     write_document(
         [
             Section("open", scalars, opening),
-            Section("files", summary.files_optimized(results, ["project"]), quoted(F.col("file")), [F.col("file")]),
+            Section("files", summary.files_optimized(results, ["project"]), quoted(F.col("file")), text=F.col("file")),
             Section("costs", scalars, middle),
             Section(
                 "optimized",
                 saved,
                 json_of(saved_names),
-                [F.col("reduction_pct").desc_nulls_last(), F.col("file"), F.col("line"), F.col("id")],
+                number=-F.col("reduction_pct"),
+                text=F.col("file"),
+                at=F.col("line"),
+                tie=F.col("id"),
             ),
             Section("between", scalars, F.lit('],"skipped_functions":[')),
             Section(
-                "skipped", skipped, json_of(["id", "name", "file", "reason"]), [F.col("file"), F.col("id")]
+                "skipped",
+                skipped,
+                json_of(["id", "name", "file", "reason"]),
+                text=F.col("file"),
+                at=F.col("line"),
+                tie=F.col("id"),
             ),
             Section("close", scalars, F.lit("]}")),
         ],
