@@ -24,13 +24,18 @@ def pack(members):
     return bytearray(held.getvalue())
 
 
-def test_three_phases(spark):
+def test_three_phases(spark, tmp_path):
     blobs = [
         ("one.zip", pack({"proj/requirements.txt": "numpy", "proj/m.py": GOOD, "proj/tests/test_m.py": "x", "proj/bad.py": "def f(:", "proj/.git/config": "s", "readme": "r"})),
         ("two.zip", pack({"main.py": "def go():\n    return 0", "venv/lib.py": "def no(): pass"})),
     ]
     members = archives.expand_archives(spark.createDataFrame(blobs, "path string, content binary"))
     files = written(lifecycle.project_files(members), "files")
+    for name, blob in blobs:
+        (tmp_path / name).write_bytes(blob)
+    (tmp_path / "bad.zip").write_bytes(b"not a zip")
+    opened = lifecycle.open_projects(spark, str(tmp_path)).withColumn("project", F.substring_index("project", "/", -1))
+    assert opened.select(files.columns).exceptAll(files).isEmpty() and files.exceptAll(opened.select(files.columns)).isEmpty()
     functions = written(lifecycle.functions_of(files), "functions")
     ids = {(r.project, r.id): r.line for r in functions.collect()}
     assert set(ids) == {("one.zip", "m.A.slow"), ("one.zip", "m.A.kept"), ("one.zip", "m.top"), ("one.zip", "m.top.inner"), ("two.zip", "main.go")}

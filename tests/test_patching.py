@@ -6,6 +6,7 @@ import random
 
 from thriftline.operators import patching, routing
 from thriftline.operators.numbering import numbered
+from thriftline.operators.skew import salted_join
 from pyspark.sql import functions as F
 
 FILES = "project string, file string, text string"
@@ -97,6 +98,27 @@ def test_positions_in_a_hot_group(spark):
     assert len(placed) == 30_000
 
 
+def test_a_hot_group_is_cut_into_many_ranges(spark):
+    rows = spark.range(40_000).select(F.when(F.col("id") % 3 > 0, F.col("id")).otherwise(-1).alias("g"), "id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = numbered(rows, ["g"], [F.col("id")], span="span")
+        sizes = [r["count"] for r in placed.filter("g = -1").groupBy("span").count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(sizes) > 1 and sum(sizes) == 13_334 and max(sizes) < 40_000 / 8 * 2
+
+
+def test_salted_join_is_the_plain_join(spark):
+    large = spark.range(5000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"), "id")
+    small = spark.range(40).select(F.concat(F.lit("k"), F.col("id")).alias("k"), F.col("id").alias("v")).union(
+        spark.createDataFrame([("hot", -1)], "k string, v bigint")
+    )
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        got, want = salted_join(large, small, ["k"], ["id"], how), large.join(small, "k", how)
+        assert got.columns == want.columns and got.count() == want.count() and got.exceptAll(want).isEmpty()
+
+
 def test_positions_keep_a_null_group(spark):
     rows = spark.createDataFrame([(None, 2), (None, 1), ("a", 3)], "g string, v int")
     got = {(r.g, r.v): r.position for r in numbered(rows, ["g"], [F.col("v")]).collect()}

@@ -1,0 +1,23 @@
+"""Joins on keys that may hold a large share of all rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+SALTS = 32
+
+
+def salted_join(
+    large: DataFrame, small: DataFrame, keys: list[str], spread_by: list[str], how: str = "inner", salts: int = SALTS
+) -> DataFrame:
+    """Join ``large`` to ``small`` (one narrow row per key) with hot keys split ``salts`` ways.
+
+    Rows of one key go to different tasks by a hash of ``spread_by``; ``small`` is
+    repeated once per salt.  The result is that of the plain join.
+    """
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"cannot salt a {how} join")
+    left = large.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")

@@ -6,24 +6,41 @@ save it where it belongs) when more than one later step reads it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thriftline.functions import paths
 from thriftline.operators import catalog, generated, measuring, outcome, patching, routing
-from thriftline.sources import decode, projects, tree
+from thriftline.operators.skew import salted_join
+from thriftline.session import written
+from thriftline.sources import archives, decode, projects, tree
 
 KEYS = ["project", "id", "line"]
 
 
+def open_projects(spark: SparkSession, path: str) -> DataFrame:
+    """Files of every archive below ``path``, placed as by :func:`project_files`.
+
+    Roots are found from the listings, so no content is shuffled.
+    """
+    listed = written(archives.list_archives(spark, path), "listing")
+    roots = projects.find_project_roots(listed.filter(F.col("error").isNull()))
+    rooted = salted_join(listed, roots, ["archive"], ["file"], "left")
+    members = archives.fetch_members(rooted, keep=["root"]).filter(F.col("error").isNull())
+    return _placed(members.withColumnRenamed("file", "archive_file"))
+
+
 def project_files(members: DataFrame) -> DataFrame:
-    """Decoded files of archives: ``project`` is the archive, ``file`` relative to its project root.
+    """Files of expanded archives: ``project`` is the archive, ``file`` relative to its project root.
 
     ``project_rel`` is that root and ``archive_file`` the path in the archive.
     """
     whole = members.filter(F.col("error").isNull()).select("archive", F.col("file").alias("archive_file"), "content")
     roots = projects.find_project_roots(whole.select("archive", F.col("archive_file").alias("file")))
-    placed = whole.join(roots, "archive")
+    return _placed(salted_join(whole, roots, ["archive"], ["archive_file"]))
+
+
+def _placed(placed: DataFrame) -> DataFrame:
     prefix = F.concat(F.col("root"), F.lit("/"))
     inside = (F.col("root") == "") | F.startswith(F.col("archive_file"), prefix)
     relative = F.when(F.col("root") == "", F.col("archive_file")).when(
@@ -79,7 +96,7 @@ def mirrored(results: DataFrame, files: DataFrame, how: str = "exact") -> DataFr
         catalog.locate(wins.select("project", "file", "id", "qualified_name", "optimized_function_code"), source, how)
     )
     roots = files.select("project", "project_rel").distinct()
-    patches = found.join(roots, "project").select(
+    patches = salted_join(found, roots, ["project"], ["file"]).select(
         "project",
         paths.rebase(F.col("project_rel"), F.col("file")).alias("file"),
         F.col("line").alias("start_line"),

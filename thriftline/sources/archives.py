@@ -8,6 +8,7 @@ spreads the members over tasks, so one huge archive is read by many tasks.
 from __future__ import annotations
 
 import io
+import itertools
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from thriftline import schemas
 from thriftline.session import slots
@@ -78,8 +80,11 @@ def expand_archives(archives: DataFrame, path: str = "path", content: str = "con
 
 
 def list_members(archives: DataFrame) -> DataFrame:
-    """Central directories of archives named in column ``path``; no member is read."""
-    schema = "archive string, position bigint, file string, n_bytes bigint, error string"
+    """Central directories of the archives named in column ``path``; no member is read.
+
+    Of members with the same name the last position stays, as it would on disk.
+    """
+    columns = ["archive", "position", "file", "n_bytes", "error"]
 
     def listing(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def rows() -> Iterator[tuple]:
@@ -93,51 +98,62 @@ def list_members(archives: DataFrame) -> DataFrame:
                     except _BAD_ARCHIVE as error:
                         yield uri, None, None, None, str(error)
 
-        held = []
-        for row in rows():
-            held.append(row)
-            if len(held) == 50_000:
-                yield pd.DataFrame(held, columns=["archive", "position", "file", "n_bytes", "error"])
-                held = []
-        if held:
-            yield pd.DataFrame(held, columns=["archive", "position", "file", "n_bytes", "error"])
+        found = rows()
+        while held := list(itertools.islice(found, 50_000)):
+            yield pd.DataFrame(held, columns=columns).astype({"position": "Int64", "n_bytes": "Int64"})
 
-    return archives.select("path").mapInPandas(listing, schema=schema)
+    schema = "archive string, position bigint, file string, n_bytes bigint, error string"
+    listed = archives.select("path").mapInPandas(listing, schema=schema)
+    return listed.groupBy("archive", "file").agg(
+        F.max("position").alias("position"),
+        F.max_by("n_bytes", "position").alias("n_bytes"),
+        F.max("error").alias("error"),
+    )
 
 
-def read_archives(spark: SparkSession, path: str, tasks: int | None = None) -> DataFrame:
-    """Members of every archive below ``path``, read in parallel within each archive."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option(
-        "recursiveFileLookup", "true"
-    )
-    listed = list_members(found.load(path).select("path"))
-    # Same member name twice: the last position is the one that stays on disk.
-    wanted = listed.groupBy("archive", "file").agg(
-        F.max("position").alias("position"), F.max("error").alias("error")
-    )
-    columns = schemas.ARCHIVE_MEMBER.names
+def list_archives(spark: SparkSession, path: str) -> DataFrame:
+    """Members of every archive below ``path``, without their content."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true")
+    return list_members(found.load(path).select("path"))
+
+
+def fetch_members(listed: DataFrame, tasks: int | None = None, keep: list[str] | None = None) -> DataFrame:
+    """Content of listed members; columns in ``keep`` (text) come along.
+
+    Members are dealt out in ranges of archive and position, so the members of one
+    large archive are read by many tasks.  Filter ``listed`` first: what is not in
+    it is never read.
+    """
+    keep = keep or []
+    own = schemas.ARCHIVE_MEMBER.names
 
     def fetch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def rows() -> Iterator[tuple]:
             for frame in frames:
                 for uri, group in frame.groupby("archive", sort=False):
-                    bad = group[group["error"].notna()]
-                    for error in bad["error"]:
-                        yield uri, None, None, None, error
+                    for error in group.loc[group["error"].notna(), "error"]:
+                        yield uri, None, None, None, error, *[None] * len(keep)
                     good = group[group["error"].isna()].sort_values("position")
                     if good.empty:
                         continue
                     system, inner = files.locate(uri)
                     with system.open_input_file(inner) as stream, zipfile.ZipFile(stream) as archive:
                         infos = archive.infolist()
-                        for position, member in zip(good["position"], good["file"]):
+                        for position, member, *kept in good[["position", "file", *keep]].itertuples(index=False):
                             try:
                                 data = archive.read(infos[int(position)])
-                                yield uri, member, len(data), data, None
+                                yield uri, member, len(data), data, None, *kept
                             except _BAD_ARCHIVE as error:
-                                yield uri, member, None, None, str(error)
+                                yield uri, member, None, None, str(error), *kept
 
-        yield from _in_batches(rows(), columns, 3)
+        yield from _in_batches(rows(), [*own, *keep], 3)
 
-    dealt = wanted.repartitionByRange(tasks or slots(spark), "archive", "position", "file")
-    return dealt.mapInPandas(fetch, schema=schemas.ARCHIVE_MEMBER)
+    narrow = listed.select("archive", "position", "file", "error", *keep)
+    dealt = narrow.repartitionByRange(tasks or slots(listed.sparkSession), "archive", "position", "file")
+    schema = T.StructType([*schemas.ARCHIVE_MEMBER.fields, *[T.StructField(name, T.StringType()) for name in keep]])
+    return dealt.mapInPandas(fetch, schema=schema)
+
+
+def read_archives(spark: SparkSession, path: str, tasks: int | None = None) -> DataFrame:
+    """Members of every archive below ``path``, read in parallel within each archive."""
+    return fetch_members(list_archives(spark, path), tasks)

@@ -2,14 +2,33 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyarrow import fs
 
+# Schemes that Spark and Arrow spell differently.
+_SAME_STORE = {"s3a": "s3", "s3n": "s3"}
+
+
+@functools.lru_cache(maxsize=32)
+def _store(root: str) -> tuple[fs.FileSystem, str]:
+    """File system behind ``scheme://authority``, opened once per worker."""
+    return fs.FileSystem.from_uri(root)
+
 
 def locate(uri: str) -> tuple[fs.FileSystem, str]:
-    """File system and path of a URI; a bare path is local."""
+    """File system and path of a URI as Spark prints it; a bare path is local.
+
+    Only scheme and authority are read as a URI: names may hold ``%``, ``#`` and blanks.
+    """
     if uri.startswith("file:"):
-        uri = "file:///" + uri[len("file:"):].lstrip("/")
-    return fs.FileSystem.from_uri(uri)
+        return fs.LocalFileSystem(), "/" + uri[len("file:"):].lstrip("/")
+    scheme, found, rest = uri.partition("://")
+    if not found:
+        return fs.LocalFileSystem(), uri
+    authority, _, key = rest.partition("/")
+    system, base = _store(f"{_SAME_STORE.get(scheme, scheme)}://{authority}")
+    return system, f"{base.rstrip('/')}/{key}"
 
 
 def children(uri: str) -> list[tuple[str, bool, int]]:
