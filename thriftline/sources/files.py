@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyarrow import fs
 
 # Schemes that Spark and Arrow spell differently.
 _SAME_STORE = {"s3a": "s3", "s3n": "s3"}
 
 
-@functools.lru_cache(maxsize=32)
+_OPENED: dict[str, tuple[fs.FileSystem, str]] = {}
+
+
 def _store(root: str) -> tuple[fs.FileSystem, str]:
     """File system behind ``scheme://authority``, opened once per worker."""
-    return fs.FileSystem.from_uri(root)
+    if root not in _OPENED:
+        _OPENED[root] = fs.FileSystem.from_uri(root)
+    return _OPENED[root]
 
 
 def locate(uri: str) -> tuple[fs.FileSystem, str]:
