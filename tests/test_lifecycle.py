@@ -76,6 +76,16 @@ def test_three_phases(spark, tmp_path):
     assert "    def slow(self, n):\n        return n * (n - 1) // 2\n\n    def kept(self)" in patched
     assert "def top():\n    def inner():\n        return 1 + 1\n    return inner\n" in patched
     assert tree[("two.zip", "main.py")][0] == "def go():\n    return 0"
+    in_place = {r.file: r.text for r in lifecycle.rewritten_in_place(results, files).collect()}
+    assert set(in_place) == {"m.py"} and "    def slow(self, n):\n        return n * (n - 1) // 2\n" in in_place["m.py"]
+    assert "return 2" in in_place["m.py"]
+
+    ends = keyed([("one.zip", "m.A.slow", 18.0, None), ("one.zip", "m.top.inner", 3.0, "boom"), ("one.zip", "m.top", 99.0, "x")], "elapsed_s double, error_text string")
+    failed = lifecycle.results_of(functions, files, responses, log, attempts, codes, ends)
+    reasons = {r.id: (r.success, r.baseline_emissions_kg, r.skip_reason) for r in failed.collect()}
+    assert reasons["m.A.slow"] == (False, None, "timeout") and reasons["m.top.inner"] == (False, None, "error: boom")
+    assert reasons["m.top"] == (False, None, "no_spec") and reasons["main.go"] == (False, 4.0, None)
+
     # Names of three parts or inside functions are not found by the any-depth rule.
     compat = {r.file: r.patched for r in lifecycle.mirrored(results.filter(F.col("id") == "m.top.inner"), files, "any").collect()}
     assert not any(compat.values())

@@ -77,6 +77,17 @@ def test_random_patches_agree_with_the_model(spark):
     assert {r.file: r.text for r in only.collect()} == {f: t for f, t in want.items() if f in touched}
 
 
+def test_shift_by_common_margin(spark):
+    files = [("p", "f", "class A:\n\tdef f(self):\n\t\tpass\n")]
+    patch = [("p", "f", 2, 3, "      # note\n    def f(self):\n        return 1\n\n", 1)]
+    for shift, want in (
+        (patching.by_common_margin, "class A:\n   # note\n def f(self):\n     return 1\n\n"),
+        (patching.by_first_line, "class A:\n\t# note\n\tdef f(self):\n\t  return 1\n\n"),
+    ):
+        got = patching.patched_files(spark.createDataFrame(files, FILES), spark.createDataFrame(patch, PATCHES), shift=shift)
+        assert [r.text for r in got.collect()] == [want]
+
+
 def test_many_copies_of_one_patch_stay_one(spark):
     copies = spark.range(20_000).select(
         F.lit("p").alias("project"), F.lit("f").alias("file"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"),

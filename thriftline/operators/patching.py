@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,18 @@ from thriftline.operators.numbering import numbered
 
 FILE = ["project", "file"]
 
+Shift = Callable[[Column, Column], Column]
+
+
+def by_first_line(code: Column, indent: Column) -> Column:
+    """Move code to ``indent``, measured from its first non-blank line."""
+    return tx.reindent(code, indent)
+
+
+def by_common_margin(code: Column, indent: Column) -> Column:
+    """Move code to as many blanks as ``indent`` is long, measured from its common margin."""
+    return tx.dedent_indent(code, F.length(indent))
+
 
 def by_file(results: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Accepted functions with their place in their file and the file's count."""
@@ -54,12 +68,12 @@ def uncovered_lines(lines: DataFrame, patches: DataFrame, keys: list[str], line:
     return lines.join(ranges, [*same, F.col(line).between(F.col("start_line"), F.col("end_line"))], "left_anti")
 
 
-def splice(text: Column, patches: Column) -> Column:
+def splice(text: Column, patches: Column, shift: Shift = by_first_line) -> Column:
     """``text`` with the ranges of ``patches`` replaced.
 
     ``patches`` is an array of ``(start_line, end_line, code)``, sorted and without
-    overlaps.  A replacement takes over the indent of the line it starts on; each
-    of its lines ends with ``\\n``, kept lines stay as they are.
+    overlaps.  A replacement is moved by ``shift`` to the indent of the line it
+    starts on; each of its lines ends with ``\\n``, kept lines stay as they are.
     """
 
     def pieces(bound: Column) -> Column:
@@ -69,7 +83,7 @@ def splice(text: Column, patches: Column) -> Column:
             done = F.coalesce(F.get(found, at - 1)["end_line"], F.lit(0))
             before = F.slice(lines, done + 1, F.greatest(patch["start_line"] - done - 1, F.lit(0)))
             indent = tx.leading_space(F.regexp_replace(F.get(lines, patch["start_line"] - 1), "\n", ""))
-            body = let(tx.reindent(patch["code"], F.coalesce(indent, F.lit(""))), tx.split_lines)
+            body = let(shift(patch["code"], F.coalesce(indent, F.lit(""))), tx.split_lines)
             return F.concat(before, F.transform(body, lambda line: F.concat(line, F.lit("\n"))))
 
         end = F.get(found, F.size(found) - 1)["end_line"]
@@ -86,13 +100,15 @@ def patches_per_file(patches: DataFrame, keys: list[str] = FILE) -> DataFrame:
     return kept.groupBy(*keys).agg(listed.alias("patches"))
 
 
-def patched_files(files: DataFrame, patches: DataFrame, keys: list[str] = FILE) -> DataFrame:
+def patched_files(
+    files: DataFrame, patches: DataFrame, keys: list[str] = FILE, shift: Shift = by_first_line
+) -> DataFrame:
     """Files that have patches, with their new text.
 
     File text is shuffled once, by file, and never taken apart into line rows.
     """
     return files.join(patches_per_file(patches, keys), keys).withColumn(
-        "text", splice(F.col("text"), F.col("patches"))
+        "text", splice(F.col("text"), F.col("patches"), shift)
     ).drop("patches")
 
 
@@ -109,16 +125,13 @@ def mirror(files: DataFrame, patches: DataFrame, keys: list[str] = FILE) -> Data
     ).drop("patches")
 
 
-def patch_requests(results: DataFrame, matches: DataFrame, keys: list[str]) -> DataFrame:
-    """Patches from accepted records and the located line ranges."""
-    codes = results.select(*keys, F.col("optimized_function_code").alias("code"))
-    return (
-        matches.filter(F.col("line").isNotNull())
-        .join(codes, keys)
-        .select(
-            *keys,
-            F.col("line").alias("start_line"),
-            F.col("end_line"),
-            F.col("code"),
-        )
+def patch_rows(located: DataFrame, file: Column, code: str = "optimized_function_code", seq: str = "id") -> DataFrame:
+    """Patches from located rewrites; of two for one range the higher ``seq`` will stand."""
+    return located.select(
+        "project",
+        file.alias("file"),
+        F.col("line").alias("start_line"),
+        "end_line",
+        F.col(code).alias("code"),
+        F.col(seq).alias("seq"),
     )

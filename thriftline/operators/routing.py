@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from thriftline import fixed_values as fixed, schemas
 from thriftline.functions import paths
 from thriftline.functions import text as tx
+from thriftline.operators.outcome import failure_reason
 
 
 def with_source_flag(functions: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
@@ -30,6 +31,16 @@ def route(functions: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
     return flagged.withColumn("skip_reason", skip_reason(F.col("status"), F.col("spec_code"), F.col("has_source")))
 
 
+def with_failures(routed: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:
+    """Add the reasons of runs that timed out or raised, from ``runs(keys, elapsed_s, error_text)``.
+
+    A reason that is there already stays.
+    """
+    reason = failure_reason(F.col("elapsed_s"), F.col("error_text"))
+    failed = runs.select(*keys, reason.alias("_failure"))
+    return routed.join(failed, keys, "left").withColumn("skip_reason", F.coalesce("skip_reason", "_failure")).drop("_failure")
+
+
 def eligible(routed: DataFrame) -> DataFrame:
     return routed.filter(F.col("skip_reason").isNull())
 

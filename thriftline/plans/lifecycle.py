@@ -69,15 +69,18 @@ def results_of(
     baseline_log: DataFrame,
     attempts: DataFrame,
     codes: DataFrame,
+    run_ends: DataFrame | None = None,
     mode: str = outcome.STRICT,
 ) -> DataFrame:
     """Phases one and two: specs, routing, baselines, attempts, result records.
 
     All inputs but ``files`` are keyed by ``project, id, line``; ``baseline_log``
-    has ``run_id, seq, log_line`` besides.
+    has ``run_id, seq, log_line`` besides, ``run_ends`` has ``elapsed_s, error_text``.
     """
     specs = generated.check_generated(responses)
     routed = routing.route(generated.attach_specs(functions, specs, KEYS), files, ["project", "file"])
+    if run_ends is not None:
+        routed = routing.with_failures(routed, run_ends, KEYS)
     skipped = routing.skipped_records(routed, ["project", "line"])
     work = routing.eligible(routed).drop("skip_reason")
     runs = measuring.parse_runs(baseline_log, [*KEYS, "run_id"], text="log_line")
@@ -87,24 +90,32 @@ def results_of(
     return routing.all_records(skipped, routing.final_records(coded, ["project", "line"]))
 
 
+def _rewrites(results: DataFrame, texts: DataFrame, how: str) -> DataFrame:
+    """Accepted rewrites with their line ranges in decoded files."""
+    wins = routing.rewrites(results).select("project", "file", "id", "qualified_name", "optimized_function_code")
+    return catalog.located(catalog.locate(wins, texts, how))
+
+
 def mirrored(results: DataFrame, files: DataFrame, how: str = "exact") -> DataFrame:
     """Phase three: the archive's tree with accepted rewrites spliced in."""
     texts = decode.decode(files)
-    wins = routing.rewrites(results)
     source = texts.filter(F.col("text").isNotNull() & F.col("file").isNotNull()).select("project", "file", "text")
-    found = catalog.located(
-        catalog.locate(wins.select("project", "file", "id", "qualified_name", "optimized_function_code"), source, how)
-    )
     roots = files.select("project", "project_rel").distinct()
-    patches = salted_join(found, roots, ["project"], ["file"]).select(
-        "project",
-        paths.rebase(F.col("project_rel"), F.col("file")).alias("file"),
-        F.col("line").alias("start_line"),
-        "end_line",
-        F.col("optimized_function_code").alias("code"),
-        F.col("id").alias("seq"),
-    )
+    placed = salted_join(_rewrites(results, source, how), roots, ["project"], ["file"])
+    patches = patching.patch_rows(placed, paths.rebase(F.col("project_rel"), F.col("file")))
     whole = texts.select("project", F.col("archive_file").alias("file"), "text", "content")
     spliced = patching.mirror(whole, patches)
     changed = F.when(F.col("patched"), F.encode(F.col("text"), "UTF-8")).otherwise(F.col("content"))
     return spliced.select("project", "file", changed.alias("content"), "patched")
+
+
+def rewritten_in_place(results: DataFrame, files: DataFrame) -> DataFrame:
+    """The other way of phase three: only the changed files, below their project root.
+
+    Finds top-level functions and direct class members only and moves code by its
+    common margin.
+    """
+    texts = decode.accepted(decode.decode(files.filter(F.col("file").isNotNull())))
+    source = texts.select("project", "file", "text")
+    patches = patching.patch_rows(_rewrites(results, source, "direct"), F.col("file"))
+    return patching.patched_files(source, patches, shift=patching.by_common_margin)
