@@ -31,10 +31,14 @@ ROWS = [
 ]
 
 
+def local(path):
+    return pathlib.Path(path.removeprefix("file:"))
+
+
 def joined(path):
     """The documents: part files of each project in path order."""
     whole = {}
-    for part in sorted(pathlib.Path(path).glob("project=*/section=*/span=*/part-*")):
+    for part in sorted(local(path).glob("project=*/section=*/span=*/part-*")):
         project = part.parts[-4]
         whole[project] = whole.get(project, "") + part.read_text(encoding="utf-8")
     return {p: json.loads(t) for p, t in whole.items()}
@@ -82,7 +86,7 @@ def test_long_document_keeps_order_over_many_tasks(spark):
         sink.write_result_documents(rows, path, "now")
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-    assert len(list(pathlib.Path(path).glob("project=p/section=1-functions/span=*/part-*"))) > 3
+    assert len(list(local(path).glob("project=p/section=1-functions/span=*/part-*"))) > 3
     functions = joined(path)["project=p"]["functions"]
     assert [f["id"] for f in functions] == [f"id{n:06}" for n in range(5000)]
     assert functions[0]["baseline_emissions_kg"] is None and functions[1]["optimized_emissions_kg"] is None

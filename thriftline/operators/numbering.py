@@ -1,8 +1,9 @@
 """Row numbers within groups of any size.
 
 A window over a whole group puts it into one task.  Here rows are cut into
-ranges of the sort order first, numbered within each range, and shifted by the
-sizes of the ranges before it, so no task holds more than one range.
+ranges of the sort order first and sorted within each range.  A row's place in
+its range plus the sizes of the group's ranges before it is its position, so no
+task holds more than one range and no window runs over rows.
 """
 
 from __future__ import annotations
@@ -10,7 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from thriftline.session import cut_lineage
+from thriftline.session import written
+
+# monotonically_increasing_id() counts the rows of a task in its lower 33 bits.
+_ROW_BITS = 33
 
 
 def numbered(
@@ -27,27 +31,28 @@ def numbered(
     and are small enough for one task each.
 
     ``order`` has to tell all rows of a group apart.  The ranges are written out
-    once: the two passes that follow see the same ranges even after a task is
-    run again.
+    once: the two passes that follow see the same places even after a task is
+    run again, and the pass that counts reads the group columns only.
     """
-    ranged = cut_lineage(
-        df.repartitionByRange(*[F.col(g) for g in group], *order).withColumn("_range", F.spark_partition_id())
+    keys = [F.col(g) for g in group]
+    in_ranges = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    placed = written(in_ranges.withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    # As one key the group columns compare NULL as a value.
+    keyed = placed.withColumns(
+        {"_group": F.struct(*group) if group else F.lit(0), "_range": F.shiftright("_at", _ROW_BITS)}
     )
-    # As one key the group columns compare NULL as a value, in the window and in the join.
-    keyed = ranged.withColumn("_group", F.struct(*group) if group else F.lit(0))
-    sizes = keyed.groupBy("_group", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = keyed.groupBy("_group", "_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    # One row per range of a group from here on.
     by_group = Window.partitionBy("_group")
     before = by_group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         "_group",
         "_range",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+        (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
         F.sum("_n").over(by_group).alias("_size"),
     )
-    within = Window.partitionBy("_group", "_range").orderBy(*order)
-    local = keyed.withColumn("_local", F.row_number().over(within))
     extra = [F.col("_size").alias(size)] if size else []
     extra += [F.col("_range").alias(span)] if span else []
-    return local.join(offsets, ["_group", "_range"]).select(
-        *df.columns, (F.col("_local") + F.col("_before")).alias(position), *extra
+    return keyed.join(offsets, ["_group", "_range"]).select(
+        *df.columns, (F.col("_at") + F.col("_shift")).alias(position), *extra
     )

@@ -63,16 +63,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Hand a table from one stage to the next through the shared folder.
+    """Cut lineage: hand a table from one stage to the next through the shared folder.
 
-    For tables that several later steps read: each reads its own columns only.
+    For tables that several later steps read; each reads its own columns only, and
+    losing executors does not bring the stages before back.
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of any executor."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)

@@ -90,8 +90,8 @@ def write_document(sections: list[Section], path: str) -> None:
         "position",
         F.concat(comma, F.col("line")).alias("value"),
     )
-    # A span sits in one task already, so sorting it is all that is left to do.
-    in_order = ready.sortWithinPartitions(*folders, "position").select(*folders, "value")
+    # A span goes to one task whole, so that it becomes one file in order.
+    in_order = ready.repartition(*folders).sortWithinPartitions(*folders, "position").select(*folders, "value")
     in_order.write.mode("overwrite").partitionBy(*folders).text(path)
 
 
