@@ -88,6 +88,16 @@ def test_locate_by_catalogue(spark):
     }
 
 
+def test_locate_tells_equal_names_apart_by_line(spark):
+    asked = [("A.x", 11), ("A.x", 7), ("outer", 28), ("outer", 2)]
+    requests = spark.createDataFrame([("p", "m.py", n, l) for n, l in asked], "project string, file string, qualified_name string, line int")
+    found = catalog.locate(requests, files(spark, ("p", "m.py", MODULE)), "exact")
+    assert {(r.qualified_name, r.line): r.end_line for r in found.collect()} == {
+        ("A.x", 11): 12, ("A.x", 7): 8, ("outer", 28): 28, ("outer", 2): None,
+    }
+    assert catalog.not_located(found).count() == 1
+
+
 def test_checked_responses(spark):
     raws = ["```python\nx = 1\n```", "```\ndef f(:\n```", "  ", "def ok(): pass", "x\x00y", None]
     frame = spark.createDataFrame([(i, r, "timed out" if i == 3 else None) for i, r in enumerate(raws)], "i int, raw string, fail string")

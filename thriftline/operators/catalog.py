@@ -156,12 +156,17 @@ def locate(requests: DataFrame, files: DataFrame, how: str = "any") -> DataFrame
 
     ``how``: ``any`` takes the first match at any depth, ``direct`` top-level
     functions and direct class members, ``exact`` the catalogue entry of that
-    qualified name (three and more name parts too), the earliest line first.
-    Unmatched requests keep NULL lines.  Only requested files are parsed.
+    qualified name (three and more name parts too): the one on the requested
+    ``line`` if requests have that column, else the earliest.  Unmatched requests
+    have a NULL ``end_line``.  Only requested files are parsed.
     """
     asked = requests.select("project", "file").distinct()
     wanted = files.join(asked, ["project", "file"], "left_semi")
     keys = ["project", "file", "qualified_name"]
+    if how == "exact" and "line" in requests.columns:
+        entries = catalogue(extract_functions(wanted))
+        ends = entries.groupBy(*keys, "line").agg(F.max("end_line").alias("end_line"))
+        return requests.drop("end_line").join(ends, [*keys, "line"], "left")
     if how == "exact":
         ranges = (
             catalogue(extract_functions(wanted))
@@ -180,11 +185,11 @@ def locate(requests: DataFrame, files: DataFrame, how: str = "any") -> DataFrame
 
 
 def located(matches: DataFrame) -> DataFrame:
-    return matches.filter(F.col("line").isNotNull())
+    return matches.filter(F.col("end_line").isNotNull())
 
 
 def not_located(matches: DataFrame) -> DataFrame:
     """Requests without a line range, with the reason."""
-    return matches.filter(F.col("line").isNull()).drop("line", "end_line").withColumn(
+    return matches.filter(F.col("end_line").isNull()).drop("line", "end_line").withColumn(
         "reason", F.lit("function not found in file")
     )

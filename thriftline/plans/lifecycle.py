@@ -92,7 +92,8 @@ def results_of(
 
 def _rewrites(results: DataFrame, texts: DataFrame, how: str) -> DataFrame:
     """Accepted rewrites with their line ranges in decoded files."""
-    wins = routing.rewrites(results).select("project", "file", "id", "qualified_name", "optimized_function_code")
+    columns = ["project", "file", "id", "line", "qualified_name", "optimized_function_code"]
+    wins = routing.rewrites(results).select(*columns)
     return catalog.located(catalog.locate(wins, texts, how))
 
 

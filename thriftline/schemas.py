@@ -12,7 +12,6 @@ _TYPES = {
     "double": T.DoubleType(),
     "boolean": T.BooleanType(),
     "binary": T.BinaryType(),
-    "timestamp": T.TimestampType(),
 }
 
 
@@ -22,8 +21,6 @@ def _struct(spec: str) -> T.StructType:
     return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
-ARCHIVE = _struct("path string, modificationTime timestamp, length bigint, content binary")
-
 ARCHIVE_MEMBER = _struct("archive string, file string, n_bytes bigint, content binary, error string")
 
 TREE_FILE = _struct("project string, file string, n_bytes bigint, uri string")
