@@ -33,13 +33,13 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """This session's part of the folder named by ``spark.checkpoint.dir``, as a full URI.
 
-    Only a local session may fall back to a temporary folder of its own.
+    Only a session whose tasks run inside the driver may fall back to a temporary folder of its own.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None:
-            if not context.master.startswith("local"):
+            if not (context.master == "local" or context.master.startswith("local[")):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             named = tempfile.mkdtemp(prefix="thriftline-")
         context.setCheckpointDir(named)
