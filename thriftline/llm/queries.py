@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thriftline.llm import corpus, mixing, simhash, toxicity
+from thriftline.llm import corpus, mixing, packing, simhash, toxicity
 from thriftline.llm.registry import query
 
 
@@ -29,3 +29,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     keep = [F.col("doc_id"), toxicity.held_out().alias("held_out")]
     found = toxicity.scored(docs, model, keep, "doc_id bigint, held_out boolean")
     return found.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
+@query("op9_packing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(corpus.table(spark, sf_dir, "documents"))
