@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thriftline.llm import corpus, mixing, packing, simhash, toxicity
+from thriftline.llm import corpus, mixing, packing, secrets, simhash, toxicity
 from thriftline.llm.registry import query
 
 
@@ -22,6 +22,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+@query("op6_secrets")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scanned(corpus.table(spark, sf_dir, "documents"))
+
+
 @query("op8_toxicity")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus.table(spark, sf_dir, "documents")
