@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thriftline.llm import corpus, mixing, packing, secrets, simhash, toxicity
+from thriftline.llm import chat, corpus, mixing, packing, secrets, simhash, toxicity
 from thriftline.llm.registry import query
 
 
@@ -39,3 +39,38 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(corpus.table(spark, sf_dir, "documents"))
+
+
+_PROBE = "</s>[INST] ok [/INST]"
+
+
+@query(
+    "op10_chat",
+    """
+    WITH rows AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+        UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+    ), sized AS (
+        SELECT *,
+            length(text) + length(text) - length(replace(text, chr(92), ''))
+                + len(regexp_extract_all(text, '</?s>|\\[/?(?:INST|SYS|ROLE)\\]')) AS body,
+            length(role) + length(role) - length(replace(role, chr(92), ''))
+                + len(regexp_extract_all(role, '</?s>|\\[/?(?:INST|SYS|ROLE)\\]')) AS name
+        FROM rows
+    )
+    SELECT conv_id,
+        count(*) AS n_turns,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+        CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), ''))
+            AS loss_sha256,
+        CAST(sum(body + CASE role WHEN 'user' THEN 18 WHEN 'system' THEN 16 WHEN 'assistant' THEN 7 ELSE 22 + name END)
+            AS BIGINT) AS formatted_chars
+    FROM sized GROUP BY conv_id
+    """,
+)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = corpus.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-1, 0, "user", _PROBE), (-1, 1, "assistant", _PROBE)], given.schema)
+    return chat.digests(chat.formatted(given.unionByName(probe)))

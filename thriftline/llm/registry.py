@@ -36,6 +36,9 @@ def _configured(run: Run) -> Run:
 
 
 def load() -> tuple[dict[str, Run], dict[str, str]]:
+    import corpus_pipeline
     from thriftline.llm import queries  # noqa: F401
 
-    return {name: _configured(run) for name, run in RUNS.items()}, dict(TWINS)
+    runs = RUNS | {"pipeline": corpus_pipeline.run}
+    twins = TWINS | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {name: _configured(run) for name, run in runs.items()}, twins

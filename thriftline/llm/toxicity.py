@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import io
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -228,19 +229,9 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(docs, labels)
 
     @F.pandas_udf("double")
-    def toxicity(batches: pd.Series) -> pd.Series:
-        return pd.Series(_scorer_of(model)(batches), dtype="float64")
+    def toxicity(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        score = scorer(model)
+        for texts in batches:
+            yield pd.Series(score(texts), dtype="float64")
 
     return docs.where(toxicity(corpus.text_bytes()) < THRESHOLD)
-
-
-_SCORERS: dict[bytes, object] = {}
-
-
-def _scorer_of(model: Model):
-    """One scorer, and so one word cache, for each model in a Python worker."""
-    key = model.dump()
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = scorer(model)
-    return _SCORERS[key]
