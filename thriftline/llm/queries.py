@@ -5,10 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thriftline.llm import chat, corpus, mixing, packing, secrets, simhash, toxicity
+from thriftline.llm import chat, corpus, mixing, packing, secrets, simhash, topk, toxicity
 from thriftline.llm.registry import query
 
 
+@query(
+    "op2_topk",
+    """
+    WITH usable AS (
+        SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id,
+            CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+        FROM usable q JOIN usable c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+    ), ranked AS (
+        SELECT query_id, vec_id, score,
+            CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+        FROM scored
+    )
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+    """,
+)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(corpus.table(spark, sf_dir, "embeddings"))
+
+
 @query("op3_mixing")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mixed(corpus.table(spark, sf_dir, "documents"))
