@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thriftline.llm import chat, corpus, mixing, packing, secrets, simhash, topk, toxicity
+from thriftline.llm import chat, corpus, mixing, packing, quality, secrets, simhash, topk, toxicity
 from thriftline.llm.registry import query
 
 
@@ -46,6 +46,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+@query("op5_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(corpus.table(spark, sf_dir, "documents"))
+
+
 @query("op6_secrets")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scanned(corpus.table(spark, sf_dir, "documents"))
