@@ -5,10 +5,92 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thriftline.llm import chat, corpus, mixing, packing, quality, secrets, simhash, topk, toxicity
+from thriftline.llm import chat, corpus, mixing, packing, quality, secrets, simhash, topk, toxicity, warc
 from thriftline.llm.registry import query
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _rules(text: str, rules: list[tuple[str, str]]) -> str:
+    for pattern, by in rules:
+        text = f"regexp_replace({text}, {_quoted(pattern)}, {_quoted(by)}, 'g')"
+    return text
+
+
+def _references(text: str) -> str:
+    for name, character in warc.NAMED.items():
+        text = f"replace({text}, {_quoted(name)}, {_quoted(character)})"
+    numbers = f"list_sort(list_distinct(regexp_extract_all({text}, {_quoted(warc.NUMERIC)})))"
+    code = "CAST(regexp_extract(ref, '[0-9]+') AS INTEGER)"
+    usable = f"{code} > 0 AND {code} < 1114112 AND NOT {code} BETWEEN 55296 AND 57343"
+    step = f"lambda t, ref: CASE WHEN {usable} THEN replace(t, ref, chr({code})) ELSE t END"
+    return f"replace(list_reduce(list_concat([{text}], {numbers}), {step}), '&amp;', '&')"
+
+
+def _uuid(name: str) -> str:
+    parts = " || '-' || ".join(f"substr(md5({name}), {at}, {n})" for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
+    return f"('<urn:uuid:' || {parts} || '>')"
+
+
+_END = f"'{warc.CRLF}'"
+
+
+def _derivatives() -> str:
+    """The derivatives of ``pages`` in SQL, from the same patterns."""
+    line = lambda name, value: f"'{name}: ' || {value} || {_END}"
+    each = lambda values, name: f"list_aggregate(list_concat([''], list_transform({values}, lambda v: '{name}: ' || v || {_END})), 'string_agg', '')"
+    fields = " || ".join(
+        [
+            line("source-record-id", "id"), line("source-target-uri", "uri"), line("source-date", "day"),
+            line("source-block-digest", "http_digest"), line("source-payload-digest", "body_digest"),
+            each(f"string_split(head, {_END})", "source-http"), line("title", "title"), line("conversion", "conversion"),
+            each("links", "outlink"),
+        ]
+    )
+    header = " || ".join(
+        [
+            f"'WARC/1.1' || {_END}", line("WARC-Type", "warc_type"), line("WARC-Record-ID", "record_id"),
+            line("WARC-Refers-To", "id"), line("WARC-Refers-To-Target-URI", "uri"), line("WARC-Refers-To-Date", "day"),
+            line("WARC-Target-URI", "uri"), line("WARC-Date", "day"), line("WARC-Block-Digest", "'sha256:' || sha256(block)"),
+            line("Content-Type", "kind"), line("Content-Length", "strlen(block)"),
+        ]
+    )
+    return f"""
+    WITH given AS (
+        SELECT page_id, coalesce(url, '') AS uri, '1970-01-01T00:00:00Z' AS day, coalesce(html, '') AS body,
+            {_uuid("'response|' || coalesce(CAST(page_id AS VARCHAR), '') || '|' || coalesce(url, '')")} AS id
+        FROM pages
+    ), sent AS (
+        SELECT *, 'HTTP/1.1 200 OK' || {_END} || 'Content-Type: text/html; charset=utf-8' || {_END}
+            || 'Content-Length: ' || strlen(body) AS head, {_rules('body', warc.HIDDEN)} AS shown
+        FROM given
+    ), parsed AS (
+        SELECT *, 'sha256:' || sha256(head || {_END} || {_END} || body) AS http_digest, 'sha256:' || sha256(body) AS body_digest,
+            {_rules(_references(_rules('shown', warc.SHOWN)), warc.COLLAPSE)} AS plain,
+            {_rules(_references(f"regexp_extract(shown, {_quoted(warc.TITLE)}, 1)"), [(r"\s+", " "), *warc.COLLAPSE])} AS title,
+            list_filter(regexp_extract_all(shown, {_quoted(warc.HREF)}, 1), lambda x: NOT regexp_matches(x, '[[:space:]]')) AS links,
+            {_uuid("'conversion|' || id")} AS conversion, {_uuid("'metadata|' || id")} AS metadata
+        FROM sent
+    ), records AS (
+        SELECT *, 'metadata' AS warc_type, metadata AS record_id, 'application/warc-fields' AS kind, {fields} AS block FROM parsed
+        UNION ALL
+        SELECT *, 'conversion', conversion, 'text/plain; charset=utf-8', plain FROM parsed
+    )
+    SELECT page_id, warc_type, record_id, id AS refers_to, uri AS target_uri, http_digest AS source_block_digest,
+        body_digest AS source_payload_digest, 'sha256:' || sha256(block) AS block_digest, strlen(block) AS content_length,
+        {header} AS header, block
+    FROM records
+    """
+
+
+@query("op1_warc_derivatives", _derivatives())
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.responses(corpus.table(spark, sf_dir, "pages"))
+    return warc.derivatives(found, ["page_id"])
+
+
 @query(
     "op2_topk",
     """
