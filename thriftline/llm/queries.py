@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thriftline.llm import chat, corpus, mixing, packing, quality, secrets, simhash, topk, toxicity, warc
+from thriftline.llm import chat, corpus, lmscore, mixing, packing, quality, secrets, simhash, topk, toxicity, warc
 from thriftline.llm.registry import query
 
 
@@ -138,6 +138,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scanned(corpus.table(spark, sf_dir, "documents"))
 
 
+@query("op7_pseudo_likelihood")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.pseudo_likelihood(corpus.table(spark, sf_dir, "documents"))
+
+
 @query("op8_toxicity")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus.table(spark, sf_dir, "documents")
