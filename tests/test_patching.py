@@ -6,7 +6,6 @@ import random
 
 from thriftline.operators import patching, routing
 from thriftline.operators.numbering import numbered
-from thriftline.operators.skew import salted_join
 from pyspark.sql import functions as F
 
 FILES = "project string, file string, text string"
@@ -120,14 +119,14 @@ def test_a_hot_group_is_cut_into_many_ranges(spark):
     assert len(sizes) > 1 and sum(sizes) == 13_334 and max(sizes) < 40_000 / 8 * 2
 
 
-def test_salted_join_is_the_plain_join(spark):
-    large = spark.range(5000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"), "id")
-    small = spark.range(40).select(F.concat(F.lit("k"), F.col("id")).alias("k"), F.col("id").alias("v")).union(
-        spark.createDataFrame([("hot", -1)], "k string, v bigint")
-    )
-    for how in ("inner", "left", "left_semi", "left_anti"):
-        got, want = salted_join(large, small, ["k"], ["id"], how), large.join(small, "k", how)
-        assert got.columns == want.columns and got.count() == want.count() and got.exceptAll(want).isEmpty()
+def test_a_patch_that_overlaps_only_dropped_ones_is_kept(spark):
+    spans = [("a", 1, 5), ("a", 4, 10), ("a", 8, 12), ("b", 1, 2), ("b", 1, 9), ("b", 9, 9), ("b", 10, 10)]
+    rows = spark.createDataFrame([(f, a, b, f"{a}", 1) for f, a, b in spans], "file string, start_line int, end_line int, code string, seq int")
+    flags = {(r.file, r.start_line, r.end_line): r.inner for r in patching.with_overlap_flag(rows, ["file"]).collect()}
+    assert {k for k, inner in flags.items() if not inner} == {("a", 1, 5), ("a", 8, 12), ("b", 1, 9), ("b", 10, 10)}
+    assert {k for k, inner in flags.items() if inner} == {("a", 4, 10), ("b", 1, 2), ("b", 9, 9)}
+    gone = patching.overlapped(rows, ["file"]).collect()
+    assert {(r.file, r.start_line) for r in gone} == {("a", 4), ("b", 1), ("b", 9)} and all(r.reason for r in gone)
 
 
 def test_positions_keep_a_null_group(spark):

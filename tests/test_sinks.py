@@ -157,10 +157,10 @@ def test_stream_ends_where_the_batch_does(spark, tmp_path, mode):
     )
     landed = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "landed"))
     out = str(tmp_path / "out")
-    query = progress.publish_outcomes(landed, lambda: bases, ["f"], out, str(tmp_path / "state"), mode=mode)
+    query = progress.publish_attempts(landed, ["f"], out, str(tmp_path / "state"), mode=mode)
     query.awaitTermination()
     assert len(list(pathlib.Path(out).glob("batch=*"))) >= 4
-    streamed = progress.current_outcomes(spark, out, bases, ["f"])
+    streamed = progress.current_outcomes(progress.newest(spark, out, ["f"]), bases, ["f"])
     batch = outcome.resolve(bases, rows, ["f"], mode=mode)
     assert streamed.count() == batch.count() == 1000
     assert streamed.select(batch.columns).exceptAll(batch).count() == 0

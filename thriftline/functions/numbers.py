@@ -13,6 +13,7 @@ _FLOAT = (
     r"(?i)\A[+-]?(?:inf|infinity|nan|"
     r"(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)(?:e[+-]?\d+(?:_\d+)*)?)\z"
 )
+UNREADABLE = "emissions could not be read"
 _INT = r"\A[+-]?\d+(?:_\d+)*\z"
 
 
@@ -82,8 +83,9 @@ def round_even(value: Column, decimals: int) -> Column:
 
     ``F.round`` rounds the shortest decimal text half up instead.
     """
-    finite = ~F.isnan(value) & (F.abs(value) < F.lit(1e300))
-    return F.when(finite, fixed_text(value, decimals).cast("double")).otherwise(value)
+    # From 2 ** 53 on a double has no fraction to round.
+    fractional = ~F.isnan(value) & (F.abs(value) < F.lit(2.0**53))
+    return F.when(fractional, fixed_text(value, decimals).cast("double")).otherwise(value)
 
 
 def magnitude(value: Column, decimals: int = 1) -> Column:
@@ -95,23 +97,38 @@ def magnitude(value: Column, decimals: int = 1) -> Column:
     )
 
 
-def total(value: Column, scale: int | None = None) -> Column:
-    """Sum, 0.0 over nothing.
+def total(value: Column) -> Column:
+    """Sum, 0.0 over nothing, the same in whatever order tasks finish.
 
-    With ``scale`` the sum is carried in a decimal with that many places, so it
-    does not depend on the order in which tasks finish.
+    Finite values are carried in a decimal with 18 places, enough for amounts from
+    1e-12 to 1e9 and far beyond; a sum past 1e20 raises.  NaN and infinities are
+    counted apart and come out as IEEE addition gives them.
     """
-    if scale is None:
-        return F.coalesce(F.sum(value), F.lit(0.0))
-    exact = F.sum(value.cast(T.DecimalType(28, scale))).cast("double")
-    return F.coalesce(exact, F.lit(0.0))
+    infinite = F.abs(value) == F.lit(float("inf"))
+    finite = ~F.isnan(value) & ~infinite
+    exact = F.sum(F.when(finite, value.cast(T.DecimalType(38, 18)))).cast("double")
+    up, down = (F.coalesce(F.bool_or(infinite & (value * sign > 0)), F.lit(False)) for sign in (1, -1))
+    nan = F.coalesce(F.bool_or(F.isnan(value)), F.lit(False))
+    return (
+        F.when(nan | (up & down), F.lit(float("nan")))
+        .when(up, F.lit(float("inf")))
+        .when(down, F.lit(float("-inf")))
+        .otherwise(F.coalesce(exact, F.lit(0.0)))
+    )
+
 
+def retry_reason(test_passed: Column, baseline: Column, measured: Column, unreadable_as_zero: bool = False) -> Column:
+    """Why an attempt is retried; NULL when it wins.
 
-def retry_reason(test_passed: Column, baseline: Column, measured: Column) -> Column:
-    """Why an attempt is retried; NULL when it wins."""
-    spent = F.coalesce(measured, F.lit(0.0))
+    A measurement that could not be read has a reason of its own, unless it is scored as 0.0.
+    """
+    spent = F.coalesce(measured, F.lit(0.0)) if unreadable_as_zero else measured
     worse = F.concat(fixed_text(pct_worse(baseline, spent), 1), F.lit(fixed.RETRY_EMISSIONS_SUFFIX))
-    return F.when(~F.coalesce(test_passed, F.lit(False)), fixed.RETRY_TESTS).when(~is_less(spent, baseline), worse)
+    return (
+        F.when(~F.coalesce(test_passed, F.lit(False)), fixed.RETRY_TESTS)
+        .when(spent.isNull(), UNREADABLE)
+        .when(~is_less(spent, baseline), worse)
+    )
 
 
 def _has_float(kind: T.DataType) -> bool:

@@ -7,8 +7,11 @@ tasks, the joins and the numbering are Spark's.  Corpus code is parsed, never ru
 from __future__ import annotations
 
 import ast
+import concurrent.futures
+import sys
+import threading
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,7 +19,6 @@ from pyspark.sql import functions as F
 
 from thriftline import schemas
 from thriftline.functions import paths
-from thriftline.session import spread
 
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 _PARSE_ERRORS = (SyntaxError, ValueError, RecursionError, MemoryError)
@@ -52,35 +54,67 @@ def _definitions(module: ast.Module) -> Iterator[tuple[str, ast.AST]]:
             pending.extend((f"{name}.", child) for child in below)
 
 
+_DEEP = 100_000
+
+
+def _unparse(function: ast.AST) -> tuple[str | None, str | None]:
+    """Code of a function, or why it cannot be written out."""
+    limit = sys.getrecursionlimit()
+    try:
+        sys.setrecursionlimit(max(limit, _DEEP))
+        return ast.unparse(function), None
+    except (RecursionError, MemoryError, ValueError) as error:
+        return None, f"{type(error).__name__}: {error}"
+    finally:
+        sys.setrecursionlimit(limit)
+
+
+def _on_deep_stack(work: Callable[[], list[tuple]]) -> list[tuple]:
+    """Run ``work`` where deep expressions fit on the stack."""
+    before = threading.stack_size(512 << 20)
+    try:
+        with concurrent.futures.ThreadPoolExecutor(1) as pool:
+            return pool.submit(work).result()
+    finally:
+        threading.stack_size(before)
+
+
 def _texts(files: DataFrame) -> DataFrame:
-    """The columns the parser needs, over enough tasks."""
-    return spread(files.select("project", "file", "text"), "project", "file")
+    """The columns the parser needs."""
+    return files.select("project", "file", "text")
+
+
+def _catalogue_rows(frame: pd.DataFrame) -> list[tuple]:
+    rows = []
+    for project, file, text in frame.itertuples(index=False):
+        module, error = _parse(text)
+        if module is None:
+            rows.append((project, file, None, None, None, None, None, None, None, error))
+            continue
+        for qualified, node in _definitions(module):
+            code, error = _unparse(node)
+            rows.append(
+                (
+                    project, file, node.name, qualified, node.lineno, node.end_lineno or node.lineno,
+                    qualified.count("."), _positional_count(node), code, error,
+                )
+            )
+    return rows
 
 
 def extract_functions(files: DataFrame) -> DataFrame:
     """Catalogue of ``files(project, file, text)``.
 
-    A file that does not parse gives one row with ``error`` and no function; see
-    :func:`catalogue` and :func:`unparsable`.  A ``def`` below ``if``, ``try`` or
+    A file that does not parse gives one row with ``error`` and no function, a function
+    that cannot be written out one with its name and ``error``; see :func:`catalogue` and
+    :func:`unparsable`.  A ``def`` below ``if``, ``try`` or
     ``with`` is not part of the catalogue.
     """
     columns = ["project", "file", "name", "qualified_name", "line", "end_line", "depth", "n_args", "function_code", "error"]
 
     def extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for project, file, text in frame.itertuples(index=False):
-                module, error = _parse(text)
-                if module is None:
-                    rows.append((project, file, None, None, None, None, None, None, None, error))
-                    continue
-                for qualified, node in _definitions(module):
-                    rows.append(
-                        (
-                            project, file, node.name, qualified, node.lineno, node.end_lineno or node.lineno,
-                            qualified.count("."), _positional_count(node), ast.unparse(node), None,
-                        )
-                    )
+            rows = _on_deep_stack(lambda frame=frame: _catalogue_rows(frame))
             yield _typed(pd.DataFrame(rows, columns=columns), ["line", "end_line", "depth", "n_args"])
 
     schema = ", ".join(
@@ -103,7 +137,8 @@ def catalogue(extracted: DataFrame) -> DataFrame:
 
 
 def unparsable(extracted: DataFrame) -> DataFrame:
-    return extracted.filter(F.col("error").isNotNull()).select("project", "file", "error")
+    """Files and functions that are not in the catalogue, with the reason."""
+    return extracted.filter(F.col("error").isNotNull()).select("project", "file", "qualified_name", "error")
 
 
 def _lookup_rows(module: ast.Module) -> Iterator[tuple[str, bool, int, int]]:

@@ -58,14 +58,14 @@ def diagnose(lines_text: DataFrame, text: str) -> DataFrame:
     return lines_text.withColumn("diagnostic", tx.truncate(F.col(text), fixed.DIAGNOSTIC_CHARS))
 
 
-def average_runs(runs: DataFrame, keys: list[str], scale: int | None = None) -> DataFrame:
+def average_runs(runs: DataFrame, keys: list[str]) -> DataFrame:
     """Mean emissions and whether all runs passed.
 
     One unparsed run spoils its group: ``(0.0, false)``.
     """
     parsed = F.coalesce(F.col("parsed"), F.lit(False))
     spoiled = F.bool_or(~parsed)
-    mean = nm.total(F.col("emissions_kg"), scale) / F.count(F.lit(1))
+    mean = nm.total(F.col("emissions_kg")) / F.count(F.lit(1))
     passed = F.bool_and(parsed & F.coalesce(F.col("exit_code") == 0, F.lit(False)))
     return runs.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("runs"),
@@ -74,9 +74,9 @@ def average_runs(runs: DataFrame, keys: list[str], scale: int | None = None) ->
     )
 
 
-def baselines(functions: DataFrame, runs: DataFrame, keys: list[str], scale: int | None = None) -> DataFrame:
+def baselines(functions: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:
     """Baseline per function; no runs at all counts as a spoiled measurement."""
-    measured = average_runs(runs, keys, scale)
+    measured = average_runs(runs, keys)
     return functions.join(measured, keys, "left").select(
         *functions.columns,
         F.coalesce("runs", F.lit(0)).alias("runs"),

@@ -120,16 +120,23 @@ def outcome_label() -> Column:
 
 
 def with_retry_reasons(
-    attempts: DataFrame, baselines: DataFrame, keys: list[str], max_attempts: int = fixed.MAX_ATTEMPTS
+    attempts: DataFrame,
+    baselines: DataFrame,
+    keys: list[str],
+    max_attempts: int = fixed.MAX_ATTEMPTS,
+    mode: str = STRICT,
 ) -> DataFrame:
     """Attempts with the reason the one before was refused, NULL for the first.
 
+    An unreadable measurement is refused as such in ``strict`` and scored as 0.0 in ``compat``,
+    as :func:`resolve` does.
+
     ``attempts`` holds one row per function and number; with numbers capped at
     ``max_attempts`` a window group is at most that long.
     """
     counted = attempts.filter((F.col("attempt") >= 1) & (F.col("attempt") <= max_attempts))
     usable = gate_baselines(baselines).filter(F.col("skip_reason").isNull()).select(*keys, "baseline_kg")
-    refused = nm.retry_reason(F.col("test_passed"), F.col("baseline_kg"), F.col("emissions_kg"))
+    refused = nm.retry_reason(F.col("test_passed"), F.col("baseline_kg"), F.col("emissions_kg"), mode == COMPAT)
     in_order = Window.partitionBy(*keys).orderBy("attempt")
     judged = counted.join(usable, keys).withColumn("refused_because", refused)
     return judged.withColumn("retry_reason", F.lag("refused_because").over(in_order))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thriftline.functions import paths
@@ -44,23 +44,41 @@ def single_patches(patches: DataFrame, keys: list[str] = FILE) -> DataFrame:
 
 
 def with_overlap_flag(patches: DataFrame, keys: list[str] = FILE) -> DataFrame:
-    """Add ``inner``: the patch starts inside a wider or earlier one, which stands.
+    """Add ``inner``: the patch overlaps one that stands, which is wider or starts earlier.
 
-    Ranges are unique per file here, so a window holds one file's functions.
+    A patch that overlaps only patches which do not stand is kept.  Ranges are unique
+    per file here, so a group holds one file's functions.
     """
-    earlier = (
-        Window.partitionBy(*keys)
-        .orderBy("start_line", F.col("end_line").desc())
-        .rowsBetween(Window.unboundedPreceding, -1)
+    rest = [c for c in patches.columns if c not in keys]
+    made = F.struct(F.lit(None).cast(patches.select(F.struct(*rest).alias("r")).schema["r"].dataType).alias("row"), F.lit(False).alias("inner"))
+    none = F.filter(F.array(made), lambda _: F.lit(False))
+    in_order = F.sort_array(
+        F.collect_list(F.struct("start_line", (-F.col("end_line")).alias("wider"), F.struct(*rest).alias("row")))
+    )
+
+    def step(state: Column, patch: Column) -> Column:
+        inner = F.coalesce(patch["start_line"] <= state["reach"], F.lit(False))
+        reach = F.when(inner, state["reach"]).otherwise((-patch["wider"]).cast("int"))
+        flagged = F.struct(patch["row"].alias("row"), inner.alias("inner"))
+        return F.struct(reach.alias("reach"), F.concat(state["made"], F.array(flagged)).alias("made"))
+
+    start = F.struct(F.lit(None).cast("int").alias("reach"), none.alias("made"))
+    grouped = patches.groupBy(*keys).agg(in_order.alias("_patches"))
+    return grouped.select(*keys, F.inline(F.aggregate("_patches", start, step, lambda s: s["made"]))).select(
+        *keys, "row.*", "inner"
     )
-    reach = F.max("end_line").over(earlier)
-    return patches.withColumn("inner", F.coalesce(F.col("start_line") <= reach, F.lit(False)))
 
 
 def outermost(patches: DataFrame, keys: list[str] = FILE) -> DataFrame:
     return with_overlap_flag(patches, keys).filter(~F.col("inner")).drop("inner")
 
 
+def overlapped(patches: DataFrame, keys: list[str] = FILE) -> DataFrame:
+    """Patches that are not applied, with the reason."""
+    flagged = with_overlap_flag(single_patches(patches, keys), keys)
+    return flagged.filter("inner").drop("inner").withColumn("reason", F.lit("overlaps a patch that stands"))
+
+
 def uncovered_lines(lines: DataFrame, patches: DataFrame, keys: list[str], line: str = "line_no") -> DataFrame:
     """Lines that no patch replaces: an equi join on the file with the range as residual."""
     ranges = patches.select(*[F.col(k).alias(f"_{k}") for k in keys], "start_line", "end_line")

@@ -54,11 +54,11 @@ def success_line(results: DataFrame, group: list[str]) -> DataFrame:
     )
 
 
-def totals(results: DataFrame, group: list[str], scale: int | None = None) -> DataFrame:
+def totals(results: DataFrame, group: list[str]) -> DataFrame:
     """Emissions before and after, and what was saved, over measured functions."""
     seen = is_measured()
-    before = nm.total(F.when(seen, F.col("baseline_emissions_kg")), scale)
-    after = nm.total(F.when(seen, F.col("optimized_emissions_kg")), scale)
+    before = nm.total(F.when(seen, F.col("baseline_emissions_kg")))
+    after = nm.total(F.when(seen, F.col("optimized_emissions_kg")))
     return (
         _grouped(results, group)
         .agg(
@@ -73,10 +73,10 @@ def totals(results: DataFrame, group: list[str], scale: int | None = None) -> Da
     )
 
 
-def reductions(results: DataFrame, group: list[str], scale: int | None = None) -> DataFrame:
+def reductions(results: DataFrame, group: list[str]) -> DataFrame:
     """Mean, largest and smallest reduction over measured functions, two decimals."""
     pct = F.when(is_measured(), F.col("reduction_pct"))
-    mean = F.coalesce(F.try_divide(nm.total(pct, scale), F.count(pct)), F.lit(0.0))
+    mean = F.coalesce(F.try_divide(nm.total(pct), F.count(pct)), F.lit(0.0))
     return _grouped(results, group).agg(
         nm.round_even(mean, 2).alias("avg_co2_reduction_pct"),
         nm.round_even(F.coalesce(F.max(pct), F.lit(0.0)), 2).alias("max_co2_reduction_pct"),
@@ -93,13 +93,13 @@ def files_optimized_in_order(results: DataFrame, group: list[str]) -> DataFrame:
     return numbered(files_optimized(results, group), group, [F.col("file")])
 
 
-def project_summary(results: DataFrame, group: list[str], scale: int | None = None) -> DataFrame:
+def project_summary(results: DataFrame, group: list[str]) -> DataFrame:
     """All scalars of the savings summary in one pass over the records."""
     ok = F.count_if(F.col("success"))
     every = F.count(F.lit(1))
     seen = is_measured()
     pct = F.when(seen, F.col("reduction_pct"))
-    mean = F.coalesce(F.try_divide(nm.total(pct, scale), F.count(pct)), F.lit(0.0))
+    mean = F.coalesce(F.try_divide(nm.total(pct), F.count(pct)), F.lit(0.0))
     return (
         _grouped(results, group)
         .agg(
@@ -111,8 +111,8 @@ def project_summary(results: DataFrame, group: list[str], scale: int | None = No
             nm.round_even(mean, 2).alias("avg_co2_reduction_pct"),
             nm.round_even(F.coalesce(F.max(pct), F.lit(0.0)), 2).alias("max_co2_reduction_pct"),
             nm.round_even(F.coalesce(F.min(pct), F.lit(0.0)), 2).alias("min_co2_reduction_pct"),
-            nm.total(F.when(seen, F.col("baseline_emissions_kg")), scale).alias("total_baseline_emissions_kg"),
-            nm.total(F.when(seen, F.col("optimized_emissions_kg")), scale).alias("total_optimized_emissions_kg"),
+            nm.total(F.when(seen, F.col("baseline_emissions_kg"))).alias("total_baseline_emissions_kg"),
+            nm.total(F.when(seen, F.col("optimized_emissions_kg"))).alias("total_optimized_emissions_kg"),
         )
         .withColumn(
             "total_co2_saved_kg", F.col("total_baseline_emissions_kg") - F.col("total_optimized_emissions_kg")

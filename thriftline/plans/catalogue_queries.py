@@ -31,6 +31,30 @@ def c1_function_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("project", "id", "name", "qualified_name", "file", "line", "end_line", "function_code")
 
 
+@query(
+    "c1_long_expressions",
+    """
+    SELECT source AS project, 'src/long' || doc_id || '.py' AS file, 'g' || n AS name,
+           'def g' || n || '(x):' || chr(10) || '    return x' || repeat(' + x', 400 + n) AS function_code, false AS failed
+    FROM documents, (SELECT unnest([0, 1]) AS n)
+    UNION ALL
+    SELECT source, 'src/vast' || doc_id || '.py', NULL, NULL, true FROM documents WHERE n_chars > 2000
+    """,
+)
+def c1_long_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sums of over 400 terms in a file of every document; one of 20,000 in a file of the longer ones."""
+
+    def code(name: str, terms: int):
+        return F.concat(F.lit(f"def {name}(x):\n    return x"), F.repeat(F.lit(" + x"), F.lit(terms)), F.lit("\n"))
+
+    docs = views.texts(spark, sf_dir).select("doc_id", F.col("source").alias("project"), "n_chars")
+    file = lambda kind: F.concat(F.lit(f"src/{kind}"), "doc_id", F.lit(".py")).alias("file")
+    long = docs.select("project", file("long"), F.concat(code("g0", 400), code("g1", 401)).alias("text"))
+    vast = docs.filter("n_chars > 2000").select("project", file("vast"), code("v", 20_000).alias("text"))
+    found = catalog.extract_functions(long.unionByName(vast))
+    return found.select("project", "file", "name", "function_code", F.col("error").isNotNull().alias("failed"))
+
+
 @query(
     "c2_module_name",
     views.PATH_SQL

@@ -173,7 +173,7 @@ def s7_result_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def s8_savings_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "savings-documents")
-    document_sink.write_savings_documents(views.results(spark, sf_dir), root, _STAMP, scale=6)
+    document_sink.write_savings_documents(views.results(spark, sf_dir), root, _STAMP)
     record = "id string, name string, file string, co2_saved_kg double, reason string"
     saved = documents.read_sharded_document(spark, root, "3-optimized", record)
     return saved.unionByName(documents.read_sharded_document(spark, root, "5-skipped", record))

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from thriftline.functions import paths
 from thriftline.operators import catalog, generated, measuring, outcome, patching, routing
-from thriftline.operators.skew import salted_join
 from thriftline.session import written
 from thriftline.sources import archives, decode, projects, tree
 
@@ -24,8 +23,9 @@ def open_projects(spark: SparkSession, path: str) -> DataFrame:
     Roots are found from the listings, so no content is shuffled.
     """
     listed = written(archives.list_archives(spark, path), "listing")
-    roots = projects.find_project_roots(listed.filter(F.col("error").isNull()))
-    rooted = salted_join(listed, roots, ["archive"], ["file"], "left")
+    roots = written(projects.find_project_roots(listed.filter(F.col("error").isNull())), "roots")
+    # Both sides are tables, so Spark can split an archive that holds much of the corpus.
+    rooted = listed.join(roots, "archive", "left")
     members = archives.fetch_members(rooted, keep=["root"]).filter(F.col("error").isNull())
     return _placed(members.withColumnRenamed("file", "archive_file"))
 
@@ -36,8 +36,8 @@ def project_files(members: DataFrame) -> DataFrame:
     ``project_rel`` is that root and ``archive_file`` the path in the archive.
     """
     whole = members.filter(F.col("error").isNull()).select("archive", F.col("file").alias("archive_file"), "content")
-    roots = projects.find_project_roots(whole.select("archive", F.col("archive_file").alias("file")))
-    return _placed(salted_join(whole, roots, ["archive"], ["archive_file"]))
+    roots = written(projects.find_project_roots(whole.select("archive", F.col("archive_file").alias("file"))), "roots")
+    return _placed(whole.join(roots, "archive"))
 
 
 def _placed(placed: DataFrame) -> DataFrame:
@@ -101,8 +101,8 @@ def mirrored(results: DataFrame, files: DataFrame, how: str = "exact") -> DataFr
     """Phase three: the archive's tree with accepted rewrites spliced in."""
     texts = decode.decode(files)
     source = texts.filter(F.col("text").isNotNull() & F.col("file").isNotNull()).select("project", "file", "text")
-    roots = files.select("project", "project_rel").distinct()
-    placed = salted_join(_rewrites(results, source, how), roots, ["project"], ["file"])
+    roots = written(files.select("project", "project_rel").distinct(), "roots")
+    placed = _rewrites(results, source, how).join(roots, "project")
     patches = patching.patch_rows(placed, paths.rebase(F.col("project_rel"), F.col("file")))
     whole = texts.select("project", F.col("archive_file").alias("file"), "text", "content")
     spliced = patching.mirror(whole, patches)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from thriftline import fixed_values as fixed
 from thriftline.functions import numbers as nm
 from thriftline.functions import paths, times
 from thriftline.operators import generated, impact, measuring, outcome, patching, routing, summary
@@ -15,13 +16,12 @@ from thriftline.session import scratch_path
 from thriftline.sources import requirements, tree
 from thriftline.streaming import progress
 
-# Amounts of the given tables have at most five decimals.
-_SCALE = 6
 _RUN = ["function_id", "run_id"]
 
 
 def _sum(column: str) -> str:
-    return f"coalesce(CAST(sum(CAST({column} AS DECIMAL(28, 6))) AS DOUBLE), 0.0)"
+    exact = f"sum(CAST(CAST({column} AS VARCHAR) AS DECIMAL(38, 18)))"
+    return f"coalesce(CAST(CAST({exact} AS VARCHAR) AS DOUBLE), 0.0)"
 
 
 def _round(value: str, decimals: int) -> str:
@@ -49,7 +49,7 @@ def a1_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _averages(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = measuring.parse_runs(views.log_lines(spark, sf_dir), _RUN)
-    return measuring.average_runs(runs, ["function_id"], _SCALE)
+    return measuring.average_runs(runs, ["function_id"])
 
 
 @query(
@@ -76,7 +76,34 @@ def a2_mean_emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a2_mean_of_parsed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups in which every run could be read."""
     runs = measuring.parse_runs(views.log_lines(spark, sf_dir), _RUN).filter("parsed")
-    return measuring.average_runs(runs, ["run_id"], _SCALE)
+    return measuring.average_runs(runs, ["run_id"])
+
+
+@query(
+    "a2_unusable_runs",
+    views.LOG_SQL
+    + f"""
+    , v_marked AS (
+      SELECT function_id, run_id, seq, CASE WHEN starts_with(line, 'EMISSIONS:') AND seq % 7 = 0 THEN CAST('nan' AS DOUBLE)
+             WHEN starts_with(line, 'EMISSIONS:') AND seq % 11 = 0 THEN CAST('inf' AS DOUBLE) ELSE e END AS e, c FROM v_value),
+    v_last AS (
+      SELECT function_id, run_id, arg_max(e, seq) FILTER (WHERE e IS NOT NULL) AS e, arg_max(c, seq) FILTER (WHERE c IS NOT NULL) AS c
+      FROM v_marked GROUP BY function_id, run_id),
+    v_finite AS (SELECT *, CASE WHEN isfinite(e) THEN e END AS f FROM v_last WHERE e IS NOT NULL AND c IS NOT NULL)
+    SELECT run_id, count(*) AS runs,
+           CASE WHEN bool_or(isnan(e)) THEN CAST('nan' AS DOUBLE) WHEN bool_or(isinf(e)) THEN CAST('inf' AS DOUBLE)
+                ELSE {_sum('f')} / count(*) END AS emissions_kg, bool_and(c = 0) AS passed
+    FROM v_finite GROUP BY run_id
+    """,
+)
+def a2_unusable_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some meters print ``nan`` or ``inf``: a mean over such runs is no number, not 0.0."""
+    printed = F.startswith("line", F.lit(fixed.EMISSIONS_PREFIX))
+    odd = F.when(printed & (F.col("seq") % 7 == 0), fixed.EMISSIONS_PREFIX + "nan").when(
+        printed & (F.col("seq") % 11 == 0), fixed.EMISSIONS_PREFIX + "inf"
+    )
+    lines = views.log_lines(spark, sf_dir).withColumn("line", F.coalesce(odd, F.col("line")))
+    return measuring.average_runs(measuring.parse_runs(lines, _RUN).filter("parsed"), ["run_id"])
 
 
 @query(
@@ -122,7 +149,26 @@ _TOTALS_SQL = (
 
 @query("a5_totals", _TOTALS_SQL + "SELECT * FROM v_total")
 def a5_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.totals(views.results(spark, sf_dir), ["project"], _SCALE)
+    return summary.totals(views.results(spark, sf_dir), ["project"])
+
+
+@query(
+    "a5_small_totals",
+    views.RESULTS_SQL
+    + f"""
+    , v_small AS (SELECT project, baseline_emissions_kg * 1e-12 AS b, optimized_emissions_kg * 1e-12 AS o FROM v_measured),
+    v_part AS (SELECT DISTINCT project FROM v_result),
+    v_sum AS (SELECT p.project, count(s.b) AS functions_with_measurements, {_sum('s.b')} AS total_baseline_emissions_kg,
+                     {_sum('s.o')} AS total_optimized_emissions_kg
+              FROM v_part p LEFT JOIN v_small s ON s.project = p.project GROUP BY p.project)
+    SELECT *, total_baseline_emissions_kg - total_optimized_emissions_kg AS total_co2_saved_kg,
+           (total_baseline_emissions_kg - total_optimized_emissions_kg) * 1000 AS total_co2_saved_g FROM v_sum
+    """,
+)
+def a5_small_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short tests emit around 1e-8 kg."""
+    small = {c: F.col(c) * 1e-12 for c in ("baseline_emissions_kg", "optimized_emissions_kg")}
+    return summary.totals(views.results(spark, sf_dir).withColumns(small), ["project"])
 
 
 _REDUCTIONS = f"""
@@ -138,7 +184,7 @@ _REDUCTIONS = f"""
     + f"SELECT p.project, {_REDUCTIONS} FROM v_part p LEFT JOIN v_measured m ON m.project = p.project GROUP BY p.project",
 )
 def a6_reductions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.reductions(views.results(spark, sf_dir), ["project"], _SCALE)
+    return summary.reductions(views.results(spark, sf_dir), ["project"])
 
 
 @query(
@@ -231,7 +277,7 @@ _YEAR = """
 @query("a11_savings_summary", _SUMMARY_SQL + f"SELECT *, {_YEAR} FROM v_money")
 def a11_savings_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every scalar of the savings document; its lists are V2, P12 and A7."""
-    scalars = summary.project_summary(views.results(spark, sf_dir), ["project"], _SCALE)
+    scalars = summary.project_summary(views.results(spark, sf_dir), ["project"])
     return impact.with_measured_year(impact.with_measured_run(scalars))
 
 
@@ -312,6 +358,35 @@ def w4_retry_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("function_id", "attempt", "refused_because", "retry_reason")
 
 
+_REFUSED = """CASE WHEN NOT test_passed THEN 'test suite failed' WHEN kg IS NULL THEN 'emissions could not be read'
+    WHEN NOT kg < baseline_kg THEN format('{:.1f}', (kg - baseline_kg) / baseline_kg * 100) || '% worse emissions than baseline' END"""
+
+
+@query(
+    "w4_unreadable_attempts",
+    views.RESULTS_SQL
+    + f"""
+    , v_read AS (
+      SELECT a.function_id, a.attempt, a.test_passed, j.baseline_kg,
+             CASE WHEN (a.function_id + a.attempt) % 5 <> 0 THEN a.emissions_kg END AS given
+      FROM v_attempt a JOIN v_judged j ON j.function_id = a.function_id WHERE j.usable),
+    v_mode AS (SELECT *, 'strict' AS mode, given AS kg FROM v_read UNION ALL SELECT *, 'compat', coalesce(given, 0.0) FROM v_read),
+    v_refused AS (SELECT mode, function_id, attempt, {_REFUSED} AS refused_because FROM v_mode)
+    SELECT *, lag(refused_because) OVER (PARTITION BY mode, function_id ORDER BY attempt) AS retry_reason FROM v_refused
+    """,
+)
+def w4_unreadable_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements that gave nothing, under both modes."""
+    read = F.when((F.col("function_id") + F.col("attempt")) % 5 != 0, F.col("emissions_kg"))
+    given = views.attempts(spark, sf_dir).withColumn("emissions_kg", read)
+    known = views.baselines(spark, sf_dir)
+    told = [
+        outcome.with_retry_reasons(given, known, ["function_id"], mode=mode).withColumn("mode", F.lit(mode))
+        for mode in (outcome.STRICT, outcome.COMPAT)
+    ]
+    return told[0].unionByName(told[1]).select("mode", "function_id", "attempt", "refused_because", "retry_reason")
+
+
 @query(
     "w5_progress_label",
     views.RESULTS_SQL
@@ -342,6 +417,21 @@ def w6_outermost_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patching.with_overlap_flag(single, ["doc_id"])
 
 
+@query(
+    "w6_chained_patches",
+    """
+    SELECT c_custkey AS doc_id, unnest([1, 2, 4, 8, 8]) AS start_line, unnest([5, 3, 10, 12, 9]) AS end_line,
+           unnest([false, true, true, false, true]) AS "inner" FROM customer
+    """,
+)
+def w6_chained_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """1-5 stands, 4-10 overlaps it and goes, so 8-12 overlaps nothing that stands."""
+    spans = [(4, 10), (8, 9), (1, 5), (8, 12), (2, 3)]
+    items = F.array(*[F.struct(F.lit(a).alias("start_line"), F.lit(b).alias("end_line")) for a, b in spans])
+    chained = views.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.inline(items))
+    return patching.with_overlap_flag(chained, ["doc_id"])
+
+
 # --- V: orders ---------------------------------------------------------------
 
 
@@ -452,6 +542,28 @@ def u4_required_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requirements.with_required_tools(clean, files, ["project"])
 
 
+@query(
+    "u4_project_requirements",
+    views.REQUIREMENT_SQL
+    + """
+    SELECT 'a' || project AS archive, spec, false AS added FROM v_kept WHERE project % 4 <> 3
+    UNION ALL SELECT 'a' || project, spec, true FROM v_missing WHERE project % 4 <> 3
+    UNION ALL SELECT 'a' || doc_id, unnest(['pytest', 'codecarbon']), true FROM documents WHERE doc_id % 4 = 3
+    """,
+)
+def u4_project_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requirements in the root, in the root though the parent has some too, in the parent, and elsewhere only."""
+    shape = F.col("project") % 4
+    root = F.when(shape == 0, "").when(shape == 1, "src").when(shape == 2, "src/app").otherwise("src")
+    used = F.when(shape == 0, "requirements.txt").when(shape == 3, "docs/requirements.txt").otherwise("src/requirements.txt")
+    given = views.requirement_files(spark, sf_dir).select(
+        "project", F.concat(F.lit("a"), "project").alias("archive"), root.alias("root"), used.alias("file"), "text"
+    )
+    beside = given.filter(shape == 1).select("archive", F.lit("requirements.txt").alias("file"), F.lit("unused==1").alias("text"))
+    files = given.select("archive", "file", "text").unionByName(beside)
+    return requirements.project_requirements(given.select("archive", "root"), files).drop("root")
+
+
 @query("u5_distinct_files", views.RESULTS_SQL + "SELECT DISTINCT project, file FROM v_result WHERE success")
 def u5_distinct_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.files_optimized(views.results(spark, sf_dir), ["project"])
@@ -460,14 +572,16 @@ def u5_distinct_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- X: scalars --------------------------------------------------------------
 
 _TRIED_SQL = views.RESULTS_SQL + """
-    , v_tried AS (SELECT a.function_id, a.attempt, a.test_passed, a.emissions_kg, b.baseline_kg
-                  FROM v_attempt a JOIN v_baseline b ON b.function_id = a.function_id)
+    , v_every AS (SELECT l_orderkey AS function_id, l_linenumber AS attempt, bool_and(l_returnflag <> 'R') AS test_passed,
+                         min(l_extendedprice) AS emissions_kg FROM lineitem GROUP BY ALL),
+    v_tried AS (SELECT a.function_id, a.attempt, a.test_passed, a.emissions_kg, b.baseline_kg
+                FROM v_every a JOIN v_baseline b ON b.function_id = a.function_id)
 """
 
 
 def _tried(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = views.baselines(spark, sf_dir).select("function_id", "baseline_kg")
-    return views.attempts(spark, sf_dir).join(known, "function_id")
+    return views.every_attempt(spark, sf_dir).join(known, "function_id")
 
 
 @query(
@@ -626,7 +740,7 @@ def x13_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.totals(views.results(spark, sf_dir), ["project"], _SCALE).select("project", "total_co2_saved_kg")
+    return summary.totals(views.results(spark, sf_dir), ["project"]).select("project", "total_co2_saved_kg")
 
 
 _RUN_COLUMNS = (
@@ -700,20 +814,34 @@ def m6_equivalents(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- R: streaming ------------------------------------------------------------
 
 
+def _streamed(spark: SparkSession, source: str, schema, options: dict) -> str:
+    """Publish the attempts of a folder of line items; gives where."""
+    landed = spark.readStream.schema(schema).options(**options).parquet(source)
+    out = scratch_path(spark, "attempts")
+    progress.publish_attempts(
+        views.attempt_rows(landed), ["function_id"], out, scratch_path(spark, "attempts-progress")
+    ).awaitTermination()
+    return out
+
+
 @query("r1_published_outcomes", views.RESULTS_SQL + f"SELECT {_OUTCOME_COLUMNS} FROM v_outcome")
 def r1_published_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attempts stream in from the given table; the end state equals the batch result."""
     # The file stream source takes folders and globs; a table may be a single file.
     schema = views.table(spark, sf_dir, "lineitem").schema
-    landed = spark.readStream.schema(schema).parquet(f"{sf_dir}/lineitem.parque[t]")
-    out = scratch_path(spark, "outcomes")
-    running = progress.publish_outcomes(
-        views.attempt_rows(landed),
-        lambda: views.baselines(spark, sf_dir),
-        ["function_id"],
-        out,
-        scratch_path(spark, "outcomes-progress"),
-    )
-    running.awaitTermination()
-    current = progress.current_outcomes(spark, out, views.baselines(spark, sf_dir), ["function_id"])
+    out = _streamed(spark, f"{sf_dir}/lineitem.parque[t]", schema, {})
+    seen = progress.newest(spark, out, ["function_id"])
+    current = progress.current_outcomes(seen, views.baselines(spark, sf_dir), ["function_id"])
+    return current.select(*_OUTCOME_COLUMNS.split(", "))
+
+
+@query("r1_late_baselines", views.RESULTS_SQL + f"SELECT {_OUTCOME_COLUMNS} FROM v_outcome")
+def r1_late_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All attempts land first, over several micro-batches; the baselines come last."""
+    items = views.table(spark, sf_dir, "lineitem")
+    folder = scratch_path(spark, "landed")
+    items.repartition(4, "l_linenumber", "l_orderkey").write.parquet(folder)
+    out = _streamed(spark, folder, items.schema, {"maxFilesPerTrigger": "1"})
+    seen = progress.merged(spark, out, ["function_id"])
+    current = progress.current_outcomes(seen, views.baselines(spark, sf_dir), ["function_id"])
     return current.select(*_OUTCOME_COLUMNS.split(", "))

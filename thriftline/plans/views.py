@@ -25,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents over enough tasks for work on their text."""
-    return spread(table(spark, sf_dir, "documents"), "doc_id")
+    return spread(table(spark, sf_dir, "documents"), "doc_id")  # one file as a rule
 
 
 # --- baselines, attempts, results --------------------------------------------
@@ -53,7 +53,12 @@ def attempt_rows(lineitem: DataFrame) -> DataFrame:
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per function and number."""
-    rows = attempt_rows(table(spark, sf_dir, "lineitem")).filter(F.col("attempt") <= fixed.MAX_ATTEMPTS)
+    return every_attempt(spark, sf_dir).filter(F.col("attempt") <= fixed.MAX_ATTEMPTS)
+
+
+def every_attempt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per function and number, numbers past the limit too."""
+    rows = attempt_rows(table(spark, sf_dir, "lineitem"))
     return rows.groupBy("function_id", "attempt").agg(
         F.bool_and("test_passed").alias("test_passed"), F.min("emissions_kg").alias("emissions_kg")
     )
@@ -289,14 +294,13 @@ def requirement_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A requirements file per document, one requirement shape per line of text."""
 
     def shape(line: Column, at: Column) -> Column:
-        word = F.substring_index(line, " ", 1)
         return (
-            F.when(at % 6 == 0, F.concat(F.lower(word), F.lit("==1."), at.cast("string"), F.lit("  # pinned")))
-            .when(at % 6 == 1, F.concat(F.lit("pip install "), word))
+            F.when(at % 6 == 0, F.concat(F.lower(line), F.lit("==1."), at.cast("string"), F.lit("  # pinned")))
+            .when(at % 6 == 1, F.concat(F.lit("pip install "), line))
             .when(at % 6 == 2, F.concat(F.lit("# "), line))
-            .when(at % 6 == 3, F.lit("PyTest-cov>=2"))
-            .when(at % 6 == 4, F.concat(F.lit("\t "), word, F.lit(" \t")))
-            .otherwise(F.lit("CodeCarbon #egg=x"))
+            .when(at % 6 == 3, F.concat(F.lit("PyTest-cov>=2; "), line))
+            .when(at % 6 == 4, F.concat(F.lit("\t "), line, F.lit(" \t")))
+            .otherwise(F.concat(F.lit("CodeCarbon #egg="), line))
         )
 
     lines = F.transform(F.split("text", "\n", -1), shape)
@@ -312,12 +316,12 @@ WITH v_text AS (
   FROM documents),
 v_req AS (
   SELECT project, CAST(i + 1 AS INTEGER) AS line_no,
-         CASE i % 6 WHEN 0 THEN lower(split_part(l, ' ', 1)) || '==1.' || i || '  # pinned'
-                    WHEN 1 THEN 'pip install ' || split_part(l, ' ', 1)
+         CASE i % 6 WHEN 0 THEN lower(l) || '==1.' || i || '  # pinned'
+                    WHEN 1 THEN 'pip install ' || l
                     WHEN 2 THEN '# ' || l
-                    WHEN 3 THEN 'PyTest-cov>=2'
-                    WHEN 4 THEN chr(9) || ' ' || split_part(l, ' ', 1) || ' ' || chr(9)
-                    ELSE 'CodeCarbon #egg=x' END AS line
+                    WHEN 3 THEN 'PyTest-cov>=2; ' || l
+                    WHEN 4 THEN chr(9) || ' ' || l || ' ' || chr(9)
+                    ELSE 'CodeCarbon #egg=' || l END AS line
   FROM v_text),
 v_clean AS (
   SELECT project, line_no, trim(split_part(line, '#', 1), chr(9) || chr(10) || chr(13) || ' ' || chr(160)) AS spec
@@ -473,7 +477,7 @@ WITH v_request AS (
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assistant turns as model responses: fenced, half fenced, bare code and prose."""
+    """Turns as model responses: fenced, half fenced, bare code and prose."""
     text = F.col("text")
     raw = (
         F.when(F.col("conv_id") % 4 == 0, F.concat(F.lit("Sure:\n```python\n  "), text, F.lit("\n\n```\nbye")))
@@ -481,7 +485,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("conv_id") % 4 == 2, F.concat(F.lit("Here it is\n  def f():\n"), text, F.lit("\n")))
         .otherwise(text)
     )
-    return table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant").select("conv_id", "turn", "text", raw.alias("raw"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", raw.alias("raw"))
 
 
 RESPONSE_SQL = """
@@ -492,7 +496,7 @@ WITH v_response AS (
       WHEN 1 THEN '```' || chr(10) || text || chr(10) || '```'
       WHEN 2 THEN 'Here it is' || chr(10) || '  def f():' || chr(10) || text || chr(10)
       ELSE text END AS raw
-  FROM conversations WHERE role = 'assistant')
+  FROM conversations)
 """
 
 # --- archives ----------------------------------------------------------------

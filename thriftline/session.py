@@ -15,9 +15,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Where every shuffled piece of one side is this small, wide rows of the other
-    # side are joined without being sorted; Spark checks the sizes at run time.
-    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
+    # Folder names are names: project 007 is not the number 7.
+    "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(FRAME_BYTES),
 }
@@ -57,12 +56,12 @@ def slots(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deal rows out by a hash of ``keys`` when the input is in too few pieces.
+    """Deal rows out by a hash of ``keys``, for input that lies in too few pieces for heavy work.
 
-    A table of many files is read by many tasks anyway and is not shuffled.
+    The caller decides; operators work on the pieces they are given.  Spark joins small
+    pieces again by their bytes.
     """
-    few = min(slots(df.sparkSession), 32)
-    return df.repartition(slots(df.sparkSession), *keys) if len(df.inputFiles()) < few else df
+    return df.repartition(*keys)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

@@ -54,7 +54,7 @@ def json_of(columns: list[str]) -> Column:
 
 def quoted(value: Column) -> Column:
     """JSON string of a text column, ``null`` for NULL."""
-    return F.regexp_extract(F.to_json(F.struct(value.alias("v")), _JSON), r'\A\{"v":(.*)\}\z', 1)
+    return F.regexp_extract(F.to_json(F.struct(value.alias("v")), _JSON), r'(?s)\A\{"v":(.*)\}\z', 1)
 
 
 def _lines(section: Section, number: int) -> DataFrame:
@@ -130,7 +130,7 @@ def write_result_documents(results: DataFrame, path: str, generated_at: str) ->
     _function_document(clean, schemas.RESULT.names, "line" if "line" in clean.columns else None, generated_at, path)
 
 
-def write_savings_documents(results: DataFrame, path: str, generated_at: str, scale: int | None = None) -> None:
+def write_savings_documents(results: DataFrame, path: str, generated_at: str) -> None:
     """Savings summary as one document per project.
 
     Scalars come from one aggregate; the three lists are written row by row.  The
@@ -141,7 +141,7 @@ def write_savings_documents(results: DataFrame, path: str, generated_at: str, sc
         "reduction_pct", "success", "optimization_attempts", "skip_reason",
     )
     results = written(narrow, "records")
-    scalars = written(sanitize(summary.project_summary(results, ["project"], scale)), "scalars")
+    scalars = written(sanitize(summary.project_summary(results, ["project"])), "scalars")
     names = [c for c in scalars.columns if c != "project"]
     head, tail = names[:4], names[4:]
     opening = F.concat(

@@ -43,7 +43,7 @@ def missing_tools(requirements: DataFrame, projects: DataFrame, keys: list[str])
         return F.when(~F.coalesce(F.col(f"has_{n}"), F.lit(False)), F.lit(tool))
 
     wanted = F.array_compact(F.array(*[if_missing(n, tool) for n, tool in enumerate(fixed.REQUIRED_TOOLS)]))
-    return projects.select(*keys).join(listed, keys, "left").select(*keys, F.explode(wanted).alias("spec"))
+    return projects.select(*keys).distinct().join(listed, keys, "left").select(*keys, F.explode(wanted).alias("spec"))
 
 
 def with_required_tools(requirements: DataFrame, projects: DataFrame, keys: list[str]) -> DataFrame:
@@ -73,3 +73,15 @@ def find_requirements(projects: DataFrame, files: DataFrame) -> DataFrame:
     hits = candidates.join(named, ["archive", "file"]).groupBy("archive", "root").agg(F.min("rank").alias("rank"))
     chosen = F.when(F.col("rank") == 0, below(root)).when(F.col("rank") == 1, below(parent))
     return projects.join(hits, ["archive", "root"], "left").select("archive", "root", chosen.alias("requirements_file"))
+
+
+def project_requirements(projects: DataFrame, files: DataFrame) -> DataFrame:
+    """What to install for each ``projects(archive, root)``: the requirements of the one file that applies, then the tools it lacks.
+
+    ``files(archive, file, text)``; only the chosen files' text is read on.
+    """
+    keys = ["archive", "root"]
+    chosen = find_requirements(projects.select(*keys).distinct(), files)
+    texts = files.select("archive", F.col("file").alias("requirements_file"), "text")
+    lines = requirement_lines(chosen.join(texts, ["archive", "requirements_file"]), keys)
+    return with_required_tools(clean_requirements(lines, keys), chosen, keys)

@@ -1,67 +1,69 @@
-"""Outcomes published while attempts are still arriving.
+"""Outcomes while attempts are still arriving.
 
 The stream keeps the attempts of each function side by side (a handful of
-numbers per function), decides after every micro-batch and writes the functions
-that changed.  A batch always goes to its own folder, so a repeated batch
-replaces itself; readers take the newest row of each function.
+numbers per function) and writes those that changed after every micro-batch.  A batch
+always goes to its own folder, so a repeated batch replaces itself; readers take
+the newest row of each function and decide it against the baselines known by then, so
+an attempt that lands before its baseline counts as soon as the baseline is there.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from thriftline import fixed_values as fixed
 from thriftline.operators import outcome
+from thriftline.session import written
 
 
-def publish_outcomes(
+def publish_attempts(
     attempts: DataFrame,
-    read_baselines: Callable[[], DataFrame],
     keys: list[str],
     path: str,
     checkpoint: str,
     max_attempts: int = fixed.MAX_ATTEMPTS,
     mode: str = outcome.STRICT,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Start the job on the streaming table ``attempts``; ends when what has landed is done.
+    """Start the job on the streaming table ``attempts``.
 
-    For very many functions run it with the RocksDB state store
-    (``spark.sql.streaming.stateStore.providerClass``).
+    ``trigger`` is that of a streaming writer; by default the job ends when what has landed is done.
+    No micro-batch reads another table.  For very many functions run it with the RocksDB
+    state store (``spark.sql.streaming.stateStore.providerClass``).
     """
     side_by_side = outcome.spread_attempts(attempts, keys, max_attempts, mode)
 
     def publish(changed: DataFrame, batch_id: int) -> None:
-        known = outcome.gate_baselines(read_baselines())
-        decided = outcome.decide(known.join(changed, keys), max_attempts)
-        decided.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        changed.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return (
         side_by_side.writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint)
         .foreachBatch(publish)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
 def newest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """The newest published row of each function."""
-    published = spark.read.parquet(path)
+    published = spark.read.parquet(path).withColumn("batch", F.col("batch").cast("bigint"))
     last = published.groupBy(*keys).agg(F.max("batch").alias("batch"))
     return published.join(last, [*keys, "batch"]).drop("batch")
 
 
-def current_outcomes(
-    spark: SparkSession, path: str, baselines: DataFrame, keys: list[str], max_attempts: int = fixed.MAX_ATTEMPTS
-) -> DataFrame:
-    """Every function: its newest outcome, or the outcome of no attempts yet."""
-    seen = newest(spark, path, keys)
-    waiting = outcome.gate_baselines(baselines).join(seen.select(*keys), keys, "left_anti")
-    empty = {f"passed_{k}": F.lit(None).cast("boolean") for k in range(1, max_attempts + 1)}
-    empty.update({f"kg_{k}": F.lit(None).cast("double") for k in range(1, max_attempts + 1)})
-    empty["last_attempt"] = F.lit(None).cast("int")
-    return seen.unionByName(outcome.decide(waiting.withColumns(empty), max_attempts))
+def merged(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The newest rows as one table of their own, for readers that come often."""
+    return written(newest(spark, path, keys), "attempts")
+
+
+def current_outcomes(attempts: DataFrame, baselines: DataFrame, keys: list[str], max_attempts: int = fixed.MAX_ATTEMPTS) -> DataFrame:
+    """The outcome of every function in ``baselines`` from published ``attempts``, as the batch rule gives it."""
+    return outcome.decide(outcome.gate_baselines(baselines).join(attempts, keys, "left"), max_attempts)
+
+
+def unmatched(attempts: DataFrame, baselines: DataFrame, keys: list[str]) -> DataFrame:
+    """Published attempts of functions without a baseline so far."""
+    return attempts.join(baselines.select(*keys), keys, "left_anti")
