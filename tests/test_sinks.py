@@ -5,6 +5,7 @@ import math
 import pathlib
 
 import pytest
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from thriftline import schemas
@@ -36,10 +37,13 @@ def local(path):
 
 
 def joined(path):
-    """The documents: part files of each project in path order."""
+    """The documents: exported part files of each project in name order."""
+    spark = SparkSession.getActiveSession()
+    folder = scratch_path(spark, "exported")
+    sink.export_documents(spark, path, folder)
     whole = {}
-    for part in sorted(local(path).glob("project=*/section=*/span=*/part-*")):
-        project = part.parts[-4]
+    for part in sorted(local(folder).glob("project=*/part-*")):
+        project = part.parts[-2]
         whole[project] = whole.get(project, "") + part.read_text(encoding="utf-8")
     return {p: json.loads(t) for p, t in whole.items()}
 
@@ -86,15 +90,32 @@ def test_long_document_keeps_order_over_many_tasks(spark):
         sink.write_result_documents(rows, path, "now")
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-    assert len(list(local(path).glob("project=p/section=1-functions/span=*/part-*"))) > 3
+    assert len(list(local(path).glob("part-*"))) > 3
     functions = joined(path)["project=p"]["functions"]
     assert [f["id"] for f in functions] == [f"id{n:06}" for n in range(5000)]
     assert functions[0]["baseline_emissions_kg"] is None and functions[1]["optimized_emissions_kg"] is None
     assert list(functions[0]) == schemas.RESULT.names
-    back = documents.read_sharded_document(spark, path, "1-functions", schemas.RESULT)
+    back = documents.read_section(spark, path, "1-functions", schemas.RESULT)
     assert back.count() == 5000 and back.filter("project = 'p' and baseline_emissions_kg = 1.0").count() == 4000
 
 
+def test_odd_names_and_repeated_records_make_documents(spark):
+    kinds = "project string, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.SPEC_RESULT)
+    names = ["007", "1e3", "2024-01-01", "a\u2028b", "", None]
+    rows = [(p, "i", "f\u2028", "f", "b.py", 1, 2, "c", "", "failed", "why") for p in names for _ in range(3)]
+    path = scratch_path(spark, "t")
+    sink.write_spec_documents(spark.createDataFrame(rows, kinds), path, "now")
+    texts = {}
+    for r in sorted(sink.document_texts(spark, path).collect(), key=lambda r: r.place):
+        texts[r.project] = texts.get(r.project, "") + r.value
+    assert set(texts) == set(names)
+    for name, text in texts.items():
+        found = json.loads(text)
+        assert found["project_root"] == name and [f["name"] for f in found["functions"]] == ["f\u2028"] * 3
+    back = documents.read_section(spark, path, "1-functions", schemas.SPEC_RESULT)
+    assert sorted(str(r.project) for r in back.collect()) == sorted(str(p) for p in names for _ in range(3))
+
+
 def test_spec_document(spark):
     specs = spark.createDataFrame(
         [("p", "b", "f", "f", "b.py", 1, 2, "c", "", "failed", "why"), ("p", "a", "f", "f", "a.py", 9, 9, "c", "t", "generated", "")],

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import functools
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from thriftline import schemas
 from thriftline.functions import paths
 from thriftline.operators import generated, outcome, patching, routing, summary
-from thriftline.plans import views
+from thriftline.plans import savings_queries, views
 from thriftline.plans.registry import query
 from thriftline.session import scratch_path
 from thriftline.sinks import documents as document_sink
@@ -124,12 +127,21 @@ def s5_result_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _odd_name(project):
+    """Names that look like numbers or dates, hold a line separator, or are empty."""
+    odd = {"src1": "007", "src2": "1e3", "src3": "2024-01-01", "src4": "a\u2028b", "src5": ""}
+    name = project
+    for plain, other in odd.items():
+        name = F.when(project == plain, F.lit(other)).otherwise(name)
+    return name
+
+
 @query(
     "s6_spec_documents",
     views.SPEC_SQL
     + """
-    SELECT project, id, file, function_code, coalesce(spec_code, '') AS spec_code,
-           coalesce(status, 'failed') AS status, coalesce(error, '') AS error FROM v_spec
+    SELECT CASE project WHEN 'src1' THEN '007' WHEN 'src2' THEN '1e3' WHEN 'src3' THEN '2024-01-01' WHEN 'src4' THEN 'a' || chr(8232) || 'b' WHEN 'src5' THEN '' ELSE project END AS project, id, name, qualified_name, file, line, end_line, function_code,
+           coalesce(spec_code, '') AS spec_code, coalesce(status, 'failed') AS status, coalesce(error, '') AS error FROM v_spec
     """,
 )
 def s6_spec_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,17 +149,20 @@ def s6_spec_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         views.functions_of_documents(spark, sf_dir), views.specs_of_labels(spark, sf_dir), ["doc_id"]
     )
     root = scratch_path(spark, "spec-documents")
-    document_sink.write_spec_documents(specs, root, _STAMP)
-    read = documents.read_sharded_document(spark, root, "1-functions", schemas.SPEC_RESULT)
-    return read.select("project", "id", "file", "function_code", "spec_code", "status", "error")
+    document_sink.write_spec_documents(specs.withColumn("project", _odd_name(F.col("project"))), root, _STAMP)
+    read = documents.read_section(spark, root, "1-functions", schemas.SPEC_RESULT)
+    return read.select(
+        "project", "id", "name", "qualified_name", "file", "line", "end_line", "function_code", "spec_code", "status", "error"
+    )
 
 
 @query(
     "s7_result_documents",
     views.RESULTS_SQL
     + """
-    SELECT project, id, file, CASE WHEN function_id % 10 <> 0 THEN baseline_emissions_kg END AS baseline_emissions_kg,
-           optimized_emissions_kg, success, optimization_attempts, skip_reason FROM v_result
+    SELECT project, id, coalesce(name, '') AS name, file, function_code, spec_code,
+           CASE WHEN success THEN optimized_function_code ELSE function_code END AS optimized_function_code,
+           CASE WHEN function_id % 10 <> 0 THEN baseline_emissions_kg END AS baseline_emissions_kg, optimized_emissions_kg, success, optimization_attempts, skip_reason FROM v_result
     """,
 )
 def s7_result_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,27 +171,62 @@ def s7_result_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = routing.final_records(results, ["project", "function_id"]).withColumn("baseline_emissions_kg", unclean)
     root = scratch_path(spark, "result-documents")
     document_sink.write_result_documents(records.drop("function_id"), root, _STAMP)
-    read = documents.read_sharded_document(spark, root, "1-functions", schemas.RESULT)
+    read = documents.read_section(spark, root, "1-functions", schemas.RESULT)
     return read.select(
-        "project", "id", "file", "baseline_emissions_kg", "optimized_emissions_kg", "success",
-        "optimization_attempts", "skip_reason",
+        "project", "id", "name", "file", "function_code", "spec_code", "optimized_function_code", "baseline_emissions_kg",
+        "optimized_emissions_kg", "success", "optimization_attempts", "skip_reason",
     )
 
 
-@query(
-    "s8_savings_documents",
-    views.RESULTS_SQL
-    + """
-    SELECT project, id, name, file, CASE WHEN success THEN baseline_emissions_kg - optimized_emissions_kg END AS co2_saved_kg,
-           CASE WHEN NOT success THEN skip_reason END AS reason FROM v_result
-    """,
-)
+_S8_ORDERED = """
+    SELECT project, 'optimized' AS section, row_number() OVER (PARTITION BY project ORDER BY -reduction_pct NULLS LAST, file, line, id) AS position,
+           id, name, file, baseline_emissions_kg - optimized_emissions_kg AS co2_saved_kg, NULL AS reason FROM v_result WHERE success
+    UNION ALL
+    SELECT project, 'skipped', row_number() OVER (PARTITION BY project ORDER BY file, line, id), id, name, file, NULL, skip_reason
+    FROM v_result WHERE NOT success
+    UNION ALL
+    SELECT project, 'files', row_number() OVER (PARTITION BY project ORDER BY file), NULL, NULL, file, NULL, NULL
+    FROM (SELECT DISTINCT project, file FROM v_result WHERE success)
+    UNION ALL
+    SELECT project, 'summary', total_functions_analyzed, NULL, NULL, NULL, total_co2_saved_kg, NULL
+    FROM v_total JOIN (SELECT project, count(*) AS total_functions_analyzed FROM v_result GROUP BY project) USING (project)
+    UNION ALL
+    SELECT project, 'credit', functions_with_measurements, NULL, NULL, NULL, total_co2_saved_kg / 1000 * CAST(65.0 AS DOUBLE), NULL FROM v_total
+"""
+
+
+@query("s8_savings_documents", savings_queries.TOTALS_SQL + _S8_ORDERED)
 def s8_savings_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written, then read back: both lists and the files with their order, the summary and the costs."""
     root = scratch_path(spark, "savings-documents")
     document_sink.write_savings_documents(views.results(spark, sf_dir), root, _STAMP)
     record = "id string, name string, file string, co2_saved_kg double, reason string"
-    saved = documents.read_sharded_document(spark, root, "3-optimized", record)
-    return saved.unionByName(documents.read_sharded_document(spark, root, "5-skipped", record))
+    within = Window.partitionBy("project").orderBy("place")
+
+    def listed(section: str, name: str) -> DataFrame:
+        found = documents.read_section(spark, root, section, record).withColumn("position", F.row_number().over(within).cast("bigint"))
+        file = F.coalesce("file", F.from_json(F.concat(F.lit('{"f":'), "raw", F.lit("}")), "f string")["f"])
+        return found.select(
+            "project", F.lit(name).alias("section"), "position", "id", "name", file.alias("file"), "co2_saved_kg", "reason"
+        )
+
+    money = T.StructType([T.StructField("eu_ets_carbon_credit_value_usd", T.DoubleType())])
+    costs = T.StructType([T.StructField("per_benchmark_run", money)])
+    head = documents.read_savings(spark, root, (document_sink.SUMMARY_HEAD, document_sink.SUMMARY_TAIL), costs)
+    none = F.lit(None).cast("string")
+
+    def scalar(name: str, number: str, value) -> DataFrame:
+        return head.select(
+            "project", F.lit(name).alias("section"), F.col(number).cast("bigint").alias("position"), none.alias("id"), none.alias("name"),
+            none.alias("file"), value.alias("co2_saved_kg"), none.alias("reason"),
+        )
+
+    parts = [
+        listed("3-optimized", "optimized"), listed("5-skipped", "skipped"), listed("1-files", "files"),
+        scalar("summary", "total_functions_analyzed", F.col("total_co2_saved_kg")),
+        scalar("credit", "functions_with_measurements", F.col("cost_estimates.per_benchmark_run.eu_ets_carbon_credit_value_usd")),
+    ]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 @query(

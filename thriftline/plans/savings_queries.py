@@ -131,7 +131,7 @@ def a4_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patching.by_file(wins, ["project", "file"], ["line", "id"]).drop("line")
 
 
-_TOTALS_SQL = (
+TOTALS_SQL = (
     views.RESULTS_SQL
     + f"""
     , v_part AS (SELECT DISTINCT project FROM v_result),
@@ -147,7 +147,7 @@ _TOTALS_SQL = (
 )
 
 
-@query("a5_totals", _TOTALS_SQL + "SELECT * FROM v_total")
+@query("a5_totals", TOTALS_SQL + "SELECT * FROM v_total")
 def a5_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.totals(views.results(spark, sf_dir), ["project"])
 
@@ -180,7 +180,7 @@ _REDUCTIONS = f"""
 
 @query(
     "a6_reductions",
-    _TOTALS_SQL
+    TOTALS_SQL
     + f"SELECT p.project, {_REDUCTIONS} FROM v_part p LEFT JOIN v_measured m ON m.project = p.project GROUP BY p.project",
 )
 def a6_reductions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,7 +253,7 @@ def a10_success_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SUMMARY_SQL = (
-    _TOTALS_SQL
+    TOTALS_SQL
     + f"""
     , v_counts AS (SELECT project, {_COUNTS} FROM v_result GROUP BY project),
     v_reductions AS (SELECT p.project, {_REDUCTIONS} FROM v_part p LEFT JOIN v_measured m ON m.project = p.project GROUP BY p.project),

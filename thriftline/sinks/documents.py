@@ -1,9 +1,10 @@
 """JSON documents written by many tasks.
 
-A document of one project may be larger than a task can hold, so it is written as
-text files that give the document when joined in path order:
-``project=<p>/section=<n>-<name>/span=<m>/part-*.txt``.  Every record has a line of
-its own.
+A document of one project may be larger than a task can hold, so documents are kept as a
+table of lines, ``project, section, is_list, place, line``, in the order of ``place``: ranges of
+the sort order, each sorted by one task.  Lines cross the network once and are written
+once, projects share files, and every record has a line of its own.
+:func:`document_texts` adds the commas and :func:`export_documents` writes JSON files.
 """
 
 from __future__ import annotations
@@ -11,18 +12,24 @@ from __future__ import annotations
 import functools
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thriftline import schemas
 from thriftline.functions.numbers import sanitize
 from thriftline.operators import impact, summary
-from thriftline.operators.numbering import numbered
 from thriftline.operators.routing import skipped_summary
 from thriftline.session import written
 
 _JSON = {"ignoreNullFields": "false"}
 
+#: Scalars of a savings summary, before and after its list of files.
+SUMMARY_HEAD = ["total_functions_analyzed", "functions_optimized", "functions_skipped", "success_rate_pct"]
+SUMMARY_TAIL = [
+    "functions_with_measurements", "avg_co2_reduction_pct", "max_co2_reduction_pct", "min_co2_reduction_pct",
+    "total_baseline_emissions_kg", "total_optimized_emissions_kg", "total_co2_saved_kg", "total_co2_saved_g",
+]
+
 
 @dataclass(frozen=True)
 class Section:
@@ -73,26 +80,28 @@ def _lines(section: Section, number: int) -> DataFrame:
 
 
 def write_document(sections: list[Section], path: str) -> None:
-    """Write the sections in order.
-
-    All lines are numbered and sorted together, in ranges that go to separate
-    tasks; a list may be of any length.
-    """
+    """Write the sections in order, all lines in one sort; a list may be of any length."""
     lines = functools.reduce(DataFrame.unionByName, [_lines(s, n) for n, s in enumerate(sections)])
-    order = [F.col("number").asc_nulls_last(), F.col("text"), F.col("at"), F.col("tie")]
-    placed = numbered(lines, ["project", "section"], order, span="span")
-    comma = F.when(F.col("is_list") & (F.col("position") > 1), F.lit(",")).otherwise(F.lit(""))
-    folders = ["project", "section", "span"]
-    ready = placed.select(
-        "project",
-        "section",
-        F.lpad(F.col("span").cast("string"), 7, "0").alias("span"),
-        "position",
-        F.concat(comma, F.col("line")).alias("value"),
-    )
-    # A span goes to one task whole, so that it becomes one file in order.
-    in_order = ready.repartition(*folders).sortWithinPartitions(*folders, "position").select(*folders, "value")
-    in_order.write.mode("overwrite").partitionBy(*folders).text(path)
+    order = ["project", "section", F.col("number").asc_nulls_last(), "text", "at", "tie", "line"]
+    placed = lines.repartitionByRange(*order).sortWithinPartitions(*order)
+    kept = placed.select("project", "section", "is_list", F.monotonically_increasing_id().alias("place"), "line")
+    kept.write.mode("overwrite").parquet(path)
+
+
+def document_texts(spark: SparkSession, path: str) -> DataFrame:
+    """``(project, place, value)``: lines that give each project's JSON document when joined in order."""
+    rows = spark.read.parquet(path)
+    lists = rows.filter("is_list").select(F.col("project").alias("_project"), F.col("section").alias("_section"), "place")
+    first = lists.groupBy("_project", "_section").agg(F.min("place").alias("_first"))
+    same = F.col("project").eqNullSafe(F.col("_project")) & (F.col("section") == F.col("_section"))
+    comma = F.when(F.col("place") > F.col("_first"), F.lit(",")).otherwise(F.lit(""))
+    return rows.join(first, same, "left").select("project", "place", F.concat(comma, "line").alias("value"))
+
+
+def export_documents(spark: SparkSession, path: str, folder: str) -> None:
+    """JSON text files, a folder for each project; a long document is several files in name order."""
+    texts = document_texts(spark, path).repartitionByRange("project", "place").sortWithinPartitions("project", "place")
+    texts.select("project", "value").write.mode("overwrite").partitionBy("project").text(folder)
 
 
 def _opening(generated_at: str) -> Column:
@@ -142,8 +151,7 @@ def write_savings_documents(results: DataFrame, path: str, generated_at: str) ->
     )
     results = written(narrow, "records")
     scalars = written(sanitize(summary.project_summary(results, ["project"])), "scalars")
-    names = [c for c in scalars.columns if c != "project"]
-    head, tail = names[:4], names[4:]
+    head, tail = SUMMARY_HEAD, SUMMARY_TAIL
     opening = F.concat(
         F.lit(f'{{"generated_at":"{generated_at}","project_root":'),
         quoted(F.col("project")),

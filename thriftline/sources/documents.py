@@ -29,17 +29,37 @@ def parse_documents(table: DataFrame, column: str, schema: T.StructType, keys: l
     return parsed.select(*keys, F.col("document.project_root"), F.inline("document.functions"))
 
 
-def read_sharded_document(spark: SparkSession, path: str, section: str, schema: T.StructType) -> DataFrame:
-    """Records of one section of documents written by ``sinks.documents``.
+def read_section(spark: SparkSession, path: str, section: str, schema: T.StructType | str) -> DataFrame:
+    """Records of one section of documents written by ``sinks.documents``, with their ``place``.
 
-    Every record sits on a line of its own, so even one huge document is read by
-    many tasks.
+    Every record is a row of its own, so even one huge document is read by many tasks.
     """
-    lines = spark.read.text(path)
-    record = F.regexp_replace(F.col("value"), r"\A,", "")
-    rows = lines.filter((F.col("section") == section) & F.startswith(record, F.lit("{")))
-    return rows.select(F.col("project").cast("string").alias("project"), F.from_json(record, schema).alias("r")).select(
-        "project", "r.*"
+    rows = spark.read.parquet(path).filter(F.col("section") == section)
+    parsed = F.from_json(F.when(F.startswith("line", F.lit("{")), F.col("line")), schema)
+    return rows.select("project", "place", parsed.alias("r"), F.col("line").alias("raw")).select(
+        "project", "place", "r.*", "raw"
+    )
+
+
+def read_savings(spark: SparkSession, path: str, names: tuple[list[str], list[str]], costs: T.DataType) -> DataFrame:
+    """One row a project: when it was made, every scalar of its summary and its ``cost_estimates``.
+
+    ``names`` are the scalars before and after the file list.
+    """
+    head, tail = (T.StructType([T.StructField(n, T.DoubleType()) for n in part]) for part in names)
+    text = T.StringType()
+    opening = T.StructType([T.StructField("generated_at", text), T.StructField("project_root", text), T.StructField("summary", head)])
+    middle = T.StructType([T.StructField("summary", tail), T.StructField("cost_estimates", costs)])
+    rows = spark.read.parquet(path)
+    first = rows.filter(F.col("section") == "0-open").select(
+        F.col("project").alias("_project"), F.from_json(F.concat("line", F.lit("]}}")), opening).alias("a")
+    )
+    second = rows.filter(F.col("section") == "2-costs").select(
+        "project",
+        F.from_json(F.concat(F.lit('{"summary":{'), F.substring(F.col("line"), 3, 2147483647), F.lit("]}")), middle).alias("b"),
+    )
+    return second.join(first, F.col("project").eqNullSafe(F.col("_project"))).select(
+        "project", "a.generated_at", "a.project_root", "a.summary.*", "b.summary.*", "b.cost_estimates"
     )
 
 
