@@ -219,6 +219,16 @@ def locate(requests: DataFrame, files: DataFrame, how: str = "any") -> DataFrame
     return requests.drop("line", "end_line").join(ranges, keys, "left")
 
 
+def locate_known(requests: DataFrame, functions: DataFrame) -> DataFrame:
+    """Line range of each ``requests(project, file, qualified_name, line)`` from a catalogue that is there already.
+
+    Numbers and names are joined; no text is read or parsed.
+    """
+    keys = ["project", "file", "qualified_name", "line"]
+    ends = functions.groupBy(*keys).agg(F.max("end_line").alias("end_line"))
+    return requests.drop("end_line").join(ends, keys, "left")
+
+
 def located(matches: DataFrame) -> DataFrame:
     return matches.filter(F.col("end_line").isNotNull())
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thriftline.functions import paths
 from thriftline.functions import text as tx
 from thriftline.functions.text import let
-from thriftline.operators.numbering import numbered
+from thriftline.sources import decode
 
 FILE = ["project", "file"]
 
@@ -28,8 +28,13 @@ def by_common_margin(code: Column, indent: Column) -> Column:
 
 
 def by_file(results: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Accepted functions with their place in their file and the file's count."""
-    return numbered(results, keys, [F.col(c) for c in order], position="position", size="in_file")
+    """Accepted functions with their place in their file and the file's count.
+
+    A group is one file's functions, so a plain window is enough.
+    """
+    whole = Window.partitionBy(*keys)
+    place = F.row_number().over(whole.orderBy(*order)).cast("bigint")
+    return results.withColumns({"position": place, "in_file": F.count(F.lit(1)).over(whole)})
 
 
 def single_patches(patches: DataFrame, keys: list[str] = FILE) -> DataFrame:
@@ -143,6 +148,20 @@ def mirror(files: DataFrame, patches: DataFrame, keys: list[str] = FILE) -> Data
     ).drop("patches")
 
 
+def mirror_content(files: DataFrame, patches: DataFrame, keys: list[str] = FILE) -> DataFrame:
+    """:func:`mirror` over ``files(project, file, content)`` in bytes: only patched files are decoded, after the join.
+
+    A patched file that is no text stays as it is.
+    """
+    kept = files.filter(paths.in_mirror(F.col("file")))
+    joined = kept.join(patches_per_file(patches, keys), keys, "left")
+    touched = joined.withColumn("_touched", F.when(F.col("patches").isNotNull(), F.col("content")))
+    text = decode.decode(touched, "_touched")
+    patched = F.col("patches").isNotNull() & F.col("text").isNotNull()
+    changed = F.when(patched, F.encode(splice(F.col("text"), F.col("patches")), "UTF-8")).otherwise(F.col("content"))
+    return text.select(*keys, changed.alias("content"), patched.alias("patched"))
+
+
 def patch_rows(located: DataFrame, file: Column, code: str = "optimized_function_code", seq: str = "id") -> DataFrame:
     """Patches from located rewrites; of two for one range the higher ``seq`` will stand."""
     return located.select(

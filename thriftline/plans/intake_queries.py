@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import functools
+import io
+import zipfile
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,9 +15,9 @@ from pyspark.sql import types as T
 from thriftline import schemas
 from thriftline.functions import paths
 from thriftline.operators import generated, outcome, patching, routing, summary
-from thriftline.plans import savings_queries, views
+from thriftline.plans import lifecycle, savings_queries, views
 from thriftline.plans.registry import query
-from thriftline.session import scratch_path
+from thriftline.session import scratch_path, written
 from thriftline.sinks import documents as document_sink
 from thriftline.sinks import trees
 from thriftline.sources import archives, decode, documents, requirements, tree
@@ -238,6 +242,86 @@ def s9_mirrored_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mirrored.select("project", "file", "patched", F.md5("text").alias("digest"))
 
 
+_S9_SHAPE = """
+    WITH v_doc AS (SELECT doc_id, 'a' || doc_id || '.zip' AS project, n_chars FROM documents),
+    v_code AS (
+      SELECT *, 'x = ' || n_chars || chr(10) || 'def f():' || chr(10) || '    return ' || n_chars || chr(10) AS old,
+             'x = ' || n_chars || chr(10) || 'def f():' || chr(10) || '    return -' || doc_id || chr(10) AS new FROM v_doc)
+"""
+
+
+def _opened(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Archives of a module, a broken module and a note; accepted rewrites, some of functions or files that are not there."""
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for number, size in frame.itertuples(index=False):
+                held = io.BytesIO()
+                with zipfile.ZipFile(held, "w") as archive:
+                    archive.writestr("app/m.py", f"x = {size}\ndef f():\n    return {size}\n")
+                    archive.writestr("app/bad.py", f"def {number}(")
+                    archive.writestr("app/latin.py", b"# \xff")
+                    archive.writestr("NOTE.md", str(number))
+                rows.append((f"a{number}.zip", held.getvalue() if number % 10 != 9 else b"no archive"))
+            yield pd.DataFrame(rows, columns=["path", "content"])
+
+    docs = views.texts(spark, sf_dir).select("doc_id", "n_chars")
+    members = written(archives.expand_archives(docs.mapInPandas(pack, "path string, content binary")), "members")
+    files = written(lifecycle.project_files(members), "files")
+    extracted = written(lifecycle.extracted_of(files), "functions")
+    number = F.col("doc_id").cast("string")
+
+    def win(name: str, file: str, line: int, code):
+        return F.struct(
+            F.lit(name).alias("qualified_name"), F.lit(file).alias("file"), F.lit(line).alias("line"), code.alias("optimized_function_code")
+        )
+
+    wins = F.array(
+        win("f", "m.py", 2, F.concat(F.lit("def f():\n    return -"), number)), win("g", "m.py", 9, F.lit("def g(): pass")),
+        win("h", "gone.py", 1, F.lit("def h(): pass")),
+    )
+    results = docs.filter("doc_id % 10 != 9").select(
+        F.concat(F.lit("a"), number, F.lit(".zip")).alias("project"), F.lit(True).alias("success"), F.inline(wins)
+    )
+    return members, files, extracted, results.withColumn("id", F.concat(F.lit("m."), "qualified_name"))
+
+
+@query(
+    "s9_lifecycle_tree",
+    _S9_SHAPE
+    + """
+    SELECT project, 'app/m.py' AS file, true AS patched, md5(new) AS digest FROM v_code WHERE doc_id % 10 <> 9
+    UNION ALL SELECT project, 'app/bad.py', false, md5('def ' || doc_id || '(') FROM v_code WHERE doc_id % 10 <> 9
+    UNION ALL SELECT project, 'app/latin.py', false, md5('\\x23\\x20\\xFF'::BLOB) FROM v_code WHERE doc_id % 10 <> 9
+    UNION ALL SELECT project, 'NOTE.md', false, md5(CAST(doc_id AS VARCHAR)) FROM v_code WHERE doc_id % 10 <> 9
+    """,
+)
+def s9_lifecycle_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From archives to the patched tree, with the catalogue of phase one."""
+    _, files, extracted, results = _opened(spark, sf_dir)
+    tree_ = lifecycle.mirrored(results, files, functions=extracted.filter("error IS NULL"))
+    return tree_.select("project", "file", "patched", F.md5("content").alias("digest"))
+
+
+@query(
+    "s9_lifecycle_rejects",
+    _S9_SHAPE
+    + """
+    SELECT project, 'latin.py' AS file, NULL AS name, 'not valid UTF-8' AS reason FROM v_doc WHERE doc_id % 10 <> 9
+    UNION ALL SELECT project, 'bad.py', NULL, 'SyntaxError' FROM v_doc WHERE doc_id % 10 <> 9
+    UNION ALL SELECT project, 'm.py', 'g', 'function not found in file' FROM v_doc WHERE doc_id % 10 <> 9
+    UNION ALL SELECT project, 'gone.py', 'h', 'file not found' FROM v_doc WHERE doc_id % 10 <> 9
+    UNION ALL SELECT project, NULL, NULL, 'File is not a zip file' FROM v_doc WHERE doc_id % 10 = 9
+    """,
+)
+def s9_lifecycle_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the same run leaves out, each with its reason."""
+    members, files, extracted, results = _opened(spark, sf_dir)
+    found = lifecycle.rejects(results, files, extracted, members)
+    return found.withColumn("reason", F.substring_index("reason", ":", 1))
+
+
 @query("s10_requirement_lines", views.REQUIREMENT_SQL + "SELECT project, line_no, line FROM v_req")
 def s10_requirement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requirements.requirements_of_tree(views.requirement_files(spark, sf_dir)).drop("file")

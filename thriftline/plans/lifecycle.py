@@ -6,6 +6,8 @@ save it where it belongs) when more than one later step reads it.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,11 +57,15 @@ def _placed(placed: DataFrame) -> DataFrame:
     )
 
 
-def functions_of(files: DataFrame) -> DataFrame:
-    """Phase one: the function catalogue of decoded source files."""
+def extracted_of(files: DataFrame) -> DataFrame:
+    """Phase one: functions of decoded source files, and error rows for what does not parse."""
     sources = tree.keep_source_files(files.filter(F.col("file").isNotNull()))
-    texts = decode.accepted(decode.decode(sources))
-    return catalog.catalogue(catalog.extract_functions(texts))
+    return catalog.extract_functions(decode.accepted(decode.decode(sources)))
+
+
+def functions_of(files: DataFrame) -> DataFrame:
+    """The function catalogue of decoded source files."""
+    return catalog.catalogue(extracted_of(files))
 
 
 def results_of(
@@ -90,24 +96,61 @@ def results_of(
     return routing.all_records(skipped, routing.final_records(coded, ["project", "line"]))
 
 
+_WIN = ["project", "file", "id", "line", "qualified_name", "optimized_function_code"]
+
+
 def _rewrites(results: DataFrame, texts: DataFrame, how: str) -> DataFrame:
     """Accepted rewrites with their line ranges in decoded files."""
-    columns = ["project", "file", "id", "line", "qualified_name", "optimized_function_code"]
-    wins = routing.rewrites(results).select(*columns)
-    return catalog.located(catalog.locate(wins, texts, how))
+    return catalog.located(catalog.locate(routing.rewrites(results).select(*_WIN), texts, how))
+
+
+def _ranges(results: DataFrame, files: DataFrame, functions: DataFrame | None, how: str) -> DataFrame:
+    """Accepted rewrites with line ranges, NULL where there is none."""
+    wins = routing.rewrites(results).select(*_WIN)
+    if functions is not None and how == "exact":
+        return catalog.locate_known(wins, functions)
+    texts = decode.decode(files).filter(F.col("text").isNotNull() & F.col("file").isNotNull())
+    return catalog.locate(wins, texts.select("project", "file", "text"), how)
 
 
-def mirrored(results: DataFrame, files: DataFrame, how: str = "exact") -> DataFrame:
-    """Phase three: the archive's tree with accepted rewrites spliced in."""
-    texts = decode.decode(files)
-    source = texts.filter(F.col("text").isNotNull() & F.col("file").isNotNull()).select("project", "file", "text")
+def mirrored(results: DataFrame, files: DataFrame, how: str = "exact", functions: DataFrame | None = None) -> DataFrame:
+    """Phase three: the archive's tree with accepted rewrites spliced in.
+
+    With the catalogue of phase one in ``functions`` nothing is parsed again; contents cross the
+    network once and only patched files are decoded.
+    """
     roots = written(files.select("project", "project_rel").distinct(), "roots")
-    placed = _rewrites(results, source, how).join(roots, "project")
+    placed = catalog.located(_ranges(results, files, functions, how)).join(roots, "project")
     patches = patching.patch_rows(placed, paths.rebase(F.col("project_rel"), F.col("file")))
-    whole = texts.select("project", F.col("archive_file").alias("file"), "text", "content")
-    spliced = patching.mirror(whole, patches)
-    changed = F.when(F.col("patched"), F.encode(F.col("text"), "UTF-8")).otherwise(F.col("content"))
-    return spliced.select("project", "file", changed.alias("content"), "patched")
+    whole = files.select("project", F.col("archive_file").alias("file"), "content")
+    return patching.mirror_content(whole, patches)
+
+
+def rejects(
+    results: DataFrame, files: DataFrame, extracted: DataFrame, members: DataFrame | None = None, how: str = "exact"
+) -> DataFrame:
+    """``(project, file, name, reason)`` of everything the phases left out.
+
+    Archives and members that cannot be read (of ``members``), source files that are no text, files and
+    functions that do not parse (of ``extracted``, the output of ``catalog.extract_functions``), accepted rewrites
+    whose file is not there or in which they were not found, and rewrites that overlap others.
+    """
+    none = F.lit(None).cast("string")
+    sources = tree.keep_source_files(files.filter(F.col("file").isNotNull()))
+    undecoded = decode.rejected(decode.decode(sources), ["project", "file"]).withColumn("name", none)
+    unparsed = catalog.unparsable(extracted).select("project", "file", F.col("qualified_name").alias("name"), F.col("error").alias("reason"))
+    wins = routing.rewrites(results).select(*_WIN)
+    lost = routing.missing_targets(wins, files.filter(F.col("file").isNotNull()))
+    here = wins.join(files.select("project", "file"), ["project", "file"], "left_semi")
+    ranges = catalog.locate_known(here, catalog.catalogue(extracted)) if how == "exact" else _ranges(here, files, None, how)
+    unfound = catalog.not_located(ranges)
+    patches = patching.patch_rows(catalog.located(ranges), F.col("file"))
+    inner = patching.overlapped(patches).select("project", "file", F.col("seq").alias("name"), "reason")
+    parts = [undecoded, unparsed, inner, *(d.select("project", "file", F.col("qualified_name").alias("name"), "reason") for d in (lost, unfound))]
+    if members is not None:
+        bad = members.filter(F.col("error").isNotNull())
+        parts.append(bad.select(F.col("archive").alias("project"), "file", none.alias("name"), F.col("error").alias("reason")))
+    return functools.reduce(DataFrame.unionByName, [p.select("project", "file", "name", "reason") for p in parts])
 
 
 def rewritten_in_place(results: DataFrame, files: DataFrame) -> DataFrame:
