@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from thriftline import fixed_values as fixed
@@ -10,7 +10,6 @@ from thriftline.functions import numbers as nm
 from thriftline.functions import paths
 from thriftline.functions import text as tx
 from thriftline.operators import catalog, generated, patching, routing
-from thriftline.operators.numbering import numbered
 from thriftline.plans import views
 from thriftline.plans.registry import query
 from thriftline.sources import projects, requirements
@@ -469,8 +468,9 @@ def j8_project_root(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def v3_candidate_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     folders = projects.candidate_folders(_members(spark, sf_dir)).filter((F.col("folder") != "") & ~F.col("hidden"))
-    placed = numbered(folders.drop("hidden"), ["archive"], [F.col("folder")])
-    return placed.select("archive", "folder", "has_python", "has_requirements", "position")
+    # A group is one archive's top folders.
+    place = F.row_number().over(Window.partitionBy("archive").orderBy("folder")).cast("bigint")
+    return folders.select("archive", "folder", "has_python", "has_requirements", place.alias("position"))
 
 
 # --- text to values ----------------------------------------------------------

@@ -330,11 +330,16 @@ def s10_requirement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "s11_report_rows",
     views.RESULTS_SQL
-    + "SELECT project, coalesce(name, 'm' || file_id) AS name, file, 'optimised' AS status FROM v_result WHERE success",
+    + """
+    SELECT CASE project WHEN '2-HIGH' THEN '007' WHEN '3-MEDIUM' THEN '1e3' WHEN '5-LOW' THEN '' ELSE '2024-01-01' END AS project,
+           coalesce(name, 'm' || file_id) AS name, file, 'optimised' AS status FROM v_result WHERE success
+    """,
 )
 def s11_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "report")
-    trees.write_table(summary.report_rows(views.results(spark, sf_dir), ["project"]), root)
+    rows = summary.report_rows(views.results(spark, sf_dir), ["project"])
+    odd = F.when(F.col("project") == "2-HIGH", "007").when(F.col("project") == "3-MEDIUM", "1e3").when(F.col("project") == "5-LOW", "")
+    trees.write_table(rows.withColumn("project", odd.otherwise("2024-01-01")), root)
     return spark.read.parquet(root).select("project", "name", "file", "status")
 
 
