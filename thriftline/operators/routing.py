@@ -27,8 +27,13 @@ def skip_reason(status: Column, spec: Column, has_source: Column) -> Column:
 
 def route(functions: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
     """Functions with ``skip_reason``; eligible ones have none."""
-    flagged = with_source_flag(functions, files, keys)
-    return flagged.withColumn("skip_reason", skip_reason(F.col("status"), F.col("spec_code"), F.col("has_source")))
+    return routed(with_source_flag(functions, files, keys))
+
+
+def routed(flagged: DataFrame) -> DataFrame:
+    """The same for functions that have ``has_source`` already."""
+    here = F.coalesce("has_source", F.lit(False))
+    return flagged.withColumn("skip_reason", skip_reason(F.col("status"), F.col("spec_code"), here))
 
 
 def with_failures(routed: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:

@@ -84,7 +84,10 @@ def results_of(
     has ``run_id, seq, log_line`` besides, ``run_ends`` has ``elapsed_s, error_text``.
     """
     specs = generated.check_generated(responses)
-    routed = routing.route(generated.attach_specs(functions, specs, KEYS), files, ["project", "file"])
+    # Whether a file is there is found out on narrow keys; the wide rows stay partitioned by KEYS throughout.
+    present = routing.with_source_flag(functions.select(*KEYS, "file"), files, ["project", "file"])
+    flags = present.groupBy(*KEYS).agg(F.bool_or("has_source").alias("has_source"))
+    routed = routing.routed(generated.attach_specs(functions, specs, KEYS).join(flags, KEYS, "left"))
     if run_ends is not None:
         routed = routing.with_failures(routed, run_ends, KEYS)
     skipped = routing.skipped_records(routed, ["project", "line"])
