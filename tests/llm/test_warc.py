@@ -25,7 +25,7 @@ def test_text_links_and_headers(spark):
     found = build(spark, rows)
     assert len(found) == 10
     text, meta = found["<urn:1>", "conversion"], found["<urn:1>", "metadata"]
-    assert text.block == "Top\nOne two boldé&#x41;\nnext\na\nb\nc d\nl m 1 < 2"
+    assert text.block == "Top\nOne two boldé&#x41;\nnext\na\nb\nc\nd\nl m 1 < 2"
     assert f"source-payload-digest: sha256:{hashlib.sha256(HTML.encode()).hexdigest()}\r\n" in meta.block
     assert f"source-block-digest: sha256:{hashlib.sha256(http.encode()).hexdigest()}\r\n" in meta.block
     assert "source-http: HTTP/1.1 200 OK\r\nsource-http: Content-Type: text/html\r\nsource-http: X-A: b\r\n" in meta.block

@@ -20,13 +20,16 @@ def _rules(text: str, rules: list[tuple[str, str]]) -> str:
 
 
 def _references(text: str) -> str:
-    for name, character in warc.NAMED.items():
-        text = f"replace({text}, {_quoted(name)}, {_quoted(character)})"
-    numbers = f"list_sort(list_distinct(regexp_extract_all({text}, {_quoted(warc.NUMERIC)})))"
-    code = "CAST(regexp_extract(ref, '[0-9]+') AS INTEGER)"
-    usable = f"{code} > 0 AND {code} < 1114112 AND NOT {code} BETWEEN 55296 AND 57343"
-    step = f"lambda t, ref: CASE WHEN {usable} THEN replace(t, ref, chr({code})) ELSE t END"
-    return f"replace(list_reduce(list_concat([{text}], {numbers}), {step}), '&amp;', '&')"
+    number = "TRY_CAST(nullif(regexp_extract(name, '^#([0-9]+)$', 1), '') AS INTEGER)"
+    usable = f"{number} > 0 AND {number} < 1114112 AND NOT {number} BETWEEN 55296 AND 57343"
+    named = " ".join(f"WHEN name = {_quoted(n)} THEN {_quoted(c)}" for n, c in warc.NAMED.items())
+    character = f"CASE {named} WHEN {usable} THEN chr({number}) END"
+    read = f"list_transform([regexp_extract(part, {_quoted(warc.REFERENCE)}, 1)], lambda name: coalesce({character} || substr(part, length(name) + 2), '&' || part))[1]"
+    return f"array_to_string(list_transform(string_split({text}, '&'), lambda part, pos: CASE WHEN pos = 1 THEN part ELSE {read} END), '')"
+
+
+def _settled(text: str) -> str:
+    return f"trim({_rules(text, warc.COLLAPSE)}, chr(32) || chr(10))"
 
 
 def _uuid(name: str) -> str:
@@ -64,12 +67,12 @@ def _derivatives() -> str:
         FROM pages
     ), sent AS (
         SELECT *, 'HTTP/1.1 200 OK' || {_END} || 'Content-Type: text/html; charset=utf-8' || {_END}
-            || 'Content-Length: ' || strlen(body) AS head, {_rules('body', warc.HIDDEN)} AS shown
+            || 'Content-Length: ' || strlen(body) AS head, {_rules('body', [(warc.HIDDEN, '')])} AS shown
         FROM given
     ), parsed AS (
         SELECT *, 'sha256:' || sha256(head || {_END} || {_END} || body) AS http_digest, 'sha256:' || sha256(body) AS body_digest,
-            {_rules(_references(_rules('shown', warc.SHOWN)), warc.COLLAPSE)} AS plain,
-            {_rules(_references(f"regexp_extract(shown, {_quoted(warc.TITLE)}, 1)"), [(r"\s+", " "), *warc.COLLAPSE])} AS title,
+            {_settled(_references(_rules('shown', warc.TAGS)))} AS plain,
+            {_settled(_references(f"regexp_extract(body, {_quoted(warc.TITLE)}, 1)"))} AS title,
             list_filter(regexp_extract_all(shown, {_quoted(warc.HREF)}, 1), lambda x: NOT regexp_matches(x, '[[:space:]]')) AS links,
             {_uuid("'conversion|' || id")} AS conversion, {_uuid("'metadata|' || id")} AS metadata
         FROM sent

@@ -18,34 +18,41 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from thriftline.functions.text import let
+
 RESPONSE = "record_id string, target_uri string, date string, http string"
 CRLF = "\r\n"
 
 _ATTRIBUTES = r"""[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*"""
-#: Patterns and what replaces them, in order; they read the same to Java and RE2.
-HIDDEN = [
-    (r"(?s)<!--.*?(?:-->|\z)", ""),
-    *[(rf"(?is)<{tag}\b.*?(?:</{tag}\s*>|\z)", "") for tag in ("script", "style", "noscript", "template")],
-]
-SHOWN = [
-    (r"(?is)<head\b.*?(?:</head\s*>|\z)", ""),
-    (r"\s+", " "),
+_BLANK = "\t\n\f\r \u00a0"
+#: What is not shown, in one pass; patterns read the same to Java and RE2.
+HIDDEN = (
+    r"(?is)<(?:!--.*?(?:-->|\z)|"
+    + "|".join(rf"{tag}\b.*?(?:</{tag}\s*>|\z)" for tag in ("script", "style", "noscript", "template", "head"))
+    + ")"
+)
+#: Tags that end a line become this character until white space is settled.
+BREAK = "\x01"
+TAGS = [
     (
-        r"(?i)</?(?:p|div|li|ul|ol|dl|dt|dd|h[1-6]|tr|table|article|section|header|footer|nav|aside|main|blockquote|pre"
+        r"(?i)</?(?:p|div|li|ul|ol|dl|dt|dd|h[1-6]|tr|td|th|table|article|section|header|footer|nav|aside|main|blockquote|pre"
         rf"|figure|form|hr|br|body|html)\b{_ATTRIBUTES}>",
-        "\n",
+        BREAK,
     ),
-    (rf"(?i)</?t[dh]\b{_ATTRIBUTES}>", " "),
     (rf"</?[A-Za-z!?]{_ATTRIBUTES}>", ""),
 ]
-#: Named references that are read; fixed values of the HTML standard.
+#: Runs of white space other than one plain space, then breaks with what is around them.
+COLLAPSE = [
+    (f"(?:[{_BLANK.replace(' ', '')}]| [{_BLANK}])[{_BLANK}]*", " "),
+    (f" ?{BREAK}[{BREAK} ]*", "\n"),
+]
+#: Named references that are read; fixed values of the HTML standard (a no-break space becomes a plain one).
 NAMED = {
-    "&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&copy;": "©", "&reg;": "®", "&trade;": "™",
-    "&middot;": "·", "&bull;": "•", "&hellip;": "…", "&ndash;": "–", "&mdash;": "—", "&lsquo;": "‘", "&rsquo;": "’",
-    "&ldquo;": "“", "&rdquo;": "”", "&laquo;": "«", "&raquo;": "»", "&euro;": "€", "&times;": "×", "&deg;": "°",
+    "nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&", "copy": "©", "reg": "®", "trade": "™",
+    "middot": "·", "bull": "•", "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’",
+    "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»", "euro": "€", "times": "×", "deg": "°",
 }
-NUMERIC = r"&#[0-9]{1,7};"
-COLLAPSE = [(r"[\s ]*\n[\s ]*", "\n"), (r"[ \t ]+", " "), (r"\A\s+|\s+\z", "")]
+REFERENCE = r"\A(#[0-9]{1,7}|[A-Za-z]{2,6});"
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
 HREF = r"""(?i)<a\b[^>]*?\shref\s*=\s*["']([^"']*)["']"""
 
@@ -55,20 +62,35 @@ def _replaced(text: Column, rules: list[tuple[str, str]]) -> Column:
 
 
 def _references(text: Column) -> Column:
-    """Character references read, the ampersand's last so that nothing is read twice."""
-    for name, character in NAMED.items():
-        text = F.replace(text, F.lit(name), F.lit(character))
-    code = lambda ref: F.regexp_extract(ref, "[0-9]+", 0).cast("int")
-    usable = lambda ref: (code(ref) > 0) & (code(ref) < 1114112) & ~code(ref).between(55296, 57343)
-    letter = lambda ref: F.decode(F.unhex(F.lpad(F.hex(code(ref)), 8, "0")), "UTF-32")
-    found = F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(NUMERIC), F.lit(0))))
-    text = F.aggregate(found, text, lambda t, ref: F.when(usable(ref), F.replace(t, ref, letter(ref))).otherwise(t))
-    return F.replace(text, F.lit("&amp;"), F.lit("&"))
+    """Character references read: the text is cut at ampersands and each piece looked at once."""
+
+    def character(name: Column) -> Column:
+        code = F.regexp_extract(name, r"\A#([0-9]+)\z", 1)
+        number = F.when(code != "", code).cast("int")
+        usable = (number > 0) & (number < 1114112) & ~number.between(55296, 57343)
+        found = F.when(usable, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+        for known, value in NAMED.items():
+            found = F.when(name == known, F.lit(value)).otherwise(found)
+        return found
+
+    def piece(part: Column, at: Column) -> Column:
+        def read(name: Column) -> Column:
+            rest = F.substring(part, F.length(name) + 2, F.length(part))
+            return F.coalesce(F.concat(character(name), rest), F.concat(F.lit("&"), part))
+
+        return F.when(at == 0, part).otherwise(let(F.regexp_extract(part, REFERENCE, 1), read))
+
+    return F.array_join(F.transform(F.split(text, "&", -1), piece), "")
+
+
+def _settled(text: Column) -> Column:
+    """White space collapsed, no blank lines, nothing around the text."""
+    return F.btrim(_replaced(text, COLLAPSE), F.lit(" \n"))
 
 
 def plain_text(shown: Column) -> Column:
     """HTML whose hidden parts are gone, as plain text."""
-    return _replaced(_references(_replaced(shown, SHOWN)), COLLAPSE)
+    return _settled(_references(_replaced(shown, TAGS)))
 
 
 def _uuid(name: Column) -> Column:
@@ -111,13 +133,13 @@ def derivatives(found: DataFrame, keep: list[str] | None = None) -> DataFrame:
     )
     is_html = F.lower("_head").contains("html") | (F.col("_head") == "")
     read = (
-        parsed.withColumn("_shown", _replaced(F.col("_body"), HIDDEN))
+        parsed.withColumn("_shown", _replaced(F.col("_body"), [(HIDDEN, "")]))
         .withColumn("_text", F.when(is_html, plain_text(F.col("_shown"))).otherwise(F.col("_body")))
         .withColumn("_conversion", _uuid(F.concat(F.lit("conversion|"), F.col("_record_id"))))
         .withColumn("_block_digest", _sha256(F.col("_http")))
         .withColumn("_payload_digest", _sha256(F.col("_body")))
     )
-    title = _replaced(_references(F.regexp_extract("_shown", TITLE, 1)), [(r"\s+", " "), *COLLAPSE])
+    title = _settled(_references(F.regexp_extract("_body", TITLE, 1)))
     each = lambda values, name: F.concat_ws("", F.transform(values, lambda v: F.concat(F.lit(f"{name}: "), v, F.lit(CRLF))))
     headers = F.filter(F.split(F.col("_head"), CRLF), lambda line: line != "")
     links = F.filter(F.regexp_extract_all("_shown", F.lit(HREF), F.lit(1)), lambda link: ~F.rlike(link, F.lit(r"\s")))
