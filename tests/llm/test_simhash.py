@@ -78,11 +78,16 @@ def test_one_of_each_group_stays_with_all_columns(spark):
     long_text = "one two three four five six seven eight nine ten " * 20
     rows = [(3, long_text), (1, long_text), (1, long_text), (2, "something else entirely " * 9), (None, long_text)]
     rows += [(None, "no id at all here " * 9), (None, "no id at all here " * 9)]
+    # One id, two texts: the first of one group, not the first of the other; and the first of two groups.
+    rows += [(5, "something else entirely " * 9), (5, "a text of its own it is " * 9), (6, "left of two " * 9), (6, "right of both " * 9)]
     df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id bigint, text string, lang string, root string, _fp int")
     kept = simhash.first_of_each(df)
     assert kept.columns == df.columns
     assert sorted((r.doc_id or -1, r.text) for r in kept.collect()) == sorted(
-        [(1, long_text), (2, "something else entirely " * 9), (-1, "no id at all here " * 9)]
+        [
+            (1, long_text), (2, "something else entirely " * 9), (-1, "no id at all here " * 9), (5, "a text of its own it is " * 9),
+            (6, "left of two " * 9), (6, "right of both " * 9),
+        ]
     )
 
 

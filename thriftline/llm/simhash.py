@@ -191,22 +191,22 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE,
 def first_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One document of each group, with all its columns: the one with the smallest id.
 
-    Of several rows with that id one stays; of a group without any id, one.
+    Of several rows of the group with that id one stays; of a group without any id, one.
     """
     found = written(near_duplicates(docs, radius), "near")
-    named = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("_copies")
+    first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id")
+    often = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if often.isEmpty() and found.where(F.col("doc_id").isNull()).isEmpty():
+        return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    # An id that does not name one row is not enough to find a group's row: those rows are found by their text.
+    once = docs.join(first.join(often, "doc_id", "left_anti"), "doc_id", "left_semi").select(*docs.columns)
+    odd = docs.where(F.col("doc_id").isNull()).unionByName(docs.join(often, "doc_id", "left_semi").select(*docs.columns))
+    keyed = odd.select(
+        F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), _printed(corpus.text_bytes()).alias("_fp")
     )
-    once = docs.join(named.where("_copies = 1").select("doc_id"), "doc_id", "left_semi")
-    several = named.where("_copies > 1").select("doc_id")
-    if not several.isEmpty():
-        once = once.unionByName(docs.join(several, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    nameless = found.where(F.col("component_id").isNull()).select(F.col("fp").alias("_fp"), "root").distinct()
-    if not nameless.isEmpty():
-        row = F.struct(*docs.columns).alias("_row")
-        of_text = docs.where(F.col("doc_id").isNull()).select(row, _printed(corpus.text_bytes()).alias("_fp"))
-        once = once.unionByName(of_text.join(nameless, "_fp").dropDuplicates(["root"]).select("_row.*"))
-    return once.select(*docs.columns)
+    classes = found.select(F.col("fp").alias("_fp"), "component_id", "root").distinct()
+    mine = keyed.join(classes, "_fp").where(F.col("_id").eqNullSafe(F.col("component_id"))).dropDuplicates(["root"])
+    return once.unionByName(mine.select("_row.*"))
 
 
 @F.pandas_udf(LongType())
