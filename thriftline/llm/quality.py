@@ -189,8 +189,11 @@ def _estimated(moments: DataFrame, factor: float) -> DataFrame:
 
 def _starts(rows: DataFrame) -> DataFrame:
     """Medians with median deviations (start 0) and plain moments (start 1) of every group."""
-    middle = rows.groupBy("key").agg(
-        F.sum("w").alias("size"), *[F.percentile(F.col(n), 0.5, F.col("w")).alias(f"m{i}") for i, n in enumerate(_X)]
+    middle = written(
+        rows.groupBy("key").agg(
+            F.sum("w").alias("size"), *[F.percentile(F.col(n), 0.5, F.col("w")).alias(f"m{i}") for i, n in enumerate(_X)]
+        ),
+        "medians",
     )
     spread = (
         rows.join(middle, "key")
