@@ -47,6 +47,7 @@ _BLOB = 16_384
 _FAN_IN = 32
 _FLUSH = 200_000
 _SCORED = 32_768
+_KEPT_WORDS = 500_000
 
 SIZE = CLASSES * CLASS_SIZE
 PAD = 0
@@ -77,27 +78,30 @@ class Vocabulary:
         return self.first_rare + zlib.crc32(word[-3:]) % RARE
 
     def encoder(self):
-        """Texts to ids; the ids of rare words are kept, up to a bound."""
-        known, cache, rare = self.ids, {}, self.rare
+        """Texts to ids."""
+        ids = _Ids(self)
 
         def encode(text: bytes) -> np.ndarray:
             found = corpus.words(text)
-            out = list(map(known.get, found))
-            if None in out:
-                if len(cache) > 500_000:
-                    cache.clear()
-                for at, i in enumerate(out):
-                    if i is None:
-                        w = found[at]
-                        i = cache.get(w)
-                        if i is None:
-                            i = cache[w] = rare(w)
-                        out[at] = i
-            return np.array(out, dtype=np.int16)
+            return np.fromiter(map(ids.__getitem__, found), dtype=np.int16, count=len(found))
 
         return encode
 
 
+class _Ids(dict):
+    """Ids of words; those of rare words are worked out once, up to a bound on what is kept."""
+
+    def __init__(self, words: Vocabulary):
+        super().__init__(words.ids)
+        self.rare = words.rare
+
+    def __missing__(self, word: bytes) -> int:
+        found = self.rare(word)
+        if len(self) < _KEPT_WORDS:
+            self[word] = found
+        return found
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """``(word, n)`` over all documents."""
 
