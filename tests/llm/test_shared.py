@@ -1,0 +1,73 @@
+from __future__ import annotations
+
+import itertools
+import random
+
+import corpus_pipeline
+from thriftline.llm import shared, simhash
+
+WORDS = [f"w{i}" for i in range(5000)]
+
+
+def plain_set(text: str | None) -> frozenset:
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def plain_first(rows: list[tuple]) -> list:
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    sets = [plain_set(t) for _, t in rows]
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            root[top(i)] = top(j)
+    groups = {}
+    for i, (doc_id, _) in enumerate(rows):
+        groups.setdefault(top(i), []).append(doc_id)
+    return sorted(str(min((x for x in g if x is not None), default=None)) for g in groups.values())
+
+
+def copies() -> list[tuple]:
+    """Texts with edited copies between 0.7 and 1, two chains, odd rows."""
+    rng = random.Random(12)
+    rows, ids = [], itertools.count(100)
+    for length in [3, 5, 12, 60, 200, 400] * 8:
+        base = rng.choices(WORDS, k=length)
+        rows.append((next(ids), " ".join(base)))
+        for share in (0.005, 0.015, 0.02, 0.03):
+            rows.append((next(ids), " ".join(rng.choice(WORDS) if rng.random() < share else w for w in base)))
+    base = rng.choices(WORDS, k=300)
+    for i in range(40):
+        base[7 * i + 3] = rng.choice(WORDS)
+        rows.append((next(ids), " ".join(base)))
+    rows += [(1, None), (2, ""), (3, " \t"), (None, "no id here " * 9), (None, "no id here " * 9), (5, rows[0][1]), (5, rows[9][1])]
+    rng.shuffle(rows)
+    return rows
+
+
+def test_pipeline_drops_similar_documents_whatever_their_fingerprints(spark, monkeypatch):
+    rows = copies()
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id bigint, text string, node int").repartition(3)
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    want = plain_first(rows)
+    # The stage's rule is not that of op4, which leaves more.
+    assert simhash.first_of_each(docs).count() > len(want)
+    for small, pivots in ((shared.SMALL, shared.PIVOTS), (2, 1)):
+        monkeypatch.setattr(shared, "SMALL", small)
+        monkeypatch.setattr(shared, "PIVOTS", pivots)
+        kept = stage(spark, docs, "")
+        assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == want
+
+
+def test_keys_find_pairs_at_the_limit():
+    rng = random.Random(4)
+    for _ in range(300):
+        ours = [rng.getrandbits(64) for _ in range(90)]
+        sets = [shared.np.unique(shared.np.array(ours[a : a + 80], dtype=shared.np.uint64)) for a in (0, 8)]
+        assert shared.similarity(*sets) > 0.8
+        assert any(a == b for a, b in zip(*map(shared.band_keys, sets)))
