@@ -99,3 +99,20 @@ def test_tables(spark):
     assert lmscore.pseudo_likelihood(df.limit(0)).count() == 0
     counts = {bytes(r.word): r.n for r in lmscore.word_counts(df).collect()}
     assert counts == {b"a": 6, b"b": 5, b"c": 2, b"w": 100_000}
+
+
+def test_every_position_trains_however_rows_are_split(spark, monkeypatch):
+    monkeypatch.setattr(lmscore, "_STRETCH", 7)
+    texts = [*sentences(60, 8), None, "", "one", "two words"]
+    df = spark.createDataFrame([(i % 50 or None, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    words, total = lmscore.vocabulary(df)
+    encode = words.encoder()
+    want = Counter()
+    for t in texts:
+        ids = encode((t or "").encode())
+        at = np.arange(len(ids))
+        want.update(map(tuple, np.column_stack([lmscore.contexts(ids, at), ids]).tolist()))
+    stretches = [bytes(r.ids) for r in lmscore.training_texts(df.repartition(3), words, 5).collect()]
+    assert Counter(map(tuple, lmscore.windows(stretches).tolist())) == want and sum(want.values()) == total
+    one, four = (lmscore.train(df.repartition(n), words, total, rounds=1, shard=200) for n in (1, 4))
+    assert np.array_equal(one.flat, four.flat)

@@ -6,8 +6,8 @@ of its tokens' conditional log-probabilities.
 
 * Vocabulary: counts of all words of all documents, combined before the shuffle; the most frequent words get ids, other words share
   ``RARE`` ids by their last bytes.  Classes are runs of words sorted from their ends.
-* Training windows: a fixed share ``RATE`` of all positions of all documents, dealt in blobs over shards of about ``SHARD``
-  windows, so what is gathered grows with the corpus and no shard does.
+* Training windows: all positions of all documents (``RATE``), dealt in stretches of ids over shards of about ``SHARD``
+  windows, so what is gathered grows with the corpus and no shard does; how rows are split changes nothing.
 * Training, in numpy: in each of ``ROUNDS`` rounds every shard goes once over its windows from the same parameters; the results are
   averaged by a tree of sums, in tasks.  Only the average, of fixed size, passes through the driver.
 * Scoring runs where the texts are read.
@@ -25,7 +25,6 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,12 +37,12 @@ CLASS_SIZE = 64
 RARE = 255
 EMBEDDING = 16
 HIDDEN = 48
-RATE = 1 / 12
+RATE = 1.0
 SHARD = 1_000_000
 ROUNDS = 3
 BATCH = 4096
 LEARNING_RATE = 5e-3
-_BLOB = 16_384
+_STRETCH = 4096
 _FAN_IN = 32
 _FLUSH = 200_000
 _SCORED = 32_768
@@ -141,35 +140,37 @@ def contexts(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([padded[at + o] for o in range(2 * SIDE + 1) if o != SIDE], axis=1)
 
 
-def training_windows(docs: DataFrame, words: Vocabulary, shards: int, rate: float = RATE) -> DataFrame:
-    """``(shard, windows)``: blobs of neighbours and target, 16 bits each."""
+def training_texts(docs: DataFrame, words: Vocabulary, shards: int) -> DataFrame:
+    """``(shard, ids)``: stretches of ids between their neighbours, 16 bits each; where one goes depends on its document only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, held, n = words.encoder(), [], 0
-        context = TaskContext.get()
-        rng = np.random.default_rng([7, context.partitionId() if context else 0])
-
-        def blob() -> pa.RecordBatch:
-            rows = np.concatenate(held).astype("<i2")
-            held.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array([int(rng.integers(shards))], pa.int32()), pa.array([rows.tobytes()], pa.binary())], ["shard", "windows"]
-            )
-
+        encode = words.encoder()
+        edge = np.full(SIDE, PAD, "<i2")
         for batch in batches:
-            for text in batch.column(0):
-                ids = encode(text.as_py())
-                at = np.flatnonzero(rng.random(len(ids)) < rate)
-                if len(at):
-                    held.append(np.column_stack([contexts(ids, at), ids[at]]))
-                    n += len(at)
-                    if n >= _BLOB:
-                        yield blob()
-                        n = 0
-        if held:
-            yield blob()
-
-    return docs.select(corpus.text_bytes().alias("_text")).mapInArrow(run, "shard int, windows binary")
+            to: list[int] = []
+            held: list[bytes] = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = np.concatenate([edge, encode(text.as_py()), edge]).astype("<i2")
+                for at in range(0, len(ids) - 2 * SIDE, _STRETCH):
+                    held.append(ids[at : at + _STRETCH + 2 * SIDE].tobytes())
+                    to.append(zlib.crc32(held[-1], zlib.crc32(f"{doc_id} {at}".encode())) % shards)
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(held, pa.binary())], ["shard", "ids"])
+
+    return docs.select("doc_id", corpus.text_bytes().alias("_text")).mapInArrow(run, "shard int, ids binary")
+
+
+def windows(stretches: list[bytes], rate: float = RATE) -> np.ndarray:
+    """Rows of neighbours and target of every position, or of a share ``rate`` of them."""
+    ids = np.frombuffer(b"".join(stretches), dtype="<i2")
+    ends = np.cumsum([len(s) // 2 for s in stretches])
+    inner = np.ones(len(ids), bool)
+    for o in range(SIDE):
+        inner[ends - 1 - o] = False
+        inner[np.r_[0, ends[:-1]] + o] = False
+    at = np.flatnonzero(inner)
+    if rate < 1:
+        at = at[np.random.default_rng(7).random(len(at)) < rate]
+    return np.stack([ids[at + o] for o in (*range(-SIDE, 0), *range(1, SIDE + 1), 0)], axis=1)
 
 
 class Network:
@@ -299,14 +300,13 @@ def averaged(parts: DataFrame) -> np.ndarray | None:
         )
         rows = parts.count()
     last = parts.first()
-    return None if last is None else (np.frombuffer(last["flat"], dtype="<f8") / last["n"]).astype(np.float32)
+    return None if last is None or not last["n"] else (np.frombuffer(last["flat"], dtype="<f8") / last["n"]).astype(np.float32)
 
 
-def _trainer(flat: np.ndarray, turn: int):
+def _trainer(flat: np.ndarray, turn: int, rate: float):
     def trained(frame: pd.DataFrame) -> pd.DataFrame:
         # In an order of their own, not that of arrival.
-        blobs = sorted(frame["windows"], key=lambda b: (zlib.crc32(b), b))
-        rows = np.frombuffer(b"".join(blobs), dtype="<i2").reshape(-1, 2 * SIDE + 1)
+        rows = windows(sorted(frame["ids"], key=lambda b: (zlib.crc32(b), b)), rate)
         made = train_shard(flat, rows, turn) * float(len(rows))
         return pd.DataFrame({"id": [int(frame["shard"].iloc[0])], "n": [len(rows)], "flat": [made.astype("<f8").tobytes()]})
 
@@ -316,10 +316,10 @@ def _trainer(flat: np.ndarray, turn: int):
 def train(docs: DataFrame, words: Vocabulary, total: int, rounds: int = ROUNDS, rate: float = RATE, shard: int = SHARD) -> Network:
     """Parallel training: every shard from the round's parameters, then the average."""
     shards = max(1, round(total * rate / shard))
-    windows = written(training_windows(docs, words, shards, rate), "windows")
+    texts = written(training_texts(docs, words, shards), "stretches")
     net = Network.start(words)
     for turn in range(rounds):
-        parts = windows.groupBy("shard").applyInPandas(_trainer(net.flat, turn), "id bigint, n bigint, flat binary")
+        parts = texts.groupBy("shard").applyInPandas(_trainer(net.flat, turn, rate), "id bigint, n bigint, flat binary")
         mean = averaged(written(parts, "trained"))
         if mean is None:
             break
