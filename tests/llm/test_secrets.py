@@ -111,6 +111,27 @@ def test_large_decompressed_layers_are_scanned_whole(monkeypatch):
             assert secrets.secrets(f"{rng.random()} {run}")[1][0][0] == 1
 
 
+SECOND = b"a first stream without any"
+PARTED = [
+    b64(b"\0user\0" + PLAIN.encode()),
+    b64(b"\xff\xfe\x01 " + PLAIN.encode() + b"\x80\x81"),
+    b64(PLAIN.encode("utf-16")),
+    b64(PLAIN.encode("utf-16-be")),
+    *(head + b64(PLAIN) for head in ("https://h.example/files/", "prefix_", "a/", "ab/", "abc/")),
+    *(b64(pack(SECOND) + pack(PLAIN.encode())) for pack in (bz2.compress, lzma.compress, zlib.compress, gzip.compress)),
+    b64(lzma.compress(SECOND) + b"\0" * 8 + lzma.compress(PLAIN.encode())),
+    "files/" + b64(gzip.compress(PLAIN.encode())),
+    "".join(f"%{b:02x}" for b in b"\x00\x01" + bz2.compress(SECOND) + bz2.compress(PLAIN.encode())),
+]
+
+
+@pytest.mark.parametrize("wrapped", PARTED)
+def test_secrets_beside_unreadable_bytes_and_in_later_streams(wrapped):
+    found = [(int(a), int(b)) for k, a, b in (s.split(":") for s in spans(f"x {wrapped} y") if s) if k == "assign"]
+    assert found and all(2 <= a < b <= 2 + len(wrapped) for a, b in found)
+    assert secrets.secrets(secrets.redacted(f"x {wrapped} y"))[1] == []
+
+
 def test_redaction_removes_layers_and_keeps_the_rest():
     text = f"start {PLAIN} mid {b64(gzip.compress(AKIA.encode()))} end"
     out = secrets.redacted(text)

@@ -6,10 +6,11 @@ characters, the stretch of the document it came from.  The document is the first
 worklist; a layer taken from the list is scanned, then decoded in every way that applies:
 
 * percent escapes and Unicode escapes are replaced in the whole layer;
-* runs of base64 digits (at any of the four alignments, or wrapped into lines) that give readable text are
-  layers of their own;
-* base64 or percent-escaped bytes with the mark of gzip, zlib, bzip2, xz or zstandard are decompressed
-  piece by piece, each piece a layer that overlaps the one before it.
+* runs of base64 digits, also wrapped into lines, are layers at each of the four alignments that has a readable stretch;
+  unreadable bytes part such stretches;
+* stretches of UTF-16 are layers of their own;
+* base64 or percent-escaped bytes with the mark of gzip, zlib, bzip2, xz or zstandard, at their start or (but for zlib)
+  further on, are decompressed piece by piece, each piece a layer that overlaps the one before it; streams may follow each other.
 
 A layer whose text and place were seen before is dropped, so the worklist ends at a fixpoint even
 where layers decode to each other.  Findings are mapped back to code points of the document; what
@@ -52,7 +53,11 @@ _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-F
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _WRAPPED = re.compile(r"(?:[A-Za-z0-9+/]{32,76}\r?\n)+[A-Za-z0-9+/]{2,76}={0,2}")
 _BLANK = re.compile(r"\s+")
-_UNREADABLE = re.compile("[\x00-\x08\x0e-\x1f\x7f\ufffd]")
+#: The shortest secret, ``token=abcdef``, has twelve characters, more when encoded; zero bytes may stand between them.
+_READABLE = re.compile(rb"[\x00\t-\r -~]{12}")
+_WIDE = re.compile("(?:[\t-\r -~]\0){11,}[\t-\r -~]")
+#: Starts of compressed streams that other bytes may precede.
+_MARK = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 
 #: Characters of one decompressed piece, and how far neighbouring pieces overlap.
 PIECE = 1 << 22
@@ -133,12 +138,12 @@ def _escape(m: re.Match):
     return chr(code), np.array([0]), np.array([m.end() - m.start()])
 
 
-def _gunzip(data: bytes) -> Iterator[bytes]:
-    left = data
-    while left[:2] == b"\x1f\x8b":
-        step = zlib.decompressobj(31)
-        yield from _inflated(step, left)
-        left = step.unused_data
+def _inflate(data: bytes, mark: bytes, bits: int, begun: set[int]) -> Iterator[bytes]:
+    while data.startswith(mark):
+        step = zlib.decompressobj(bits)
+        yield from _inflated(step, data)
+        data = step.unused_data
+        begun.add(len(data))
 
 
 def _inflated(step, data: bytes) -> Iterator[bytes]:
@@ -148,33 +153,42 @@ def _inflated(step, data: bytes) -> Iterator[bytes]:
         piece = step.decompress(step.unconsumed_tail, PIECE)
 
 
-def _stepwise(step, data: bytes) -> Iterator[bytes]:
-    piece = step.decompress(data, PIECE)
-    while piece or not (step.eof or step.needs_input):
-        yield piece
-        if step.eof or step.needs_input:
-            return
-        piece = step.decompress(b"", PIECE)
+def _stepwise(start, data: bytes, mark: bytes, begun: set[int]) -> Iterator[bytes]:
+    """Pieces of all streams that follow each other; zeros between them are padding."""
+    while data.startswith(mark):
+        step = start()
+        piece = step.decompress(data, PIECE)
+        while piece or not (step.eof or step.needs_input):
+            yield piece
+            if step.eof or step.needs_input:
+                break
+            piece = step.decompress(b"", PIECE)
+        data = step.unused_data.lstrip(b"\0")
+        begun.add(len(data))
 
 
 def _unzstd(data: bytes) -> Iterator[bytes]:
-    with zstandard.ZstdDecompressor().stream_reader(data) as source:
+    with zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True) as source:
         while piece := source.read(PIECE):
             yield piece
 
 
-def decompressed(data: bytes) -> Iterator[bytes] | None:
-    """Pieces of what ``data`` holds if it carries the mark of a compressed stream."""
+def decompressed(data: bytes, begun: set[int] | None = None) -> Iterator[bytes] | None:
+    """Pieces of what ``data`` holds if it carries the mark of a compressed stream.
+
+    ``begun`` gets the length of what is left wherever a stream follows another.
+    """
+    begun = set() if begun is None else begun
     if data[:2] == b"\x1f\x8b":
-        return _gunzip(data)
+        return _inflate(data, data[:2], 31, begun)
     if data[:3] == b"BZh":
-        return _stepwise(bz2.BZ2Decompressor(), data)
+        return _stepwise(bz2.BZ2Decompressor, data, data[:3], begun)
     if data[:6] == b"\xfd7zXZ\x00":
-        return _stepwise(lzma.LZMADecompressor(), data)
+        return _stepwise(lzma.LZMADecompressor, data, data[:6], begun)
     if data[:4] == b"\x28\xb5\x2f\xfd":
         return _unzstd(data)
     if len(data) > 6 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0:
-        return _inflated(zlib.decompressobj(), data)
+        return _inflate(data, data[:2], 15, begun)
     return None
 
 
@@ -182,22 +196,26 @@ _BROKEN = (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, V
 
 
 def _unpacked(data: bytes, start: int, end: int) -> Iterator[Layer]:
-    """Layers of a compressed run; a broken stream gives what comes before the break."""
-    pieces = decompressed(data)
-    if pieces is None:
-        return
-    before = ""
-    try:
-        for piece in pieces:
-            text = before + _characters(piece)[0]
-            yield Layer(text, np.broadcast_to(start, len(text)), np.broadcast_to(end, len(text)))
-            before = text[-OVERLAP:]
-    except _BROKEN:
-        return
+    """Layers of the compressed streams of a run, also behind other bytes; a broken one gives what comes before the break."""
+    begun: set[int] = set()
+    for at in (0, *(m.start() for m in _MARK.finditer(data, 1))):
+        if len(data) - at in begun or (pieces := decompressed(data[at:], begun)) is None:
+            continue
+        before = ""
+        try:
+            for piece in pieces:
+                text = before + _characters(piece)[0]
+                yield Layer(text, np.broadcast_to(start, len(text)), np.broadcast_to(end, len(text)))
+                before = text[-OVERLAP:]
+        except _BROKEN:
+            continue
 
 
 def _from_base64(layer: Layer, digits: str, places: np.ndarray) -> Iterator[Layer]:
-    """What base64 ``digits`` hold, the first alignment that is readable; ``places`` are the digits' places in the layer."""
+    """What base64 ``digits`` hold at each alignment; ``places`` are the digits' places in the layer.
+
+    Unreadable bytes stay as characters that no pattern matches, so they part the readable stretches.
+    """
     digits = digits.rstrip("=").replace("-", "+").replace("_", "/")
     starts, ends = layer.bounds()
     for shift in range(4):
@@ -210,22 +228,22 @@ def _from_base64(layer: Layer, digits: str, places: np.ndarray) -> Iterator[Laye
         except binascii.Error:
             continue
         run = places[shift : shift + len(body)]
-        packed = list(_unpacked(data, int(starts[run[0]]), int(ends[places[-1]])))
-        if packed:
-            yield from packed
-            return
-        try:
-            data.decode("utf-8")
-        except UnicodeDecodeError:
+        yield from _unpacked(data, int(starts[run[0]]), int(ends[places[-1]]))
+        if not _READABLE.search(data):
             continue
         text, first, last = _characters(data)
-        if _UNREADABLE.search(text):
-            continue
         # Byte i of a group of three needs digits i and i + 1 of its four.
         head = run[first * 4 // 3]
         tail = run[np.minimum(-(-last * 4 // 3), len(run)) - 1]
         yield Layer(text, starts[head], ends[tail])
-        return
+
+
+def _from_wide(layer: Layer) -> Iterator[Layer]:
+    """Stretches of UTF-16 of either byte order: readable characters with a zero byte between them."""
+    starts, ends = layer.bounds()
+    for m in _WIDE.finditer(layer.text):
+        at = slice(m.start(), m.end(), 2)
+        yield Layer(layer.text[at], starts[at], ends[at])
 
 
 def decoded(layer: Layer) -> Iterator[Layer]:
@@ -240,6 +258,8 @@ def decoded(layer: Layer) -> Iterator[Layer]:
     if "\\" in text or "&#" in text:
         if (new := layer.replaced(_ESCAPE, _escape)) is not None:
             yield new
+    if "\0" in text:
+        yield from _from_wide(layer)
     for m in _BASE64.finditer(text):
         yield from _from_base64(layer, m[0], np.arange(m.start(), m.end()))
     if "\n" in text:
