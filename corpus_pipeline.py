@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thriftline.llm import corpus, mixing, packing, secrets, shared, toxicity
+from thriftline.llm import corpus, mixing, packing, secrets, simhash, toxicity
 from thriftline.session import configure, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -22,9 +22,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word Jaccard of 0.8 or more) the document with the smallest id stays."""
+    """Of each group whose fingerprints link, at the shingle length and distance of op4, the smallest id stays."""
     configure(spark)
-    return shared.first_of_each(docs)
+    return simhash.first_of_each(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
