@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thriftline.llm import chat, corpus, lmscore, mixing, packing, quality, secrets, simhash, topk, toxicity, warc
+from thriftline.llm import chat, corpus, fim, lmscore, mixing, packing, quality, secrets, simhash, topk, toxicity, warc
 from thriftline.llm.registry import query
 
 
@@ -193,3 +193,41 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = corpus.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", _PROBE), (-1, 1, "assistant", _PROBE)], given.schema)
     return chat.digests(chat.formatted(given.unionByName(probe)))
+
+
+def _parts(first: str, last: str) -> str:
+    return f"array_to_string(units[{first}:{last}], '')"
+
+
+@query(
+    "op13_fill_in_middle",
+    f"""
+    WITH given AS (
+        SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+    ), drawn AS (
+        SELECT *, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+            CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+            CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4
+        FROM given
+    ), cut AS (
+        SELECT *, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b,
+            CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+                WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+        FROM drawn
+    ), parts AS (
+        SELECT *, {_parts('1', 'a')} AS prefix, {_parts('a + 1', 'b')} AS middle, {_parts('b + 1', 'len(units)')} AS suffix FROM cut
+    )
+    SELECT doc_id, CAST(len(units) AS BIGINT) AS n, form,
+        CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+        CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+            ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+        sha256(t) AS restored_sha256
+    FROM parts
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transformed(corpus.table(spark, sf_dir, "documents"))
+    back = fim.restored(F.col("output"), F.col("form"))
+    digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256")]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
