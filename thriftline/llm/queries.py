@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thriftline.llm import chat, corpus, fim, lmscore, mixing, packing, quality, secrets, simhash, topk, toxicity, warc
+from thriftline.llm import chat, corpus, fim, licenses, lmscore, mixing, packing, quality, secrets, simhash, topk, toxicity, warc
 from thriftline.llm.registry import query
 
 
@@ -195,6 +195,23 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted(given.unionByName(probe)))
 
 
+@query("op11_licenses")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scanned(corpus.table(spark, sf_dir, "documents"))
+    base = found.withColumn("base", licenses.base_places(F.col("matches")))
+    starts = F.transform("base", lambda m: m["first_word"])
+    return base.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("bigint").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        licenses.label_list(F.col("base")).alias("base_labels"),
+        licenses.label_list(F.col("matches")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["similarity"])), F.lit(0.0)).alias("score"),
+    )
+
+
 def _parts(first: str, last: str) -> str:
     return f"array_to_string(units[{first}:{last}], '')"
 
