@@ -38,7 +38,7 @@ def test_stages_take_effect_one_after_the_other(spark):
 @pytest.mark.parametrize("name", sorted(n for n in entry.oracle_sql() if n.startswith("op")))
 def test_queries_equal_their_sql(spark, name):
     duck = duckdb.connect()
-    for table in ("pages", "embeddings", "conversations"):
+    for table in ("pages", "embeddings", "conversations", "documents"):
         duck.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     df = entry.queries()[name](spark, SF)
     cursor = duck.execute(entry.oracle_sql()[name])
@@ -49,7 +49,7 @@ def test_queries_equal_their_sql(spark, name):
 
 def test_every_operator_is_registered():
     names = entry.queries()
-    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)] == [1] * 13 and "pipeline" in names
 
 
 ODD = [

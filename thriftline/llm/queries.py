@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thriftline.llm import chat, corpus, fim, licenses, lmscore, mixing, packing, quality, secrets, simhash, topk, toxicity, warc
+from thriftline.llm import chat, corpus, fim, licenses, lmscore, mixing, packing, phrases, quality, secrets, simhash, topk, toxicity, warc
 from thriftline.llm.registry import query
 
 
@@ -212,6 +212,48 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "op12_phrases",
+    """
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents
+    ), worded AS (
+        SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces
+    ), totals AS (
+        SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM worded GROUP BY lang
+    ), counted AS (
+        SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS p, count(*) AS a
+        FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM worded, range(1, 5) AS lengths(k))
+        GROUP BY ALL HAVING count(*) >= 30
+    ), candidates AS (
+        SELECT *, string_split(p, ' ') AS ws FROM counted WHERE k > 1
+    ), absorbing AS (
+        SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS p, max(a) AS longer
+        FROM (SELECT lang, ws, a, m, unnest(range(1, k - m + 2)) AS i FROM candidates, range(2, 4) AS lengths(m) WHERE m < k)
+        GROUP BY ALL
+    ), cuts AS (
+        SELECT c.lang, c.p, c.a, l.a AS l, r.a AS r,
+            CAST(CAST(c.a AS HUGEINT) * 2000000 // (CAST(l.a AS HUGEINT) + r.a) AS BIGINT) AS score, c.cut
+        FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates) c
+        JOIN counted l ON l.lang = c.lang AND l.p = array_to_string(c.ws[1:c.cut], ' ')
+        JOIN counted r ON r.lang = c.lang AND r.p = array_to_string(c.ws[c.cut + 1:], ' ')
+    ), worst AS (
+        SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) = 1
+    ), ranked AS (
+        SELECT w.lang, row_number() OVER (PARTITION BY w.lang ORDER BY w.score DESC, w.a DESC, w.p) AS rank, w.p AS phrase,
+            w.a, w.l, w.r, t.n, w.score
+        FROM worst w JOIN totals t ON t.lang = w.lang LEFT JOIN absorbing x ON x.lang = w.lang AND x.p = w.p
+        WHERE x.longer IS NULL OR 100 * CAST(x.longer AS HUGEINT) < 80 * CAST(w.a AS HUGEINT)
+    )
+    SELECT * FROM ranked WHERE rank <= 2000
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(corpus.table(spark, sf_dir, "documents"))
+
+
 def _parts(first: str, last: str) -> str:
     return f"array_to_string(units[{first}:{last}], '')"
 
