@@ -91,14 +91,15 @@ def test_a_repeated_passage_is_one_path(spark):
 
 
 def test_grams_of_a_block():
-    ids = np.array([1, 2, 1, 2, 1, 2, 0, 3, 0, 4, 5, 0])
-    head, tail, count = phrases.longest_grams(ids)
+    ids = np.array([1, 2, 1, 2, 1, 2, 0, 3, 0, 4, 5, 6, 0])
     pack = lambda a, b: a << 32 | b
+    head, tail, count = phrases.longest_grams(ids, np.array([pack(1, 2), pack(2, 1), pack(4, 5)]))
     got = {(h, t): c for h, t, c in zip(head.tolist(), tail.tolist(), count.tolist())}
     assert got == {
         (pack(1, 2), pack(1, 2)): 2, (pack(1, 2), 0): 1, (pack(2, 1), pack(2, 1)): 1, (pack(2, 1), pack(2, 0)): 1, (pack(4, 5), 0): 1,
     }
-    assert [len(x) for x in phrases.longest_grams(np.zeros(3, dtype=np.int64))] == [0, 0, 0]
+    assert [len(x) for x in phrases.longest_grams(np.zeros(3, dtype=np.int64), np.zeros(0, dtype=np.int64))] == [0, 0, 0]
+    assert [len(x) for x in phrases.longest_grams(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))] == [0, 0, 0]
 
 
 def test_scores_are_exact_beyond_64_bits(spark):

@@ -6,8 +6,10 @@ joins the nodes that overlap in its two middle words and weighs as often as its
 * **Blocks.**  Tasks turn texts into blocks: the distinct words of some megabytes of one language with their
   counts, and the texts as places in that list.  Word counts are summed over blocks; words below the threshold cannot be
   in a candidate, so they end pieces as well, and the others get numbers, which every block gets back for its words.
+* **Pairs.**  Blocks count their pairs of numbered words; pairs below the threshold over all blocks end pieces too, as no
+  candidate holds one.  Every block gets back which of its pairs are left.
 * **Edges.**  Each position of a block starts an edge, or a shorter gram where the piece ends before (the piece-end
-  correction).  Equal ones are counted in the block, then over all blocks; only the longest grams are ever shuffled.
+  correction).  Equal ones are counted in the block, then over all blocks.
 * **Shorter counts.**  A node's count is the flow that leaves it plus the pieces that end there; a pair's count is the sum
   of its nodes' counts plus the pieces that end with it.  Each is an aggregate of the counts one word longer.
 * **Unary paths.**  A node through which all of its count comes in by one edge and leaves by one edge lies inside
@@ -126,38 +128,74 @@ def numbered_words(counted: DataFrame, least: int = LEAST) -> DataFrame:
     return kept.withColumn("_task", task).join(starts, "_task").select("lang", "word", "f", checked.alias("id"))
 
 
-def longest_grams(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _heads(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places where two numbered words stand together, and the words packed."""
+    starts = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+    return starts, ids[starts] << 32 | ids[starts + 1]
+
+
+def longest_grams(ids: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Grams of up to four words from each position, two word numbers a column, with counts.
 
-    ``ids`` are word numbers, 0 where a piece ends or a word is too rare; grams of one word are left out, as words
-    are counted already.
+    ``ids`` are word numbers, 0 where a piece ends or a word is too rare; ``kept`` are the packed pairs that do not end a
+    piece.  Grams of one word are left out, as words are counted already.
     """
-    padded = np.concatenate([ids, np.zeros(LONGEST - 1, dtype=np.int64)])
-    n = len(ids)
-    second, third, fourth = (padded[i : n + i] for i in range(1, LONGEST))
-    starts = np.flatnonzero((ids > 0) & (second > 0))
-    w1, w2, w3 = ids[starts], second[starts], third[starts]
-    w4 = np.where(w3 > 0, fourth[starts], 0)
-    head, tail = w1 << 32 | w2, w3 << 32 | w4
+    starts, heads = _heads(ids)
+    starts = starts[np.isin(heads, kept)]
+    # joined[i]: words i and i + 1 stand together; grams run on as long as they do.
+    joined = np.zeros(len(ids) + LONGEST, dtype=bool)
+    joined[starts] = True
+    padded = np.concatenate([ids, np.zeros(LONGEST, dtype=np.int64)])
+    w3 = np.where(joined[starts + 1], padded[starts + 2], 0)
+    w4 = np.where(joined[starts + 1] & joined[starts + 2], padded[starts + 3], 0)
+    head, tail = padded[starts] << 32 | padded[starts + 1], w3 << 32 | w4
     order = np.lexsort((tail, head))
     head, tail = head[order], tail[order]
     new = np.flatnonzero(np.concatenate([[True], (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])])) if len(head) else order
     return head[new], tail[new], np.diff(np.append(new, len(head)))
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Word numbers in place of places, 0 for a rare word or the end of a piece."""
     for batch in batches:
         for i in range(batch.num_rows):
             local = batch.column("local")[i].values
-            if local is None:
-                continue
             places = np.frombuffer(batch.column("places")[i].as_py(), dtype=np.int32)
-            numbers = np.zeros(int(places.max()) + 2, dtype=np.int64)  # the last, at -1, is the end of a piece
+            numbers = np.zeros(int(places.max()) + 2, dtype=np.int32)  # the last, at -1, is the end of a piece
             numbers[local.field("place").to_numpy(zero_copy_only=False)] = local.field("id").to_numpy(zero_copy_only=False)
-            head, tail, count = longest_grams(numbers[places])
-            for at in range(0, len(head), 1 << 18):
-                part = slice(at, at + (1 << 18))
-                yield pa.RecordBatch.from_arrays([pa.array(x[part]) for x in (head, tail, count)], ["head", "tail", "c"])
+            ids = pa.array([numbers[places].tobytes()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("block").slice(i, 1), ids], ["block", "ids"])
+
+
+def _ids(value: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(value.as_py(), dtype=np.int32).astype(np.int64)
+
+
+def _parts(columns: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(columns[0]), 1 << 18):
+        yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 18)]) for c in columns], names)
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for block, ids in zip(batch.column("block").to_pylist(), batch.column("ids")):
+            heads, counts = np.unique(_heads(_ids(ids))[1], return_counts=True)
+            yield from _parts([np.full(len(heads), block), heads, counts], ["block", "head", "c"])
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for ids, kept in zip(batch.column("ids"), batch.column("kept")):
+            yield from _parts(list(longest_grams(_ids(ids), kept.values.to_numpy(zero_copy_only=False))), ["head", "tail", "c"])
+
+
+def frequent_pairs(coded: DataFrame, least: int) -> DataFrame:
+    """``(block, head)``: the pairs of each block whose count over all blocks is ``least`` or more.
+
+    A pair has one row a block, however often it stands there.
+    """
+    found = coded.mapInArrow(_pairs, "block bigint, head bigint, c bigint")
+    return found.withColumn("f", F.sum("c").over(Window.partitionBy("head"))).where(F.col("f") >= least).select("block", "head")
 
 
 def _first(pair: str) -> Column:
@@ -230,7 +268,9 @@ def graph(docs: DataFrame, least: int = LEAST, size: int = BLOCK) -> Graph:
         .groupBy("block")
         .agg(F.collect_list(F.struct("place", "id")).alias("local"))
     )
-    grams = made.select("block", "places").join(mine, "block").select("places", "local").mapInArrow(_grams, "head bigint, tail bigint, c bigint")
+    coded = written(made.select("block", "places").join(mine, "block").mapInArrow(_coded, "block bigint, ids binary"), "coded")
+    kept = frequent_pairs(coded, least).groupBy("block").agg(F.collect_list("head").alias("kept"))
+    grams = coded.join(kept, "block").select("ids", "kept").mapInArrow(_grams, "head bigint, tail bigint, c bigint")
     longest = written(grams.groupBy("head", "tail").agg(F.sum("c").alias("f")), "grams")
     nodes = longest.where("tail > 0").groupBy(*_source()).agg(F.sum("f").alias("f"))
     pairs = longest.groupBy("head").agg(F.sum("f").alias("f"))
