@@ -86,23 +86,6 @@ def test_retry_reason(column):
     ]
 
 
-def test_totals_do_not_depend_on_order(spark):
-    rows = spark.createDataFrame([(v,) for v in (0.1, 0.2, 0.3) * 100], "v double")
-    one = rows.repartition(1).agg(nm.total(F.col("v"))).first()[0]
-    many = rows.repartition(7).agg(nm.total(F.col("v"))).first()[0]
-    assert one == many == 60.0
-    assert rows.limit(0).agg(nm.total(F.col("v"))).first()[0] == 0.0
-
-
-def test_totals_of_small_large_and_odd_values(spark):
-    def summed(*values):
-        return spark.createDataFrame([(v,) for v in values], "v double").agg(nm.total(F.col("v"))).first()[0]
-
-    assert summed(2.5e-7, 1e-7) == 3.5e-7 and summed(1e-12, 2e-12) == 3e-12 and summed(1e9, 1e-9, -1e9) == 1e-9
-    assert math.isnan(summed(1.0, NAN)) and math.isnan(summed(float("inf"), -float("inf")))
-    assert summed(1.0, float("inf")) == float("inf") and summed(-float("inf"), None) == -float("inf") and summed(None) == 0.0
-
-
 def test_unreadable_measurements_have_a_reason(column):
     rows = [(True, 2.0, None), (False, 2.0, None), (None, 2.0, 1.0)]
     strict = column(rows, "p boolean, b double, e double", nm.retry_reason(F.col("p"), F.col("b"), F.col("e")))

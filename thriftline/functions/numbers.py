@@ -97,26 +97,6 @@ def magnitude(value: Column, decimals: int = 1) -> Column:
     )
 
 
-def total(value: Column) -> Column:
-    """Sum, 0.0 over nothing, the same in whatever order tasks finish.
-
-    Finite values are carried in a decimal with 18 places, enough for amounts from
-    1e-12 to 1e9 and far beyond; a sum past 1e20 raises.  NaN and infinities are
-    counted apart and come out as IEEE addition gives them.
-    """
-    infinite = F.abs(value) == F.lit(float("inf"))
-    finite = ~F.isnan(value) & ~infinite
-    exact = F.sum(F.when(finite, value.cast(T.DecimalType(38, 18)))).cast("double")
-    up, down = (F.coalesce(F.bool_or(infinite & (value * sign > 0)), F.lit(False)) for sign in (1, -1))
-    nan = F.coalesce(F.bool_or(F.isnan(value)), F.lit(False))
-    return (
-        F.when(nan | (up & down), F.lit(float("nan")))
-        .when(up, F.lit(float("inf")))
-        .when(down, F.lit(float("-inf")))
-        .otherwise(F.coalesce(exact, F.lit(0.0)))
-    )
-
-
 def retry_reason(test_passed: Column, baseline: Column, measured: Column, unreadable_as_zero: bool = False) -> Column:
     """Why an attempt is retried; NULL when it wins.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from thriftline import fixed_values as fixed
 from thriftline.functions import numbers as nm
 from thriftline.functions import text as tx
+from thriftline.operators import totals
 
 
 def log_values(lines: DataFrame, text: str = "line") -> DataFrame:
@@ -64,14 +65,18 @@ def average_runs(runs: DataFrame, keys: list[str]) -> DataFrame:
     One unparsed run spoils its group: ``(0.0, false)``.
     """
     parsed = F.coalesce(F.col("parsed"), F.lit(False))
-    spoiled = F.bool_or(~parsed)
-    mean = nm.total(F.col("emissions_kg")) / F.count(F.lit(1))
-    passed = F.bool_and(parsed & F.coalesce(F.col("exit_code") == 0, F.lit(False)))
-    return runs.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("runs"),
-        F.when(spoiled, F.lit(0.0)).otherwise(mean).alias("emissions_kg"),
-        passed.alias("passed"),
+    found = totals.exact_sums(
+        runs,
+        keys,
+        {"_kg": F.col("emissions_kg")},
+        {
+            "runs": totals.counted(F.count(F.lit(1))),
+            "_spoiled": totals.some(~parsed),
+            "passed": totals.every(parsed & F.coalesce(F.col("exit_code") == 0, F.lit(False))),
+        },
     )
+    mean = F.when(F.col("_spoiled"), F.lit(0.0)).otherwise(F.col("_kg") / F.col("runs"))
+    return found.select(*keys, "runs", mean.alias("emissions_kg"), "passed")
 
 
 def baselines(functions: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:

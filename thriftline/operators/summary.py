@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from thriftline import fixed_values as fixed
 from thriftline.functions import numbers as nm
 from thriftline.functions import paths
+from thriftline.operators import totals as exact
 from thriftline.operators.numbering import numbered
 from thriftline.operators.routing import is_measured, successes
 
@@ -54,34 +55,42 @@ def success_line(results: DataFrame, group: list[str]) -> DataFrame:
     )
 
 
+def _measured_sums() -> tuple[dict[str, Column], dict[str, exact.Merged]]:
+    """Sums and count over measured functions."""
+    seen = is_measured()
+    sums = {f"total_{when}_emissions_kg": F.when(seen, F.col(f"{when}_emissions_kg")) for when in ("baseline", "optimized")}
+    return sums, {"functions_with_measurements": exact.counted(F.count_if(seen))}
+
+
+def _saved() -> dict[str, Column]:
+    saved = F.col("total_baseline_emissions_kg") - F.col("total_optimized_emissions_kg")
+    return {"total_co2_saved_kg": saved, "total_co2_saved_g": nm.kg_to_g(saved)}
+
+
+def _measured_pct() -> tuple[dict[str, Column], dict[str, exact.Merged]]:
+    """What the mean, largest and smallest reduction are made of."""
+    pct = F.when(is_measured(), F.col("reduction_pct"))
+    return {"_pct": pct}, {"_n": exact.counted(F.count(pct)), "_max": exact.highest(pct), "_min": exact.lowest(pct)}
+
+
+def _reductions() -> list[Column]:
+    zero = F.lit(0.0)
+    return [
+        nm.round_even(F.coalesce(F.try_divide(F.col("_pct"), F.col("_n")), zero), 2).alias("avg_co2_reduction_pct"),
+        nm.round_even(F.coalesce(F.col("_max"), zero), 2).alias("max_co2_reduction_pct"),
+        nm.round_even(F.coalesce(F.col("_min"), zero), 2).alias("min_co2_reduction_pct"),
+    ]
+
+
 def totals(results: DataFrame, group: list[str]) -> DataFrame:
     """Emissions before and after, and what was saved, over measured functions."""
-    seen = is_measured()
-    before = nm.total(F.when(seen, F.col("baseline_emissions_kg")))
-    after = nm.total(F.when(seen, F.col("optimized_emissions_kg")))
-    return (
-        _grouped(results, group)
-        .agg(
-            F.count_if(seen).alias("functions_with_measurements"),
-            before.alias("total_baseline_emissions_kg"),
-            after.alias("total_optimized_emissions_kg"),
-        )
-        .withColumn(
-            "total_co2_saved_kg", F.col("total_baseline_emissions_kg") - F.col("total_optimized_emissions_kg")
-        )
-        .withColumn("total_co2_saved_g", nm.kg_to_g(F.col("total_co2_saved_kg")))
-    )
+    sums, others = _measured_sums()
+    return exact.exact_sums(results, group, sums, others).withColumns(_saved())
 
 
 def reductions(results: DataFrame, group: list[str]) -> DataFrame:
     """Mean, largest and smallest reduction over measured functions, two decimals."""
-    pct = F.when(is_measured(), F.col("reduction_pct"))
-    mean = F.coalesce(F.try_divide(nm.total(pct), F.count(pct)), F.lit(0.0))
-    return _grouped(results, group).agg(
-        nm.round_even(mean, 2).alias("avg_co2_reduction_pct"),
-        nm.round_even(F.coalesce(F.max(pct), F.lit(0.0)), 2).alias("max_co2_reduction_pct"),
-        nm.round_even(F.coalesce(F.min(pct), F.lit(0.0)), 2).alias("min_co2_reduction_pct"),
-    )
+    return exact.exact_sums(results, group, *_measured_pct()).select(*group, *_reductions())
 
 
 def files_optimized(results: DataFrame, group: list[str]) -> DataFrame:
@@ -95,30 +104,23 @@ def files_optimized_in_order(results: DataFrame, group: list[str]) -> DataFrame:
 
 def project_summary(results: DataFrame, group: list[str]) -> DataFrame:
     """All scalars of the savings summary in one pass over the records."""
-    ok = F.count_if(F.col("success"))
-    every = F.count(F.lit(1))
-    seen = is_measured()
-    pct = F.when(seen, F.col("reduction_pct"))
-    mean = F.coalesce(F.try_divide(nm.total(pct), F.count(pct)), F.lit(0.0))
-    return (
-        _grouped(results, group)
-        .agg(
-            every.alias("total_functions_analyzed"),
-            ok.alias("functions_optimized"),
-            (every - ok).alias("functions_skipped"),
-            nm.round_even(_share(ok, every), 1).alias("success_rate_pct"),
-            F.count_if(seen).alias("functions_with_measurements"),
-            nm.round_even(mean, 2).alias("avg_co2_reduction_pct"),
-            nm.round_even(F.coalesce(F.max(pct), F.lit(0.0)), 2).alias("max_co2_reduction_pct"),
-            nm.round_even(F.coalesce(F.min(pct), F.lit(0.0)), 2).alias("min_co2_reduction_pct"),
-            nm.total(F.when(seen, F.col("baseline_emissions_kg"))).alias("total_baseline_emissions_kg"),
-            nm.total(F.when(seen, F.col("optimized_emissions_kg"))).alias("total_optimized_emissions_kg"),
-        )
-        .withColumn(
-            "total_co2_saved_kg", F.col("total_baseline_emissions_kg") - F.col("total_optimized_emissions_kg")
-        )
-        .withColumn("total_co2_saved_g", nm.kg_to_g(F.col("total_co2_saved_kg")))
-    )
+    sums, others = _measured_sums()
+    pct, parts = _measured_pct()
+    more = {
+        "total_functions_analyzed": exact.counted(F.count(F.lit(1))),
+        "functions_optimized": exact.counted(F.count_if(F.col("success"))),
+    }
+    found = exact.exact_sums(results, group, sums | pct, more | others | parts)
+    every, ok = F.col("total_functions_analyzed"), F.col("functions_optimized")
+    return found.select(
+        *group,
+        *more,
+        (every - ok).alias("functions_skipped"),
+        nm.round_even(_share(ok, every), 1).alias("success_rate_pct"),
+        *others,
+        *_reductions(),
+        *sums,
+    ).withColumns(_saved())
 
 
 def _savings_order() -> list[Column]:

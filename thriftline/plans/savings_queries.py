@@ -19,9 +19,15 @@ from thriftline.streaming import progress
 _RUN = ["function_id", "run_id"]
 
 
-def _sum(column: str) -> str:
-    exact = f"sum(CAST(CAST({column} AS VARCHAR) AS DECIMAL(38, 18)))"
-    return f"coalesce(CAST(CAST({exact} AS VARCHAR) AS DOUBLE), 0.0)"
+def _sum(column: str, scale: int = 80) -> str:
+    """Exact sum of doubles as a whole number of ``2 ** -scale``, rounded once; it has to hold the last bit of each."""
+    units = f"sum(CAST({column} * pow(2, {scale}) AS HUGEINT))"
+    # Some 60 leading bits with a mark for what is cut off, so that the one rounding is that of the cast.
+    shift = "greatest(0, CAST(ceil(log2(CAST(abs(s) AS DOUBLE))) AS INTEGER) - 60)"
+    unit = f"CAST(pow(2, {shift}) AS HUGEINT)"
+    head = f"(abs(s) // {unit} + CASE WHEN abs(s) % {unit} <> 0 AND abs(s) // {unit} % 2 = 0 THEN 1 ELSE 0 END)"
+    value = f"CAST(CAST({head} AS BIGINT) AS DOUBLE) * pow(2, {shift} - {scale}) * CASE WHEN s < 0 THEN -1 ELSE 1 END"
+    return f"coalesce(list_transform([{units}], lambda s: CASE WHEN s = 0 THEN 0.0 ELSE {value} END)[1], 0.0)"
 
 
 def _round(value: str, decimals: int) -> str:
@@ -158,8 +164,8 @@ def a5_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     + f"""
     , v_small AS (SELECT project, baseline_emissions_kg * 1e-12 AS b, optimized_emissions_kg * 1e-12 AS o FROM v_measured),
     v_part AS (SELECT DISTINCT project FROM v_result),
-    v_sum AS (SELECT p.project, count(s.b) AS functions_with_measurements, {_sum('s.b')} AS total_baseline_emissions_kg,
-                     {_sum('s.o')} AS total_optimized_emissions_kg
+    v_sum AS (SELECT p.project, count(s.b) AS functions_with_measurements, {_sum('s.b', 110)} AS total_baseline_emissions_kg,
+                     {_sum('s.o', 110)} AS total_optimized_emissions_kg
               FROM v_part p LEFT JOIN v_small s ON s.project = p.project GROUP BY p.project)
     SELECT *, total_baseline_emissions_kg - total_optimized_emissions_kg AS total_co2_saved_kg,
            (total_baseline_emissions_kg - total_optimized_emissions_kg) * 1000 AS total_co2_saved_g FROM v_sum
@@ -171,6 +177,27 @@ def a5_small_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.totals(views.results(spark, sf_dir).withColumns(small), ["project"])
 
 
+@query(
+    "a5_wide_totals",
+    """
+    SELECT l_suppkey AS project, 3 * count(*) AS functions_with_measurements,
+           CAST(sum(l_orderkey) AS DOUBLE) * pow(2, -83) AS total_baseline_emissions_kg,
+           CAST(sum(l_linenumber) AS DOUBLE) * pow(2, 83) AS total_optimized_emissions_kg,
+           CAST(sum(l_orderkey) AS DOUBLE) * pow(2, -83) - CAST(sum(l_linenumber) AS DOUBLE) * pow(2, 83) AS total_co2_saved_kg,
+           (CAST(sum(l_orderkey) AS DOUBLE) * pow(2, -83) - CAST(sum(l_linenumber) AS DOUBLE) * pow(2, 83)) * 1000 AS total_co2_saved_g
+    FROM lineitem GROUP BY l_suppkey
+    """,
+)
+def a5_wide_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts from 1e-25 to 1e25 in one sum: the large ones cancel and every bit of the small ones counts."""
+    price = F.col("l_extendedprice")
+    before = [price * 1e20, -price * 1e20, F.col("l_orderkey") * 2.0**-83]
+    after = [price * 1e-28, -price * 1e-28, F.col("l_linenumber") * 2.0**83]
+    both = F.arrays_zip(F.array(*before).alias("baseline_emissions_kg"), F.array(*after).alias("optimized_emissions_kg"))
+    rows = views.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("project"), F.lit(True).alias("success"), F.inline(both))
+    return summary.totals(rows, ["project"])
+
+
 _REDUCTIONS = f"""
     {_round(f"coalesce({_sum('m.reduction_pct')} / nullif(count(m.reduction_pct), 0), 0.0)", 2)} AS avg_co2_reduction_pct,
     {_round("coalesce(max(m.reduction_pct), 0.0)", 2)} AS max_co2_reduction_pct,
