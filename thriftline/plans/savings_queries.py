@@ -14,7 +14,7 @@ from thriftline.plans import views
 from thriftline.plans.registry import query
 from thriftline.session import scratch_path
 from thriftline.sources import requirements, tree
-from thriftline.streaming import progress
+from thriftline.streaming import expiring, progress
 
 _RUN = ["function_id", "run_id"]
 
@@ -872,3 +872,26 @@ def r1_late_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = progress.merged(spark, out, ["function_id"])
     current = progress.current_outcomes(seen, views.baselines(spark, sf_dir), ["function_id"])
     return current.select(*_OUTCOME_COLUMNS.split(", "))
+
+
+@query("r1_expired_state", views.RESULTS_SQL + f"SELECT {_OUTCOME_COLUMNS} FROM v_outcome")
+def r1_expired_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each attempt number lands a day after the one before; state ends after an hour, so each batch finds none."""
+    items = views.attempt_rows(views.table(spark, sf_dir, "lineitem"))
+    landed = items.withColumn("landed_at", F.timestamp_seconds(F.col("attempt").cast("bigint") * 86_400))
+    folder, out, kept = (scratch_path(spark, name) for name in ("landed", "attempts", "current"))
+    last = fixed.MAX_ATTEMPTS + 1
+    schema = landed.schema
+    folded = None
+    for number in range(1, last + 1):
+        own = F.col("attempt") == number if number < last else F.col("attempt") >= number
+        landed.where(own).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(schema).parquet(folder)
+        expiring.publish_expiring(
+            stream, ["function_id"], out, f"{folder}-progress", ttl_ms=3_600_000, delay="0 seconds"
+        ).awaitTermination()
+        if number < last:
+            folded = expiring.fold(spark, out, kept, ["function_id"], folded)
+    seen = expiring.current(spark, out, ["function_id"], folded)
+    current = progress.current_outcomes(seen, views.baselines(spark, sf_dir), ["function_id"])
+    return current.select(*_OUTCOME_COLUMNS.split(", "))
