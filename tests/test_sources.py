@@ -55,6 +55,40 @@ def test_members_of_one_archive_are_read_by_many_tasks(spark, archive_folder):
     assert len(tasks) > 3 and sum(r["count"] for r in tasks) == 500
 
 
+def test_loads_hold_about_the_same_bytes(spark, tmp_path):
+    """One archive with most bytes, hundreds of small ones, members of very different sizes."""
+    rows = [("a.zip", n, f"m{n}", 40_000 - 90 * n, True, None) for n in range(400)]
+    rows += [(f"b{n:03}.zip", 0, "m", n * n % 9_000, True, None) for n in range(300)] + [("c.zip", None, None, None, None, "broken")]
+    listed = spark.createDataFrame(rows, "archive string, position bigint, file string, n_bytes bigint, stored boolean, error string")
+    loaded = archives.with_loads(listed, 16, ["archive", "position", "file"])
+    dealt = loaded.repartitionById(16, "load").withColumn("task", F.spark_partition_id())
+    sums = {r.task: (r.b, r.loads) for r in dealt.groupBy("task").agg(F.sum("n_bytes").alias("b"), F.count_distinct("load").alias("loads")).collect()}
+    mean = sum(b for b, _ in sums.values()) / 16
+    assert len(sums) == 16 and max(b for b, _ in sums.values()) <= 2 * mean and {n for _, n in sums.values()} == {1}
+    assert archives.with_loads(listed.limit(0), 16, ["archive", "position", "file"]).collect() == []
+
+
+def test_pieces_give_the_members(spark, tmp_path):
+    big, small = bytes(range(256)) * 700, b"x" * 1000
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as archive:
+        archive.writestr("stored.bin", big, zipfile.ZIP_STORED)
+        archive.writestr("packed.bin", big, zipfile.ZIP_DEFLATED)
+        archive.writestr("exact.bin", small, zipfile.ZIP_STORED)
+        archive.writestr("none.bin", b"", zipfile.ZIP_DEFLATED)
+    (tmp_path / "a.zip").write_bytes(held.getvalue())
+    (tmp_path / "bad.zip").write_bytes(b"PK no")
+    found = archives.read_pieces(spark, str(tmp_path), tasks=8, piece=1000)
+    rows = found.withColumn("task", F.spark_partition_id()).collect()
+    assert [r.archive.rsplit("/", 1)[1] for r in rows if r.error] == ["bad.zip"]
+    joined = {}
+    for r in sorted((r for r in rows if not r.error), key=lambda r: (r.file, r.start)):
+        assert r.start == len(joined.get(r.file, b"")) and len(r.content) <= 1000
+        joined[r.file] = joined.get(r.file, b"") + bytes(r.content)
+    assert joined == {"stored.bin": big, "packed.bin": big, "exact.bin": small, "none.bin": b""}
+    assert len({r.task for r in rows if r.file == "stored.bin"}) > 2 and len({r.task for r in rows if r.file == "packed.bin"}) == 1
+
+
 def test_tree_scan(spark, tmp_path):
     for name in [
         "p/__init__.py", "p/_private.py", "p/a/b/c/d/e/deep.py", "p/tests/t.py", "p/venv/x.py", "p/readme.md", "p/x_test.py",

@@ -45,6 +45,67 @@ def s1_archive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _uneven_archives(spark: SparkSession, sf_dir: str) -> str:
+    """Archives of one member and of 21, the text compressed and copies of it stored; gives their folder."""
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for number, text in frame.itertuples(index=False):
+                held = io.BytesIO()
+                with zipfile.ZipFile(held, "w") as archive:
+                    archive.writestr("m.py", text, zipfile.ZIP_DEFLATED)
+                    for n in range(20 if number % 7 == 0 else 0):
+                        archive.writestr(f"copy{n}.py", text, zipfile.ZIP_STORED)
+                rows.append(("in", f"a{number}.zip", held.getvalue()))
+            yield pd.DataFrame(rows, columns=["project", "file", "content"])
+
+    root = scratch_path(spark, "archives")
+    docs = views.texts(spark, sf_dir).select("doc_id", "text")
+    trees.write_tree(docs.mapInPandas(pack, "project string, file string, content binary"), root)
+    return root
+
+
+_UNEVEN_SQL = """
+    WITH m AS (
+      SELECT 'a' || doc_id || '.zip' AS archive, 0 AS position, 'm.py' AS file, text FROM documents
+      UNION ALL SELECT 'a' || doc_id || '.zip', n + 1, 'copy' || n || '.py', text FROM documents, range(20) AS c(n) WHERE doc_id % 7 = 0)
+"""
+
+
+@query(
+    "s1_uneven_archives",
+    _UNEVEN_SQL
+    + """
+    , p AS (
+      SELECT *, CAST(strlen(text) AS BIGINT) AS n_bytes, sum(strlen(text) + 512) OVER () AS whole,
+             coalesce(sum(strlen(text) + 512) OVER (ORDER BY archive, position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM m)
+    SELECT archive, file, n_bytes, md5(text) AS digest, CAST(before // ((whole + 15) // 16) AS INTEGER) AS load FROM p
+    """,
+)
+def s1_uneven_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen tasks, each with about as many bytes, however they lie in archives and members."""
+    listed = archives.list_archives(spark, _uneven_archives(spark, sf_dir))
+    members = archives.fetch_members(listed, tasks=16, keep=["load"])
+    return members.select(
+        F.substring_index("archive", "/", -1).alias("archive"), "file", "n_bytes", F.md5("content").alias("digest"), F.col("load").cast("int")
+    )
+
+
+@query(
+    "s1_member_pieces",
+    _UNEVEN_SQL
+    + """
+    , b AS (SELECT archive, file, CAST(strlen(text) AS BIGINT) AS n_bytes, hex(encode(text)) AS h FROM m)
+    SELECT archive, file, n_bytes, CAST(i * 1024 AS BIGINT) AS start, md5(unhex(substr(h, CAST(i * 2048 + 1 AS BIGINT), 2048))) AS digest
+    FROM (SELECT *, unnest(range(greatest(1, (n_bytes + 1023) // 1024))) AS i FROM b)
+    """,
+)
+def s1_member_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = archives.read_pieces(spark, _uneven_archives(spark, sf_dir), piece=1024)
+    return pieces.select(F.substring_index("archive", "/", -1).alias("archive"), "file", "n_bytes", "start", F.md5("content").alias("digest"))
+
+
 def _written_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the documents as a tree of files; gives its project folders."""
     root = scratch_path(spark, "tree")

@@ -1,7 +1,8 @@
 """Zip archives of projects, expanded into their members.
 
 ``read_archives`` lists members from the central directories first and then
-spreads the members over tasks, so one huge archive is read by many tasks.
+spreads the members over tasks by their bytes, so one huge archive is read by many tasks and
+all of them have about as much to read.  ``read_pieces`` cuts large members as well.
 ``expand_archives`` works on a table that already holds the archive bytes.
 """
 
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from thriftline import schemas
+from thriftline.operators.running import running_total
 from thriftline.session import slots
 from thriftline.sources import files
 
@@ -84,7 +86,7 @@ def list_members(archives: DataFrame) -> DataFrame:
 
     Of members with the same name the last position stays, as it would on disk.
     """
-    columns = ["archive", "position", "file", "n_bytes", "error"]
+    columns = ["archive", "position", "file", "n_bytes", "stored", "error"]
 
     def listing(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def rows() -> Iterator[tuple]:
@@ -94,19 +96,23 @@ def list_members(archives: DataFrame) -> DataFrame:
                         system, path = files.locate(uri)
                         with system.open_input_file(path) as stream, zipfile.ZipFile(stream) as archive:
                             for position, member, info in _members(archive):
-                                yield uri, position, member, info.file_size, None
+                                plain = info.compress_type == zipfile.ZIP_STORED and not info.flag_bits & 1
+                                yield uri, position, member, info.file_size, plain, None
                     except _BAD_ARCHIVE as error:
-                        yield uri, None, None, None, str(error)
+                        yield uri, None, None, None, None, str(error)
 
         found = rows()
         while held := list(itertools.islice(found, 50_000)):
-            yield pd.DataFrame(held, columns=columns).astype({"position": "Int64", "n_bytes": "Int64"})
+            yield pd.DataFrame(held, columns=columns).astype(
+                {"position": "Int64", "n_bytes": "Int64", "stored": "boolean"}
+            )
 
-    schema = "archive string, position bigint, file string, n_bytes bigint, error string"
+    schema = "archive string, position bigint, file string, n_bytes bigint, stored boolean, error string"
     listed = archives.select("path").mapInPandas(listing, schema=schema)
     return listed.groupBy("archive", "file").agg(
         F.max("position").alias("position"),
         F.max_by("n_bytes", "position").alias("n_bytes"),
+        F.max_by("stored", "position").alias("stored"),
         F.max("error").alias("error"),
     )
 
@@ -117,13 +123,29 @@ def list_archives(spark: SparkSession, path: str) -> DataFrame:
     return list_members(found.load(path).select("path"))
 
 
+#: What opening a member costs, in bytes read.
+MEMBER_COST = 512
+
+
+def with_loads(units: DataFrame, tasks: int, order: list[str], n_bytes: str = "n_bytes") -> DataFrame:
+    """Add ``load``: units in order, cut into ``tasks`` stretches of about the same number of bytes.
+
+    A load has at most the mean and the unit that begins in it.
+    """
+    weight = F.coalesce(F.col(n_bytes), F.lit(0)) + MEMBER_COST
+    placed = running_total(units, [], [F.col(c) for c in order], weight, "_before", "_total")
+    share = F.ceil(F.col("_total").cast("decimal(20,0)") / tasks).cast("bigint")
+    return placed.withColumn("load", F.floor(F.col("_before") / share).cast("int")).drop("_before", "_total")
+
+
 def fetch_members(listed: DataFrame, tasks: int | None = None, keep: list[str] | None = None) -> DataFrame:
-    """Content of listed members; columns in ``keep`` (text) come along.
+    """Content of listed members; columns in ``keep`` (text) come along, ``load`` too if it is among them.
 
-    Members are dealt out in ranges of archive and position, so the members of one
+    Members are dealt out by their bytes in the order of archive and position, so the members of one
     large archive are read by many tasks.  Filter ``listed`` first: what is not in
     it is never read.
     """
+    tasks = tasks or slots(listed.sparkSession)
     keep = keep or []
     own = schemas.ARCHIVE_MEMBER.names
 
@@ -148,12 +170,73 @@ def fetch_members(listed: DataFrame, tasks: int | None = None, keep: list[str] |
 
         yield from _in_batches(rows(), [*own, *keep], 3)
 
-    narrow = listed.select("archive", "position", "file", "error", *keep)
-    dealt = narrow.repartitionByRange(tasks or slots(listed.sparkSession), "archive", "position", "file")
+    carried = [name for name in keep if name != "load"]
+    narrow = listed.select("archive", "position", "file", "n_bytes", "error", *carried)
+    loaded = with_loads(narrow, tasks, ["archive", "position", "file"])
+    dealt = loaded.repartitionById(tasks, "load").withColumn("load", F.col("load").cast("string"))
     schema = T.StructType([*schemas.ARCHIVE_MEMBER.fields, *[T.StructField(name, T.StringType()) for name in keep]])
     return dealt.mapInPandas(fetch, schema=schema)
 
 
+_PIECE = T.StructType(
+    [
+        T.StructField("archive", T.StringType()), T.StructField("file", T.StringType()), T.StructField("n_bytes", T.LongType()),
+        T.StructField("start", T.LongType()), T.StructField("content", T.BinaryType()), T.StructField("error", T.StringType()),
+    ]
+)
+
+
+def fetch_pieces(listed: DataFrame, tasks: int | None = None, piece: int = _BATCH_BYTES) -> DataFrame:
+    """Content of listed members in pieces of at most ``piece`` bytes: ``archive, file, n_bytes, start, content, error``.
+
+    A member that is stored as it is can be read anywhere, so its pieces go to different tasks (and its checksum is
+    not looked at); a compressed one has to be read from its start and is one task's, piece by piece.  Either way no
+    task holds more than a piece.  An empty member is one empty piece.
+    """
+    tasks = tasks or slots(listed.sparkSession)
+    whole = F.coalesce(F.col("n_bytes"), F.lit(0))
+    starts = F.when(F.col("stored") & (whole > piece), F.sequence(F.lit(0).cast("bigint"), whole - 1, F.lit(piece).cast("bigint")))
+    units = listed.select("archive", "position", "file", "n_bytes", "error", F.explode(F.coalesce(starts, F.array(F.lit(-1).cast("bigint")))).alias("from"))
+    size = F.when(F.col("from") < 0, whole).otherwise(F.least(F.lit(piece).cast("bigint"), whole - F.col("from")))
+    order = ["archive", "position", "file", "from"]
+    dealt = with_loads(units.withColumn("size", size), tasks, order, "size").repartitionById(tasks, "load")
+
+    def fetch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def rows() -> Iterator[tuple]:
+            for frame in frames:
+                for uri, group in frame.groupby("archive", sort=False):
+                    for error in group.loc[group["error"].notna(), "error"]:
+                        yield uri, None, None, None, None, error
+                    good = group[group["error"].isna()].sort_values(["position", "from"])
+                    if good.empty:
+                        continue
+                    system, inner = files.locate(uri)
+                    with system.open_input_file(inner) as stream, zipfile.ZipFile(stream) as archive:
+                        infos = archive.infolist()
+                        for position, member, first in good[["position", "file", "from"]].itertuples(index=False):
+                            info = infos[int(position)]
+                            try:
+                                with archive.open(info) as source:
+                                    at = max(int(first), 0)
+                                    source.seek(at)
+                                    while (data := source.read(piece)) or at == 0:
+                                        yield uri, member, info.file_size, at, data, None
+                                        at += len(data)
+                                        if first >= 0 or not data:
+                                            break
+                            except _BAD_ARCHIVE as error:
+                                yield uri, member, info.file_size, None, None, str(error)
+
+        yield from _in_batches(rows(), _PIECE.names, 4)
+
+    return dealt.select("archive", "position", "file", "from", "error").mapInPandas(fetch, schema=_PIECE)
+
+
+def read_pieces(spark: SparkSession, path: str, tasks: int | None = None, piece: int = _BATCH_BYTES) -> DataFrame:
+    """Members of every archive below ``path`` in pieces; see :func:`fetch_pieces`."""
+    return fetch_pieces(list_archives(spark, path), tasks, piece)
+
+
 def read_archives(spark: SparkSession, path: str, tasks: int | None = None) -> DataFrame:
     """Members of every archive below ``path``, read in parallel within each archive."""
     return fetch_members(list_archives(spark, path), tasks)
