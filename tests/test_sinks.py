@@ -36,15 +36,13 @@ def local(path):
     return pathlib.Path(path.removeprefix("file:"))
 
 
-def joined(path):
-    """The documents: exported part files of each project in name order."""
+def joined(path, part=1 << 20):
+    """The documents by project, each from its exported file."""
     spark = SparkSession.getActiveSession()
-    folder = scratch_path(spark, "exported")
-    sink.export_documents(spark, path, folder)
-    whole = {}
-    for part in sorted(local(folder).glob("project=*/part-*")):
-        project = part.parts[-2]
-        whole[project] = whole.get(project, "") + part.read_text(encoding="utf-8")
+    found = sink.export_documents(spark, path, scratch_path(spark, "exported"), part).collect()
+    whole = {r.project: local(r.uri).read_bytes() for r in found}
+    assert {r.project: r.n_bytes for r in found} == {p: len(t) for p, t in whole.items()}
+    assert not [p for r in found for p in local(r.uri).parent.iterdir() if p.suffix != ".json"]
     return {p: json.loads(t) for p, t in whole.items()}
 
 
@@ -52,8 +50,8 @@ def test_savings_document(spark):
     path = scratch_path(spark, "t")
     sink.write_savings_documents(spark.createDataFrame(ROWS, RESULT), path, "2024-01-01T00:00:00+00:00")
     found = joined(path)
-    assert set(found) == {"project=other", "project=p q%2F1"}
-    full, empty = found["project=p q%2F1"], found["project=other"]
+    assert set(found) == {"other", "p q/1"}
+    full, empty = found["p q/1"], found["other"]
     assert full["project_root"] == "p q/1" and full["generated_at"] == "2024-01-01T00:00:00+00:00"
     assert full["summary"] == {
         "total_functions_analyzed": 6, "functions_optimized": 4, "functions_skipped": 2, "success_rate_pct": 66.7,
@@ -91,7 +89,7 @@ def test_long_document_keeps_order_over_many_tasks(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert len(list(local(path).glob("part-*"))) > 3
-    functions = joined(path)["project=p"]["functions"]
+    functions = joined(path, 10_000)["p"]["functions"]
     assert [f["id"] for f in functions] == [f"id{n:06}" for n in range(5000)]
     assert functions[0]["baseline_emissions_kg"] is None and functions[1]["optimized_emissions_kg"] is None
     assert list(functions[0]) == schemas.RESULT.names
@@ -112,6 +110,9 @@ def test_odd_names_and_repeated_records_make_documents(spark):
     for name, text in texts.items():
         found = json.loads(text)
         assert found["project_root"] == name and [f["name"] for f in found["functions"]] == ["f\u2028"] * 3
+    # Every name has a file of its own, NULL and the empty one too.
+    exported = joined(path, 50)
+    assert {n: d["project_root"] for n, d in exported.items()} == {n: n for n in names}
     back = documents.read_section(spark, path, "1-functions", schemas.SPEC_RESULT)
     assert sorted(str(r.project) for r in back.collect()) == sorted(str(p) for p in names for _ in range(3))
 
@@ -123,7 +124,7 @@ def test_spec_document(spark):
     )
     path = scratch_path(spark, "t")
     sink.write_spec_documents(specs, path, "now")
-    document = joined(path)["project=p"]
+    document = joined(path)["p"]
     assert [f["id"] for f in document["functions"]] == ["a", "b"] and document["functions"][1]["error"] == "why"
 
 

@@ -20,7 +20,7 @@ from thriftline.plans.registry import query
 from thriftline.session import scratch_path, written
 from thriftline.sinks import documents as document_sink
 from thriftline.sinks import trees
-from thriftline.sources import archives, decode, documents, requirements, tree
+from thriftline.sources import archives, decode, documents, requirements, split_json, tree
 
 _STAMP = "2024-01-01T00:00:00"
 
@@ -192,6 +192,33 @@ def s5_result_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "s5_split_document",
+    """
+    WITH t AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l,
+                      unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)
+    SELECT 'all' AS project_root, '2024-01-01T00:00:00' AS generated_at, doc_id || '.' || i AS id, l AS function_code,
+           CASE WHEN i % 2 = 0 THEN length(l) / 4.0 END AS baseline_emissions_kg, i % 2 = 0 AS success,
+           CASE WHEN i % 2 <> 0 THEN 'no_spec' END AS skip_reason
+    FROM t
+    """,
+)
+def s5_split_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines of all documents as records of one JSON file, written by many tasks and read in ranges of 256 KB."""
+    lines = views.texts(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "l"))
+    even = F.col("at") % 2 == 0
+    own = {
+        "id": F.concat_ws(".", "doc_id", "at"), "function_code": F.col("l"), "baseline_emissions_kg": F.when(even, F.length("l") / 4.0),
+        "success": even, "skip_reason": F.when(~even, F.lit("no_spec")),
+    }
+    columns = [own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.RESULT]
+    root, folder = scratch_path(spark, "document"), scratch_path(spark, "exported")
+    document_sink.write_result_documents(lines.select(F.lit("all").alias("project"), *columns), root, _STAMP)
+    document_sink.export_documents(spark, root, folder, part=1 << 20)
+    read = split_json.read_split_documents(spark, folder, schemas.RESULT_DOCUMENT, size=1 << 18)
+    return read.select("project_root", "generated_at", *own)
+
+
 def _odd_name(project):
     """Names that look like numbers or dates, hold a line separator, or are empty."""
     odd = {"src1": "007", "src2": "1e3", "src3": "2024-01-01", "src4": "a\u2028b", "src5": ""}
@@ -243,6 +270,25 @@ def s7_result_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "s7_exported_documents",
+    views.RESULTS_SQL
+    + """
+    SELECT project AS project_root, '2024-01-01T00:00:00' AS generated_at, id, file, function_code,
+           row_number() OVER (PARTITION BY project ORDER BY file, id) - 1 AS position FROM v_result
+    """,
+)
+def s7_exported_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON file for each project, parsed whole by another reader; records stand in order."""
+    results = views.results(spark, sf_dir)
+    root, folder = scratch_path(spark, "result-documents"), scratch_path(spark, "exported")
+    document_sink.write_result_documents(routing.final_records(results, ["project"]), root, _STAMP)
+    document_sink.export_documents(spark, root, folder)
+    whole = spark.read.schema(schemas.RESULT_DOCUMENT).json(folder, multiLine=True, mode="FAILFAST")
+    each = whole.select("project_root", "generated_at", F.posexplode("functions").alias("position", "f"))
+    return each.select("project_root", "generated_at", "f.id", "f.file", "f.function_code", F.col("position").cast("bigint"))
+
+
 _S8_ORDERED = """
     SELECT project, 'optimized' AS section, row_number() OVER (PARTITION BY project ORDER BY -reduction_pct NULLS LAST, file, line, id) AS position,
            id, name, file, baseline_emissions_kg - optimized_emissions_kg AS co2_saved_kg, NULL AS reason FROM v_result WHERE success

@@ -20,6 +20,7 @@ from thriftline.functions.numbers import sanitize
 from thriftline.operators import impact, summary
 from thriftline.operators.routing import skipped_summary
 from thriftline.session import written
+from thriftline.sinks import assembled
 
 _JSON = {"ignoreNullFields": "false"}
 
@@ -98,10 +99,10 @@ def document_texts(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(first, same, "left").select("project", "place", F.concat(comma, "line").alias("value"))
 
 
-def export_documents(spark: SparkSession, path: str, folder: str) -> None:
-    """JSON text files, a folder for each project; a long document is several files in name order."""
-    texts = document_texts(spark, path).repartitionByRange("project", "place").sortWithinPartitions("project", "place")
-    texts.select("project", "value").write.mode("overwrite").partitionBy("project").text(folder)
+def export_documents(spark: SparkSession, path: str, folder: str, part: int = assembled.PART) -> DataFrame:
+    """One JSON file for each project below ``folder``, however long: ``(project, uri, n_bytes)``."""
+    lines = document_texts(spark, path).withColumnRenamed("project", "name")
+    return assembled.write_files(lines, folder, ".json", part).withColumnRenamed("name", "project")
 
 
 def _opening(generated_at: str) -> Column:
