@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 
-from thriftline.operators import patching, routing
+import pytest
+
+from thriftline.operators import overlaps, patching, routing
 from thriftline.operators.numbering import numbered
 from pyspark.sql import functions as F
 
@@ -152,3 +154,43 @@ def test_routing_order_and_records(spark):
     assert set(records) == {"b", "c", "d", "e"} and records["c"].name == "" and records["e"].spec_code == ""
     assert records["b"].optimized_function_code == "code" and records["b"].baseline_emissions_kg is None
     assert (records["b"].reduction_pct, records["b"].success, records["b"].optimization_attempts) == (0.0, False, 0)
+
+
+def standing(ranges):
+    """The rule, one range after the other."""
+    reach, flags = None, {}
+    for start, end in sorted(ranges, key=lambda r: (r[0], -r[1])):
+        inner = reach is not None and start <= reach
+        flags[start, end] = inner
+        reach = reach if inner else end
+    return flags
+
+
+@pytest.mark.parametrize("blocks", [1, 3, 40])
+def test_many_ranges_are_followed_through_blocks(spark, blocks):
+    rng = random.Random(blocks)
+    files = {
+        ("p", "hot"): {(a, a + rng.choice([0, 1, 5, 40, 400])) for a in (rng.randint(1, 3000) for _ in range(1500))},
+        ("p", "nested"): {(n, 2000 - n) for n in range(1, 900)}, ("p", "chain"): {(3 * n, 3 * n + rng.randint(0, 4)) for n in range(700)},
+        (None, "none"): {(1, 4), (3, 9), (9, 9)}, (None, None): {(1, 2), (2, 3)}, **{("q", f"f{n}"): {(1, n), (n, n + 1)} for n in range(1, 30)},
+    }
+    rows = [(*key, a, b, f"code {a}") for key, ranges in files.items() for a, b in ranges] + [("p", "hot", None, 3, "odd")]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "project string, file string, start_line int, end_line int, code string")
+    found = overlaps.overlap_flags(df, ["project", "file"], blocks).collect()
+    got = {}
+    for r in found:
+        got.setdefault((r.project, r.file), {})[r.start_line, r.end_line] = r.inner
+        assert r.start_line is None or r.code == f"code {r.start_line}"
+    assert got["p", "hot"].pop((None, 3)) is False
+    assert len(found) == len(rows) and got == {key: standing(ranges) for key, ranges in files.items()}
+
+
+def test_covered_lines_are_those_in_a_range(spark):
+    rng = random.Random(2)
+    ranges = {f: [(a, a + rng.choice([-3, 0, 1, 62, 63, 64, 65, 500])) for a in (rng.randint(0, 3000) for _ in range(60))] for f in ("a", "b")}
+    patches = spark.createDataFrame([(f, a, b) for f, found in ranges.items() for a, b in found] + [("a", None, 5)], "file string, start_line int, end_line int")
+    lines = spark.createDataFrame([(f, n) for f in ("a", "b", "c") for n in range(0, 3700)] + [("a", None), (None, 3)], "file string, line_no int")
+    got = {(r.file, r.line_no) for r in patching.uncovered_lines(lines, patches, ["file"]).collect()}
+    free = {(f, n) for f in ("a", "b", "c") for n in range(0, 3700) if not any(a <= n <= b for a, b in ranges.get(f, []))}
+    assert got == free | {("a", None), (None, 3)}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from thriftline.functions import paths
 from thriftline.functions import text as tx
 from thriftline.functions.text import let
+from thriftline.operators import overlaps
 from thriftline.sources import decode
 
 FILE = ["project", "file"]
@@ -52,26 +53,9 @@ def with_overlap_flag(patches: DataFrame, keys: list[str] = FILE) -> DataFrame:
     """Add ``inner``: the patch overlaps one that stands, which is wider or starts earlier.
 
     A patch that overlaps only patches which do not stand is kept.  Ranges are unique
-    per file here, so a group holds one file's functions.
+    per file here.
     """
-    rest = [c for c in patches.columns if c not in keys]
-    made = F.struct(F.lit(None).cast(patches.select(F.struct(*rest).alias("r")).schema["r"].dataType).alias("row"), F.lit(False).alias("inner"))
-    none = F.filter(F.array(made), lambda _: F.lit(False))
-    in_order = F.sort_array(
-        F.collect_list(F.struct("start_line", (-F.col("end_line")).alias("wider"), F.struct(*rest).alias("row")))
-    )
-
-    def step(state: Column, patch: Column) -> Column:
-        inner = F.coalesce(patch["start_line"] <= state["reach"], F.lit(False))
-        reach = F.when(inner, state["reach"]).otherwise((-patch["wider"]).cast("int"))
-        flagged = F.struct(patch["row"].alias("row"), inner.alias("inner"))
-        return F.struct(reach.alias("reach"), F.concat(state["made"], F.array(flagged)).alias("made"))
-
-    start = F.struct(F.lit(None).cast("int").alias("reach"), none.alias("made"))
-    grouped = patches.groupBy(*keys).agg(in_order.alias("_patches"))
-    return grouped.select(*keys, F.inline(F.aggregate("_patches", start, step, lambda s: s["made"]))).select(
-        *keys, "row.*", "inner"
-    )
+    return overlaps.overlap_flags(patches, keys)
 
 
 def outermost(patches: DataFrame, keys: list[str] = FILE) -> DataFrame:
@@ -85,10 +69,15 @@ def overlapped(patches: DataFrame, keys: list[str] = FILE) -> DataFrame:
 
 
 def uncovered_lines(lines: DataFrame, patches: DataFrame, keys: list[str], line: str = "line_no") -> DataFrame:
-    """Lines that no patch replaces: an equi join on the file with the range as residual."""
-    ranges = patches.select(*[F.col(k).alias(f"_{k}") for k in keys], "start_line", "end_line")
+    """Lines that no patch replaces.
+
+    Lines meet 64-line bins of their file, each with one mask of what is covered in it, so a file with very many lines or
+    patches is dealt to many tasks and a line is compared once.
+    """
+    bins = overlaps.covered_lines(patches, keys).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("bin").alias("_bin"), "mask")
     same = [F.col(k) == F.col(f"_{k}") for k in keys]
-    return lines.join(ranges, [*same, F.col(line).between(F.col("start_line"), F.col("end_line"))], "left_anti")
+    in_bin = F.floor(F.col(line).cast("bigint") / 64) == F.col("_bin")
+    return lines.join(bins, [*same, in_bin, overlaps.is_covered(F.col(line), F.col("mask"))], "left_anti")
 
 
 def splice(text: Column, patches: Column, shift: Shift = by_first_line) -> Column:

@@ -366,6 +366,30 @@ def j5_uncovered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patching.uncovered_lines(lines, views.patches(spark, sf_dir), ["doc_id"]).select("doc_id", "line_no", "line")
 
 
+@query(
+    "j5_hot_file",
+    """
+    WITH t AS (SELECT l_linenumber, l_orderkey * 8 + l_linenumber AS line_no FROM lineitem),
+    p AS (
+      SELECT o_orderkey * 8 + o_custkey % 5 AS a, o_orderkey * 8 + o_custkey % 5 + CAST(floor(o_totalprice) AS BIGINT) % 90 AS b
+      FROM orders WHERE o_orderkey % 7 = 0),
+    m AS (SELECT a, max(b) AS b FROM p GROUP BY a),
+    r AS (SELECT a, max(b) OVER (ORDER BY a) AS b FROM m)
+    SELECT l_linenumber, line_no FROM t ASOF LEFT JOIN r ON r.a <= t.line_no WHERE r.b IS NULL OR r.b < t.line_no
+    """,
+)
+def j5_hot_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line item is a line of one file and every seventh order a range of it."""
+    lines = views.table(spark, sf_dir, "lineitem").select(
+        F.lit("hot").alias("file"), "l_linenumber", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line_no")
+    )
+    first = F.col("o_orderkey") * 8 + F.col("o_custkey") % 5
+    ranges = views.table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select(
+        F.lit("hot").alias("file"), first.alias("start_line"), (first + F.col("o_totalprice").cast("bigint") % 90).alias("end_line")
+    )
+    return patching.uncovered_lines(lines, ranges, ["file"]).select("l_linenumber", "line_no")
+
+
 @query("j6_missing_tools", views.REQUIREMENT_SQL + "SELECT project, spec FROM v_missing")
 def j6_missing_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = views.requirement_files(spark, sf_dir)

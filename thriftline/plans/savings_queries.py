@@ -459,6 +459,29 @@ def w6_chained_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patching.with_overlap_flag(chained, ["doc_id"])
 
 
+@query(
+    "w6_many_patches",
+    """
+    WITH RECURSIVE p AS (
+      SELECT l_linenumber % 2 AS doc_id, l_orderkey * 8 + l_linenumber AS start_line,
+             max(l_orderkey * 8 + l_linenumber + CAST(l_quantity AS BIGINT)) AS end_line FROM lineitem GROUP BY ALL),
+    stands AS (
+      SELECT doc_id, start_line, end_line FROM p QUALIFY start_line = min(start_line) OVER (PARTITION BY doc_id)
+      UNION ALL
+      SELECT n.doc_id, n.start_line, n.end_line FROM stands s JOIN LATERAL (
+        SELECT * FROM p WHERE p.doc_id = s.doc_id AND p.start_line > s.end_line ORDER BY p.start_line LIMIT 1) n ON true)
+    SELECT p.*, s.start_line IS NULL AS "inner" FROM p LEFT JOIN stands s ON s.doc_id = p.doc_id AND s.start_line = p.start_line
+    """,
+)
+def w6_many_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All line items as ranges of two files."""
+    at = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    ranges = views.table(spark, sf_dir, "lineitem").groupBy((F.col("l_linenumber") % 2).alias("doc_id"), at.alias("start_line")).agg(
+        F.max(at + F.col("l_quantity").cast("bigint")).alias("end_line")
+    )
+    return patching.with_overlap_flag(ranges, ["doc_id"])
+
+
 # --- V: orders ---------------------------------------------------------------
 
 
