@@ -194,3 +194,11 @@ def test_covered_lines_are_those_in_a_range(spark):
     got = {(r.file, r.line_no) for r in patching.uncovered_lines(lines, patches, ["file"]).collect()}
     free = {(f, n) for f in ("a", "b", "c") for n in range(0, 3700) if not any(a <= n <= b for a, b in ranges.get(f, []))}
     assert got == free | {("a", None), (None, 3)}
+
+
+def test_patches_of_a_row_stand_by_the_same_rule(spark):
+    rng = random.Random(9)
+    files = {f"f{n}": {(a, a + rng.choice([0, 1, 3, 30])) for a in (rng.randint(1, 60) for _ in range(n))} for n in range(1, 40)}
+    rows = [("p", f, a, b, f"{a}-{b}", 1) for f, ranges in files.items() for a, b in ranges]
+    got = {r.file: [tuple(p) for p in r.patches] for r in patching.patches_per_file(spark.createDataFrame(rows, PATCHES)).collect()}
+    assert got == {f: sorted((a, b, f"{a}-{b}") for (a, b), inner in standing(ranges).items() if not inner) for f, ranges in files.items()}

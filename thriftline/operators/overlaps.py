@@ -15,8 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from thriftline.session import written
 
@@ -135,6 +137,22 @@ def overlap_flags(ranges: DataFrame, keys: list[str], blocks: int | None = None)
     return marked.join(found, "_id", "left").select(*ranges.columns, F.coalesce("inner", F.lit(False)).alias("inner"))
 
 
+@F.arrow_udf(T.ArrayType(T.BooleanType()))
+def stands_in_row(starts: pa.Array, ends: pa.Array) -> pa.Array:
+    """Which ranges of one row stand, for rows that hold a file's ranges in order anyway; those without both lines do."""
+    found = []
+    for first, last in zip(starts.to_pylist(), ends.to_pylist()):
+        reach, flags = None, []
+        for start, end in zip(first, last):
+            usable = start is not None and end is not None
+            stands = not usable or reach is None or start > reach
+            flags.append(stands)
+            if usable and stands:
+                reach = end
+        found.append(flags)
+    return pa.array(found, pa.list_(pa.bool_()))
+
+
 def covered_lines(ranges: DataFrame, keys: list[str]) -> DataFrame:
     """``(keys, bin, mask)``: of every 64 lines that ranges touch, a bit for each line that one covers.
 

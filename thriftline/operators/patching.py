@@ -106,10 +106,16 @@ def splice(text: Column, patches: Column, shift: Shift = by_first_line) -> Colum
 
 
 def patches_per_file(patches: DataFrame, keys: list[str] = FILE) -> DataFrame:
-    """Sorted patches of each file as one array, without repeats and inner ranges."""
-    kept = outermost(single_patches(patches, keys), keys)
-    listed = F.sort_array(F.collect_list(F.struct("start_line", "end_line", "code")))
-    return kept.groupBy(*keys).agg(listed.alias("patches"))
+    """Sorted patches of each file as one array, without repeats and inner ranges.
+
+    They go into the row that holds the file's text, so which of them stand is found in that row.
+    """
+    in_order = F.sort_array(F.collect_list(F.struct("start_line", (-F.col("end_line")).alias("wider"), "end_line", "code")))
+    grouped = single_patches(patches, keys).groupBy(*keys).agg(in_order.alias("_all"))
+    flagged = grouped.withColumn("_stands", overlaps.stands_in_row("_all.start_line", "_all.end_line"))
+    kept = F.filter("_all", lambda _, at: F.get("_stands", at))
+    listed = F.transform(kept, lambda p: F.struct(p["start_line"].alias("start_line"), p["end_line"].alias("end_line"), p["code"].alias("code")))
+    return flagged.select(*keys, listed.alias("patches"))
 
 
 def patched_files(
