@@ -65,3 +65,26 @@ def test_odd_rows_and_the_filter(spark):
     nothing = toxicity.train(docs, labels.limit(0))
     assert toxicity.scorer(nothing)([b"", b"idiot"]) == [0.25, 0.25]
     assert toxicity.without_toxic(docs.limit(0), labels).count() == 0
+
+
+def test_pairs_that_tell_only_together_are_found_among_many_words():
+    rng = random.Random(11)
+    rows = []
+    for _ in range(4000):
+        words = [f"w{rng.randrange(30_000)}" for _ in range(rng.randint(10, 50))]
+        one, two = rng.random() < 0.5, rng.random() < 0.5
+        words += ["alpha"] * one + ["beta"] * two
+        rng.shuffle(words)
+        rows.append((" ".join(words).encode(), int(one == two)))
+    fitted, held = rows[:3200], rows[3200:]
+    model = toxicity.fit([toxicity.document_slots(t) for t, _ in fitted], np.array([y for _, y in fitted]))
+    scores = toxicity.scorer(model)([t for t, _ in held])
+    assert sum((s >= 0.5) == bool(y) for s, (_, y) in zip(scores, held)) / len(held) > 0.95
+
+
+def test_an_id_trains_once(spark):
+    docs = spark.createDataFrame([(1, "b idiot")] * 500 + [(1, "a idiot"), (2, "fine"), (None, "x")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0)], "doc_id bigint, toxic int")
+    found = toxicity.training_rows(docs, labels).collect()
+    assert [(r.doc_id, r.toxic) for r in sorted(found)] == [(i, int(i == 1)) for i in (1, 2) if zlib.crc32(str(i).encode()) % 5]
+    assert all(len(r.slots) == 4 * len(toxicity.document_slots(b"b idiot")) for r in found if r.doc_id == 1)

@@ -7,12 +7,14 @@ Its score is ``sigmoid(bias + sum w_i + sum over pairs <v_i, v_j>)`` over the sl
 that the model knows, so that two terms can mean together what neither means alone.
 
 The model is fitted on a bounded sample of labelled rows: at most about ``TRAIN_ROWS``
-documents, those with the lowest hashes of their ids.  A slot is known when enough
-sampled documents have it and its likelihood ratio against the label stands out.
+documents, those with the lowest hashes of their ids.  First a machine over every slot that
+``MIN_DOCUMENTS`` of them have is trained for ``STEPS`` steps, because a term that says nothing
+alone may say everything in a pair.  The slots with the largest factors there (``PAIRED``) and
+those whose own likelihood ratio stands out (``ALONE``) make up the final machine, trained anew.
 
 Defined results: a NULL or empty text has no terms and scores as the bias; NULL
-labels are left out, of several labels of one id the highest counts; repeated rows
-are scored each; without any usable label every score is 0.25 (the smoothed rate of
+labels are left out, of several labels of one id the highest counts, of several sampled
+rows of one id one trains (the one whose slots come first); repeated rows are scored each; without any usable label every score is 0.25 (the smoothed rate of
 nothing).  A NULL id is never held out and never trains.
 """
 
@@ -20,7 +22,9 @@ from __future__ import annotations
 
 import io
 import zlib
+from array import array
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -31,13 +35,30 @@ from thriftline.llm import corpus
 
 TRAIN_ROWS = 16_000
 HASH_BITS = 20
-KNOWN_SLOTS = 1024
 MIN_DOCUMENTS = 4
 FACTORS = 8
 STEMS = (4, 5, 6, 7, 8)
+ALONE = 1024
+PAIRED = 256
+STEPS = 900
 EPOCHS = 24
-BATCH = 256
 THRESHOLD = 0.5
+
+
+class Shrink(NamedTuple):
+    """How a descent steps and what it holds near zero: L2 on weights and factors, and a weight whose gradient over
+    all rows stands less than ``errors`` standard errors off (in Adam's units, a batch's share of that)."""
+
+    batch: int
+    rate: float
+    weights: float
+    factors: float
+    errors: float
+
+
+#: Over all slots, to see which of them meet others in a way that tells; then over the known ones.
+SCREEN = Shrink(batch=128, rate=0.02, weights=0.0, factors=1e-2, errors=3.0)
+FINAL = Shrink(batch=256, rate=0.01, weights=1e-3, factors=1e-3, errors=0.0)
 _EDGES = b".,;:!?\"'()[]{}<>*_-|#"
 
 
@@ -82,7 +103,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
         lambda texts: {"slots": [document_slots(t).tobytes() for t in texts]},
         "doc_id bigint, slots binary",
     )
-    return slots.join(marks, F.col("doc_id") == F.col("_label_id")).select("doc_id", "toxic", "slots")
+    single = slots.groupBy("doc_id").agg(F.min("slots").alias("slots"))
+    return single.join(marks, F.col("doc_id") == F.col("_label_id")).select("doc_id", "toxic", "slots")
 
 
 class Model:
@@ -107,7 +129,31 @@ class Model:
             return self.bias
         v = self.factors[at]
         total = v.sum(axis=0)
-        return self.bias + float(self.weights[at].sum()) + 0.5 * float(total @ total - (v * v).sum())
+        return self.bias + float(self.weights[at].sum()) + 0.5 * float(total @ total - np.einsum("ij,ij->", v, v))
+
+
+class _Batch:
+    """Some documents' known slots, row by row for the scores and slot by slot for the gradient."""
+
+    def __init__(self, rows: list[np.ndarray], labels: np.ndarray):
+        self.labels = labels
+        self.at = np.concatenate(rows)
+        sizes = [len(r) for r in rows]
+        self.row_starts = np.r_[0, np.cumsum(sizes)[:-1]]
+        by_slot = np.argsort(self.at, kind="stable")
+        self.rows = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)[by_slot]
+        self.slots, self.slot_starts = np.unique(self.at[by_slot], return_index=True)
+
+    def gradient(self, bias: float, w: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Of the mean logistic loss by the weights and factors of ``slots``, and by the bias."""
+        mine = v[self.at]
+        s = np.add.reduceat(mine, self.row_starts)
+        squares = np.add.reduceat(np.einsum("ij,ij->i", mine, mine), self.row_starts)
+        z = bias + np.add.reduceat(w[self.at], self.row_starts) + 0.5 * ((s * s).sum(1) - squares)
+        g = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - self.labels) / len(s)).astype(np.float32)
+        gw = np.add.reduceat(g[self.rows], self.slot_starts)
+        gv = np.add.reduceat((g[:, None] * s)[self.rows], self.slot_starts) - gw[:, None] * v[self.slots]
+        return gw, gv, float(g.sum())
 
 
 def _likelihood_ratio(with_pos: np.ndarray, with_all: np.ndarray, pos: int, total: int) -> np.ndarray:
@@ -126,6 +172,42 @@ def _likelihood_ratio(with_pos: np.ndarray, with_all: np.ndarray, pos: int, tota
     )
 
 
+def _descend(rows: list[np.ndarray], toxic: np.ndarray, slots: int, bias: float, steps: int, shrink: Shrink) -> tuple[float, np.ndarray, np.ndarray]:
+    """Bias, weights and factors of ``slots`` slots by Adam over batches of documents, each the positions of its slots."""
+    n = len(rows)
+    rng = np.random.default_rng(8)
+    order = rng.permutation(n)
+    # The last position is nobody's slot: a document without any still has a row. It stays at zero.
+    padded = [np.append(rows[i], np.int32(slots)) for i in order]
+    y = toxic[order].astype(np.float32)
+    batches = [_Batch(padded[i : i + shrink.batch], y[i : i + shrink.batch]) for i in range(0, n, shrink.batch)]
+    w = np.zeros(slots + 1, np.float32)
+    v = rng.normal(0, 0.01, (slots + 1, FACTORS)).astype(np.float32)
+    v[-1] = 0
+    params, decay = (w, v), (shrink.weights, shrink.factors)
+    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    bias_first = bias_second = 0.0
+    least = shrink.rate * shrink.errors * float(np.sqrt(shrink.batch / max(n, shrink.batch)))
+    turns = (i for _ in range(1 + steps // len(batches)) for i in rng.permutation(len(batches)))
+    for step, i in zip(range(1, steps + 1), turns):
+        *grads, gb = batches[i].gradient(bias, w, v)
+        c1, c2 = 1 - 0.9**step, 1 - 0.999**step
+        for p, grad, l2, m1, m2 in zip(params, grads, decay, first, second, strict=True):
+            full = l2 * p
+            full[batches[i].slots] += grad
+            full[-1] = 0
+            m1 += 0.1 * (full - m1)
+            full *= full
+            m2 += 0.001 * (full - m2)
+            p -= (shrink.rate / c1) * m1 / (np.sqrt(m2 / c2) + 1e-8)
+        if least:
+            np.copyto(w, np.sign(w) * np.maximum(np.abs(w) - least, 0))
+        bias_first += 0.1 * (gb - bias_first)
+        bias_second += 0.001 * (gb * gb - bias_second)
+        bias -= shrink.rate * (bias_first / c1) / (np.sqrt(bias_second / c2) + 1e-8)
+    return bias, w[:-1], v[:-1]
+
+
 def fit(documents: list[np.ndarray], toxic: np.ndarray) -> Model:
     """Train on documents given as sorted arrays of slots; the same rows in the same order give the same model."""
     n, pos = len(documents), int(toxic.sum())
@@ -134,50 +216,28 @@ def fit(documents: list[np.ndarray], toxic: np.ndarray) -> Model:
     nothing = Model(np.zeros(0, np.int32), bias, np.zeros(0, np.float32), np.zeros((0, FACTORS), np.float32))
     if pos == 0 or pos == n:
         return nothing
-    every = np.concatenate(documents)
-    marked = np.concatenate([d for d, y in zip(documents, toxic, strict=True) if y])
     size = 1 << HASH_BITS
-    have = np.bincount(every, minlength=size)
-    have_pos = np.bincount(marked, minlength=size)
-    gain = _likelihood_ratio(have_pos.astype(float), have.astype(float), pos, n)
-    gain[have < MIN_DOCUMENTS] = 0
-    best = np.lexsort((np.arange(size), -gain))[:KNOWN_SLOTS]
-    known = np.sort(best[gain[best] > 0]).astype(np.int32)
-    if not len(known):
+    have, have_pos = np.zeros(size, np.int32), np.zeros(size, np.int32)
+    for d, y in zip(documents, toxic, strict=True):
+        have[d] += 1
+        have_pos[d] += int(y)
+
+    def placed(known: np.ndarray) -> list[np.ndarray]:
+        place = np.full(size, -1, np.int32)
+        place[known] = np.arange(len(known), dtype=np.int32)
+        return [at[at >= 0] for at in (place[d] for d in documents)]
+
+    common = np.flatnonzero(have >= MIN_DOCUMENTS)
+    if not len(common):
         return nothing
-    x = np.zeros((n, len(known)), dtype=np.float32)
-    for row, d in enumerate(documents):
-        at = np.searchsorted(known, d)
-        at[at == len(known)] = 0
-        x[row, at[known[at] == d]] = 1
-    y = toxic.astype(np.float32)
-    rng = np.random.default_rng(8)
-    w = np.zeros(len(known), np.float32)
-    v = rng.normal(0, 0.01, (len(known), FACTORS)).astype(np.float32)
-    # Adam; L2 on weights and factors keeps rare terms near zero.
-    state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(v), np.zeros_like(v), 0.0, 0.0]
-    step, rate_at, l2 = 0, 0.01, 1e-3
-    for _ in range(EPOCHS):
-        order = rng.permutation(n)
-        for i in range(0, n, BATCH):
-            rows = order[i : i + BATCH]
-            xb = x[rows]
-            s = xb @ v
-            z = bias + xb @ w + 0.5 * ((s * s).sum(1) - xb @ (v * v).sum(1))
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]) / len(rows)
-            gw = xb.T @ g + l2 * w
-            gv = xb.T @ (g[:, None] * s) - (xb.T @ g)[:, None] * v + l2 * v
-            gb = float(g.sum())
-            step += 1
-            c1, c2 = 1 - 0.9**step, 1 - 0.999**step
-            for k, grad, target in ((0, gw, w), (2, gv, v)):
-                state[k] = 0.9 * state[k] + 0.1 * grad
-                state[k + 1] = 0.999 * state[k + 1] + 0.001 * grad * grad
-                target -= rate_at * (state[k] / c1) / (np.sqrt(state[k + 1] / c2) + 1e-8)
-            state[4] = 0.9 * state[4] + 0.1 * gb
-            state[5] = 0.999 * state[5] + 0.001 * gb * gb
-            bias -= rate_at * (state[4] / c1) / (np.sqrt(state[5] / c2) + 1e-8)
-    return Model(known, float(bias), w, v)
+    _, _, factors = _descend(placed(common), toxic, len(common), bias, STEPS, SCREEN)
+    norm = np.linalg.norm(factors, axis=1)
+    gain = _likelihood_ratio(have_pos[common].astype(float), have[common].astype(float), pos, n)
+    alone = np.argsort(-gain, kind="stable")[:ALONE]
+    paired = np.argsort(-norm, kind="stable")[:PAIRED]
+    known = common[np.union1d(alone[gain[alone] > 0], paired)].astype(np.int32)
+    bias, weights, factors = _descend(placed(known), toxic, len(known), bias, EPOCHS * -(-n // FINAL.batch), FINAL)
+    return Model(known, float(bias), weights, factors)
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
@@ -195,7 +255,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
 def scorer(model: Model):
     """A function from UTF-8 texts to scores; words seen before are looked up, not hashed again."""
-    known = {int(s): i for i, s in enumerate(model.slots)}
+    place = np.full(1 << HASH_BITS, -1, np.int32)
+    place[model.slots] = np.arange(len(model.slots), dtype=np.int32)
+    known = array("i", place.tobytes())
 
     def scores(texts) -> list[float]:
         cache = scores.cache
@@ -207,7 +269,7 @@ def scorer(model: Model):
                 if i is None:
                     if len(cache) > 300_000:
                         cache.clear()
-                    i = cache[w] = tuple(known[s] for s in word_slots(w) if s in known)
+                    i = cache[w] = tuple(known[s] for s in word_slots(w) if known[s] >= 0)
                 if i:
                     at.update(i)
             margin = model.margin(sorted(at))
