@@ -116,3 +116,44 @@ def test_every_position_trains_however_rows_are_split(spark, monkeypatch):
     assert Counter(map(tuple, lmscore.windows(stretches).tolist())) == want and sum(want.values()) == total
     one, four = (lmscore.train(df.repartition(n), words, total, rounds=1, shard=200) for n in (1, 4))
     assert np.array_equal(one.flat, four.flat)
+
+
+def test_every_rare_word_has_a_probability_of_its_own(spark, monkeypatch):
+    monkeypatch.setattr(lmscore, "WORDS", 2)
+    texts = ["a a a b b b " * 5 + "ab ba bab cab c é aab " * 2, "c ab", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(2)
+    counts = lmscore.word_counts(df)
+    words = lmscore.Vocabulary([b"a", b"b"], [15, 15], 60)
+    cells = lmscore.spelling_counts(counts, words)
+    want = Counter()
+    for r in counts.collect():
+        if bytes(r.word) not in words.ids:
+            found = [256, 256, *reversed(bytes(r.word)), 256]
+            for i in range(2, len(found)):
+                want[lmscore._context(found[i - 2], found[i - 1]), found[i]] += r.n
+    assert {(int(c), int(b)): int(cells[c, b]) for c, b in zip(*np.nonzero(cells))} == want
+    words.spelling = lmscore.Spelling(cells, words)
+    assert np.exp(words.spelling.logs).sum(1) == pytest.approx(1, abs=1e-4)
+    # All words of one or two bytes, and the rest by what the beginnings leave: the words of an id sum to one.
+    spell = words.spelling
+    share = words.rare(b"ab")
+    short = [bytes([a]) for a in range(256)] + [bytes([a, b]) for a in range(256) for b in range(256)]
+    same = [w for w in short if words.rare(w) == share and w not in words.ids]
+    mass = sum(np.exp(spell.whole(w)) for w in same)
+    longer = 0.0
+    for w in (w for w in short if len(w) == 2 and words.rare(w) == share):
+        longer += np.exp(spell.whole(w) - spell.logs[lmscore._context(w[1], w[0]), 256]) * (1 - np.exp(spell.logs[lmscore._context(w[1], w[0]), 256]))
+    assert mass + longer == pytest.approx(float(np.exp(spell.held[share])), rel=1e-3)
+    encode = words.encoder()
+    ids, open_ = encode.spelled(b"a ab zq b ab")
+    assert open_ == pytest.approx(2 * spell.within(b"ab") + spell.within(b"zq"))
+    assert spell.within(b"ab") > spell.within(b"qxwv\xff") and (ids == encode(b"a ab zq b ab")).all()
+
+
+def test_each_window_trains_in_one_part(spark, monkeypatch):
+    monkeypatch.setattr(lmscore, "_STRETCH", 7)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(sentences(40, 9))], "doc_id bigint, text string")
+    words, total = lmscore.vocabulary(df)
+    rows = lmscore.training_texts(df, words, 2, 3).collect()
+    assert {r.part for r in rows} == {0, 1, 2} and {r.shard for r in rows} == {0, 1}
+    assert sum(len(lmscore.windows([bytes(r.ids)])) for r in rows) == total

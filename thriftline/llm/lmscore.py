@@ -5,11 +5,14 @@ one hidden layer, then a two-step softmax, over ``CLASSES`` classes and over the
 of its tokens' conditional log-probabilities.
 
 * Vocabulary: counts of all words of all documents, combined before the shuffle; the most frequent words get ids, other words share
-  ``RARE`` ids by their last bytes.  Classes are runs of words sorted from their ends.
-* Training windows: all positions of all documents (``RATE``), dealt in stretches of ids over shards of about ``SHARD``
+  ``RARE`` ids by their last two bytes.  Classes are runs of words sorted from their ends.
+* Spelling: what a shared id leaves open is spelled from the word's end, each byte from the two after it, by the counts of all such
+  words; divided by what an id's words have in all, so that every word has a probability of its own and they sum to one.
+* Training windows: all positions of all documents (``RATE``), dealt in stretches of ids over rounds and shards of about ``SHARD``
   windows, so what is gathered grows with the corpus and no shard does; how rows are split changes nothing.
-* Training, in numpy: in each of ``ROUNDS`` rounds every shard goes once over its windows from the same parameters; the results are
-  averaged by a tree of sums, in tasks.  Only the average, of fixed size, passes through the driver.
+* Training, in numpy: in each of ``ROUNDS`` rounds the shards go once over that round's part of the windows (``PARTS`` of them, so each
+  window trains once) from the same parameters; the results are averaged by a tree of sums, in tasks.  Only the average, of
+  fixed size, passes through the driver.
 * Scoring runs where the texts are read.
 
 Words are runs of anything but ASCII white space, with A-Z in lower case.  Defined results: a NULL or empty text has no
@@ -18,6 +21,7 @@ tokens, score 0.0 and a NULL mean; repeated rows are scored each and count each;
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -40,13 +44,17 @@ HIDDEN = 48
 RATE = 1.0
 SHARD = 1_000_000
 ROUNDS = 3
+PARTS = 3
 BATCH = 4096
 LEARNING_RATE = 5e-3
 _STRETCH = 4096
 _FAN_IN = 32
 _FLUSH = 200_000
 _SCORED = 32_768
-_KEPT_WORDS = 500_000
+_KEPT_WORDS = 250_000
+_CONTEXTS = 2048
+_SYMBOLS = 257
+_EDGE = 256
 
 SIZE = CLASSES * CLASS_SIZE
 PAD = 0
@@ -72,19 +80,116 @@ class Vocabulary:
             self.frequency[self.ids[w]] = n
         self.frequency[self.first_rare :] = max(total - sum(counts), 0) / RARE
         self.frequency += 1
+        self.spelling: Spelling | None = None
 
     def rare(self, word: bytes) -> int:
-        return self.first_rare + zlib.crc32(word[-3:]) % RARE
+        return self.first_rare + zlib.crc32(word[-2:]) % RARE
 
-    def encoder(self):
-        """Texts to ids."""
-        ids = _Ids(self)
+    def encoder(self) -> Encoder:
+        return Encoder(self)
 
-        def encode(text: bytes) -> np.ndarray:
-            found = corpus.words(text)
-            return np.fromiter(map(ids.__getitem__, found), dtype=np.int16, count=len(found))
 
-        return encode
+class Encoder:
+    """Texts to ids, and to what their shared ids leave open."""
+
+    def __init__(self, words: Vocabulary):
+        self.ids = _Ids(words)
+        self.open = _Open(words) if words.spelling else None
+
+    def __call__(self, text: bytes) -> np.ndarray:
+        return self._encoded(corpus.words(text))
+
+    def _encoded(self, found: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.ids.__getitem__, found), dtype=np.int16, count=len(found))
+
+    def spelled(self, text: bytes) -> tuple[np.ndarray, float]:
+        """The ids, and the summed log-probabilities of the words behind shared ones."""
+        found = corpus.words(text)
+        return self._encoded(found), math.fsum(map(self.open.__getitem__, found)) if self.open else 0.0
+
+
+class Spelling:
+    """Probabilities of words that share an id, from counts of bytes by the two bytes after them.
+
+    ``cells`` holds the counts, contexts (hashed into ``_CONTEXTS``) by bytes and the end.
+    """
+
+    def __init__(self, cells: np.ndarray, words: Vocabulary):
+        plain = cells.sum(0) + 1
+        given = cells + 2 * plain / plain.sum()
+        self.logs = np.log(given / given.sum(1, keepdims=True)).astype(np.float32)
+        self.rare = words.rare
+        # All words with an ending, less those that have ids of their own.
+        last = self.logs[_context(_EDGE, _EDGE)].astype(float)
+        held = np.zeros(SIZE)
+        for b in range(256):
+            before = np.exp(last[b] + self.logs[_context(_EDGE, b)].astype(float))
+            held[self.rare(bytes([b]))] += before[_EDGE]
+            for a in range(256):
+                held[self.rare(bytes([a, b]))] += before[a]
+        for word in words.ids:
+            held[self.rare(word)] -= math.exp(self.whole(word))
+        self.held = np.log(np.maximum(held, 1e-30))
+
+    def whole(self, word: bytes) -> float:
+        """Of a word among all strings of bytes."""
+        after, last, total = _EDGE, _EDGE, 0.0
+        for b in (*reversed(word), _EDGE):
+            total += float(self.logs[_context(after, last), b])
+            after, last = last, b
+        return total
+
+    def within(self, word: bytes) -> float:
+        """Log-probability of a word given its shared id."""
+        return min(self.whole(word) - float(self.held[self.rare(word)]), 0.0)
+
+
+def _context(after, last):
+    """Row of two neighbouring bytes; works on arrays too."""
+    return (after * 40_503 + last * 8_191) % 65_521 % _CONTEXTS
+
+
+def spelling_counts(counts: DataFrame, words: Vocabulary) -> np.ndarray:
+    """How often each byte stands before the two after it, over all words without an id of their own."""
+    known = words.ids.keys()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(_CONTEXTS * _SYMBOLS, np.int64)
+        for batch in batches:
+            found = [(w, n) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if w not in known]
+            if not found:
+                continue
+            # Two edges, the word from its end, and the edge that the word ends with.
+            sizes = np.array([len(w) + 3 for w, _ in found])
+            ends = np.cumsum(sizes) - 1
+            symbols = np.full(int(sizes.sum()), _EDGE, np.int64)
+            inner = np.ones(len(symbols), bool)
+            inner[ends] = inner[ends - sizes + 1] = inner[ends - sizes + 2] = False
+            symbols[inner] = np.frombuffer(b"".join(w[::-1] for w, _ in found), np.uint8)
+            inner[ends] = True
+            at = np.flatnonzero(inner)
+            np.add.at(cells, _context(symbols[at - 2], symbols[at - 1]) * _SYMBOLS + symbols[at], np.repeat([n for _, n in found], sizes - 2))
+        seen = np.flatnonzero(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(cells[seen])], ["cell", "n"])
+
+    added = counts.select("word", "n").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cells = np.zeros(_CONTEXTS * _SYMBOLS)
+    cells[added["cell"].to_numpy()] = added["n"].to_numpy()
+    return cells.reshape(_CONTEXTS, _SYMBOLS)
+
+
+class _Open(dict):
+    """What the ids of words leave open: nothing, or the log-probability of the spelling; a bound on what is kept."""
+
+    def __init__(self, words: Vocabulary):
+        super().__init__(dict.fromkeys(words.ids, 0.0))
+        self.within = words.spelling.within
+
+    def __missing__(self, word: bytes) -> float:
+        found = self.within(word)
+        if len(self) < _KEPT_WORDS:
+            self[word] = found
+        return found
 
 
 class _Ids(dict):
@@ -131,7 +236,9 @@ def vocabulary(docs: DataFrame, size: int = WORDS) -> tuple[Vocabulary, int]:
     counts = written(word_counts(docs), "words")
     total = counts.agg(F.sum("n")).first()[0] or 0
     top = counts.orderBy(F.col("n").desc(), "word").limit(size).collect()
-    return Vocabulary([bytes(r["word"]) for r in top], [r["n"] for r in top], total), total
+    words = Vocabulary([bytes(r["word"]) for r in top], [r["n"] for r in top], total)
+    words.spelling = Spelling(spelling_counts(counts, words), words)
+    return words, total
 
 
 def contexts(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -140,8 +247,8 @@ def contexts(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([padded[at + o] for o in range(2 * SIDE + 1) if o != SIDE], axis=1)
 
 
-def training_texts(docs: DataFrame, words: Vocabulary, shards: int) -> DataFrame:
-    """``(shard, ids)``: stretches of ids between their neighbours, 16 bits each; where one goes depends on its document only."""
+def training_texts(docs: DataFrame, words: Vocabulary, shards: int, parts: int = 1) -> DataFrame:
+    """``(part, shard, ids)``: stretches of ids between their neighbours, 16 bits each; where one goes depends on its document only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = words.encoder()
@@ -153,10 +260,11 @@ def training_texts(docs: DataFrame, words: Vocabulary, shards: int) -> DataFrame
                 ids = np.concatenate([edge, encode(text.as_py()), edge]).astype("<i2")
                 for at in range(0, len(ids) - 2 * SIDE, _STRETCH):
                     held.append(ids[at : at + _STRETCH + 2 * SIDE].tobytes())
-                    to.append(zlib.crc32(held[-1], zlib.crc32(f"{doc_id} {at}".encode())) % shards)
-            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(held, pa.binary())], ["shard", "ids"])
+                    to.append(zlib.crc32(held[-1], zlib.crc32(f"{doc_id} {at}".encode())) % (shards * parts))
+            part, shard = np.divmod(np.array(to, np.int32), np.int32(shards))
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(shard), pa.array(held, pa.binary())], ["part", "shard", "ids"])
 
-    return docs.select("doc_id", corpus.text_bytes().alias("_text")).mapInArrow(run, "shard int, ids binary")
+    return docs.select("doc_id", corpus.text_bytes().alias("_text")).mapInArrow(run, "part int, shard int, ids binary")
 
 
 def windows(stretches: list[bytes], rate: float = RATE) -> np.ndarray:
@@ -313,21 +421,22 @@ def _trainer(flat: np.ndarray, turn: int, rate: float):
     return trained
 
 
-def train(docs: DataFrame, words: Vocabulary, total: int, rounds: int = ROUNDS, rate: float = RATE, shard: int = SHARD) -> Network:
-    """Parallel training: every shard from the round's parameters, then the average."""
-    shards = max(1, round(total * rate / shard))
-    texts = written(training_texts(docs, words, shards), "stretches")
+def train(
+    docs: DataFrame, words: Vocabulary, total: int, rounds: int = ROUNDS, rate: float = RATE, shard: int = SHARD, parts: int = PARTS
+) -> Network:
+    """Parallel training: every shard from the round's parameters over the round's part of the windows, then the average."""
+    shards = max(1, round(total * rate / parts / shard))
+    texts = written(training_texts(docs, words, shards, parts), "stretches")
     net = Network.start(words)
     for turn in range(rounds):
-        parts = texts.groupBy("shard").applyInPandas(_trainer(net.flat, turn, rate), "id bigint, n bigint, flat binary")
-        mean = averaged(written(parts, "trained"))
-        if mean is None:
-            break
-        net = Network(mean)
+        mine = texts.where(F.col("part") == turn % parts).drop("part")
+        mean = averaged(written(mine.groupBy("shard").applyInPandas(_trainer(net.flat, turn, rate), "id bigint, n bigint, flat binary"), "trained"))
+        if mean is not None:
+            net = Network(mean)
     return net
 
 
-def document_scores(texts: Iterable[bytes], encode, net: Network) -> tuple[list[int], list[float]]:
+def document_scores(texts: Iterable[bytes], encode: Encoder, net: Network) -> tuple[list[int], list[float]]:
     """Token counts and summed log-probabilities; many short texts, or parts of a long one, go through the network at once."""
     counts: list[int] = []
     sums: list[float] = []
@@ -346,9 +455,9 @@ def document_scores(texts: Iterable[bytes], encode, net: Network) -> tuple[list[
             size = 0
 
     for text in texts:
-        ids = encode(text)
+        ids, spelled = encode.spelled(text)
         counts.append(len(ids))
-        sums.append(0.0)
+        sums.append(spelled)
         for start in range(0, len(ids), _SCORED):
             at = np.arange(start, min(start + _SCORED, len(ids)))
             held.append((len(counts) - 1, contexts(ids, at), ids[at]))
