@@ -20,10 +20,9 @@ def _rules(text: str, rules: list[tuple[str, str]]) -> str:
 
 
 def _references(text: str) -> str:
-    number = "TRY_CAST(nullif(regexp_extract(name, '^#([0-9]+)$', 1), '') AS INTEGER)"
+    number = "TRY_CAST(CASE WHEN name SIMILAR TO '#[0-9]+' THEN name[2:] WHEN name SIMILAR TO '#[xX][0-9A-Fa-f]+' THEN '0x' || name[3:] END AS INTEGER)"
     usable = f"{number} > 0 AND {number} < 1114112 AND NOT {number} BETWEEN 55296 AND 57343"
-    named = " ".join(f"WHEN name = {_quoted(n)} THEN {_quoted(c)}" for n, c in warc.NAMED.items())
-    character = f"CASE {named} WHEN {usable} THEN chr({number}) END"
+    character = f"CASE WHEN name[1:1] <> '#' THEN named[name] WHEN {usable} THEN chr({number}) END"
     read = f"list_transform([regexp_extract(part, {_quoted(warc.REFERENCE)}, 1)], lambda name: coalesce({character} || substr(part, length(name) + 2), '&' || part))[1]"
     return f"array_to_string(list_transform(string_split({text}, '&'), lambda part, pos: CASE WHEN pos = 1 THEN part ELSE {read} END), '')"
 
@@ -32,6 +31,11 @@ def _settled(text: str) -> str:
     return f"trim({_rules(text, warc.COLLAPSE)}, chr(32) || chr(10))"
 
 
+def _link(value: str) -> str:
+    read = _references(_rules(value, [(warc.QUOTES, "")]))
+    return f"replace(trim({_rules(read, [(warc.LINE_PARTS, '')])}, ' '), ' ', '%20')"
+
+
 def _uuid(name: str) -> str:
     parts = " || '-' || ".join(f"substr(md5({name}), {at}, {n})" for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
     return f"('<urn:uuid:' || {parts} || '>')"
@@ -61,10 +65,12 @@ def _derivatives() -> str:
         ]
     )
     return f"""
-    WITH given AS (
-        SELECT page_id, coalesce(url, '') AS uri, '1970-01-01T00:00:00Z' AS day, coalesce(html, '') AS body,
+    WITH names AS (
+        SELECT MAP {{{", ".join(f"{_quoted(n)}: {_quoted(c)}" for n, c in warc.NAMED.items())}}} AS named
+    ), given AS (
+        SELECT named, page_id, coalesce(url, '') AS uri, '1970-01-01T00:00:00Z' AS day, coalesce(html, '') AS body,
             {_uuid("'response|' || coalesce(CAST(page_id AS VARCHAR), '') || '|' || coalesce(url, '')")} AS id
-        FROM pages
+        FROM pages, names
     ), sent AS (
         SELECT *, 'HTTP/1.1 200 OK' || {_END} || 'Content-Type: text/html; charset=utf-8' || {_END}
             || 'Content-Length: ' || strlen(body) AS head, {_rules('body', [(warc.HIDDEN, '')])} AS shown
@@ -73,7 +79,7 @@ def _derivatives() -> str:
         SELECT *, 'sha256:' || sha256(head || {_END} || {_END} || body) AS http_digest, 'sha256:' || sha256(body) AS body_digest,
             {_settled(_references(_rules('shown', warc.TAGS)))} AS plain,
             {_settled(_references(f"regexp_extract(body, {_quoted(warc.TITLE)}, 1)"))} AS title,
-            list_filter(regexp_extract_all(shown, {_quoted(warc.HREF)}, 1), lambda x: NOT regexp_matches(x, '[[:space:]]')) AS links,
+            list_transform(regexp_extract_all(shown, {_quoted(warc.HREF)}, 1), lambda x: {_link('x')}) AS links,
             {_uuid("'conversion|' || id")} AS conversion, {_uuid("'metadata|' || id")} AS metadata
         FROM sent
     ), records AS (

@@ -4,16 +4,19 @@ A response is a row of ``RESPONSE``: its WARC headers and its HTTP message.  Fro
 ``WARC-Refers-To``: ``conversion``, the payload as plain text, and ``metadata``, warc-fields with the source's headers, digests and
 links and the id of the conversion.  Record ids are UUIDs made from the source's id, so a rerun makes the same records.
 
-HTML becomes text by fixed replacements in column expressions: what is not shown (comments, scripts, styles, the head) goes,
-tags of blocks end lines, other tags go, character references are read, white space is collapsed.
+HTML becomes text by fixed replacements in column expressions: what is not shown (comments, scripts, styles, the title) goes,
+tags of blocks end lines, other tags go, character references are read, white space is collapsed.  Other text of a head is shown,
+as it ends the head.  Links come with or without quotes; blanks inside are written ``%20``, those around and line ends go.
 
-Defined results: NULL ids, addresses, dates and messages count as empty; a message without a header block is all payload; an empty
+Defined results: a message is HTML if its Content-Type line says so, or if it has no header block; NULL ids, addresses, dates and messages count as empty; a message without a header block is all payload; an empty
 payload gives an empty text; repeated rows give repeated records; no rows give no records.
 """
 
 from __future__ import annotations
 
 import functools
+import json
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +31,7 @@ _BLANK = "\t\n\f\r \u00a0"
 #: What is not shown, in one pass; patterns read the same to Java and RE2.
 HIDDEN = (
     r"(?is)<(?:!--.*?(?:-->|\z)|"
-    + "|".join(rf"{tag}\b.*?(?:</{tag}\s*>|\z)" for tag in ("script", "style", "noscript", "template", "head"))
+    + "|".join(rf"{tag}\b.*?(?:</{tag}\s*>|\z)" for tag in ("script", "style", "noscript", "template", "title"))
     + ")"
 )
 #: Tags that end a line become this character until white space is settled.
@@ -46,15 +49,15 @@ COLLAPSE = [
     (f"(?:[{_BLANK.replace(' ', '')}]| [{_BLANK}])[{_BLANK}]*", " "),
     (f" ?{BREAK}[{BREAK} ]*", "\n"),
 ]
-#: Named references that are read; fixed values of the HTML standard (a no-break space becomes a plain one).
-NAMED = {
-    "nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&", "copy": "©", "reg": "®", "trade": "™",
-    "middot": "·", "bull": "•", "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’",
-    "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»", "euro": "€", "times": "×", "deg": "°",
-}
-REFERENCE = r"\A(#[0-9]{1,7}|[A-Za-z]{2,6});"
+#: Named references, by the HTML standard's table (a no-break space becomes a plain one); the usual ones are looked for first.
+NAMED = {name[:-1]: text.replace("\u00a0", " ") for name, text in html5.items() if name.endswith(";")}
+USUAL = ("nbsp", "lt", "gt", "quot", "apos", "amp")
+REFERENCE = r"\A(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+HTML_TYPE = r"(?i)(?:\A|\n)content-type:[ \t]*(?:text/html|application/xhtml\+xml)[ \t]*(?:[;\r\n]|\z)"
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
-HREF = r"""(?i)<a\b[^>]*?\shref\s*=\s*["']([^"']*)["']"""
+HREF = r"""(?i)<a\b[^>]*?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+QUOTES = "^[\"']|[\"']$"
+LINE_PARTS = "[\t\n\f\r]"
 
 
 def _replaced(text: Column, rules: list[tuple[str, str]]) -> Column:
@@ -66,11 +69,13 @@ def _references(text: Column) -> Column:
 
     def character(name: Column) -> Column:
         code = F.regexp_extract(name, r"\A#([0-9]+)\z", 1)
-        number = F.when(code != "", code).cast("int")
+        digits = F.regexp_extract(name, r"\A#[xX]([0-9A-Fa-f]+)\z", 1)
+        number = F.when(code != "", code.cast("int")).when(digits != "", F.conv(digits, 16, 10).cast("int"))
         usable = (number > 0) & (number < 1114112) & ~number.between(55296, 57343)
         found = F.when(usable, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
-        for known, value in NAMED.items():
-            found = F.when(name == known, F.lit(value)).otherwise(found)
+        found = F.when(name.startswith("#"), found).otherwise(F.element_at(F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>"), name))
+        for known in reversed(USUAL):
+            found = F.when(name == known, F.lit(NAMED[known])).otherwise(found)
         return found
 
     def piece(part: Column, at: Column) -> Column:
@@ -93,6 +98,12 @@ def plain_text(shown: Column) -> Column:
     return _settled(_references(_replaced(shown, TAGS)))
 
 
+def _link(value: Column) -> Column:
+    """A link as it stands in a tag, on one line."""
+    read = _references(F.regexp_replace(value, F.lit(QUOTES), F.lit("")))
+    return F.replace(F.btrim(F.regexp_replace(read, F.lit(LINE_PARTS), F.lit("")), F.lit(" ")), F.lit(" "), F.lit("%20"))
+
+
 def _uuid(name: Column) -> Column:
     digest = F.md5(name)
     parts = [F.substring(digest, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
@@ -131,7 +142,7 @@ def derivatives(found: DataFrame, keep: list[str] | None = None) -> DataFrame:
     parsed = source.withColumn("_head", F.when(split > 0, F.substring(F.col("_http"), F.lit(1), split - 1)).otherwise("")).withColumn(
         "_body", F.when(split > 0, F.substring(F.col("_http"), split + 4, F.length("_http"))).otherwise(F.col("_http"))
     )
-    is_html = F.lower("_head").contains("html") | (F.col("_head") == "")
+    is_html = F.rlike(F.col("_head"), F.lit(HTML_TYPE)) | (F.col("_head") == "")
     read = (
         parsed.withColumn("_shown", _replaced(F.col("_body"), [(HIDDEN, "")]))
         .withColumn("_text", F.when(is_html, plain_text(F.col("_shown"))).otherwise(F.col("_body")))
@@ -142,7 +153,7 @@ def derivatives(found: DataFrame, keep: list[str] | None = None) -> DataFrame:
     title = _settled(_references(F.regexp_extract("_body", TITLE, 1)))
     each = lambda values, name: F.concat_ws("", F.transform(values, lambda v: F.concat(F.lit(f"{name}: "), v, F.lit(CRLF))))
     headers = F.filter(F.split(F.col("_head"), CRLF), lambda line: line != "")
-    links = F.filter(F.regexp_extract_all("_shown", F.lit(HREF), F.lit(1)), lambda link: ~F.rlike(link, F.lit(r"\s")))
+    links = F.transform(F.regexp_extract_all("_shown", F.lit(HREF), F.lit(1)), _link)
     fields = F.concat(
         _fields(
             ("source-record-id", F.col("_record_id")), ("source-target-uri", F.col("_target_uri")), ("source-date", F.col("_date")),
