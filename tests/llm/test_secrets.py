@@ -7,6 +7,7 @@ import hashlib
 import lzma
 import random
 import re
+import tracemalloc
 import urllib.parse
 import zlib
 
@@ -111,6 +112,39 @@ def test_large_decompressed_layers_are_scanned_whole(monkeypatch):
             assert secrets.secrets(f"{rng.random()} {run}")[1][0][0] == 1
 
 
+def test_memory_does_not_grow_with_what_a_run_unpacks_to():
+    rng = random.Random(2)
+    block = bytes(rng.choice(b"ab    \n") for _ in range(1 << 14))
+
+    def peak(megabytes: int) -> int:
+        step = zlib.compressobj(9)
+        packed = b"".join(step.compress(block) for _ in range(64 * megabytes))
+        run = b64(packed + step.compress(PLAIN.encode()) + step.flush())
+        tracemalloc.start()
+        try:
+            assert (0, 4, 4 + len(run)) in secrets.secrets(f"see {run}")[1]
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    assert peak(8) < peak(2) + (4 << 20)
+
+
+def test_long_runs_and_lines_take_linear_time():
+    for text in ("Ab+/" * 500_000, "word\n" * 200_000, "a" * 15 + "\n " + "z" * 2_000_000 + "!"):
+        assert secrets.secrets(text)[1] == []
+
+
+def test_many_levels_of_escapes_keep_no_earlier_layer():
+    text = "token%" + "25" * 500 + "3Dabcdefgh" + " x" * 5_000
+    tracemalloc.start()
+    try:
+        assert (0, 0, text.index(" ")) in secrets.secrets(text)[1]
+        assert tracemalloc.get_traced_memory()[1] < 8 << 20
+    finally:
+        tracemalloc.stop()
+
+
 SECOND = b"a first stream without any"
 PARTED = [
     b64(b"\0user\0" + PLAIN.encode()),
@@ -122,6 +156,9 @@ PARTED = [
     b64(lzma.compress(SECOND) + b"\0" * 8 + lzma.compress(PLAIN.encode())),
     "files/" + b64(gzip.compress(PLAIN.encode())),
     "".join(f"%{b:02x}" for b in b"\x00\x01" + bz2.compress(SECOND) + bz2.compress(PLAIN.encode())),
+    *(end.join(re.findall(f".{{1,{n}}}", b64("a note: " + PLAIN))) for n in (4, 16, 20) for end in ("\n", "\r\n", "\n    ", "%0A")),
+    *(b64(b"\x00\x01\x02" + zlib.compress(PLAIN.encode(), level)) for level in (1, 3, 6, 9)),
+    "\n".join(re.findall(".{1,16}", b64(b"head" + zlib.compress(PLAIN.encode())))),
 ]
 
 

@@ -6,14 +6,16 @@ characters, the stretch of the document it came from.  The document is the first
 worklist; a layer taken from the list is scanned, then decoded in every way that applies:
 
 * percent escapes and Unicode escapes are replaced in the whole layer;
-* runs of base64 digits, also wrapped into lines, are layers at each of the four alignments that has a readable stretch;
-  unreadable bytes part such stretches;
+* runs of base64 digits, also wrapped into lines of any width, are layers at each of the four alignments that has a
+  readable stretch; unreadable bytes part such stretches;
 * stretches of UTF-16 are layers of their own;
-* base64 or percent-escaped bytes with the mark of gzip, zlib, bzip2, xz or zstandard, at their start or (but for zlib)
-  further on, are decompressed piece by piece, each piece a layer that overlaps the one before it; streams may follow each other.
+* base64 or percent-escaped bytes with the mark of gzip, zlib, bzip2, xz or zstandard, at their start or further on (zlib
+  there with its common 32 KB window), are decompressed piece by piece, each piece a layer that overlaps the one before it;
+  streams may follow each other.
 
 A layer whose text and place were seen before is dropped, so the worklist ends at a fixpoint even
-where layers decode to each other.  Findings are mapped back to code points of the document; what
+where layers decode to each other.  What follows from one decompressed piece is done before the next piece is taken, so
+memory does not grow with what a compressed run unpacks to.  Findings are mapped back to code points of the document; what
 compression hides gets the span of the compressed run.
 
 Defined results: a NULL or empty text has no secrets (and stays as it is when redacted); equal spans of one
@@ -26,6 +28,7 @@ import base64
 import binascii
 import bz2
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
@@ -51,17 +54,20 @@ MIN_VALUE = 6
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_WRAPPED = re.compile(r"(?:[A-Za-z0-9+/]{32,76}\r?\n)+[A-Za-z0-9+/]{2,76}={0,2}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}+(?:\r?\n[ \t]*[A-Za-z0-9+/_-]++)+={0,2}")
 _BLANK = re.compile(r"\s+")
 #: The shortest secret, ``token=abcdef``, has twelve characters, more when encoded; zero bytes may stand between them.
 _READABLE = re.compile(rb"[\x00\t-\r -~]{12}")
 _WIDE = re.compile("(?:[\t-\r -~]\0){11,}[\t-\r -~]")
 #: Starts of compressed streams that other bytes may precede.
-_MARK = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+_MARK = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|\x78[\x01\x5e\x9c\xda]")
+_ZEROS = re.compile(rb"\0*")
 
 #: Characters of one decompressed piece, and how far neighbouring pieces overlap.
-PIECE = 1 << 22
+PIECE = 1 << 20
 OVERLAP = 1 << 16
+#: Compressed bytes handed over at once: a start that is none fails within the first.
+FEED, MOST_FEED = 1 << 12, 1 << 18
 
 
 def matches(text: str) -> Iterator[tuple[int, int, int]]:
@@ -138,68 +144,87 @@ def _escape(m: re.Match):
     return chr(code), np.array([0]), np.array([m.end() - m.start()])
 
 
-def _inflate(data: bytes, mark: bytes, bits: int, begun: set[int]) -> Iterator[bytes]:
-    while data.startswith(mark):
-        step = zlib.decompressobj(bits)
-        yield from _inflated(step, data)
-        data = step.unused_data
-        begun.add(len(data))
-
-
-def _inflated(step, data: bytes) -> Iterator[bytes]:
-    piece = step.decompress(data, PIECE)
-    while piece:
-        yield piece
-        piece = step.decompress(step.unconsumed_tail, PIECE)
+def _fed(data: bytes, at: int) -> Iterator[bytes]:
+    size = FEED
+    while at < len(data):
+        yield data[at : at + size]
+        at, size = at + size, min(4 * size, MOST_FEED)
+
+
+def _inflate(data: bytes, at: int, bits: int, begun: set[int]) -> Iterator[bytes]:
+    mark = data[at : at + 2]
+    while data.startswith(mark, at):
+        step, fed = zlib.decompressobj(bits), at
+        for pending in _fed(data, at):
+            fed += len(pending)
+            while (piece := step.decompress(pending, PIECE)) or step.unconsumed_tail:
+                if piece:
+                    yield piece
+                pending = step.unconsumed_tail
+            if step.eof:
+                break
+        at = fed - len(step.unused_data)
+        begun.add(at)
 
 
-def _stepwise(start, data: bytes, mark: bytes, begun: set[int]) -> Iterator[bytes]:
+def _stepwise(start, data: bytes, at: int, mark: bytes, begun: set[int]) -> Iterator[bytes]:
     """Pieces of all streams that follow each other; zeros between them are padding."""
-    while data.startswith(mark):
-        step = start()
-        piece = step.decompress(data, PIECE)
-        while piece or not (step.eof or step.needs_input):
-            yield piece
-            if step.eof or step.needs_input:
+    while data.startswith(mark, at):
+        step, fed = start(), at
+        for pending in _fed(data, at):
+            fed += len(pending)
+            while True:
+                if piece := step.decompress(pending, PIECE):
+                    yield piece
+                pending = b""
+                if step.eof or step.needs_input:
+                    break
+            if step.eof:
                 break
-            piece = step.decompress(b"", PIECE)
-        data = step.unused_data.lstrip(b"\0")
-        begun.add(len(data))
+        at = _ZEROS.match(data, fed - len(step.unused_data)).end()
+        begun.add(at)
 
 
-def _unzstd(data: bytes) -> Iterator[bytes]:
-    with zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True) as source:
+def _unzstd(data: bytes, at: int) -> Iterator[bytes]:
+    with zstandard.ZstdDecompressor().stream_reader(memoryview(data)[at:], read_across_frames=True) as source:
         while piece := source.read(PIECE):
             yield piece
 
 
-def decompressed(data: bytes, begun: set[int] | None = None) -> Iterator[bytes] | None:
-    """Pieces of what ``data`` holds if it carries the mark of a compressed stream.
+def decompressed(data: bytes, at: int = 0, begun: set[int] | None = None) -> Iterator[bytes] | None:
+    """Pieces of what stands in ``data`` from ``at`` if it has the mark of a compressed stream there.
 
-    ``begun`` gets the length of what is left wherever a stream follows another.
+    ``begun`` gets the places where one stream ends and another may follow.
     """
     begun = set() if begun is None else begun
-    if data[:2] == b"\x1f\x8b":
-        return _inflate(data, data[:2], 31, begun)
-    if data[:3] == b"BZh":
-        return _stepwise(bz2.BZ2Decompressor, data, data[:3], begun)
-    if data[:6] == b"\xfd7zXZ\x00":
-        return _stepwise(lzma.LZMADecompressor, data, data[:6], begun)
-    if data[:4] == b"\x28\xb5\x2f\xfd":
-        return _unzstd(data)
-    if len(data) > 6 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0:
-        return _inflate(data, data[:2], 15, begun)
+    head = data[at : at + 7]
+    if head[:2] == b"\x1f\x8b":
+        return _inflate(data, at, 31, begun)
+    if head[:3] == b"BZh":
+        return _stepwise(bz2.BZ2Decompressor, data, at, head[:3], begun)
+    if head[:6] == b"\xfd7zXZ\x00":
+        return _stepwise(lzma.LZMADecompressor, data, at, head[:6], begun)
+    if head[:4] == b"\x28\xb5\x2f\xfd":
+        return _unzstd(data, at)
+    if len(head) > 6 and head[0] & 15 == 8 and (head[0] << 8 | head[1]) % 31 == 0:
+        return _inflate(data, at, 15, begun)
     return None
 
 
 _BROKEN = (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError)
 
 
+def _streams(data: bytes, start: int, end: int) -> Iterator[Iterator[Layer]]:
+    """The pieces of the compressed streams of a run, not begun yet; nothing for a run without a mark."""
+    if decompressed(data) is not None or _MARK.search(data, 1):
+        yield _unpacked(data, start, end)
+
+
 def _unpacked(data: bytes, start: int, end: int) -> Iterator[Layer]:
     """Layers of the compressed streams of a run, also behind other bytes; a broken one gives what comes before the break."""
     begun: set[int] = set()
-    for at in (0, *(m.start() for m in _MARK.finditer(data, 1))):
-        if len(data) - at in begun or (pieces := decompressed(data[at:], begun)) is None:
+    for at in itertools.chain((0,), (m.start() for m in _MARK.finditer(data, 1))):
+        if at in begun or (pieces := decompressed(data, at, begun)) is None:
             continue
         before = ""
         try:
@@ -211,7 +236,7 @@ def _unpacked(data: bytes, start: int, end: int) -> Iterator[Layer]:
             continue
 
 
-def _from_base64(layer: Layer, digits: str, places: np.ndarray) -> Iterator[Layer]:
+def _from_base64(layer: Layer, digits: str, places: np.ndarray) -> Iterator[Layer | Iterator[Layer]]:
     """What base64 ``digits`` hold at each alignment; ``places`` are the digits' places in the layer.
 
     Unreadable bytes stay as characters that no pattern matches, so they part the readable stretches.
@@ -228,7 +253,7 @@ def _from_base64(layer: Layer, digits: str, places: np.ndarray) -> Iterator[Laye
         except binascii.Error:
             continue
         run = places[shift : shift + len(body)]
-        yield from _unpacked(data, int(starts[run[0]]), int(ends[places[-1]]))
+        yield from _streams(data, int(starts[run[0]]), int(ends[places[-1]]))
         if not _READABLE.search(data):
             continue
         text, first, last = _characters(data)
@@ -246,13 +271,13 @@ def _from_wide(layer: Layer) -> Iterator[Layer]:
         yield Layer(layer.text[at], starts[at], ends[at])
 
 
-def decoded(layer: Layer) -> Iterator[Layer]:
-    """Every layer that ``layer`` decodes to in one step."""
+def decoded(layer: Layer) -> Iterator[Layer | Iterator[Layer]]:
+    """Every layer that ``layer`` decodes to in one step; compressed streams as iterators over their pieces."""
     text = layer.text
     if "%" in text:
         for m in _PERCENT.finditer(text):
             if len(m[0]) >= 30:
-                yield from _unpacked(bytes.fromhex(m[0].replace("%", "")), *layer.span(m.start(), m.end()))
+                yield from _streams(bytes.fromhex(m[0].replace("%", "")), *layer.span(m.start(), m.end()))
         if (new := layer.replaced(_PERCENT, _percent)) is not None:
             yield new
     if "\\" in text or "&#" in text:
@@ -264,8 +289,10 @@ def decoded(layer: Layer) -> Iterator[Layer]:
         yield from _from_base64(layer, m[0], np.arange(m.start(), m.end()))
     if "\n" in text:
         for m in _WRAPPED.finditer(text):
-            places = np.array([i for i in range(m.start(), m.end()) if text[i] not in "\r\n"])
-            yield from _from_base64(layer, _BLANK.sub("", m[0]), places)
+            digits = _BLANK.sub("", m[0])
+            if len(digits) >= 16:
+                shown = np.frombuffer(m[0].encode(), dtype=np.uint8) > 32
+                yield from _from_base64(layer, digits, m.start() + np.flatnonzero(shown))
 
 
 Span = tuple[int, int, int]
@@ -275,19 +302,30 @@ def secrets(text: str) -> tuple[list[Span], list[Span]]:
     """``(kind, start, end)`` found in the text itself and found in any layer, by start, kind and end."""
     by_start = lambda s: (s[1], s[0], s[2])
     base = sorted(matches(text), key=by_start)
-    found, seen, work = set(base), set(), [Layer(text)]
-    while work:
-        layer = work.pop()
-        for new in decoded(layer):
-            if not new.text:
-                continue
-            place = new.span(0, len(new.text))
-            mark = hashlib.blake2b(f"{place}{new.text}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
-            if mark in seen:
-                continue
+    found, seen = set(base), set()
+    work: list[Layer | Iterator[Layer]] = [Layer(text)]
+
+    def add(new: Layer) -> None:
+        if not new.text:
+            return
+        place = new.span(0, len(new.text))
+        mark = hashlib.blake2b(f"{place}{new.text}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        if mark not in seen:
             seen.add(mark)
             found.update((kind, *new.span(start, end)) for kind, start, end in matches(new.text))
             work.append(new)
+
+    while work:
+        taken = work.pop()
+        if isinstance(taken, Layer):
+            for new in decoded(taken):
+                if isinstance(new, Layer):
+                    add(new)
+                else:
+                    work.append(new)
+        elif (piece := next(taken, None)) is not None:
+            work.append(taken)
+            add(piece)
     return base, sorted(found, key=by_start)
 
 
