@@ -16,11 +16,11 @@ from thriftline import schemas
 from thriftline.functions import paths
 from thriftline.operators import generated, outcome, patching, routing, summary
 from thriftline.plans import lifecycle, savings_queries, views
-from thriftline.plans.registry import query
+from thriftline.plans.registry import TWINS, query
 from thriftline.session import scratch_path, written
 from thriftline.sinks import documents as document_sink
 from thriftline.sinks import trees
-from thriftline.sources import archives, decode, documents, requirements, split_json, tree
+from thriftline.sources import archives, decode, documents, requirements, split_json, tree, tree_format
 
 _STAMP = "2024-01-01T00:00:00"
 
@@ -106,8 +106,8 @@ def s1_member_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select(F.substring_index("archive", "/", -1).alias("archive"), "file", "n_bytes", "start", F.md5("content").alias("digest"))
 
 
-def _written_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write the documents as a tree of files; gives its project folders."""
+def _tree_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Write the documents as a tree of files; gives its folder."""
     root = scratch_path(spark, "tree")
     docs = views.table(spark, sf_dir, "documents")
     named = docs.select(
@@ -116,7 +116,13 @@ def _written_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("content"),
     )
     trees.write_tree(named, root)
-    return docs.select(F.col("source").alias("project")).distinct().withColumn(
+    return root
+
+
+def _written_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The project folders of that tree."""
+    root = _tree_folder(spark, sf_dir)
+    return views.table(spark, sf_dir, "documents").select(F.col("source").alias("project")).distinct().withColumn(
         "uri", F.concat(F.lit(f"{root}/"), F.col("project"))
     )
 
@@ -136,6 +142,33 @@ def s3_test_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("project", "file", "n_bytes", F.md5("content").alias("digest"))
 
 
+@query("s2_tree_format", TWINS["s2_source_scan"])
+def s2_tree_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same scan as a data source; excluded and test folders are not listed."""
+    found = tree_format.open_tree(spark, _tree_folder(spark, sf_dir), is_python=True, excluded=False, is_test=False)
+    return found.select("project", "file", "n_bytes", F.md5("content").alias("digest"))
+
+
+@query("s3_tree_format", TWINS["s3_test_scan"])
+def s3_tree_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tree_format.open_tree(spark, _tree_folder(spark, sf_dir), ends=".py", excluded=False, is_test=True)
+    return found.select("project", "file", "n_bytes", F.md5("content").alias("digest"))
+
+
+@query(
+    "a12_tree_counts",
+    views.PATH_SQL
+    + """
+    SELECT project, count(*) FILTER (WHERE NOT is_test) AS source_files, count(*) FILTER (WHERE is_test) AS test_files
+    FROM v_class WHERE is_python AND NOT excluded GROUP BY project
+    """,
+)
+def a12_tree_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts from names alone."""
+    listed = tree_format.open_tree(spark, _tree_folder(spark, sf_dir), content=False, levels=2, excluded=False)
+    return tree.count_files(listed, ["project"])
+
+
 @query(
     "s4_decoded_text",
     """
