@@ -5,8 +5,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from thriftline.session import slots, spread
+from thriftline.streaming import expiring
 
 
 def test_rows_that_only_name_work_are_dealt_out(spark):
     dealt = spread(spark.range(400), "id").withColumn("task", F.spark_partition_id())
     assert dealt.select("task").distinct().count() == slots(spark)
+
+
+def test_state_that_ends_is_kept_without_python(spark, tmp_path):
+    """Numbers that do not count publish nothing, but their rows are in the state until it ends."""
+    schema = "f int, attempt int, test_passed boolean, emissions_kg double, landed_at timestamp"
+    landed = spark.range(500).selectExpr("int(id) f", "int(id % 4) attempt", "true", "double(id)", "timestamp'2024-01-01'").toDF(*[c.split()[0] for c in schema.split(", ")])
+    landed.write.parquet(str(tmp_path / "landed"))
+    query = expiring.publish_expiring(spark.readStream.schema(schema).parquet(str(tmp_path / "landed")), ["f"], str(tmp_path / "out"), str(tmp_path / "progress"))
+    query.awaitTermination()
+    assert {p.stateOperators[0].operatorName for p in query.recentProgress if p.stateOperators} == {"stateStoreSave"}
+    assert max(p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators) == 500
+    assert expiring.current(spark, str(tmp_path / "out"), ["f"]).count() == 250

@@ -42,6 +42,20 @@ def failure_reason(elapsed_s: Column | None, error: Column | None) -> Column:
     return reason
 
 
+def attempt_facts(max_attempts: int = fixed.MAX_ATTEMPTS, mode: str = STRICT) -> list[Column]:
+    """The aggregates ``passed_k``, ``kg_k`` and ``last_attempt``; numbers outside of 1 to ``max_attempts`` do not count."""
+    if mode not in (STRICT, COMPAT):
+        raise ValueError(f"unknown mode: {mode}")
+    kg = F.coalesce("emissions_kg", F.lit(0.0)) if mode == COMPAT else F.col("emissions_kg")
+    number = F.col("attempt")
+    columns = []
+    for k in range(1, max_attempts + 1):
+        columns.append(F.bool_and(F.when(number == k, F.coalesce("test_passed", F.lit(False)))).alias(f"passed_{k}"))
+        columns.append(F.min(F.when(number == k, kg)).alias(f"kg_{k}"))
+    last = F.max(F.when((number >= 1) & (number <= max_attempts), number))
+    return [*columns, last.cast("int").alias("last_attempt")]
+
+
 def spread_attempts(
     attempts: DataFrame, keys: list[str], max_attempts: int = fixed.MAX_ATTEMPTS, mode: str = STRICT
 ) -> DataFrame:
@@ -53,16 +67,9 @@ def spread_attempts(
     before the shuffle, and rows delivered twice change nothing, so the same
     expression serves batches, streams and keys of any size.
     """
-    if mode not in (STRICT, COMPAT):
-        raise ValueError(f"unknown mode: {mode}")
-    kg = F.coalesce("emissions_kg", F.lit(0.0)) if mode == COMPAT else F.col("emissions_kg")
     number = F.col("attempt")
-    columns = []
-    for k in range(1, max_attempts + 1):
-        columns.append(F.bool_and(F.when(number == k, F.coalesce("test_passed", F.lit(False)))).alias(f"passed_{k}"))
-        columns.append(F.min(F.when(number == k, kg)).alias(f"kg_{k}"))
     counted = attempts.filter((number >= 1) & (number <= max_attempts))
-    return counted.groupBy(*keys).agg(*columns, F.max(number).cast("int").alias("last_attempt"))
+    return counted.groupBy(*keys).agg(*attempt_facts(max_attempts, mode))
 
 
 def decide(df: DataFrame, max_attempts: int = fixed.MAX_ATTEMPTS) -> DataFrame:
