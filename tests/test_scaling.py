@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
+import itertools
+import json
+import tracemalloc
+import zipfile
+
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
+from thriftline import schemas
+from thriftline.operators import catalog, overlaps
+from thriftline.operators.numbering import numbered
+from thriftline.plans import savings_queries
 from thriftline.session import slots, spread
+from thriftline.sources import archives, files, split_json, tree, tree_format
 from thriftline.streaming import expiring
 
 
@@ -23,3 +35,41 @@ def test_state_that_ends_is_kept_without_python(spark, tmp_path):
     assert {p.stateOperators[0].operatorName for p in query.recentProgress if p.stateOperators} == {"stateStoreSave"}
     assert max(p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators) == 500
     assert expiring.current(spark, str(tmp_path / "out"), ["f"]).count() == 250
+
+
+def _one_range_files(n, size):
+    for at in range(0, n, size):
+        ids = range(at, min(at + size, n))
+        yield pd.DataFrame({"file_id": [f"f{i:09}" for i in ids], "block": 0, "start": 1, "end": 5})
+
+
+def test_summaries_hold_one_file():
+    tracemalloc.start()
+    rows = sum(len(f) for f in overlaps._summaries(_one_range_files(20_000, 500)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 20_000 and peak < 8 << 20
+
+
+@pytest.mark.parametrize("size", [1, 3, 100])
+def test_summaries_do_not_depend_on_frames(size):
+    rows = [("a", 0, 1, 9), ("a", 0, 3, 4), ("a", 0, 10, 12), ("a", 1, 11, 20), ("b", 1, 1, 2), ("b", 2, 5, 6), ("b", 2, 6, 9)]
+    frame = pd.DataFrame(rows, columns=["file_id", "block", "start", "end"])
+    found = pd.concat(overlaps._summaries(frame[at : at + size] for at in range(0, len(frame), size)))
+    assert [tuple(r) for r in found.itertuples(index=False)] == _brute_summaries(rows)
+
+
+def _brute_summaries(rows):
+    """For each stretch of entries of a file and block that leave alike: its last start and their reach."""
+    found = []
+    for key, group in itertools.groupby(rows, key=lambda r: r[:2]):
+        spans = [r[2:] for r in group]
+        reaches = []
+        for i in range(len(spans)):
+            reach = None
+            for start, end in spans[i:]:
+                if reach is None or start > reach:
+                    reach = end
+            reaches.append((spans[i][0], reach))
+        found += [(*key, s, r) for n, (s, r) in enumerate(reaches) if n + 1 == len(reaches) or reaches[n + 1][1] != r]
+    return found

@@ -45,32 +45,37 @@ def _segments(keys: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _summaries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """``(file_id, block, last_start, reach)`` of the segments of one task's blocks; rows come in order."""
-
-    def summed(rows: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        key = rows["block"].to_numpy() * 2 + (rows["file_id"] != rows["file_id"].shift()).cumsum().to_numpy()
-        for a, b in _segments(key):
-            starts, ends = rows["start"].to_numpy()[a:b], rows["end"].to_numpy()[a:b]
-            reach = leaves(starts, ends)
-            last = np.flatnonzero(np.append(reach[1:] != reach[:-1], True))
-            first = rows.iloc[a]
-            parts.append(pd.DataFrame({"file_id": first["file_id"], "block": first["block"], "last_start": starts[last], "reach": reach[last]}))
-        return pd.concat(parts)
-
-    held: list[pd.DataFrame] = []
+    """``(file_id, block, last_start, reach)`` of the segments of one task's blocks; rows come in order.
+
+    Held are the numbers of the one file and block that the rows so far end with.
+    """
+    columns = ["file_id", "block", "last_start", "reach"]
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    open_key = None
+
+    def summed() -> list[tuple]:
+        starts, ends = (np.concatenate(parts) for parts in zip(*held))
+        reach = leaves(starts, ends)
+        last = np.flatnonzero(np.append(reach[1:] != reach[:-1], True))
+        return [(*open_key, start, far) for start, far in zip(starts[last].tolist(), reach[last].tolist())]
+
     for frame in frames:
         if not len(frame):
             continue
-        # Whole blocks only: a block is one range of the sort order.
-        held.append(frame)
-        if frame["block"].iloc[-1] != held[0]["block"].iloc[0]:
-            rows = pd.concat(held)
-            done = rows["block"] != rows["block"].iloc[-1]
-            yield summed(rows[done])
-            held = [rows[~done]]
+        found = []
+        new = (frame["file_id"] != frame["file_id"].shift()) | (frame["block"] != frame["block"].shift())
+        names, blocks, starts, ends = (frame[c].to_numpy() for c in ("file_id", "block", "start", "end"))
+        for a, b in _segments(new.cumsum().to_numpy()):
+            key = (names[a], int(blocks[a]))
+            if key != open_key:
+                if held:
+                    found += summed()
+                held, open_key = [], key
+            # A copy, as a view would keep the whole frame.
+            held.append((starts[a:b].copy(), ends[a:b].copy()))
+        yield pd.DataFrame(found, columns=columns)
     if held:
-        yield summed(pd.concat(held))
+        yield pd.DataFrame(summed(), columns=columns)
 
 
 def _followed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
