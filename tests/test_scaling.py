@@ -73,3 +73,19 @@ def _brute_summaries(rows):
             reaches.append((spans[i][0], reach))
         found += [(*key, s, r) for n, (s, r) in enumerate(reaches) if n + 1 == len(reaches) or reaches[n + 1][1] != r]
     return found
+
+
+def test_archives_are_listed_by_a_fixed_number_of_tasks(spark, tmp_path, monkeypatch):
+    for n in range(400):
+        with zipfile.ZipFile(tmp_path / f"a{n}.zip", "w") as archive:
+            archive.writestr("m.py", str(n))
+    assert archives.list_archives(spark, str(tmp_path)).count() == 400
+    monkeypatch.setattr(archives, "list_members", lambda names: names)
+    names = archives.list_archives(spark, str(tmp_path))
+    assert names.rdd.getNumPartitions() <= slots(spark) and names.count() == 400
+
+
+def test_rows_of_a_frame_are_grouped_by_archive_in_order():
+    frame = pd.DataFrame({"archive": ["b", "a", "b", "c"], "position": [2, 1, 0, None], "error": [None, None, None, "bad"]})
+    found = {uri: group for uri, group in archives._by_archive(frame, ["error", "position"], ["position"])}
+    assert list(found) == ["a", "b", "c"] and [row[1] for row in found["b"]] == [0, 2] and found["c"][0][0] == "bad"

@@ -55,6 +55,13 @@ def _in_batches(rows: Iterator[tuple], columns: list[str], weight: int) -> Itera
         yield pd.DataFrame(held, columns=columns)
 
 
+def _by_archive(frame: pd.DataFrame, columns: list[str], order: list[str]) -> Iterator[tuple[str, list[tuple]]]:
+    """Archives of a frame and what of ``columns`` their rows hold, in ``order``; sorted once, as frames may hold thousands of archives."""
+    rows = frame.sort_values(["archive", *order])[["archive", *columns]].itertuples(index=False, name=None)
+    for uri, group in itertools.groupby(rows, key=lambda row: row[0]):
+        yield uri, [row[1:] for row in group]
+
+
 def expand_archives(archives: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """Members of archives held as bytes; a bad archive gives one row with ``error``.
 
@@ -120,7 +127,8 @@ def list_members(archives: DataFrame) -> DataFrame:
 def list_archives(spark: SparkSession, path: str) -> DataFrame:
     """Members of every archive below ``path``, without their content."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true")
-    return list_members(found.load(path).select("path"))
+    # Spark cuts small files into a task for some 32 of them, each with a start of Python; their number must not grow with the files.
+    return list_members(found.load(path).select("path").coalesce(slots(spark)))
 
 
 #: What opening a member costs, in bytes read.
@@ -152,16 +160,16 @@ def fetch_members(listed: DataFrame, tasks: int | None = None, keep: list[str] |
     def fetch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def rows() -> Iterator[tuple]:
             for frame in frames:
-                for uri, group in frame.groupby("archive", sort=False):
-                    for error in group.loc[group["error"].notna(), "error"]:
+                for uri, group in _by_archive(frame, ["error", "position", "file", *keep], ["position"]):
+                    for error in (row[0] for row in group if not pd.isna(row[0])):
                         yield uri, None, None, None, error, *[None] * len(keep)
-                    good = group[group["error"].isna()].sort_values("position")
-                    if good.empty:
+                    good = [row[1:] for row in group if pd.isna(row[0])]
+                    if not good:
                         continue
                     system, inner = files.locate(uri)
                     with system.open_input_file(inner) as stream, zipfile.ZipFile(stream) as archive:
                         infos = archive.infolist()
-                        for position, member, *kept in good[["position", "file", *keep]].itertuples(index=False):
+                        for position, member, *kept in good:
                             try:
                                 data = archive.read(infos[int(position)])
                                 yield uri, member, len(data), data, None, *kept
@@ -204,16 +212,16 @@ def fetch_pieces(listed: DataFrame, tasks: int | None = None, piece: int = _BATC
     def fetch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def rows() -> Iterator[tuple]:
             for frame in frames:
-                for uri, group in frame.groupby("archive", sort=False):
-                    for error in group.loc[group["error"].notna(), "error"]:
+                for uri, group in _by_archive(frame, ["error", "position", "file", "from"], ["position", "from"]):
+                    for error in (row[0] for row in group if not pd.isna(row[0])):
                         yield uri, None, None, None, None, error
-                    good = group[group["error"].isna()].sort_values(["position", "from"])
-                    if good.empty:
+                    good = [row[1:] for row in group if pd.isna(row[0])]
+                    if not good:
                         continue
                     system, inner = files.locate(uri)
                     with system.open_input_file(inner) as stream, zipfile.ZipFile(stream) as archive:
                         infos = archive.infolist()
-                        for position, member, first in good[["position", "file", "from"]].itertuples(index=False):
+                        for position, member, first in good:
                             info = infos[int(position)]
                             try:
                                 with archive.open(info) as source:
