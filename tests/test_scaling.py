@@ -89,3 +89,9 @@ def test_rows_of_a_frame_are_grouped_by_archive_in_order():
     frame = pd.DataFrame({"archive": ["b", "a", "b", "c"], "position": [2, 1, 0, None], "error": [None, None, None, "bad"]})
     found = {uri: group for uri, group in archives._by_archive(frame, ["error", "position"], ["position"])}
     assert list(found) == ["a", "b", "c"] and [row[1] for row in found["b"]] == [0, 2] and found["c"][0][0] == "bad"
+
+
+def test_a_catalogue_is_made_of_a_frame_by_slices():
+    frame = pd.DataFrame({"project": "p", "file": [str(n) for n in range(20)], "text": ["x" * 1_000_000] * 19 + [None]})
+    parts = list(catalog._slices(frame))
+    assert len(parts) > 3 and pd.concat(parts).equals(frame) and max(len(p) for p in parts) <= 5

@@ -84,6 +84,17 @@ def _texts(files: DataFrame) -> DataFrame:
     return files.select("project", "file", "text")
 
 
+#: Characters of text whose catalogue is held as rows.
+_SLICE = 4 << 20
+
+
+def _slices(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """A frame in stretches of about ``_SLICE`` characters of text; catalogues may be larger than the text they come from."""
+    stretch = (frame["text"].str.len().fillna(0).add(100).cumsum() // _SLICE).to_numpy()
+    for _, part in frame.groupby(stretch, sort=False):
+        yield part
+
+
 def _catalogue_rows(frame: pd.DataFrame) -> list[tuple]:
     rows = []
     for project, file, text in frame.itertuples(index=False):
@@ -113,8 +124,8 @@ def extract_functions(files: DataFrame) -> DataFrame:
     columns = ["project", "file", "name", "qualified_name", "line", "end_line", "depth", "n_args", "function_code", "error"]
 
     def extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = _on_deep_stack(lambda frame=frame: _catalogue_rows(frame))
+        for part in (part for frame in frames for part in _slices(frame)):
+            rows = _on_deep_stack(lambda part=part: _catalogue_rows(part))
             yield _typed(pd.DataFrame(rows, columns=columns), ["line", "end_line", "depth", "n_args"])
 
     schema = ", ".join(
@@ -173,9 +184,9 @@ def locator_index(files: DataFrame) -> DataFrame:
     columns = schemas.LOCATOR.names
 
     def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for part in (part for frame in frames for part in _slices(frame)):
             rows = []
-            for project, file, text in frame.itertuples(index=False):
+            for project, file, text in part.itertuples(index=False):
                 module, error = _parse(text)
                 if module is None:
                     rows.append((project, file, None, None, None, None, error))
