@@ -95,3 +95,17 @@ def test_a_catalogue_is_made_of_a_frame_by_slices():
     frame = pd.DataFrame({"project": "p", "file": [str(n) for n in range(20)], "text": ["x" * 1_000_000] * 19 + [None]})
     parts = list(catalog._slices(frame))
     assert len(parts) > 3 and pd.concat(parts).equals(frame) and max(len(p) for p in parts) <= 5
+
+
+def test_landed_attempts_lie_in_as_many_files_as_tasks(spark, tmp_path, monkeypatch):
+    spark.range(2000).selectExpr("id l_orderkey", "int(id % 3) l_linenumber").write.parquet(str(tmp_path / "lineitem.parquet"))
+    seen = {}
+
+    def streamed(_, folder, schema, options):
+        seen.update(n=spark.read.parquet(folder).select(F.input_file_name()).distinct().count(), each=int(options["maxFilesPerTrigger"]))
+        raise InterruptedError
+
+    monkeypatch.setattr(savings_queries, "_streamed", streamed)
+    with pytest.raises(InterruptedError):
+        savings_queries.r1_late_baselines(spark, str(tmp_path))
+    assert seen["n"] == slots(spark) and -(-seen["n"] // seen["each"]) == 4

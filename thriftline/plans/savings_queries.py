@@ -12,7 +12,7 @@ from thriftline.operators import generated, impact, measuring, outcome, patching
 from thriftline.operators.numbering import numbered
 from thriftline.plans import views
 from thriftline.plans.registry import query
-from thriftline.session import scratch_path
+from thriftline.session import scratch_path, slots
 from thriftline.sources import requirements, tree
 from thriftline.streaming import expiring, progress
 
@@ -890,8 +890,9 @@ def r1_late_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All attempts land first, over several micro-batches; the baselines come last."""
     items = views.table(spark, sf_dir, "lineitem")
     folder = scratch_path(spark, "landed")
-    items.repartition(4, "l_linenumber", "l_orderkey").write.parquet(folder)
-    out = _streamed(spark, folder, items.schema, {"maxFilesPerTrigger": "1"})
+    n_files = slots(spark)
+    items.repartition(n_files, "l_linenumber", "l_orderkey").write.parquet(folder)
+    out = _streamed(spark, folder, items.schema, {"maxFilesPerTrigger": str(-(-n_files // 4))})
     seen = progress.merged(spark, out, ["function_id"])
     current = progress.current_outcomes(seen, views.baselines(spark, sf_dir), ["function_id"])
     return current.select(*_OUTCOME_COLUMNS.split(", "))
