@@ -109,3 +109,11 @@ def test_landed_attempts_lie_in_as_many_files_as_tasks(spark, tmp_path, monkeypa
     with pytest.raises(InterruptedError):
         savings_queries.r1_late_baselines(spark, str(tmp_path))
     assert seen["n"] == slots(spark) and -(-seen["n"] // seen["each"]) == 4
+
+
+def test_records_of_a_split_document_have_their_place(spark, tmp_path):
+    records = [{"id": f"i{n}", "file": "x" * (n % 50)} for n in range(300)]
+    (tmp_path / "p.json").write_text(json.dumps({"project_root": "p", "generated_at": "t", "functions": records}))
+    read = split_json.read_split_documents(spark, str(tmp_path), schemas.RESULT_DOCUMENT, size=700, places=True)
+    at = numbered(read.select("uri", "place", "id"), ["uri"], [F.col("place")])
+    assert [r.id for r in at.orderBy("position").collect()] == [f"i{n}" for n in range(300)]

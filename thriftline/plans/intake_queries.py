@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from thriftline import schemas
 from thriftline.functions import paths
 from thriftline.operators import generated, outcome, patching, routing, summary
+from thriftline.operators.numbering import numbered
 from thriftline.plans import lifecycle, savings_queries, views
 from thriftline.plans.registry import TWINS, query
 from thriftline.session import scratch_path, written
@@ -312,14 +313,14 @@ def s7_result_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def s7_exported_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A JSON file for each project, parsed whole by another reader; records stand in order."""
+    """A JSON file for each project, read back in byte ranges; records stand in order."""
     results = views.results(spark, sf_dir)
     root, folder = scratch_path(spark, "result-documents"), scratch_path(spark, "exported")
     document_sink.write_result_documents(routing.final_records(results, ["project"]), root, _STAMP)
     document_sink.export_documents(spark, root, folder)
-    whole = spark.read.schema(schemas.RESULT_DOCUMENT).json(folder, multiLine=True, mode="FAILFAST")
-    each = whole.select("project_root", "generated_at", F.posexplode("functions").alias("position", "f"))
-    return each.select("project_root", "generated_at", "f.id", "f.file", "f.function_code", F.col("position").cast("bigint"))
+    read = split_json.read_split_documents(spark, folder, schemas.RESULT_DOCUMENT, places=True)
+    each = numbered(read.select("uri", "place", "project_root", "generated_at", "id", "file", "function_code"), ["uri"], [F.col("place")])
+    return each.select("project_root", "generated_at", "id", "file", "function_code", (F.col("position") - 1).alias("position"))
 
 
 _S8_ORDERED = """

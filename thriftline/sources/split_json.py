@@ -205,12 +205,18 @@ def split_documents(spark: SparkSession, path: str, size: int = RANGE) -> tuple[
     return shapes.where("start = 0").select("uri", "frame"), records
 
 
-def read_split_documents(spark: SparkSession, path: str, schema: T.StructType, section: str = "functions", size: int = RANGE) -> DataFrame:
-    """What ``documents.read_documents`` gives of the same files: scalars of the document and the fields of each record."""
+def read_split_documents(
+    spark: SparkSession, path: str, schema: T.StructType, section: str = "functions", size: int = RANGE, places: bool = False
+) -> DataFrame:
+    """What ``documents.read_documents`` gives of the same files: scalars of the document and the fields of each record.
+
+    With ``places`` the record's ``uri`` and ``place`` too.
+    """
     scalars = T.StructType([f for f in schema if f.name != section])
     frames, records = split_documents(spark, path, size)
     heads = frames.select("uri", F.from_json("frame", scalars, {"mode": "FAILFAST"}).alias("_head"))
     items = records.where(F.col("section") == section).select(
-        "uri", F.from_json("record", schema[section].dataType.elementType, {"mode": "FAILFAST"}).alias("_item")
+        "uri", "place", F.from_json("record", schema[section].dataType.elementType, {"mode": "FAILFAST"}).alias("_item")
     )
-    return items.join(heads, "uri").select("_head.*", "_item.*")
+    own = ["uri", "place"] if places else []
+    return items.join(heads, "uri").select(*own, "_head.*", "_item.*")
