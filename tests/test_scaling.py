@@ -117,3 +117,8 @@ def test_records_of_a_split_document_have_their_place(spark, tmp_path):
     read = split_json.read_split_documents(spark, str(tmp_path), schemas.RESULT_DOCUMENT, size=700, places=True)
     at = numbered(read.select("uri", "place", "id"), ["uri"], [F.col("place")])
     assert [r.id for r in at.orderBy("position").collect()] == [f"i{n}" for n in range(300)]
+
+
+def test_small_members_make_small_frames():
+    rows = ((f"a{n}.zip", "m.py", 1, b"x", None) for n in range(100_000))
+    assert max(map(len, archives._in_batches(rows, schemas.ARCHIVE_MEMBER.names, 3))) <= 20_000

@@ -25,6 +25,8 @@ from thriftline.session import slots
 from thriftline.sources import files
 
 _BATCH_BYTES = 64 << 20
+#: Bytes of a frame of members, and what a row takes besides its content.
+_FRAME_BYTES, _ROW_BYTES = 8 << 20, 500
 
 # Faults of an archive itself.  Failures of the storage are not among them: those
 # fail the task, which is then run again.
@@ -47,8 +49,8 @@ def _in_batches(rows: Iterator[tuple], columns: list[str], weight: int) -> Itera
     held, size = [], 0
     for row in rows:
         held.append(row)
-        size += len(row[weight] or b"") + 200
-        if size >= _BATCH_BYTES:
+        size += len(row[weight] or b"") + _ROW_BYTES
+        if size >= _FRAME_BYTES:
             yield pd.DataFrame(held, columns=columns)
             held, size = [], 0
     if held:
