@@ -122,3 +122,26 @@ def test_records_of_a_split_document_have_their_place(spark, tmp_path):
 def test_small_members_make_small_frames():
     rows = ((f"a{n}.zip", "m.py", 1, b"x", None) for n in range(100_000))
     assert max(map(len, archives._in_batches(rows, schemas.ARCHIVE_MEMBER.names, 3))) <= 20_000
+
+
+def test_folders_are_walked_without_holding_their_files(monkeypatch, tmp_path):
+    taken = []
+
+    def entries(uri):
+        for n in range(1000):
+            taken.append(n)
+            yield f"{n}.py", False, 1
+
+    monkeypatch.setattr(files, "children", entries)
+    reader = tree_format.TreeReader("/r", 1, 4, False, None, "", {})
+    assert len(list(itertools.islice(reader._walk([("p", "", "/r/p", True, 0)]), 5))) == 5 and len(taken) <= 6
+    folder = pd.DataFrame([("p", "", 0, "/r/p", True)] * 25, columns=["project", "file", "n_bytes", "uri", "is_dir"])
+    assert [len(f) for f in tree._walk(iter([folder]))] == [len(f) for f in tree._list_level(iter([folder]))] == [10_000, 10_000, 5_000]
+
+
+def test_entries_of_a_folder(tmp_path):
+    (tmp_path / "b").mkdir()
+    (tmp_path / "_a.py").write_text("xyz")
+    (tmp_path / "gone").symlink_to(tmp_path / "nowhere")
+    assert sorted(files.children(str(tmp_path))) == [("_a.py", False, 3), ("b", True, 0), ("gone", False, 0)]
+    assert list(files.children(str(tmp_path / "missing"))) == []

@@ -66,7 +66,7 @@ def _finish(uri: str, n_bytes: int) -> None:
         return
     system, target = files.locate(uri)
     with system.open_output_stream(target) as out:
-        for name, _, _ in files.children(f"{uri}.parts"):
+        for name, _, _ in sorted(files.children(f"{uri}.parts")):
             with system.open_input_stream(f"{target}.parts/{name}") as part:
                 shutil.copyfileobj(part, out, _COPY)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
 from pyarrow import fs
 
 # Schemes that Spark and Arrow spell differently.
@@ -33,11 +36,17 @@ def locate(uri: str) -> tuple[fs.FileSystem, str]:
     return system, f"{base.rstrip('/')}/{key}"
 
 
-def children(uri: str) -> list[tuple[str, bool, int]]:
-    """Name, is-folder and size of the entries of one folder."""
+def children(uri: str) -> Iterator[tuple[str, bool, int]]:
+    """Name, is-folder and size of the entries of one folder, in no order; of a local folder they are not held."""
     system, path = locate(uri)
-    entries = system.get_file_info(fs.FileSelector(path, recursive=False, allow_not_found=True))
-    return sorted((e.base_name, e.type == fs.FileType.Directory, e.size or 0) for e in entries)
+    if not isinstance(system, fs.LocalFileSystem):
+        found = system.get_file_info(fs.FileSelector(path, recursive=False, allow_not_found=True))
+        yield from ((e.base_name, e.type == fs.FileType.Directory, e.size or 0) for e in found)
+    elif os.path.exists(path):
+        with os.scandir(path) as folder:
+            for e in folder:
+                is_dir = e.is_dir()
+                yield e.name, is_dir, e.stat().st_size if not is_dir and e.is_file() else 0
 
 
 def read_bytes(uri: str) -> bytes:

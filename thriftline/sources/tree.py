@@ -6,6 +6,7 @@ The built-in file sources skip names that start with ``_`` and so lose every
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,41 +18,55 @@ from thriftline.functions import paths
 from thriftline.session import slots
 from thriftline.sources import files
 
+#: Rows of a frame of names, bytes of a frame of contents.
+_ROWS, _BYTES = 10_000, 8 << 20
 _LEVEL = "project string, file string, n_bytes bigint, uri string, is_dir boolean"
 
 
 def _list_level(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Replace each folder by its entries; files pass through."""
-    for frame in frames:
-        rows = []
-        for project, file, n_bytes, uri, is_dir in frame.itertuples(index=False):
-            if not is_dir:
-                rows.append((project, file, n_bytes, uri, False))
-                continue
-            for name, folder, size in files.children(uri):
-                below = f"{file}/{name}" if file else name
-                rows.append((project, below, size, f"{uri}/{name}", folder))
-        yield pd.DataFrame(rows, columns=["project", "file", "n_bytes", "uri", "is_dir"])
+
+    def rows() -> Iterator[tuple]:
+        for frame in frames:
+            for project, file, n_bytes, uri, is_dir in frame.itertuples(index=False):
+                if not is_dir:
+                    yield project, file, n_bytes, uri, False
+                    continue
+                for name, folder, size in files.children(uri):
+                    below = f"{file}/{name}" if file else name
+                    yield project, below, size, f"{uri}/{name}", folder
+
+    found = rows()
+    while held := list(itertools.islice(found, _ROWS)):
+        yield pd.DataFrame(held, columns=["project", "file", "n_bytes", "uri", "is_dir"])
 
 
 def _walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Files below each folder, whatever the depth."""
-    columns = ["project", "file", "n_bytes", "uri"]
-    for frame in frames:
-        rows = []
-        for project, file, n_bytes, uri, is_dir in frame.itertuples(index=False):
-            pending = [(file, uri, bool(is_dir), n_bytes)]
-            while pending:
-                at, where, folder, size = pending.pop()
-                if not folder:
-                    rows.append((project, at, size, where))
-                    if len(rows) == 50_000:
-                        yield pd.DataFrame(rows, columns=columns)
-                        rows = []
-                    continue
-                for name, is_folder, n in files.children(where):
-                    pending.append((f"{at}/{name}" if at else name, f"{where}/{name}", is_folder, n))
-        yield pd.DataFrame(rows, columns=columns)
+
+    def below(project: str, at: str, where: str) -> Iterator[tuple]:
+        # Folders wait by name; files are not held.
+        pending = [(at, where)]
+        while pending:
+            at, where = pending.pop()
+            for name, is_folder, size in files.children(where):
+                path, uri = f"{at}/{name}" if at else name, f"{where}/{name}"
+                if is_folder:
+                    pending.append((path, uri))
+                else:
+                    yield project, path, size, uri
+
+    def rows() -> Iterator[tuple]:
+        for frame in frames:
+            for project, file, n_bytes, uri, is_dir in frame.itertuples(index=False):
+                if is_dir:
+                    yield from below(project, file, uri)
+                else:
+                    yield project, file, n_bytes, uri
+
+    found = rows()
+    while held := list(itertools.islice(found, _ROWS)):
+        yield pd.DataFrame(held, columns=["project", "file", "n_bytes", "uri"])
 
 
 def list_tree(spark: SparkSession, roots: DataFrame, spread_levels: int = 2) -> DataFrame:
@@ -74,7 +89,7 @@ def list_tree(spark: SparkSession, roots: DataFrame, spread_levels: int = 2) ->
     return level.mapInPandas(_walk, schema=schemas.TREE_FILE)
 
 
-def read_files(listed: DataFrame, batch_bytes: int = 64 << 20) -> DataFrame:
+def read_files(listed: DataFrame, batch_bytes: int = _BYTES) -> DataFrame:
     """Bytes of the listed files, in frames of bounded size.
 
     Files are dealt out by a hash of their path, so neighbours in one large

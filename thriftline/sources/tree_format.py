@@ -74,7 +74,7 @@ class TreeReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         level: list[Entry] = [
             (name, "", f"{self.root}/{name}", True, 0)
-            for name, folder, _ in files.children(self.root)
+            for name, folder, _ in sorted(files.children(self.root))
             if folder and (self.projects is None or name in self.projects)
         ]
         for _ in range(self.levels):
@@ -84,13 +84,18 @@ class TreeReader(DataSourceReader):
         return [InputPartition(level[n :: self.tasks]) for n in range(min(self.tasks, len(level)))] or [InputPartition([])]
 
     def _walk(self, entries: list[Entry]) -> Iterator[Entry]:
-        pending = list(reversed(entries))
+        # Folders wait by name; files are not held.
+        pending = list(entries)
         while pending:
             entry = pending.pop()
-            if entry[3]:
-                pending += self._entries(*entry[:3])
-            else:
+            if not entry[3]:
                 yield entry
+                continue
+            for below in self._entries(*entry[:3]):
+                if below[3]:
+                    pending.append(below)
+                else:
+                    yield below
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(
