@@ -16,6 +16,7 @@ from thriftline.operators import catalog, overlaps
 from thriftline.operators.numbering import numbered
 from thriftline.plans import savings_queries
 from thriftline.session import slots, spread
+from thriftline.sinks import documents as document_sink
 from thriftline.sources import archives, files, split_json, tree, tree_format
 from thriftline.streaming import expiring
 
@@ -145,3 +146,15 @@ def test_entries_of_a_folder(tmp_path):
     (tmp_path / "gone").symlink_to(tmp_path / "nowhere")
     assert sorted(files.children(str(tmp_path))) == [("_a.py", False, 3), ("b", True, 0), ("gone", False, 0)]
     assert list(files.children(str(tmp_path / "missing"))) == []
+
+
+def test_lines_of_one_project_are_not_joined_in_one_task(spark, tmp_path):
+    records = spark.range(500).selectExpr("IF(id < 490, 'p', NULL) project", "concat('i', id) id", "'f' file")
+    columns = [F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.RESULT if f.name not in ("id", "file")]
+    document_sink.write_result_documents(records.select("project", "id", "file", *columns), str(tmp_path / "lines"), "t")
+    texts = document_sink.document_texts(spark, str(tmp_path / "lines"))
+    assert "project" not in next(line for line in texts._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line)
+    found = {}
+    for row in texts.orderBy("place").collect():
+        found[row.project] = found.get(row.project, "") + row.value
+    assert {p: len(json.loads(text)["functions"]) for p, text in found.items()} == {"p": 490, None: 10}

@@ -92,11 +92,11 @@ def write_document(sections: list[Section], path: str) -> None:
 def document_texts(spark: SparkSession, path: str) -> DataFrame:
     """``(project, place, value)``: lines that give each project's JSON document when joined in order."""
     rows = spark.read.parquet(path)
-    lists = rows.filter("is_list").select(F.col("project").alias("_project"), F.col("section").alias("_section"), "place")
-    first = lists.groupBy("_project", "_section").agg(F.min("place").alias("_first"))
-    same = F.col("project").eqNullSafe(F.col("_project")) & (F.col("section") == F.col("_section"))
-    comma = F.when(F.col("place") > F.col("_first"), F.lit(",")).otherwise(F.lit(""))
-    return rows.join(first, same, "left").select("project", "place", F.concat(comma, "line").alias("value"))
+    # Met by place, which is a row's own: by project, all lines of a project would go to one task.
+    first = rows.filter("is_list").groupBy("project", "section").agg(F.min("place").alias("place"))
+    met = rows.join(first.select("place", F.lit(True).alias("_first")), "place", "left")
+    comma = F.when(F.col("is_list") & F.col("_first").isNull(), F.lit(",")).otherwise(F.lit(""))
+    return met.select("project", "place", F.concat(comma, "line").alias("value"))
 
 
 def export_documents(spark: SparkSession, path: str, folder: str, part: int = assembled.PART) -> DataFrame:
