@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import sys
 from collections import Counter
 
 import numpy as np
@@ -157,3 +158,63 @@ def test_each_window_trains_in_one_part(spark, monkeypatch):
     rows = lmscore.training_texts(df, words, 2, 3).collect()
     assert {r.part for r in rows} == {0, 1, 2} and {r.shard for r in rows} == {0, 1}
     assert sum(len(lmscore.windows([bytes(r.ids)])) for r in rows) == total
+
+
+def test_words_of_many_texts_are_those_of_each():
+    texts = [b"", b"  ", b" A b\x0bC\x0cd\r\n", b"\x1c\x85 \xc3\x89a \xff\x00Z", b"x" * 9, b"\t", b"end ", "ÉÀ é a".encode()]
+    found, sizes = lmscore.split(texts)
+    assert found.to_pylist() == [w for t in texts for w in t.lower().split()]
+    assert sizes.tolist() == [len(t.split()) for t in texts]
+    found, sizes = lmscore.split([])
+    assert len(found) == len(sizes) == 0
+
+
+@pytest.mark.parametrize("size", [1, 40, 1 << 20])
+def test_texts_are_encoded_alike_alone_and_together(size):
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("abé", k=rng.randint(1, 12))) for _ in range(rng.randint(0, 30))).encode() for _ in range(40)]
+    counts = Counter(w for t in texts for w in t.split())
+    words = lmscore.Vocabulary([w for w, _ in counts.most_common(9)], [n for _, n in counts.most_common(9)], sum(counts.values()))
+    words.spelling = lmscore.Spelling(np.random.default_rng(1).integers(0, 50, (lmscore._CONTEXTS, lmscore._SYMBOLS)).astype(float), words)
+    encode = words.encoder()
+    made = [encode.together(some) for some in lmscore._together(texts, size)]
+    want = [[words.ids[w] if w in words.ids else words.rare(w) for w in t.split()] for t in texts]
+    assert np.concatenate([ids for ids, _, _ in made]).tolist() == sum(want, [])
+    assert np.concatenate([sizes for _, sizes, _ in made]).tolist() == [len(w) for w in want]
+    opened = [sum(words.spelling.within(w) for w in t.split() if w not in words.ids) for t in texts]
+    assert np.concatenate([o for _, _, o in made]) == pytest.approx(opened, abs=1e-9)
+
+
+def test_python_calls_do_not_grow_with_the_words():
+    def calls(n: int) -> int:
+        words = vocab(["a b c"])
+        words.spelling = lmscore.Spelling(np.ones((lmscore._CONTEXTS, lmscore._SYMBOLS)), words)
+        encode, net = words.encoder(), lmscore.Network.start(words)
+        text, seen = " ".join(f"w{i}" for i in range(n)).encode(), []
+        sys.setprofile(lambda frame, event, arg: seen.append(event) if event == "call" else None)
+        try:
+            counts, _ = lmscore.document_scores([text], encode, net)
+        finally:
+            sys.setprofile(None)
+        assert counts == [n]
+        return len(seen)
+
+    assert calls(16_000) < calls(2_000) + 2_000
+
+
+def test_scores_where_exponentials_leave_the_range():
+    words = vocab(sentences(3, 1))
+    net = lmscore.Network.start(words)
+    net.flat *= 1 + np.random.default_rng(5).normal(0, 30, net.flat.shape).astype(np.float32)
+    rng = np.random.default_rng(6)
+    context, target = rng.integers(0, lmscore.SIZE, (300, 4)), rng.integers(0, lmscore.SIZE, 300)
+    exact = lmscore.Network(net.flat.astype(np.float64))
+    h = exact.hidden(context)[1]
+    share = lambda z: z - z.max(1, keepdims=True) - np.log(np.exp(z - z.max(1, keepdims=True)).sum(1, keepdims=True))
+    group, place = np.divmod(target, lmscore.CLASS_SIZE)
+    rows = np.arange(300)
+    z = h @ exact["to_class"] + exact["class_bias"]
+    y = np.einsum("nh,nkh->nk", h, exact["to_word"][group]) + exact["word_bias"][group]
+    assert np.abs(z).max() > lmscore._SAFE and np.abs(y).max() > lmscore._SAFE
+    assert lmscore.log_probabilities(net, context, target) == pytest.approx(share(z)[rows, group] + share(y)[rows, place], rel=2e-3, abs=2e-2)
+    assert np.isfinite(lmscore.gradient(net, context, target)).all()

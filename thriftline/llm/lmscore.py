@@ -14,6 +14,7 @@ of its tokens' conditional log-probabilities.
   window trains once) from the same parameters; the results are averaged by a tree of sums, in tasks.  Only the average, of
   fixed size, passes through the driver.
 * Scoring runs where the texts are read.
+* Texts are split, looked up and spelled some megabytes at a time, in Arrow and numpy; no step runs over words one by one.
 
 Words are runs of anything but ASCII white space, with A-Z in lower case.  Defined results: a NULL or empty text has no
 tokens, score 0.0 and a NULL mean; repeated rows are scored each and count each; no documents give no rows.
@@ -23,12 +24,12 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,12 +50,13 @@ BATCH = 4096
 LEARNING_RATE = 5e-3
 _STRETCH = 4096
 _FAN_IN = 32
-_FLUSH = 200_000
+_COUNTED = 16 << 20
+_ENCODED = 4 << 20
 _SCORED = 32_768
-_KEPT_WORDS = 250_000
 _CONTEXTS = 2048
 _SYMBOLS = 257
 _EDGE = 256
+_SAFE = 60
 
 SIZE = CLASSES * CLASS_SIZE
 PAD = 0
@@ -89,23 +91,81 @@ class Vocabulary:
         return Encoder(self)
 
 
+def _together(texts: Iterable[bytes], size: int) -> Iterator[list[bytes]]:
+    """Texts in lists of about ``size`` bytes; a longer one ends its list."""
+    held: list[bytes] = []
+    so_far = 0
+    for text in texts:
+        held.append(text)
+        so_far += len(text)
+        if so_far >= size:
+            yield held
+            held, so_far = [], 0
+    if held:
+        yield held
+
+
+def split(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, in order, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.binary()).view(pa.string())))
+    found = lists.values.view(pa.binary())
+    # White space at the ends of a text leaves empty words there.
+    filled = pc.greater(pc.binary_length(found), 0)
+    before = np.concatenate([[0], np.cumsum(filled.to_numpy(zero_copy_only=False))])
+    sizes = np.diff(before[lists.offsets.to_numpy()])
+    return (found if before[-1] == len(found) else found.filter(filled)), sizes
+
+
+def _inside(found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word ends in the bytes of all, and those bytes."""
+    ends = np.frombuffer(found.buffers()[1], np.int32)[found.offset : found.offset + len(found) + 1]
+    held = found.buffers()[2]
+    every = np.frombuffer(held, np.uint8) if held else np.zeros(0, np.uint8)
+    return ends[1:] - ends[0], every[ends[0] : ends[-1]]
+
+
 class Encoder:
     """Texts to ids, and to what their shared ids leave open."""
 
     def __init__(self, words: Vocabulary):
-        self.ids = _Ids(words)
-        self.open = _Open(words) if words.spelling else None
+        self.known = pa.array(words.ids, pa.binary())
+        self.of_known = np.fromiter(words.ids.values(), np.int16, len(words.ids))
+        self.rare = words.rare
+        self.spelling = words.spelling
+        # Ids by the last two bytes, then by the only one, as they come up.
+        self.of_ending = np.zeros(257 << 8, np.int16)
+
+    def _rare(self, found: pa.Array) -> np.ndarray:
+        ends, held = _inside(found)
+        last, before = held[ends - 1].astype(np.int32), held[np.maximum(ends - 2, 0)].astype(np.int32)
+        endings = np.where(np.diff(ends, prepend=0) > 1, before, 256) << 8 | last
+        for e in np.unique(endings[self.of_ending[endings] == 0]).tolist():
+            self.of_ending[e] = self.rare(bytes([e >> 8, e & 255] if e < 1 << 16 else [e & 255]))
+        return self.of_ending[endings]
+
+    def together(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all texts, how many each has, and its summed log-probability of the words behind shared ids."""
+        found, sizes = split(texts)
+        places = pc.index_in(found, value_set=self.known)
+        unknown = places.is_null()
+        ids = np.empty(len(found), np.int16)
+        at = unknown.to_numpy(zero_copy_only=False)
+        ids[~at] = self.of_known[places.drop_null().to_numpy()]
+        rare = found.filter(unknown)
+        ids[at] = self._rare(rare)
+        if not self.spelling:
+            return ids, sizes, np.zeros(len(texts))
+        owner = np.repeat(np.arange(len(texts)), sizes)[at]
+        # Without any row bincount gives integers.
+        return ids, sizes, np.bincount(owner, self.spelling.each_within(rare, ids[at]), len(texts)).astype(np.float64)
 
     def __call__(self, text: bytes) -> np.ndarray:
-        return self._encoded(corpus.words(text))
-
-    def _encoded(self, found: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.ids.__getitem__, found), dtype=np.int16, count=len(found))
+        return self.together([text])[0]
 
     def spelled(self, text: bytes) -> tuple[np.ndarray, float]:
         """The ids, and the summed log-probabilities of the words behind shared ones."""
-        found = corpus.words(text)
-        return self._encoded(found), math.fsum(map(self.open.__getitem__, found)) if self.open else 0.0
+        ids, _, opened = self.together([text])
+        return ids, float(opened[0])
 
 
 class Spelling:
@@ -143,32 +203,51 @@ class Spelling:
         """Log-probability of a word given its shared id."""
         return min(self.whole(word) - float(self.held[self.rare(word)]), 0.0)
 
+    def each_within(self, found: pa.Array, ids: np.ndarray) -> np.ndarray:
+        """:meth:`within` of many words, whose shared ids are ``ids``."""
+        if not len(found):
+            return np.zeros(0)
+        cells, sizes = _cells(found)
+        whole = np.add.reduceat(self.logs.ravel()[cells], np.cumsum(sizes) - sizes, dtype=np.float64)
+        return np.minimum(whole - self.held[ids], 0.0)
+
 
 def _context(after, last):
     """Row of two neighbouring bytes; works on arrays too."""
     return (after * 40_503 + last * 8_191) % 65_521 % _CONTEXTS
 
 
+def _cells(found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """For each word, from its end, the cells of its bytes and of the edge before it; and how many each word has."""
+    ends, held = _inside(found)
+    sizes = np.diff(ends, prepend=0)
+    # Two edges, the word from its end, and the edge that the word ends with; the last word comes first.
+    stops = np.cumsum(sizes[::-1] + 3)
+    symbols = np.full(len(held) + 3 * len(found), _EDGE, np.int32)
+    inner = np.ones(len(symbols), bool)
+    for o in (1, 2):
+        inner[stops - sizes[::-1] - 1 - o] = False
+    at = np.flatnonzero(inner)
+    inner[stops - 1] = False
+    symbols[inner] = held[::-1]
+    cells = _context(symbols[at - 2], symbols[at - 1]) * _SYMBOLS + symbols[at]
+    # Turned round as a whole, words are in their order again; a sum does not mind that of its parts.
+    return cells[::-1], sizes + 1
+
+
 def spelling_counts(counts: DataFrame, words: Vocabulary) -> np.ndarray:
     """How often each byte stands before the two after it, over all words without an id of their own."""
-    known = words.ids.keys()
+    known = list(words.ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(_CONTEXTS * _SYMBOLS, np.int64)
+        listed = pa.array(known, pa.binary())
         for batch in batches:
-            found = [(w, n) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if w not in known]
-            if not found:
-                continue
-            # Two edges, the word from its end, and the edge that the word ends with.
-            sizes = np.array([len(w) + 3 for w, _ in found])
-            ends = np.cumsum(sizes) - 1
-            symbols = np.full(int(sizes.sum()), _EDGE, np.int64)
-            inner = np.ones(len(symbols), bool)
-            inner[ends] = inner[ends - sizes + 1] = inner[ends - sizes + 2] = False
-            symbols[inner] = np.frombuffer(b"".join(w[::-1] for w, _ in found), np.uint8)
-            inner[ends] = True
-            at = np.flatnonzero(inner)
-            np.add.at(cells, _context(symbols[at - 2], symbols[at - 1]) * _SYMBOLS + symbols[at], np.repeat([n for _, n in found], sizes - 2))
+            rare = pc.invert(pc.is_in(batch.column(0), value_set=listed))
+            found, n = batch.column(0).filter(rare), batch.column(1).filter(rare).to_numpy()
+            if len(found):
+                seen, sizes = _cells(found)
+                np.add.at(cells, seen, np.repeat(n, sizes))
         seen = np.flatnonzero(cells)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(cells[seen])], ["cell", "n"])
 
@@ -178,54 +257,14 @@ def spelling_counts(counts: DataFrame, words: Vocabulary) -> np.ndarray:
     return cells.reshape(_CONTEXTS, _SYMBOLS)
 
 
-class _Open(dict):
-    """What the ids of words leave open: nothing, or the log-probability of the spelling; a bound on what is kept."""
-
-    def __init__(self, words: Vocabulary):
-        super().__init__(dict.fromkeys(words.ids, 0.0))
-        self.within = words.spelling.within
-
-    def __missing__(self, word: bytes) -> float:
-        found = self.within(word)
-        if len(self) < _KEPT_WORDS:
-            self[word] = found
-        return found
-
-
-class _Ids(dict):
-    """Ids of words; those of rare words are worked out once, up to a bound on what is kept."""
-
-    def __init__(self, words: Vocabulary):
-        super().__init__(words.ids)
-        self.rare = words.rare
-
-    def __missing__(self, word: bytes) -> int:
-        found = self.rare(word)
-        if len(self) < _KEPT_WORDS:
-            self[word] = found
-        return found
-
-
 def word_counts(docs: DataFrame) -> DataFrame:
     """``(word, n)`` over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-
-        def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays(
-                [pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "n"]
-            )
-            counts.clear()
-            return batch
-
-        for batch in batches:
-            for text in batch.column(0):
-                counts.update(corpus.words(text.as_py()))
-                if len(counts) > _FLUSH:
-                    yield flush()
-        if counts:
-            yield flush()
+        texts = (text.as_py() for batch in batches for text in batch.column(0))
+        for some in _together(texts, _COUNTED):
+            found = split(some)[0].value_counts()
+            yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["word", "n"])
 
     parts = docs.select(corpus.text_bytes().alias("_text")).mapInArrow(run, "word binary, n bigint")
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
@@ -243,24 +282,39 @@ def vocabulary(docs: DataFrame, size: int = WORDS) -> tuple[Vocabulary, int]:
 
 def contexts(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The neighbours of positions ``at``, ``PAD`` beyond the ends."""
-    padded = np.concatenate([np.full(SIDE, PAD, ids.dtype), ids, np.full(SIDE, PAD, ids.dtype)])
-    return np.stack([padded[at + o] for o in range(2 * SIDE + 1) if o != SIDE], axis=1)
+    return _neighbours(np.pad(ids, SIDE, constant_values=PAD), at + SIDE)
+
+
+def _neighbours(padded: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.stack([padded[at + o] for o in range(-SIDE, SIDE + 1) if o], axis=1)
+
+
+def _padded(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts with ``PAD`` around each text, and where the ids are."""
+    at = np.arange(len(ids)) + SIDE * np.repeat(np.arange(1, len(sizes) + 1), sizes)
+    padded = np.full(len(ids) + SIDE * (len(sizes) + 1), PAD, "<i2")
+    padded[at] = ids
+    return padded, at
 
 
 def training_texts(docs: DataFrame, words: Vocabulary, shards: int, parts: int = 1) -> DataFrame:
     """``(part, shard, ids)``: stretches of ids between their neighbours, 16 bits each; where one goes depends on its document only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = words.encoder()
-        edge = np.full(SIDE, PAD, "<i2")
+        encode = Encoder(words)
+        encode.spelling = None
         for batch in batches:
             to: list[int] = []
             held: list[bytes] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.concatenate([edge, encode(text.as_py()), edge]).astype("<i2")
-                for at in range(0, len(ids) - 2 * SIDE, _STRETCH):
-                    held.append(ids[at : at + _STRETCH + 2 * SIDE].tobytes())
-                    to.append(zlib.crc32(held[-1], zlib.crc32(f"{doc_id} {at}".encode())) % (shards * parts))
+            names = iter(batch.column(0).to_pylist())
+            for texts in _together((text.as_py() for text in batch.column(1)), _ENCODED):
+                ids, sizes, _ = encode.together(texts)
+                every = memoryview(_padded(ids, sizes)[0].tobytes())
+                for n, size, start in zip(range(len(sizes)), sizes.tolist(), (np.cumsum(sizes) - sizes).tolist(), strict=True):
+                    doc_id, start = next(names), start + SIDE * n
+                    for at in range(0, size, _STRETCH):
+                        held.append(bytes(every[2 * (start + at) : 2 * (start + min(at + _STRETCH, size) + 2 * SIDE)]))
+                        to.append(zlib.crc32(held[-1], zlib.crc32(f"{doc_id} {at}".encode())) % (shards * parts))
             part, shard = np.divmod(np.array(to, np.int32), np.int32(shards))
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(shard), pa.array(held, pa.binary())], ["part", "shard", "ids"])
 
@@ -308,69 +362,114 @@ class Network:
         return net
 
     def hidden(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = self["embed"][context].reshape(len(context), -1)
-        return x, np.tanh(x @ self["inner"] + self["inner_bias"])
+        x = np.take(self["embed"], context, axis=0).reshape(len(context), -1)
+        h = x @ self["inner"]
+        h += self["inner_bias"]
+        return x, np.tanh(h, out=h)
+
 
+def _in_range(z: np.ndarray) -> np.ndarray:
+    """In place, each row less its largest value where exponentials would leave the range of floats."""
+    if z.max(initial=0) > _SAFE or z.min(initial=0) < -_SAFE:
+        z -= z.max(axis=1, keepdims=True)
+    return z
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
+def _sums(z: np.ndarray) -> np.ndarray:
+    return z @ np.ones(z.shape[1], z.dtype)
+
+
+def _by_class(target: np.ndarray) -> np.ndarray:
+    """Order by class; numbers of 16 bits are sorted without comparisons."""
+    return np.argsort((target // CLASS_SIZE).astype(np.int16), kind="stable")
+
+
+def _log_shares(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Logarithm of one place of each row's softmax; ``z`` is overwritten."""
+    _in_range(z)
+    found = z[np.arange(len(z)), at]
+    return found - np.log(_sums(np.exp(z, out=z)))
 
 
 def log_probabilities(net: Network, context: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Conditional log-probability of each target."""
+    order = _by_class(target)
+    context, target = context[order], target[order]
     group, place = target // CLASS_SIZE, target % CLASS_SIZE
-    order = np.argsort(group, kind="stable")
-    _, h = net.hidden(context[order])
-    group, place = group[order], place[order]
-    rows = np.arange(len(order))
-    found = _log_softmax(h @ net["to_class"] + net["class_bias"])[rows, group]
+    found = np.empty(len(order), np.float32)
+    h = np.empty((len(order), HIDDEN), np.float32)
+    # Few rows at a time, which stay in the processor's cache.
+    for at in range(0, len(order), BATCH):
+        rows = slice(at, at + BATCH)
+        h[rows] = net.hidden(context[rows])[1]
+        z = h[rows] @ net["to_class"]
+        z += net["class_bias"]
+        found[rows] = _log_shares(z, group[rows])
     for c, start, stop in _runs(group):
-        within = _log_softmax(h[start:stop] @ net["to_word"][c].T + net["word_bias"][c])
-        found[start:stop] += within[rows[: stop - start], place[start:stop]]
+        for at in range(start, stop, BATCH):
+            rows = slice(at, min(at + BATCH, stop))
+            z = h[rows] @ net["to_word"][c].T
+            z += net["word_bias"][c]
+            found[rows] += _log_shares(z, place[rows])
     out = np.empty(len(order), np.float32)
     out[order] = found
     return out
 
 
-def _runs(group: np.ndarray) -> Iterator[tuple[int, int, int]]:
+def _runs(group: np.ndarray) -> list[tuple[int, int, int]]:
     """Runs of equal values in a sorted array."""
-    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else []
-    yield from ((int(group[a]), int(a), int(b)) for a, b in zip(starts, [*starts[1:], len(group)], strict=True))
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]).tolist() if len(group) else []
+    return list(zip(group[starts].tolist(), starts, [*starts[1:], len(group)], strict=True))
 
 
 def gradient(net: Network, context: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Of the mean negative log-probability, laid out like the parameters."""
     n = len(target)
     grad = Network(np.zeros(_TOTAL, np.float32))
-    order = np.argsort(target // CLASS_SIZE, kind="stable")
+    order = _by_class(target)
     context, target = context[order], target[order]
     group, place = target // CLASS_SIZE, target % CLASS_SIZE
     x, h = net.hidden(context)
-    rows = np.arange(n)
-    at_class = np.exp(_log_softmax(h @ net["to_class"] + net["class_bias"]))
-    at_class[rows, group] -= 1
-    at_class /= n
-    grad["to_class"][:] = h.T @ at_class
-    grad["class_bias"][:] = at_class.sum(0)
+    rows, ones = np.arange(n), np.ones(n, np.float32)
+
+    def errors(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """In place: the softmax of each row, less 1 where the target is, over ``n``."""
+        np.exp(_in_range(z), out=z)
+        z *= (1 / (n * _sums(z)))[:, None]
+        z[rows, at] -= np.float32(1 / n)
+        return z
+
+    at_class = h @ net["to_class"]
+    at_class += net["class_bias"]
+    errors(at_class, group)
+    np.matmul(h.T, at_class, out=grad["to_class"])
+    np.matmul(ones, at_class, out=grad["class_bias"])
     back = at_class @ net["to_class"].T
-    for c, start, stop in _runs(group):
-        mine = h[start:stop]
-        at_word = np.exp(_log_softmax(mine @ net["to_word"][c].T + net["word_bias"][c]))
-        at_word[rows[: stop - start], place[start:stop]] -= 1
-        at_word /= n
-        grad["to_word"][c] = at_word.T @ mine
-        grad["word_bias"][c] = at_word.sum(0)
-        back[start:stop] += at_word @ net["to_word"][c]
-    back *= 1 - h * h
-    grad["inner"][:] = x.T @ back
-    grad["inner_bias"][:] = back.sum(0)
+    # Class by class only what has to be; products of few rows cost more in calls than in sums.
+    runs, to_word = _runs(group), net["to_word"]
+    at_word = np.take(net["word_bias"], group, axis=0)
+    for c, start, stop in runs:
+        at_word[start:stop] += h[start:stop] @ to_word[c].T
+    errors(at_word, place)
+    more = np.empty_like(back)
+    for c, start, stop in runs:
+        mine = at_word[start:stop]
+        np.matmul(mine.T, h[start:stop], out=grad["to_word"][c])
+        np.matmul(ones[start:stop], mine, out=grad["word_bias"][c])
+        np.matmul(mine, to_word[c], out=more[start:stop])
+    back += more
+    np.multiply(h, h, out=more)
+    np.subtract(1, more, out=more)
+    back *= more
+    np.matmul(x.T, back, out=grad["inner"])
+    np.matmul(ones, back, out=grad["inner_bias"])
     into = (back @ net["inner"].T).reshape(-1, EMBEDDING)
-    ids = context.ravel()
+    ids = context.ravel().astype(np.int16)
     by_id = np.argsort(ids, kind="stable")
     sorted_ids = ids[by_id]
     starts = np.flatnonzero(np.r_[True, sorted_ids[1:] != sorted_ids[:-1]])
-    grad["embed"][sorted_ids[starts]] = np.add.reduceat(into[by_id], starts, axis=0)
+    # Complex numbers add up two columns at once.
+    grad["embed"][sorted_ids[starts]] = np.add.reduceat(np.take(into, by_id, axis=0).view(np.complex64), starts, axis=0).view(np.float32)
     return grad.flat
 
 
@@ -380,14 +479,24 @@ def train_shard(flat: np.ndarray, windows: np.ndarray, seed: int) -> np.ndarray:
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(windows))
     batch = int(min(BATCH, max(64, len(windows) // 100)))
-    first, second = np.zeros(_TOTAL, np.float32), np.zeros(_TOTAL, np.float32)
+    first, second, by = (np.zeros(_TOTAL, np.float32) for _ in range(3))
     for step, at in enumerate(range(0, len(order), batch), 1):
-        rows = windows[order[at : at + batch]].astype(np.int64)
+        rows = windows[order[at : at + batch]]
         g = gradient(net, rows[:, :-1], rows[:, -1])
-        first += 0.1 * (g - first)
-        second += 0.001 * (g * g - second)
-        rate = LEARNING_RATE * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-        net.flat -= rate * first / (np.sqrt(second) + 1e-8)
+        # first += 0.1 * (g - first); second += 0.001 * (g * g - second)
+        np.subtract(g, first, out=by)
+        by *= 0.1
+        first += by
+        np.multiply(g, g, out=by)
+        by -= second
+        by *= 0.001
+        second += by
+        # flat -= rate * first / (sqrt(second) + 1e-8)
+        np.sqrt(second, out=by)
+        by += 1e-8
+        np.divide(first, by, out=by)
+        by *= float(LEARNING_RATE * np.sqrt(1 - 0.999**step) / (1 - 0.9**step))
+        net.flat -= by
     return net.flat
 
 
@@ -440,31 +549,15 @@ def document_scores(texts: Iterable[bytes], encode: Encoder, net: Network) -> tu
     """Token counts and summed log-probabilities; many short texts, or parts of a long one, go through the network at once."""
     counts: list[int] = []
     sums: list[float] = []
-    held: list[tuple[int, np.ndarray, np.ndarray]] = []
-    size = 0
-
-    def settle() -> None:
-        nonlocal size
-        if held:
-            found = log_probabilities(net, np.concatenate([c for _, c, _ in held]), np.concatenate([t for _, _, t in held]))
-            at = 0
-            for row, _, target in held:
-                sums[row] += float(found[at : at + len(target)].sum(dtype=np.float64))
-                at += len(target)
-            held.clear()
-            size = 0
-
-    for text in texts:
-        ids, spelled = encode.spelled(text)
-        counts.append(len(ids))
-        sums.append(spelled)
+    for some in _together(texts, _ENCODED):
+        ids, sizes, opened = encode.together(some)
+        padded, at = _padded(ids, sizes)
+        found = np.empty(len(ids), np.float32)
         for start in range(0, len(ids), _SCORED):
-            at = np.arange(start, min(start + _SCORED, len(ids)))
-            held.append((len(counts) - 1, contexts(ids, at), ids[at]))
-            size += len(at)
-            if size >= _SCORED:
-                settle()
-    settle()
+            part = at[start : start + _SCORED]
+            found[start : start + _SCORED] = log_probabilities(net, _neighbours(padded, part), padded[part])
+        counts += sizes.tolist()
+        sums += (np.bincount(np.repeat(np.arange(len(sizes)), sizes), found, len(sizes)) + opened).tolist()
     return counts, sums
 
 
