@@ -102,6 +102,21 @@ def test_grams_of_a_block():
     assert [len(x) for x in phrases.longest_grams(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))] == [0, 0, 0]
 
 
+def test_blocks_take_little_more_room_than_their_words_tell():
+    rng = np.random.default_rng(1)
+    # 40,000 words with the frequencies of a text: some 11 bits each, where four bytes were written.
+    drawn = (40_000 ** rng.random(300_000)).astype(int)
+    texts = [" ".join(f"w{i}" for i in some).encode() for some in np.split(drawn, 300)]
+    words, counts, places = phrases._block(texts)
+    assert len(places) < 2.2 * len(drawn)
+    assert counts.tolist() == sorted(counts.tolist(), reverse=True)
+    named = np.array([phrases._END, *words.to_pylist()], dtype=object)
+    assert named[phrases.unpacked(places)].tolist() == [w for t in texts for w in phrases.words_and_ends(t)]
+    assert sum(counts) == len(drawn)
+    for numbers in ([], [0], [1, 2**31 - 1, 255, 256, 0]):
+        assert phrases.unpacked(phrases.packed(np.array(numbers, dtype=np.int32))).tolist() == numbers
+
+
 def test_scores_are_exact_beyond_64_bits(spark):
     a, left, right = 2**62 + 1, 2**62 + 12345, 2**63 - 1
     row = spark.range(1).select(phrases._score(F.lit(a), F.lit(left), F.lit(right)).alias("s")).first()

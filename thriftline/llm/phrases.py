@@ -6,6 +6,7 @@ joins the nodes that overlap in its two middle words and weighs as often as its
 * **Blocks.**  Tasks turn texts into blocks: the distinct words of some megabytes of one language with their
   counts, and the texts as places in that list.  Word counts are summed over blocks; words below the threshold cannot be
   in a candidate, so they end pieces as well, and the others get numbers, which every block gets back for its words.
+  Places run from the most frequent word of the block on and are written byte by byte of their size, compressed (:func:`packed`).
 * **Pairs.**  Blocks count their pairs of numbered words; pairs below the threshold over all blocks end pieces too, as no
   candidate holds one.  Every block gets back which of its pairs are left.
 * **Edges.**  Each position of a block starts an edge, or a shorter gram where the piece ends before (the piece-end
@@ -56,17 +57,29 @@ def words_and_ends(text: bytes) -> list[bytes]:
     return (text.lower().translate(_PLAIN).replace(b"\n", b" " + _END + b" ") + b" " + _END).split()
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers of 32 bits, all their lowest bytes first; high bytes are mostly zero and take next to no room."""
+    raw = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(held: bytes) -> np.ndarray:
+    raw = pa.decompress(memoryview(held)[8:], int.from_bytes(held[:8], "little"), codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int32)
+
+
 def _block(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, bytes]:
-    """Distinct words, how often each occurs, and the texts as places in them (-1 where a piece ends)."""
+    """Distinct words, most frequent first, how often each occurs, and the texts as places in them from 1 on (0 where a piece ends)."""
     listed = pa.array([w for t in texts for w in words_and_ends(t)], pa.binary()).dictionary_encode()
     places = listed.indices.to_numpy(zero_copy_only=False).astype(np.int32)
     counts = np.bincount(places, minlength=len(listed.dictionary))
     # The first text ends a piece, so the mark is always there.
     mark = listed.dictionary.index(pa.scalar(_END, pa.binary())).as_py()
-    moved = np.where(places > mark, places - 1, places).astype(np.int32)
-    moved[places == mark] = -1
-    rest = np.delete(np.arange(len(counts)), mark)
-    return listed.dictionary.take(pa.array(rest)), counts[rest], moved.tobytes()
+    order = np.argsort(-counts, kind="stable")
+    order = order[order != mark]
+    moved = np.zeros(len(counts), dtype=np.int32)
+    moved[order] = np.arange(1, len(order) + 1)
+    return listed.dictionary.take(pa.array(order)), counts[order], packed(moved[places])
 
 
 _BLOCK_TYPES = [pa.int64(), pa.string(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary()]
@@ -156,19 +169,23 @@ def longest_grams(ids: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word numbers in place of places, 0 for a rare word or the end of a piece."""
+    """Places without the rare words, which end pieces, and the word numbers by place."""
     for batch in batches:
         for i in range(batch.num_rows):
             local = batch.column("local")[i].values
-            places = np.frombuffer(batch.column("places")[i].as_py(), dtype=np.int32)
-            numbers = np.zeros(int(places.max()) + 2, dtype=np.int32)  # the last, at -1, is the end of a piece
-            numbers[local.field("place").to_numpy(zero_copy_only=False)] = local.field("id").to_numpy(zero_copy_only=False)
-            ids = pa.array([numbers[places].tobytes()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("block").slice(i, 1), ids], ["block", "ids"])
+            places = unpacked(batch.column("places")[i].as_py())
+            at = local.field("place").to_numpy(zero_copy_only=False) + 1
+            numbers = np.zeros(max(int(places.max()), int(at.max())) + 1, dtype=np.int32)
+            numbers[at] = local.field("id").to_numpy(zero_copy_only=False)
+            places[numbers[places] == 0] = 0
+            made = [pa.array([packed(x)], pa.binary()) for x in (places, numbers)]
+            yield pa.RecordBatch.from_arrays([batch.column("block").slice(i, 1), *made], ["block", "places", "numbers"])
 
 
-def _ids(value: pa.Scalar) -> np.ndarray:
-    return np.frombuffer(value.as_py(), dtype=np.int32).astype(np.int64)
+def _ids(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """Word numbers of each block, 0 for a rare word or the end of a piece."""
+    for places, numbers in zip(batch.column("places"), batch.column("numbers")):
+        yield unpacked(numbers.as_py()).astype(np.int64)[unpacked(places.as_py())]
 
 
 def _parts(columns: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -178,15 +195,15 @@ def _parts(columns: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBat
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for block, ids in zip(batch.column("block").to_pylist(), batch.column("ids")):
-            heads, counts = np.unique(_heads(_ids(ids))[1], return_counts=True)
+        for block, ids in zip(batch.column("block").to_pylist(), _ids(batch)):
+            heads, counts = np.unique(_heads(ids)[1], return_counts=True)
             yield from _parts([np.full(len(heads), block), heads, counts], ["block", "head", "c"])
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for ids, kept in zip(batch.column("ids"), batch.column("kept")):
-            yield from _parts(list(longest_grams(_ids(ids), kept.values.to_numpy(zero_copy_only=False))), ["head", "tail", "c"])
+        for ids, kept in zip(_ids(batch), batch.column("kept")):
+            yield from _parts(list(longest_grams(ids, kept.values.to_numpy(zero_copy_only=False))), ["head", "tail", "c"])
 
 
 def frequent_pairs(coded: DataFrame, least: int) -> DataFrame:
@@ -268,9 +285,9 @@ def graph(docs: DataFrame, least: int = LEAST, size: int = BLOCK) -> Graph:
         .groupBy("block")
         .agg(F.collect_list(F.struct("place", "id")).alias("local"))
     )
-    coded = written(made.select("block", "places").join(mine, "block").mapInArrow(_coded, "block bigint, ids binary"), "coded")
+    coded = written(made.select("block", "places").join(mine, "block").mapInArrow(_coded, "block bigint, places binary, numbers binary"), "coded")
     kept = frequent_pairs(coded, least).groupBy("block").agg(F.collect_list("head").alias("kept"))
-    grams = coded.join(kept, "block").select("ids", "kept").mapInArrow(_grams, "head bigint, tail bigint, c bigint")
+    grams = coded.join(kept, "block").select("places", "numbers", "kept").mapInArrow(_grams, "head bigint, tail bigint, c bigint")
     longest = written(grams.groupBy("head", "tail").agg(F.sum("c").alias("f")), "grams")
     nodes = longest.where("tail > 0").groupBy(*_source()).agg(F.sum("f").alias("f"))
     pairs = longest.groupBy("head").agg(F.sum("f").alias("f"))
