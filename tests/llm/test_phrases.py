@@ -117,6 +117,20 @@ def test_blocks_take_little_more_room_than_their_words_tell():
         assert phrases.unpacked(phrases.packed(np.array(numbers, dtype=np.int32))).tolist() == numbers
 
 
+def test_numbers_come_back_to_the_blocks_without_a_join_of_their_words(spark, rows, monkeypatch):
+    plans = {}
+
+    def seen(df, label):
+        plans[label] = df._jdf.queryExecution().analyzed().toString()
+        return kept(df, label)
+
+    kept = phrases.written
+    monkeypatch.setattr(phrases, "written", seen)
+    phrases.graph(frame(spark, rows), least=3)
+    # By block only, and the sizes of the tasks before.
+    assert plans["coded"].count("Join ") == 1 and plans["numbered"].count("Join ") == 1
+
+
 def test_scores_are_exact_beyond_64_bits(spark):
     a, left, right = 2**62 + 1, 2**62 + 12345, 2**63 - 1
     row = spark.range(1).select(phrases._score(F.lit(a), F.lit(left), F.lit(right)).alias("s")).first()

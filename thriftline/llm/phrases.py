@@ -127,7 +127,7 @@ def _block_words(made: DataFrame) -> DataFrame:
 
 
 def numbered_words(counted: DataFrame, least: int = LEAST) -> DataFrame:
-    """``(lang, word, f, id)`` of the words with a count of ``least`` or more; ids run from 1 over all languages.
+    """``counted`` with an ``id`` for the words with a count ``f`` of ``least`` or more; ids run from 1 over all languages.
 
     A row's place within its task plus the sizes of the tasks before; the table of sizes has a row for each task.
     """
@@ -138,7 +138,7 @@ def numbered_words(counted: DataFrame, least: int = LEAST) -> DataFrame:
     starts = sizes.select("_task", F.coalesce(before, F.lit(0)).alias("_before"))
     number = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
     checked = F.when(number < 1 << 31, number).otherwise(F.raise_error(F.lit("over 2 ** 31 frequent words")).cast("bigint"))
-    return kept.withColumn("_task", task).join(starts, "_task").select("lang", "word", "f", checked.alias("id"))
+    return kept.withColumn("_task", task).join(starts, "_task").select(*counted.columns, checked.alias("id"))
 
 
 def _heads(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -278,10 +278,12 @@ def compacted(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]
 def graph(docs: DataFrame, least: int = LEAST, size: int = BLOCK) -> Graph:
     made = written(blocks(docs, size), "blocks")
     local = _block_words(made)
-    counted = written(local.groupBy("lang", "word").agg(F.sum("count").alias("f")), "counted")
-    words = written(numbered_words(counted, least), "numbered")
+    # Words meet once, with their places along, a row for each block; no join brings the numbers back.
+    counted = local.groupBy("lang", "word").agg(F.sum("count").alias("f"), F.collect_list(F.struct("block", "place")).alias("at"))
+    numbered = written(numbered_words(counted, least), "numbered")
+    words = numbered.drop("at")
     mine = (
-        local.join(words.select("lang", "word", "id"), ["lang", "word"])
+        numbered.select("id", F.explode("at").alias("_at")).select("id", "_at.block", "_at.place")
         .groupBy("block")
         .agg(F.collect_list(F.struct("place", "id")).alias("local"))
     )
@@ -294,7 +296,7 @@ def graph(docs: DataFrame, least: int = LEAST, size: int = BLOCK) -> Graph:
     frequent = F.col("f") >= least
     kept_nodes = written(nodes.where(frequent), "nodes")
     edges, nodes = compacted(longest.where(frequent & (_last("tail") > 0)), kept_nodes)
-    totals = counted.groupBy("lang").agg(F.sum("f").alias("n"))
+    totals = made.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("bigint"), lambda n, c: n + c)).alias("n"))
     return Graph(totals, words, written(pairs.where(frequent), "pairs"), written(nodes, "flows"), written(edges, "paths"))
 
 
