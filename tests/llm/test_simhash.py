@@ -91,6 +91,14 @@ def test_one_of_each_group_stays_with_all_columns(spark):
     )
 
 
+def test_sizes_of_buckets_are_never_broadcast(spark, capsys, tmp_path):
+    # A table this small would be broadcast by its estimate, which leaves out that every node has 31 places.
+    spark.range(100).withColumnRenamed("id", "fp").write.parquet(str(tmp_path / "nodes"))
+    for found in simhash.links(spark.read.parquet(str(tmp_path / "nodes"))):
+        found.explain()
+        assert "Broadcast" not in capsys.readouterr().out
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert simhash.near_duplicates(df).count() == 0

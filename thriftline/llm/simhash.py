@@ -149,7 +149,8 @@ def links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> tuple
     """
     placed = buckets(nodes, radius)
     sizes = placed.groupBy("table", "key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    sized = placed.join(sizes, ["table", "key"])
+    # Spark sizes both sides without the rows that explode adds and would broadcast them, which it does not take back.
+    sized = placed.join(sizes.hint("merge"), ["table", "key"])
     small = (
         sized.where(F.col("_n") <= bucket)
         .groupBy("table", "key")
