@@ -94,6 +94,14 @@ def test_copies_take_effect_with_all_columns(spark):
     assert {s: t for s, t in have.items() if t} == {s: t for s, t in want.items() if t}
 
 
+def test_drawn_rows_are_never_broadcast(spark, capsys):
+    # Their file packs repeated values and is some thirty times smaller than the rows in memory.
+    once = [(1, "a b", "s"), (2, "c", "t"), (3, None, None)]
+    for data in (once, once + [(1, "a b", "s"), (1, "b a", "s")]):
+        mixing.mix(spark.createDataFrame(data, "doc_id bigint, text string, source string")).explain()
+        assert "Broadcast" not in capsys.readouterr().out
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string, source string")
     assert mixing.mixed(df).count() == 0 and mixing.mix(df).count() == 0

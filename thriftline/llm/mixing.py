@@ -191,18 +191,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUD
     several = drawn.where("k > 1")
     one = drawn.where("k = 1") if several.isEmpty() else _unrepeated(drawn)
     name = F.struct("doc_id", "source", "size")
+    # A name has some 180 bytes in memory and 9 in its file, by which Spark would broadcast it.
     found = rows.withColumn("_name", name).drop("doc_id", "source", "size").join(
-        one.select(name.alias("_name"), "copies"), "_name"
+        one.select(name.alias("_name"), "copies").hint("merge"), "_name"
     )
     taken = found.select("_row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("_row.*")
     if several.isEmpty():
         return taken
-    alike = several.select(name.alias("_name")).distinct()
+    alike = several.select(name.alias("_name")).distinct().hint("merge")
     # Rows alike are told apart by their texts' order; which of equal ones is first makes no difference.
     counted = (
         rows.withColumn("_name", name).drop("doc_id", "source", "size").join(alike, "_name", "left_semi")
         .withColumn("k", F.row_number().over(Window.partitionBy("_name").orderBy(F.xxhash64("_row.text"))).cast("bigint"))
-        .join(drawn.select(name.alias("_name"), "k", "copies"), ["_name", "k"])
+        .join(drawn.select(name.alias("_name"), "k", "copies").hint("merge"), ["_name", "k"])
     )
     return taken.unionByName(
         counted.select("_row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("_row.*")
