@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import ast
+import sys
+
 from pyspark.sql import functions as F
 
 from thriftline.operators import catalog, generated
@@ -120,3 +123,25 @@ def test_attach_specs_defaults(spark):
     specs = spark.createDataFrame([("a", "code", "generated", None)], "id string, spec_code string, status string, error string")
     got = {r.id: (r.spec_code, r.status, r.error) for r in generated.attach_specs(functions, specs, ["id"]).collect()}
     assert got == {"a": ("code", "generated", ""), "b": ("", "failed", "")}
+
+
+def test_long_chains_are_written_without_recursion():
+    """A chain takes no stack, and all code is written as ``ast.unparse`` writes it."""
+    terms = " + ".join(f"x{n} * (y - {n}) ** -2 ** n" for n in range(3000))
+    texts = [
+        f"def long(x):\n    return {terms}\n",
+        "def f(a):\n    return (a - (b - c)) - d, (a ** b) ** c, a ** (b ** c), -(a + b) * c, (-a) ** b, a << (b | c) & ~d ^ e\n",
+        "def g(a):\n    return (lambda: a + b)() @ (a if b else c) % (yield) // (await_ or b), (a + b).c[d - 1](*e + f), not (a + b)\n",
+        "async def h(a):\n    return await (a + b) + (await c) * 2, f'{a + (b - c):>{w - 1}} {(lambda x: x + 1)!r}', (a := b + c) - 1\n",
+        "def i(a, b=1 - (2 - 3), *c: d | (e | f), **g) -> (h + i):\n    a += (b, c) + (d,)\n    return 1 .real + 2.5j - (a, *b + c)[0]\n",
+    ]
+    for text in texts:
+        function = ast.parse(text).body[0]
+        written = catalog._Writer().visit(function)
+        assert (written, None) == catalog._unparse(function)
+        limit = sys.getrecursionlimit()
+        try:
+            sys.setrecursionlimit(100_000)
+            assert written == ast.unparse(function)
+        finally:
+            sys.setrecursionlimit(limit)

@@ -57,12 +57,61 @@ def _definitions(module: ast.Module) -> Iterator[tuple[str, ast.AST]]:
 _DEEP = 100_000
 
 
+class _Writer(ast._Unparser):
+    """What ``ast.unparse`` writes, with a chain of operators as a loop and methods looked up once for each kind of node."""
+
+    #: Kind of operator to its text, its own precedence and those of its sides.
+    _sides = {
+        getattr(ast, kind): (
+            f" {sign} ", own, own.next() if sign in ast._Unparser.binop_rassoc else own,
+            own if sign in ast._Unparser.binop_rassoc else own.next(),
+        )
+        for kind, sign in ast._Unparser.binop.items()
+        for own in [ast._Unparser.binop_precedence[sign]]
+    }
+
+    def __init__(self):
+        super().__init__()
+        self._visitors = {}
+
+    def traverse(self, node):
+        if isinstance(node, list):
+            for item in node:
+                self.traverse(item)
+            return
+        visitor = self._visitors.get(node.__class__)
+        if visitor is None:
+            visitor = self._visitors[node.__class__] = getattr(self, f"visit_{node.__class__.__name__}", self.generic_visit)
+        visitor(node)
+
+    def visit_BinOp(self, node):
+        pending = []
+        above = self.get_precedence(node)
+        while node.__class__ is ast.BinOp:
+            sign, own, left, right = self._sides[node.op.__class__]
+            if above > own:
+                self._source.append("(")
+            pending.append((sign, node.right, right, above > own))
+            node, above = node.left, left
+        self.set_precedence(above, node)
+        self.traverse(node)
+        for sign, node, above, closed in reversed(pending):
+            self._source.append(sign)
+            if node.__class__ is ast.Name:
+                self._source.append(node.id)
+            else:
+                self.set_precedence(above, node)
+                self.traverse(node)
+            if closed:
+                self._source.append(")")
+
+
 def _unparse(function: ast.AST) -> tuple[str | None, str | None]:
     """Code of a function, or why it cannot be written out."""
     limit = sys.getrecursionlimit()
     try:
         sys.setrecursionlimit(max(limit, _DEEP))
-        return ast.unparse(function), None
+        return _Writer().visit(function), None
     except (RecursionError, MemoryError, ValueError) as error:
         return None, f"{type(error).__name__}: {error}"
     finally:
