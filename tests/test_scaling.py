@@ -9,6 +9,7 @@ import zipfile
 
 import pandas as pd
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from thriftline import schemas
@@ -86,6 +87,26 @@ def test_archives_are_listed_by_a_fixed_number_of_tasks(spark, tmp_path, monkeyp
     assert names.rdd.getNumPartitions() <= slots(spark) and names.count() == 400
 
 
+def test_archives_are_found_by_tasks_as_spark_finds_them(spark, tmp_path, monkeypatch, capsys):
+    names = ["a.zip", "b é%20#.zip", "d/e/f/g.zip", "d/e.zip/z.zip", "A.ZIP", "n.txt", ".h.zip", ".h/x.zip"]
+    names += ["_h.zip", "_h/x.zip", "_k=1/x.zip", "_k=1.zip", "_metadata/x.zip", "_metadata.zip", "c._COPYING_/x.zip"]
+    for name in names:
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(b"not empty")
+    (tmp_path / "in/empty.zip").touch()
+    (tmp_path / "nothing").mkdir()
+    monkeypatch.setattr(archives, "list_members", lambda names: names)
+    by_spark = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true")
+    for path, n in (("in", 7), ("in/", 7), ("in/a.zip", 1), ("in/_h.zip", 0), ("in/_h", 1), ("in/n.txt", 0), ("i*/{a,b*}.zip", 2), ("in/*", 10), ("nothing", 0)):
+        found = archives.list_archives(spark, f"{tmp_path}/{path}")
+        assert sorted(r.path for r in found.collect()) == sorted(r.path for r in by_spark.load(f"{tmp_path}/{path}").select("path").collect())
+        assert found.count() == n
+        found.explain()
+        assert "FileScan" not in capsys.readouterr().out
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        archives.list_archives(spark, str(tmp_path / "absent"))
+
+
 def test_rows_of_a_frame_are_grouped_by_archive_in_order():
     frame = pd.DataFrame({"archive": ["b", "a", "b", "c"], "position": [2, 1, 0, None], "error": [None, None, None, "bad"]})
     found = {uri: group for uri, group in archives._by_archive(frame, ["error", "position"], ["position"])}

@@ -15,14 +15,15 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from thriftline import schemas
 from thriftline.operators.running import running_total
-from thriftline.session import slots
-from thriftline.sources import files
+from thriftline.session import slots, spread
+from thriftline.sources import files, tree
 
 _BATCH_BYTES = 64 << 20
 #: Bytes of a frame of members, and what a row takes besides its content.
@@ -126,11 +127,35 @@ def list_members(archives: DataFrame) -> DataFrame:
     )
 
 
+def _is_wanted(name: str, is_folder: bool, n_bytes: int) -> bool:
+    """Archives with bytes in them, and folders; not what Spark's readers hide."""
+    hidden = name.startswith(".") or (name.startswith("_") and "=" not in name)
+    if is_folder:
+        return not (hidden or name.endswith("._COPYING_")) or name.startswith(("_metadata", "_common_metadata"))
+    return name.endswith(".zip") and n_bytes > 0 and not hidden
+
+
+def _named(spark: SparkSession, path: str) -> list[tuple[str, str, bool, int]]:
+    """What a path, or a pattern of paths, names: URI as Spark spells it, name, is-folder and size."""
+    given = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = given.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    where = store.makeQualified(given)
+    found = store.globStatus(where)
+    if not found:
+        raise AnalysisException(f"[PATH_NOT_FOUND] Path does not exist: {where.toString()}.")
+    return [(e.getPath().toString(), e.getPath().getName(), e.isDirectory(), e.getLen()) for e in found]
+
+
 def list_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Members of every archive below ``path``, without their content."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true")
-    # Spark cuts small files into a task for some 32 of them, each with a start of Python; their number must not grow with the files.
-    return list_members(found.load(path).select("path").coalesce(slots(spark)))
+    """Members of every archive below ``path``.
+
+    Tasks list the folders, as ``binaryFile`` would keep every name in the driver; then a fixed number of them opens the archives.
+    """
+    named = _named(spark, path)
+    folders = spark.createDataFrame([("", uri) for uri, _, is_folder, _ in named if is_folder], "project string, uri string")
+    alone = [(uri,) for uri, *entry in named if not entry[1] and _is_wanted(*entry)]
+    below = tree.list_tree(spark, folders, wanted=_is_wanted).select(F.col("uri").alias("path"))
+    return list_members(spread(below.unionByName(spark.createDataFrame(alone, "path string")), "path"))
 
 
 #: What opening a member costs, in bytes read.

@@ -7,7 +7,7 @@ The built-in file sources skip names that start with ``_`` and so lose every
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +23,15 @@ _ROWS, _BYTES = 10_000, 8 << 20
 _LEVEL = "project string, file string, n_bytes bigint, uri string, is_dir boolean"
 
 
-def _list_level(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+# Of an entry's name, is-folder and size: is it listed, and entered if it is a folder?
+Wanted = Callable[[str, bool, int], bool]
+
+
+def _everything(name: str, is_folder: bool, n_bytes: int) -> bool:
+    return True
+
+
+def _list_level(frames: Iterator[pd.DataFrame], wanted: Wanted = _everything) -> Iterator[pd.DataFrame]:
     """Replace each folder by its entries; files pass through."""
 
     def rows() -> Iterator[tuple]:
@@ -33,15 +41,16 @@ def _list_level(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     yield project, file, n_bytes, uri, False
                     continue
                 for name, folder, size in files.children(uri):
-                    below = f"{file}/{name}" if file else name
-                    yield project, below, size, f"{uri}/{name}", folder
+                    if wanted(name, folder, size):
+                        below = f"{file}/{name}" if file else name
+                        yield project, below, size, f"{uri}/{name}", folder
 
     found = rows()
     while held := list(itertools.islice(found, _ROWS)):
         yield pd.DataFrame(held, columns=["project", "file", "n_bytes", "uri", "is_dir"])
 
 
-def _walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _walk(frames: Iterator[pd.DataFrame], wanted: Wanted = _everything) -> Iterator[pd.DataFrame]:
     """Files below each folder, whatever the depth."""
 
     def below(project: str, at: str, where: str) -> Iterator[tuple]:
@@ -50,6 +59,8 @@ def _walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         while pending:
             at, where = pending.pop()
             for name, is_folder, size in files.children(where):
+                if not wanted(name, is_folder, size):
+                    continue
                 path, uri = f"{at}/{name}" if at else name, f"{where}/{name}"
                 if is_folder:
                     pending.append((path, uri))
@@ -69,8 +80,8 @@ def _walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(held, columns=["project", "file", "n_bytes", "uri"])
 
 
-def list_tree(spark: SparkSession, roots: DataFrame, spread_levels: int = 2) -> DataFrame:
-    """Every file below the folders in ``roots(project, uri)``.
+def list_tree(spark: SparkSession, roots: DataFrame, spread_levels: int = 2, wanted: Wanted = _everything) -> DataFrame:
+    """Every file below the folders in ``roots(project, uri)``; entries that are not ``wanted`` are left out, folders among them never listed.
 
     The first ``spread_levels`` levels are listed one at a time and re-spread, so
     a single large root is walked by many tasks.
@@ -83,10 +94,10 @@ def list_tree(spark: SparkSession, roots: DataFrame, spread_levels: int = 2) ->
         F.lit(True).alias("is_dir"),
     )
     for _ in range(spread_levels):
-        level = level.mapInPandas(_list_level, schema=_LEVEL).repartition(
+        level = level.mapInPandas(lambda frames: _list_level(frames, wanted), schema=_LEVEL).repartition(
             slots(spark), "project", "file"
         )
-    return level.mapInPandas(_walk, schema=schemas.TREE_FILE)
+    return level.mapInPandas(lambda frames: _walk(frames, wanted), schema=schemas.TREE_FILE)
 
 
 def read_files(listed: DataFrame, batch_bytes: int = _BYTES) -> DataFrame:
